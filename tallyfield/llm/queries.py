@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_stream import exact_duplicates
 from .sketch_dedup import near_duplicates
+from .source_mix import mix_sources
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet").drop("locator")
 
@@ -31,6 +37,7 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op9_source_mix": op9_source_mix,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
