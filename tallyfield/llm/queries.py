@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import table
 from .exact_stream import exact_duplicates
+from .quality_rff import quality_scores
 from .sketch_dedup import near_duplicates
 from .source_mix import mix_sources
+from .telephony import read_audio, store_audio
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_audio(store_audio(table(spark, sf_dir, "documents")))
+
+
+def op7_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -43,6 +53,8 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_telephony": op2_telephony,
+        "op7_quality_rff": op7_quality_rff,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_source_mix": op9_source_mix,
         "op10_exact_dedup": op10_exact_dedup,
