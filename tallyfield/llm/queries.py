@@ -15,6 +15,7 @@ from .quality_rff import quality_scores
 from .sketch_dedup import near_duplicates
 from .source_mix import mix_sources
 from .telephony import read_audio, store_audio
+from .toxic_knn import toxicity_scores
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_audio(store_audio(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_telephony": op2_telephony,
+        "op5_toxicity_knn": op5_toxicity_knn,
         "op7_quality_rff": op7_quality_rff,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_source_mix": op9_source_mix,
