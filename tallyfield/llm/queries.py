@@ -12,6 +12,7 @@ from .byte_bpe import bpe_round_trip
 from .common import table
 from .exact_stream import exact_duplicates
 from .quality_rff import quality_scores
+from .secret_links import secret_spans
 from .sketch_dedup import near_duplicates
 from .source_mix import mix_sources
 from .telephony import read_audio, store_audio
@@ -26,6 +27,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_audio(store_audio(table(spark, sf_dir, "documents")))
 
 
+def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_telephony": op2_telephony,
+        "op3_secret_links": op3_secret_links,
         "op5_toxicity_knn": op5_toxicity_knn,
         "op7_quality_rff": op7_quality_rff,
         "op8_byte_bpe": op8_byte_bpe,
