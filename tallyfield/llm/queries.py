@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import table
 from .exact_stream import exact_duplicates
+from .line_runs import line_dedup
 from .quality_rff import quality_scores
 from .secret_links import secret_spans
 from .sketch_dedup import near_duplicates
@@ -35,6 +36,11 @@ def op5_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.array_join("deleted_lines", ",").alias("deleted_lines"))
+
+
 def op7_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_telephony": op2_telephony,
         "op3_secret_links": op3_secret_links,
         "op5_toxicity_knn": op5_toxicity_knn,
+        "op6_line_dedup": op6_line_dedup,
         "op7_quality_rff": op7_quality_rff,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_source_mix": op9_source_mix,
