@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import table
 from .exact_stream import exact_duplicates
+from .html_layout import render_pages
 from .line_runs import line_dedup
 from .quality_rff import quality_scores
 from .secret_links import secret_spans
@@ -32,6 +33,11 @@ def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = render_pages(table(spark, sf_dir, "pages"))
+    return out.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": F.size(F.split("text", "\n", -1)).cast("long")})
+
+
 def op5_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_telephony": op2_telephony,
         "op3_secret_links": op3_secret_links,
+        "op4_html_layout": op4_html_layout,
         "op5_toxicity_knn": op5_toxicity_knn,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality_rff": op7_quality_rff,
