@@ -1 +1,3 @@
 """Importing this module registers every query."""
+
+from . import relational, windows  # noqa: F401
