@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import domain, relational, windows  # noqa: F401
+from . import domain, learning, relational, windows  # noqa: F401

@@ -103,7 +103,7 @@ SELECT company_id, ex_date, round(product(coalesce(pf, 1)), 6) AS price_factor,
 ADJ = with_views("factors") + """, cum AS (SELECT company_id, ex_date, exp(sum(ln(price_factor)) OVER w) AS f, exp(sum(ln(dividend_factor)) OVER w) AS df FROM factors WINDOW w AS (PARTITION BY company_id ORDER BY ex_date DESC)),
 adj AS (SELECT b.*, coalesce(c.f, 1) AS f, coalesce(c.df, 1) AS df FROM bars b ASOF LEFT JOIN cum c ON b.company_id = c.company_id AND b.trade_date < c.ex_date)
 """
-register("c15_adjusted_prices", lambda s, d: pr.adjusted_prices(fx.bars(s, d), fx.factors(s, d)).select(*KEYS, F.round("adj_close", 7).alias("adj_close"), F.round("adj_volume", 7).alias("adj_volume"), F.round("tr_close", 7).alias("tr_close")), ADJ + "SELECT company_id, trade_date, round(close * f, 7) AS adj_close, round(volume / f, 7) AS adj_volume, round(close * f * df, 7) AS tr_close FROM adj")
+register("c15_adjusted_prices", lambda s, d: pr.adjusted_prices(fx.bars(s, d), fx.factors(s, d)).select(*KEYS, F.round("adj_close", 7).alias("adj_close"), F.round("adj_volume", 7).alias("adj_volume"), F.round("tr_close", 9).alias("tr_close")), ADJ + "SELECT company_id, trade_date, round(close * f, 7) AS adj_close, round(volume / f, 7) AS adj_volume, round(close * f * df, 9) AS tr_close FROM adj")
 CONT = with_views("factors", "breaks") + """, a AS (SELECT f.*, b.close AS c0, b.trade_date AS d0 FROM factors f ASOF LEFT JOIN bars b ON f.company_id = b.company_id AND f.ex_date > b.trade_date),
 z AS (SELECT a.*, b.close AS c1, b.trade_date AS d1 FROM a ASOF LEFT JOIN bars b ON a.company_id = b.company_id AND a.ex_date <= b.trade_date),
 cont AS (SELECT company_id, ex_date, c1 / c0 - 1 AS raw_move, c1 / (c0 * price_factor) - 1 AS adj_move, abs(c1 / (c0 * price_factor) - 1) <= 0.20 + 0.10 / (c0 * price_factor) AS passed FROM z WHERE d1 - d0 <= 15 AND NOT EXISTS (SELECT 1 FROM breaks k WHERE k.company_id = z.company_id AND k.break_date = z.ex_date))
@@ -153,14 +153,14 @@ register("c36_validate_ledger", lambda s, d: mn.ledger_violations(fx.txns(s, d))
 LOTS = CUM.rstrip() + ", sold AS (SELECT account, company_id, sum(quantity) AS sold FROM txns WHERE side = 'SELL' GROUP BY 1, 2), lots AS (SELECT b.account, b.company_id, b.txn_id, b.trade_date, b.price, least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) AS quantity FROM b LEFT JOIN sold USING (account, company_id) WHERE least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) > 0), lp AS (SELECT company_id, max_by(close, trade_date) AS close, max(trade_date) AS price_date FROM (SELECT company_id, trade_date, max_by(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS close FROM px GROUP BY 1, 2) q GROUP BY 1)\n"
 lots = lambda s, d: mn.open_lots(fx.txns(s, d))
 latest = lambda s, d: mn.latest_prices(fx.bars(s, d))
-register("c37_value_portfolio", lambda s, d: mn.value_portfolio(lots(s, d), latest(s, d), "2001-01-01").select("account", "company_id", "quantity", F.round("cost", 6).alias("cost"), F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"), "over_cap", "stale"), LOTS + ", v AS (SELECT account, l.company_id, CAST(sum(quantity) AS BIGINT) AS quantity, sum(quantity * price) AS cost, sum(quantity * close) AS value, max(price_date) AS pd FROM lots l JOIN lp ON lp.company_id = l.company_id GROUP BY 1, 2) SELECT account, company_id, quantity, round(cost, 6) AS cost, round(value, 6) AS value, round(value / sum(value) OVER (PARTITION BY account), 6) AS weight, round(value / sum(value) OVER (PARTITION BY account) * 100, 1) > 15 AS over_cap, pd < DATE '2000-12-25' AS stale FROM v")
+register("c37_value_portfolio", lambda s, d: mn.value_portfolio(lots(s, d), latest(s, d), "2001-01-01").select("account", "company_id", "quantity", F.round("cost", 8).alias("cost"), F.round("value", 8).alias("value"), F.round("weight", 6).alias("weight"), "over_cap", "stale"), LOTS + ", v AS (SELECT account, l.company_id, CAST(sum(quantity) AS BIGINT) AS quantity, sum(quantity * price) AS cost, sum(quantity * close) AS value, max(price_date) AS pd FROM lots l JOIN lp ON lp.company_id = l.company_id GROUP BY 1, 2) SELECT account, company_id, quantity, round(cost, 8) AS cost, round(value, 8) AS value, round(value / sum(value) OVER (PARTITION BY account), 6) AS weight, round(value / sum(value) OVER (PARTITION BY account) * 100, 1) > 15 AS over_cap, pd < DATE '2000-12-25' AS stale FROM v")
 register("c38_latest_prices", latest, with_views("bars") + "SELECT company_id, close, prev_close, trade_date AS price_date FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY trade_date) AS prev_close, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS rn FROM bars) x WHERE rn = 1")
 few = lambda s, d: fx.txns(s, d).where("side = 'BUY'")
 HIST = with_views("txns", "bars") + """, mv AS (SELECT account, company_id, trade_date, sum(quantity) AS move, sum(quantity * price) AS flow FROM txns WHERE side = 'BUY' GROUP BY 1, 2, 3), fi AS (SELECT account, company_id, min(trade_date) AS first FROM mv GROUP BY 1, 2),
 g AS (SELECT f.account, f.company_id, b.trade_date, b.close, coalesce(m.flow, 0) AS flow, sum(coalesce(m.move, 0)) OVER (PARTITION BY f.account, f.company_id ORDER BY b.trade_date) AS held FROM fi f JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= first LEFT JOIN mv m ON m.account = f.account AND m.company_id = f.company_id AND m.trade_date = b.trade_date),
 h AS (SELECT account, trade_date, sum(held * close) AS value, sum(flow) AS flow FROM g GROUP BY 1, 2)
 """
-register("c39_value_history", lambda s, d: mn.value_history(few(s, d), fx.bars(s, d)).select("account", "trade_date", F.round("value", 5).alias("value"), F.round("flow", 5).alias("flow")), HIST + "SELECT account, trade_date, round(value, 5) AS value, round(flow, 5) AS flow FROM h")
+register("c39_value_history", lambda s, d: mn.value_history(few(s, d), fx.bars(s, d)).select("account", "trade_date", F.round("value", 7).alias("value"), F.round("flow", 7).alias("flow")), HIST + "SELECT account, trade_date, round(value, 7) AS value, round(flow, 7) AS flow FROM h")
 flows = lambda s, d: few(s, d).groupBy("account", "trade_date").agg(F.sum(F.col("quantity") * F.col("price")).alias("flow"))
 FLOW = ", fl AS (SELECT account, trade_date, sum(quantity * price) AS flow FROM txns WHERE side = 'BUY' GROUP BY 1, 2)\n"
 register("c40_benchmark_same_flows", lambda s, d: mn.benchmark_same_flows(flows(s, d), fx.market(s, d)).select("account", "trade_date", F.round("units", 6).alias("units")), with_views("txns", "market") + FLOW + "SELECT account, trade_date, round(sum(flow / nifty500) OVER (PARTITION BY account ORDER BY trade_date), 6) AS units FROM fl JOIN market USING (trade_date)")
