@@ -44,12 +44,15 @@ def signed(df: DataFrame) -> DataFrame:
 
 
 KEY = ("account", "company_id")
-ORDER = Window.partitionBy(*KEY).orderBy("trade_date", "txn_id")
+
+
+def _order():
+    return Window.partitionBy(*KEY).orderBy("trade_date", "txn_id")
 
 
 def ledger_violations(txns: DataFrame) -> DataFrame:
     """Transactions after which more has been sold than was ever held."""
-    w = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    w = _order().rowsBetween(Window.unboundedPreceding, 0)
     return signed(txns).withColumn("held", F.sum("signed").over(w)).where("held < 0").select("account", "company_id", "txn_id", "held")
 
 
@@ -60,7 +63,7 @@ def fifo_matches(txns: DataFrame) -> DataFrame:
     overlaps is matched. A buy is matched whether it comes before or after the sell, so callers exclude
     accounts with violations. Joined on (account, company) with an inequality, not as a product.
     """
-    side = lambda s, p: txns.where(F.col("side") == s).select(*KEY, F.col("txn_id").alias(f"{p}_id"), F.col("trade_date").alias(f"{p}_date"), F.col("price").alias(f"{p}_price"), F.coalesce(F.sum("quantity").over(ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{p}_from"), F.sum("quantity").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_to"))
+    side = lambda s, p: txns.where(F.col("side") == s).select(*KEY, F.col("txn_id").alias(f"{p}_id"), F.col("trade_date").alias(f"{p}_date"), F.col("price").alias(f"{p}_price"), F.coalesce(F.sum("quantity").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{p}_from"), F.sum("quantity").over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_to"))
     b, s = side("BUY", "buy"), side("SELL", "sell")
     cond = [*[b[k] == s[k] for k in KEY], b.buy_from < s.sell_to, s.sell_from < b.buy_to]
     j = b.join(s, cond).drop(*[s[k] for k in KEY])
@@ -71,7 +74,7 @@ def fifo_matches(txns: DataFrame) -> DataFrame:
 def open_lots(txns: DataFrame) -> DataFrame:
     """What is left of each buy after the account's sells, oldest first."""
     sold = txns.where("side = 'SELL'").groupBy(*KEY).agg(F.sum("quantity").alias("sold"))
-    buys = txns.where("side = 'BUY'").withColumn("upto", F.sum("quantity").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    buys = txns.where("side = 'BUY'").withColumn("upto", F.sum("quantity").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     out = buys.join(sold, list(KEY), "left").withColumn("left", F.least(F.col("quantity"), F.greatest(F.col("upto") - F.coalesce("sold", F.lit(0)), F.lit(0))))
     return out.where("left > 0").select(*KEY, "txn_id", "trade_date", "price", F.col("left").alias("quantity"))
 

@@ -32,8 +32,8 @@ def r6(df, *cols):
 
 
 # validation, calendar, coverage
-DAY = F.lit("1996-03-01").cast("date")
-register("c01_validate_prices", lambda s, d: ql.validate_prices(fx.px(s, d).where("trade_date between '1996-03-01' and '1996-03-02'").withColumn("px", F.when(F.col("l_linenumber") != 7, F.col("px"))), DAY, 10**9, ["px"], ["company_id", "trade_date"]), with_views("px") + """, x AS (SELECT company_id, trade_date, CASE WHEN l_linenumber <> 7 THEN px END AS px FROM px WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-02')
+DAY = lambda: F.lit("1996-03-01").cast("date")
+register("c01_validate_prices", lambda s, d: ql.validate_prices(fx.px(s, d).where("trade_date between '1996-03-01' and '1996-03-02'").withColumn("px", F.when(F.col("l_linenumber") != 7, F.col("px"))), DAY(), 10**9, ["px"], ["company_id", "trade_date"]), with_views("px") + """, x AS (SELECT company_id, trade_date, CASE WHEN l_linenumber <> 7 THEN px END AS px FROM px WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-02')
 SELECT * FROM (SELECT 'date_mismatch' AS rule, 'BLOCK' AS severity, count(*) FILTER (WHERE trade_date <> DATE '1996-03-01') AS n FROM x UNION ALL SELECT 'required_nulls', 'BLOCK', count(*) FILTER (WHERE px IS NULL) FROM x UNION ALL SELECT 'too_few_rows', 'BLOCK', count(*) FROM x
 UNION ALL SELECT 'duplicate_keys', 'BLOCK', count(*) FROM (SELECT 1 FROM x GROUP BY company_id, trade_date HAVING count(*) > 1) y) z WHERE n > 0""")
 register("c02_validate_delivery", lambda s, d: ql.validate_delivery(t(s, d, "lineitem").select((F.col("l_quantity") * (1 + F.col("l_tax"))).alias("deliverable_qty"), (F.col("l_quantity") - 2).alias("qty_traded"))), "SELECT * FROM (SELECT 'deliverable_over_traded' AS rule, 'WARN' AS severity, count(*) FILTER (WHERE l_quantity * (1 + l_tax) > l_quantity - 2) AS n FROM lineitem UNION ALL SELECT 'negative', 'BLOCK', count(*) FILTER (WHERE l_quantity < 2) FROM lineitem) x WHERE n > 0")
@@ -75,8 +75,8 @@ def board_rows(s, d):
     return x.select(F.concat(F.lit("SYM"), (F.dayofyear("trade_date") % 10).cast("string")).alias("symbol"), "trade_date", F.when(F.col("l_returnflag") == "R", "BE").when(F.col("l_returnflag") == "A", "BZ").otherwise("EQ").alias("series"), "px", "row_id")
 
 
-PREFER = F.when(F.col("series") == "EQ", 0).otherwise(1)
-register("c09_company_prices", lambda s, d: pr.company_prices(board_rows(s, d), fx.symbol_map(s, d), ("EQ", "BE"), PREFER).select("company_id", "trade_date", "series", "px"), with_views("px", "symbol_map") + """, b AS (SELECT concat('SYM', CAST(dayofyear(trade_date) % 10 AS VARCHAR)) AS symbol, trade_date, CASE l_returnflag WHEN 'R' THEN 'BE' WHEN 'A' THEN 'BZ' ELSE 'EQ' END AS series, px, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT), CAST(trunc(l_quantity) AS BIGINT)) AS row_id FROM px)
+PREFER = lambda: F.when(F.col("series") == "EQ", 0).otherwise(1)
+register("c09_company_prices", lambda s, d: pr.company_prices(board_rows(s, d), fx.symbol_map(s, d), ("EQ", "BE"), PREFER()).select("company_id", "trade_date", "series", "px"), with_views("px", "symbol_map") + """, b AS (SELECT concat('SYM', CAST(dayofyear(trade_date) % 10 AS VARCHAR)) AS symbol, trade_date, CASE l_returnflag WHEN 'R' THEN 'BE' WHEN 'A' THEN 'BZ' ELSE 'EQ' END AS series, px, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT), CAST(trunc(l_quantity) AS BIGINT)) AS row_id FROM px)
 SELECT m.company_id, trade_date, series, px FROM b JOIN symbol_map m ON b.symbol = m.symbol AND trade_date BETWEEN valid_from AND valid_to WHERE series IN ('EQ', 'BE') QUALIFY row_number() OVER (PARTITION BY m.company_id, trade_date ORDER BY CASE series WHEN 'EQ' THEN 0 ELSE 1 END, b.symbol, row_id) = 1""")
 register("c10_company_delivery", lambda s, d: fx.panel(s, d).select(*KEYS, F.when(F.col("series") == "BE", 100.0).otherwise(F.round("delivery_pct", 6)).alias("delivery_pct"), F.when(F.col("series") == "BE", "rule").otherwise("reported").alias("delivery_source")), with_views("panel") + "SELECT company_id, trade_date, CASE WHEN series = 'BE' THEN 100.0 ELSE round(delivery_pct, 6) END AS delivery_pct, CASE WHEN series = 'BE' THEN 'rule' ELSE 'reported' END AS delivery_source FROM panel")
 PARSE = with_views("action_text") + r""", c AS (SELECT p_partkey, company_id, lower(trim(unnest(string_split(replace(subject, '1:1/Dividend', '1:1|Dividend'), '|')))) AS x FROM action_text),

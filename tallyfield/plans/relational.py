@@ -26,9 +26,9 @@ register("p07_coalesce", lambda s, d: fx.market(s, d).select("trade_date", F.rou
 register("p08_row_min_max", lambda s, d: fx.bars(s, d).select(*KEYS, F.greatest("open", "close").alias("top"), F.least("open", "close").alias("bottom")), B + "SELECT company_id, trade_date, greatest(open, close) AS top, least(open, close) AS bottom FROM bars")
 BENT = "SELECT company_id, trade_date, open, CASE WHEN volume > 90 THEN low - 1 ELSE high END AS high, low, close, CASE WHEN volume < 3 THEN -1 ELSE volume END AS volume FROM bars"
 register("p09_ohlc_integrity", lambda s, d: tb.ohlc_violations(fx.bars(s, d).withColumns({"high": F.when(F.col("volume") > 90, F.col("low") - 1).otherwise(F.col("high")), "volume": F.when(F.col("volume") < 3, -1.0).otherwise(F.col("volume"))})).select(*KEYS), B + f"SELECT company_id, trade_date FROM ({BENT}) b WHERE least(open, high, low, close) <= 0 OR high < low - 1e-6 OR greatest(open, close) > high + 1e-6 OR least(open, close) < low - 1e-6 OR volume < 0")
-W = Window.partitionBy("company_id").orderBy("trade_date")
+W = lambda: Window.partitionBy("company_id").orderBy("trade_date")
 SPLIT = "list_min([" + ", ".join(f"abs(raw - {r!r}) / {r!r}" for r in tb.SPLIT_RATIOS) + "])"
-register("p10_split_ratio", lambda s, d: fx.bars(s, d).select(*KEYS, (F.col("close") / F.lag("close").over(W)).alias("raw"), F.lag("close").over(W).alias("prior"), F.datediff("trade_date", F.lag("trade_date").over(W)).alias("gap")).where(tb.looks_like_split(F.col("raw"), F.col("prior"), F.col("gap"))).select(*KEYS, F.round("raw", 6).alias("raw")), B + f", x AS (SELECT company_id, trade_date, close / lag(close) OVER w AS raw, lag(close) OVER w AS prior, trade_date - lag(trade_date) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)) SELECT company_id, trade_date, round(raw, 6) AS raw FROM x WHERE raw <= 0.55 AND prior >= 10 AND gap <= 10 AND {SPLIT} <= 0.03")
+register("p10_split_ratio", lambda s, d: fx.bars(s, d).select(*KEYS, (F.col("close") / F.lag("close").over(W())).alias("raw"), F.lag("close").over(W()).alias("prior"), F.datediff("trade_date", F.lag("trade_date").over(W())).alias("gap")).where(tb.looks_like_split(F.col("raw"), F.col("prior"), F.col("gap"))).select(*KEYS, F.round("raw", 6).alias("raw")), B + f", x AS (SELECT company_id, trade_date, close / lag(close) OVER w AS raw, lag(close) OVER w AS prior, trade_date - lag(trade_date) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)) SELECT company_id, trade_date, round(raw, 6) AS raw FROM x WHERE raw <= 0.55 AND prior >= 10 AND gap <= 10 AND {SPLIT} <= 0.03")
 register("p11_stress", lambda s, d: fx.market(s, d).select("trade_date", tb.stress(F.col("nifty500") - 1500, F.col("vix") / 1000, 0.3).alias("stress")), with_views("market") + "SELECT trade_date, coalesce(nifty500 < 1500 AND vix / 1000 >= 0.3, false) AS stress FROM market")
 
 
@@ -76,10 +76,10 @@ register("j07_asof_forward_strict", asof("forward", True, True), asof_sql("<", T
 register("j08_asof_forward_inclusive", asof("forward", False), asof_sql("<="))
 register("j09_asof_backward_inclusive", asof("backward", False, True), asof_sql(">=", True))
 register("j10_interval_overlap", lambda s, d: iv.overlapping(fx.bars(s, d), fx.flags(s, d), "company_id", "trade_date", 7), with_views("flags") + "SELECT DISTINCT b.company_id, b.trade_date FROM bars b JOIN flags f ON b.company_id = f.company_id AND from_date <= trade_date + 7 AND to_date >= trade_date")
-gaps = lambda s, d: fx.bars(s, d).select(*KEYS, F.lag("trade_date").over(W).alias("prev_date"))
+gaps = lambda s, d: fx.bars(s, d).select(*KEYS, F.lag("trade_date").over(W()).alias("prev_date"))
 register("j11_not_exists_between", lambda s, d: iv.without_between(gaps(s, d).where("prev_date is not null"), fx.factors(s, d), "company_id", "prev_date", "trade_date", "ex_date"), with_views("factors") + ", g AS (SELECT company_id, trade_date, lag(trade_date) OVER (PARTITION BY company_id ORDER BY trade_date) AS prev_date FROM bars) SELECT company_id, trade_date, prev_date FROM g WHERE prev_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM factors f WHERE f.company_id = g.company_id AND ex_date > prev_date AND ex_date <= trade_date)")
 register("j12_segment_id", lambda s, d: iv.with_segment(fx.bars(s, d).select(*KEYS), fx.breaks(s, d)), with_views("panel") + "SELECT company_id, trade_date, segment FROM panel")
-register("j13_last_two_closes", lambda s, d: fx.bars(s, d).withColumn("prev_close", F.lag("close").over(W)).withColumn("rn", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("trade_date")))).where("rn = 1").select(*KEYS, "close", "prev_close"), B + ", r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS rn FROM bars) SELECT a.company_id, a.trade_date, a.close, b.close AS prev_close FROM r a LEFT JOIN r b ON a.company_id = b.company_id AND b.rn = 2 WHERE a.rn = 1")
+register("j13_last_two_closes", lambda s, d: fx.bars(s, d).withColumn("prev_close", F.lag("close").over(W())).withColumn("rn", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("trade_date")))).where("rn = 1").select(*KEYS, "close", "prev_close"), B + ", r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS rn FROM bars) SELECT a.company_id, a.trade_date, a.close, b.close AS prev_close FROM r a LEFT JOIN r b ON a.company_id = b.company_id AND b.rn = 2 WHERE a.rn = 1")
 
 
 def j14(s, d):

@@ -132,8 +132,8 @@ def w26(s, d):
 
 
 register("w26_cumulative_factor", w26, with_views("factors") + "SELECT company_id, ex_date, round(exp(sum(ln(price_factor)) OVER (PARTITION BY company_id ORDER BY ex_date DESC)), 9) AS cum_factor FROM factors")
-BY = Window.partitionBy("company_id").orderBy("trade_date")
-register("w27_lag_trio", lambda s, d: fx.bars(s, d).select(*KEYS, F.lag("close").over(BY).alias("prev_close"), F.lag("open").over(BY).alias("prev_open"), F.datediff("trade_date", F.lag("trade_date").over(BY)).alias("gap_days")), with_views("bars") + "SELECT company_id, trade_date, lag(close) OVER w AS prev_close, lag(open) OVER w AS prev_open, CAST(trade_date - lag(trade_date) OVER w AS INT) AS gap_days FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)")
+BY = lambda: Window.partitionBy("company_id").orderBy("trade_date")
+register("w27_lag_trio", lambda s, d: fx.bars(s, d).select(*KEYS, F.lag("close").over(BY()).alias("prev_close"), F.lag("open").over(BY()).alias("prev_open"), F.datediff("trade_date", F.lag("trade_date").over(BY())).alias("gap_days")), with_views("bars") + "SELECT company_id, trade_date, lag(close) OVER w AS prev_close, lag(open) OVER w AS prev_open, CAST(trade_date - lag(trade_date) OVER w AS INT) AS gap_days FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)")
 
 
 def w28(s, d):
@@ -161,17 +161,17 @@ def latest_attempts(df, keys=("source_id", "partition_key")):
 
 LATEST = with_views("attempts") + ", latest AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY source_id, partition_key ORDER BY started_at DESC, job_run_id DESC) = 1)\n"
 register("w31_latest_attempt", lambda s, d: latest_attempts(fx.attempts(s, d)).select("source_id", "partition_key", "job_run_id", "status"), LATEST + "SELECT source_id, partition_key, job_run_id, status FROM latest")
-REACH = Window.partitionBy("company_id").orderBy("trade_date")
-register("w32_reach_rate", lambda s, d: fx.bars(s, d).select("company_id", (F.try_divide("close", F.lag("close", 21).over(REACH)) - 1).alias("r")).groupBy("company_id").agg(F.round(F.avg((F.col("r") >= 0.1).cast("double")), 6).alias("reach_rate")), with_views("bars") + "SELECT company_id, round(avg(CAST(r >= 0.1 AS DOUBLE)), 6) AS reach_rate FROM (SELECT company_id, close / lag(close, 21) OVER (PARTITION BY company_id ORDER BY trade_date) - 1 AS r FROM bars) x GROUP BY company_id")
-PEAK = REACH.rowsBetween(Window.unboundedPreceding, 0)
-register("w33_drawdown", lambda s, d: fx.bars(s, d).select(*KEYS, F.round(F.col("close") / F.max("close").over(PEAK) - 1, 6).alias("drawdown"), F.round(F.col("close") / F.max("close").over(REACH.rowsBetween(-125, 0)) - 1, 6).alias("drawdown_126")), with_views("bars") + "SELECT company_id, trade_date, round(close / max(close) OVER (PARTITION BY company_id ORDER BY trade_date) - 1, 6) AS drawdown, round(close / max(close) OVER (PARTITION BY company_id ORDER BY trade_date ROWS 125 PRECEDING) - 1, 6) AS drawdown_126 FROM bars")
+REACH = lambda: Window.partitionBy("company_id").orderBy("trade_date")
+register("w32_reach_rate", lambda s, d: fx.bars(s, d).select("company_id", (F.try_divide("close", F.lag("close", 21).over(REACH())) - 1).alias("r")).groupBy("company_id").agg(F.round(F.avg((F.col("r") >= 0.1).cast("double")), 6).alias("reach_rate")), with_views("bars") + "SELECT company_id, round(avg(CAST(r >= 0.1 AS DOUBLE)), 6) AS reach_rate FROM (SELECT company_id, close / lag(close, 21) OVER (PARTITION BY company_id ORDER BY trade_date) - 1 AS r FROM bars) x GROUP BY company_id")
+PEAK = lambda: REACH().rowsBetween(Window.unboundedPreceding, 0)
+register("w33_drawdown", lambda s, d: fx.bars(s, d).select(*KEYS, F.round(F.col("close") / F.max("close").over(PEAK()) - 1, 6).alias("drawdown"), F.round(F.col("close") / F.max("close").over(REACH().rowsBetween(-125, 0)) - 1, 6).alias("drawdown_126")), with_views("bars") + "SELECT company_id, trade_date, round(close / max(close) OVER (PARTITION BY company_id ORDER BY trade_date) - 1, 6) AS drawdown, round(close / max(close) OVER (PARTITION BY company_id ORDER BY trade_date ROWS 125 PRECEDING) - 1, 6) AS drawdown_126 FROM bars")
 
 
 def w34(s, d):
-    prev = F.lag("value_inr").over(REACH)
+    prev = F.lag("value_inr").over(REACH())
     growth = F.coalesce((F.col("value_inr") - F.col("volume")) / prev, F.lit(1.0))
     b = fx.bars(s, d).select(*KEYS, F.ln(growth).alias("g"))
-    return b.select(*KEYS, F.round(F.sum("g").over(PEAK), 6).alias("log_index"))
+    return b.select(*KEYS, F.round(F.sum("g").over(PEAK()), 6).alias("log_index"))
 
 
 register("w34_time_weighted_index", w34, with_views("bars") + "SELECT company_id, trade_date, round(sum(g) OVER (PARTITION BY company_id ORDER BY trade_date), 6) AS log_index FROM (SELECT company_id, trade_date, ln(coalesce((value_inr - volume) / lag(value_inr) OVER (PARTITION BY company_id ORDER BY trade_date), 1)) AS g FROM bars) x")
@@ -202,7 +202,7 @@ def w37(s, d):
     companies = b.select("company_id").distinct()
     # every company on every session: a product of two dimensions, of which the smaller one is a list of companies
     grid = days.crossJoin(companies).join(b.select(*KEYS, "close"), KEYS, "left")
-    return grid.select(*KEYS, F.last("close", ignorenulls=True).over(PEAK).alias("close"))
+    return grid.select(*KEYS, F.last("close", ignorenulls=True).over(PEAK()).alias("close"))
 
 
 register("w37_carry_forward", w37, with_views("bars") + "SELECT company_id, trade_date, last_value(close IGNORE NULLS) OVER (PARTITION BY company_id ORDER BY trade_date) AS close FROM (SELECT c.company_id, t.trade_date, b.close FROM (SELECT DISTINCT company_id FROM bars) c CROSS JOIN (SELECT DISTINCT trade_date FROM bars) t LEFT JOIN bars b ON b.company_id = c.company_id AND b.trade_date = t.trade_date) g")
