@@ -52,7 +52,7 @@ def read_legacy(spark: SparkSession, path: str, header: str) -> DataFrame:
 
 def read_delivery(spark: SparkSession, path: str) -> DataFrame:
     """Text with a preamble naming the day; records start with 20 and have seven fields."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     day = F.to_date(F.regexp_extract("value", r"(\d{2}-\w{3}-\d{4})", 1), "dd-MMM-yyyy")
     rows = text.select(day.alias("trade_date"), F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.col("line").startswith("20,"))
     f = F.split("line", ",")
@@ -64,7 +64,7 @@ def read_index(spark: SparkSession, path: str, wanted: str) -> DataFrame:
     """Index closes; a dash is null; dates are day-first unless only month-first gives the wanted day."""
     raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     value = lambda c: F.when(F.trim(c) != "-", F.trim(c)).cast("double")
-    first, second = F.try_to_date("Index Date", F.lit("dd-MM-yyyy")) if hasattr(F, "try_to_date") else F.expr("try_to_date(`Index Date`, 'dd-MM-yyyy')"), F.expr("try_to_date(`Index Date`, 'MM-dd-yyyy')")
+    first, second = (F.expr(f"try_to_date(`Index Date`, '{p}')") for p in ("dd-MM-yyyy", "MM-dd-yyyy"))
     goal = F.lit(wanted).cast("date")
     day = F.when(first.eqNullSafe(goal) | ~F.coalesce(second.eqNullSafe(goal), F.lit(False)), first).otherwise(second)
     return raw.select(F.col("Index Name").alias("index_name"), day.alias("trade_date"), *[value(F.col(c)).alias(n) for c, n in (("Open Index Value", "open"), ("High Index Value", "high"), ("Low Index Value", "low"), ("Closing Index Value", "close"))]).distinct()
