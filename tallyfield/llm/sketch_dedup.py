@@ -174,6 +174,11 @@ def _bits_agree(a: str, b: str, percent: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)]) <= most
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """Whether `band` is the first band in which sketches a and b agree: a pair then comes from one bucket only."""
+    return ~reduce(lambda x, y: x | y, [(F.col("band") > i) & (F.col(a)[i] == F.col(b)[i]) for i in range(BANDS - 1)])
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose whole sets reach the similarity; as (u, v)."""
     t = percent / 100
@@ -222,11 +227,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = shared.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("part"))
     sizes = placed.groupBy("band", "key", "part").count()
     mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("top")).where("parts > 1").select("band", "key", F.col("top.part").alias("top"))
-    placed = materialize(placed.join(mixed, ["band", "key"]).join(signed("doc_id", "bits"), "doc_id"), "mixed")
-    few = placed.where("part <> top").select("band", "key", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("leader").alias("lead"), F.col("bits").alias("bx"))
-    rest = placed.select("band", "key", F.col("doc_id").alias("y"), F.col("part").alias("py"), "top", F.col("bits").alias("by"))
+    placed = materialize(placed.join(mixed, ["band", "key"]).join(reps.select("doc_id", "bits", "sketch"), "doc_id"), "mixed")
+    few = placed.where("part <> top").select("band", "key", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("leader").alias("lead"), F.col("bits").alias("bx"), F.col("sketch").alias("sx"))
+    rest = placed.select("band", "key", F.col("doc_id").alias("y"), F.col("part").alias("py"), "top", F.col("bits").alias("by"), F.col("sketch").alias("sy"))
     # the leader's pairs have been decided; of two minor parts only one order is needed
-    apart = few.join(rest, ["band", "key"]).where("px <> py and (py = top or x < y) and x <> lead and y <> lead").where(_bits_agree("bx", "by", percent))
+    apart = few.join(rest, ["band", "key"]).where("px <> py and (py = top or x < y) and x <> lead and y <> lead").where(_bits_agree("bx", "by", percent) & _first_shared("sx", "sy"))
     apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _verified(apart, reps, texts, width, percent)
     whole = materialize(components(first.union(second)), "parts")
