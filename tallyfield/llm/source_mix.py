@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 A block is one document. Each source's target says how often its blocks are used: whole passes, and for
-the rest a prefix of a seeded permutation of the source's blocks, completed by a few unused blocks
-that fit the remaining gap best. The exact block quotas are then split down a binary tree of output shards;
+the rest the blocks of a seeded permutation in turn, leaving out those that no longer fit, until no
+unused block fits; one more block follows where that ends nearer. The exact block quotas are then split down a binary tree of output shards;
 at each node the left half's counts are a multivariate-hypergeometric draw, so every shard gets what a
 full shuffle would have given it while quotas stay exact. A shard's share of a source is a range of the
 permutation (ranges are disjoint), and rows are shuffled within the shard. Only counts per source and
@@ -20,8 +20,6 @@ from .common import WORD, materialize
 BUCKET_BLOCKS = 2048
 #: Up to this standard deviation a hypergeometric count is drawn from its exact distribution.
 EXACT_SD = 48
-#: Blocks that may complete a source's last, partial pass.
-FILLS = 3
 
 
 def word_count(text: str) -> Column:
@@ -109,13 +107,60 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int = 1) -> DataFrame:
     return leaves.withColumn("first", F.coalesce(F.sum("count").over(order), F.lit(0)).cast("long"))
 
 
+def partial_passes(ranked: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, runs, fill): which blocks of each source make up its partial pass.
+
+    The pass goes down the permutation and takes every block that still fits the gap. A run is a piece of
+    it in which the gap's bound stays the same: (start, stop, gap) takes the blocks of at most `gap` words with
+    start <= rank < stop, and ends before the first of them that overshoots. All runs of a round are found
+    at once, from sums per bucket and one bucket of each source. Blocks without words count in the first run
+    only. `fill` is the rank of the smallest unused block if it ends nearer the target, or null.
+    """
+    kind = "array<struct<start: bigint, stop: bigint, gap: bigint>>"
+    plan = goals.select("source", F.lit(0).cast("long").alias("start"), F.col("rest").alias("gap"), F.array().cast(kind).alias("runs"), (F.col("rest") > 0).alias("open"))
+    blocks = ranked.where("size > 0 and rest > 0").select("source", "bucket", "rank", "size")
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        now = plan.where("open").select(F.col("source").alias("s"), "start", "gap")
+        fit = blocks.join(now, F.col("source").eqNullSafe(F.col("s"))).where("rank >= start and size <= gap").drop("s")
+        sums = fit.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("gap").alias("gap")).withColumn("upto", F.sum("words").over(upto))
+        over = F.col("upto") > F.col("gap")
+        found = sums.groupBy("source").agg(F.sum("words").alias("all"), F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("x"))
+        found = materialize(found.select(F.col("source").alias("s"), "all", F.col("x.bucket").alias("b"), F.col("x.before").alias("before")), "found")
+        last = fit.join(found.where("b is not null"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        last = last.withColumn("run", F.col("before") + F.sum("size").over(inside)).where("run > gap")
+        last = last.groupBy("source").agg(F.min(F.struct("rank", (F.col("run") - F.col("size")).alias("used"))).alias("x")).select(F.col("source").alias("s2"), "x")
+        plan = plan.join(found.select("s", "all"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(last, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
+        # without an overshooting block the run reaches the end; a source where nothing fits is done
+        run = F.struct("start", F.coalesce("x.rank", F.lit(2**62)).alias("stop"), "gap")
+        more = F.col("open") & (F.col("all").isNotNull() | (F.size("runs") == 0))
+        left = F.col("gap") - F.coalesce("x.used", "all", F.lit(0))
+        plan = plan.select(
+            "source", F.when(F.col("x").isNotNull(), F.col("x.rank") + 1).otherwise(F.col("start")).alias("start"), F.when(more, left).otherwise(F.col("gap")).alias("gap"),
+            F.when(more, F.array_append("runs", run)).otherwise(F.col("runs")).cast(kind).alias("runs"), (F.col("x").isNotNull() & (left > 0)).alias("open"),
+        )
+        plan = materialize(plan, "plan")
+        if plan.where("open").isEmpty():
+            break
+    unused = blocks.join(plan.select(F.col("source").alias("s"), "gap", "runs"), F.col("source").eqNullSafe(F.col("s"))).where(~taken()).where("size < 2 * gap")
+    best = unused.groupBy("source").agg(F.min(F.struct("size", "rank"))["rank"].alias("fill")).withColumnRenamed("source", "s")
+    return plan.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "runs", "fill")
+
+
+def taken() -> Column:
+    """Whether one of a source's `runs` takes the block of the given rank and size."""
+    first = (F.col("size") > 0) | (F.col("rank") < F.coalesce(F.get("runs", F.lit(0))["stop"], F.lit(0)))
+    return first & F.exists("runs", lambda r: (F.col("rank") >= r["start"]) & (F.col("rank") < r["stop"]) & (F.col("size") <= r["gap"]))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, levels: int = 6, seed: int = 1) -> DataFrame:
     """Each row of `df` with what the mix takes of it: doc_id, source, size, source_size, target, draws.
 
     `draws` lists the row's uses as (shard, position): the output shard and the place in the shard's
     local shuffle. A row is used at most `cap` times and always whole, so it adds size * size(draws)
-    words; a source's words end near the target, short of it by less than its smallest unused block where blocks fit. Null texts have
-    size 0. A null source is a source of its own, the last one; a null id is hashed as null. Rows that
+    words; a source's words end short of the target by less than the smallest block not used in its partial pass, or beyond
+    the target by less than they would be short of it without the last block. Null texts have size 0. A null source is a source of its own, the last one; a null id is hashed as null. Rows that
     repeat an id are blocks of their own. Equal draws every run; an empty table gives no rows. Columns
     other than the three named are not read.
     """
@@ -127,39 +172,39 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     goals = materialize(goals.withColumn("buckets", F.ceil(F.col("blocks") / BUCKET_BLOCKS)), "goals")
     placed = sizes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("u", _unit(F.lit(seed), F.col("doc_id"), F.lit("block"))).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
-    per_bucket = placed.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("rank0"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("words0"))
     inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size")
-    ranked = placed.withColumn("rn", F.row_number().over(inside)).withColumn("run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    ranked = ranked.withColumn("rank", F.col("rank0") + F.col("rn") - 1).withColumn("fits", (F.col("words0") + F.col("run") <= F.col("rest")) & (F.col("rest") > 0))
-    ranked = materialize(ranked.select("doc_id", "source", "size", "source_size", "target", "blocks", "passes", "rest", "rank", "fits"), "ranked")
-
-    # unused blocks that fit the remaining gap best, one after the other while they make it smaller
-    gaps = ranked.groupBy("source").agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"), F.count(F.when(F.col("fits"), 1)).alias("fitting"))
-    plan = goals.select("source", "blocks", "passes").join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = materialize(plan.withColumn("fills", F.array().cast("array<bigint>")), "plan")
-    for _ in range(FILLS):
-        unused = ranked.where("not fits and size > 0 and rest > 0").join(plan.select(F.col("source").alias("s"), "gap", "fills"), F.col("source").eqNullSafe(F.col("s")))
-        best = unused.where("abs(size - gap) < gap and not array_contains(fills, rank)").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "size")).alias("x"))
-        plan = plan.join(best.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-        fills = F.when(F.col("x").isNotNull(), F.array_append("fills", F.col("x.rank"))).otherwise(F.col("fills"))
-        plan = materialize(plan.withColumn("fills", fills).withColumn("gap", F.col("gap") - F.coalesce("x.size", F.lit(0))).drop("x"), "plan")
-    plan = plan.withColumn("quota", F.col("blocks") * F.col("passes") + F.col("fitting") + F.size("fills"))
-
-    leaves = shard_quotas(plan.select("source", "quota"), levels, seed)
+    starts = _before(placed, F.count("*"), "rank0")
+    ranked = placed.withColumn("rn", F.row_number().over(inside)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    ranked = ranked.withColumn("rank", F.col("rank0") + F.col("rn") - 1)
+    ranked = materialize(ranked.select("doc_id", "source", "size", "source_size", "target", "blocks", "passes", "rest", "bucket", "rank"), "ranked")
+
+    runs = materialize(partial_passes(ranked, goals), "runs")
+    picked = ranked.join(runs.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    picked = materialize(picked.withColumn("extra", (taken() | (F.col("rank") == F.coalesce("fill", F.lit(-1)))).cast("long")).drop("runs", "fill", "rest"), "picked")
+    extras = _before(picked, F.sum("extra"), "extra0")
+    quotas = picked.groupBy("source").agg(F.sum(F.col("passes") + F.col("extra")).alias("quota"))
+    # the places of a partial pass follow those of the whole ones, in the order of the permutation
+    inside = Window.partitionBy("source", "bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    picked = picked.withColumn("nth", F.sum("extra").over(inside)).join(extras, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    picked = picked.withColumn("last", F.when(F.col("extra") > 0, F.col("extra0") + F.col("nth") - 1))
+
+    leaves = shard_quotas(quotas, levels, seed)
     ranges = leaves.where("count > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("ranges"))
-    plan = plan.select(F.col("source").alias("s"), "fitting", "fills").join(ranges.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
-    out = ranked.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    last = F.when(F.col("fits"), F.col("rank")).when(F.array_contains("fills", F.col("rank")), F.col("fitting") + F.array_position("fills", F.col("rank")) - 1)
+    out = picked.join(ranges.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: p * F.col("blocks") + F.col("rank"))).otherwise(F.array().cast("array<bigint>"))
-    places = F.concat(whole, F.when(last.isNotNull(), F.array(F.col("passes") * F.col("blocks") + last)).otherwise(F.array().cast("array<bigint>")))
+    places = F.concat(whole, F.when(F.col("last").isNotNull(), F.array(F.col("passes") * F.col("blocks") + F.col("last"))).otherwise(F.array().cast("array<bigint>")))
     shard = lambda i: F.element_at(F.filter("ranges", lambda r: r["first"] <= i), -1)["shard"]
     draws = F.transform(places, lambda i: F.struct(shard(i).alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", i).alias("position")))
     return out.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
 
 
+def _before(rows: DataFrame, what: Column, name: str) -> DataFrame:
+    """(s, b, name): what comes before each bucket b of source s."""
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("source", "bucket").agg(what.alias("n"))
+    return per.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(name))
+
+
 def mixed_rows(draws: DataFrame) -> DataFrame:
     """One row per use, dealt out to its shard and in the shard's shuffled order."""
     uses = draws.select("*", F.explode("draws").alias("use")).select(*[c for c in draws.columns if c != "draws"], "use.shard", "use.position")

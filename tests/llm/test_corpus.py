@@ -243,6 +243,31 @@ def test_mix(spark, docs, none):
     assert {r.source: round(r.target, 6) for r in capped} == {"a": 60.0, "b": 30.0, "c": 30.0}
 
 
+def test_mix_goes_on_past_blocks_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BUCKET_BLOCKS", 16)
+    rng = random.Random(9)
+    rows = []
+    for source, long in (("a", 24000), ("b", 0), ("c", 9000), (None, 0)):
+        rows += [(source, n) for n in [rng.randint(0, 140) if rng.random() < 0.9 else rng.randint(300, 3000) for _ in range(150)] + ([long] if long else [])]
+    d = spark.createDataFrame([(i, " ".join(["w"] * n), source) for i, (source, n) in enumerate(rows)], "doc_id long, text string, source string")
+    for seed in (1, 2):
+        got = source_mix.mix_sources(d, levels=3, seed=seed).withColumn("u", source_mix._unit(F.lit(seed), F.col("doc_id"), F.lit("block"))).collect()
+        for source in ("a", "b", "c", None):
+            own = sorted((r for r in got if r.source == source), key=lambda r: r.u)
+            passes = int(own[0].target / own[0].source_size + 1e-12)
+            gap = start = round(own[0].target) - passes * own[0].source_size
+            want = set()
+            for r in own:  # every block in turn that still fits
+                if 0 < r.size <= gap:
+                    want.add(r.doc_id)
+                    gap -= r.size
+            rest = [(r.size, k, r.doc_id) for k, r in enumerate(own) if r.size > 0 and r.doc_id not in want]
+            if start and rest and min(rest)[0] < 2 * gap:
+                want.add(min(rest)[2])
+            assert {r.doc_id for r in own if r.size and len(r.draws) > passes} == want
+            assert all(passes <= len(r.draws) <= passes + 1 for r in own)
+
+
 def test_exact_dedup(spark, docs, tmp_path):
     at = str(tmp_path / "t.parquet")
     docs.write.parquet(at)
