@@ -18,8 +18,6 @@ from .common import WORD, materialize
 
 #: Blocks of one permutation bucket: the unit in which ranks and running sums are taken.
 BUCKET_BLOCKS = 2048
-#: Up to this standard deviation a hypergeometric count is drawn from its exact distribution.
-EXACT_SD = 48
 
 
 def word_count(text: str) -> Column:
@@ -58,27 +56,28 @@ def _unit(*cols) -> Column:
 def _hypergeometric(good: Column, total: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` items, out of `total` of which `good` count, are good; `u` uniform.
 
-    Inverts the exact distribution around its mean where its standard deviation is small, and takes
-    the rounded normal quantile beyond (there the two differ by about a fiftieth of a deviation).
+    Inverts the exact distribution at every size, over a range around its mean; what lies beyond has a
+    probability under 2**-53, the step of `u` (Bernstein's bound with the binomial variance, which
+    bounds the hypergeometric one). Two folds over the range: the sum of all weights, then the place of `u` in it.
     """
     g, n, d = good.cast("double"), total.cast("double"), drawn.cast("double")
     low, high = F.greatest(F.lit(0.0), d + g - n), F.least(g, d)
     mean = F.when(n > 0, d * g / n).otherwise(0.0)
-    var = F.when(n > 1, d * (g / n) * (1 - g / n) * (n - d) / (n - 1)).otherwise(0.0)
-    sd = F.sqrt(var)
-    a, b = F.greatest(low, F.floor(mean - 8 * sd - 1)).cast("long"), F.least(high, F.ceil(mean + 8 * sd + 1)).cast("long")
-    # running sums of the unnormalised weights from a upwards, by the ratio of neighbouring terms
-    ratio = lambda k: (g - k + 1) * (d - k + 1) / (k * (n - g - d + k))
-    term = lambda s, k: F.when(k == a, F.lit(1.0)).otherwise(s["term"] * ratio(k.cast("double")))
-    sums = F.aggregate(
-        F.sequence(a, b), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all")),
-        lambda s, k: F.struct(term(s, k).alias("term"), (s["sum"] + term(s, k)).alias("sum"), F.concat(s["all"], F.array(s["sum"] + term(s, k))).alias("all")),
-        lambda s: s["all"],
-    )
-    below = F.transform(F.array(sums), lambda c: F.size(F.filter(c, lambda x: x < u * F.element_at(c, -1))))[0]
-    # quantile of the logistic approximation to the normal, ample for rounding
-    near = F.least(high, F.greatest(low, F.round(mean + sd * F.log(u / (1 - u)) / 1.702)))
-    return F.when(a == b, a).when(sd > EXACT_SD, near.cast("long")).otherwise(F.least(a + below, b)).cast("long")
+    reach = F.when(n > 0, 9 * F.sqrt(F.least(d, n - d) * (g / n) * (1 - g / n)) + 30).otherwise(0.0)
+    a, b = F.greatest(low, F.floor(mean - reach)).cast("long"), F.least(high, F.ceil(mean + reach)).cast("long")
+    bind = lambda x, f: F.transform(F.array(x), f)[0]
+
+    def invert(p: Column) -> Column:
+        # running sums of the unnormalised weights from a upwards, by the ratio of neighbouring terms
+        ratio = lambda k: (p["g"] - k + 1) * (p["d"] - k + 1) / (k * (p["n"] - p["g"] - p["d"] + k))
+        term = lambda s, k: F.when(k == p["a"], F.lit(1.0)).otherwise(s["term"] * ratio(k.cast("double")))
+        fold = lambda below: F.aggregate(
+            F.sequence(p["a"], p["b"]), F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below")),
+            lambda s, k: bind(term(s, k), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum"), (s["below"] + F.when(s["sum"] + t < below, 1).otherwise(0)).cast("long").alias("below"))),
+        )
+        return bind(fold(F.lit(0.0))["sum"] * p["u"], lambda x: F.least(p["a"] + fold(x)["below"], p["b"]))
+
+    return bind(F.struct(g.alias("g"), n.alias("n"), d.alias("d"), a.alias("a"), b.alias("b"), u.alias("u")), invert).cast("long")
 
 
 def shard_quotas(quotas: DataFrame, levels: int, seed: int = 1) -> DataFrame:

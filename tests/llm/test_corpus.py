@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -268,6 +269,20 @@ def test_mix_goes_on_past_blocks_that_do_not_fit(spark, monkeypatch):
             assert all(passes <= len(r.draws) <= passes + 1 for r in own)
 
 
+def test_hypergeometric_counts_are_exact_at_every_size(spark):
+    draw = lambda g, n, d, us: [r.k for r in spark.createDataFrame([(g, n, d, u) for u in us], "g long, n long, d long, u double").select(source_mix._hypergeometric(F.col("g"), F.col("n"), F.col("d"), F.col("u")).alias("k")).collect()]
+    us = [1e-9, 1e-4, 0.01, 0.2, 0.49, 0.77, 0.985, 1 - 1e-5, 1 - 1e-9]
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for g, n, d in ((3, 10, 5), (1, 1000, 10), (40000, 120000, 60000), (700000, 2000000, 1000000), (5, 5, 3)):
+        ks = np.arange(max(0, d + g - n), min(g, d) + 1)
+        at = int(d * g / n)
+        ks = ks[abs(ks - at) < 9000]
+        mass = np.exp([choose(g, k) + choose(n - g, d - k) - choose(n, d) for k in ks.tolist()])
+        want = ks[np.searchsorted(np.cumsum(mass) / mass.sum(), us)].tolist()
+        assert draw(g, n, d, us) == want
+    assert draw(0, 0, 0, [0.5]) == [0] and draw(0, 10, 4, [0.5]) == [0] and draw(7, 7, 3, [0.5]) == [3]
+
+
 def test_exact_dedup(spark, docs, tmp_path):
     at = str(tmp_path / "t.parquet")
     docs.write.parquet(at)
