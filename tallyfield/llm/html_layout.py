@@ -1,15 +1,17 @@
 """Layout-aware rendering of HTML pages to text.
 
 A tree builder applies the implied tags of HTML (a paragraph ends where a block starts, list items, table
-rows and cells end each other, a row implies a table body) and attaches what is nested too deeply to the
-last allowed level. Visibility follows the elements that are never shown, the hidden attribute, inline
+rows and cells end each other, a row implies a table body), at any depth. Visibility follows the elements that are never shown, the hidden attribute, inline
 styles, simple style-sheet rules, and closed details. Rendering collapses blanks as a browser does, keeps
-paragraph spacing, list markers with their nesting, preformatted text, and pads table cells to columns.
+paragraph spacing, list markers with their nesting, preformatted text, and pads table cells to columns. Formulas are inline
+text, of drawings the text elements are shown, text areas keep their lines, and each option takes a line.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 from .common import narrow
 
 # Element names of HTML by how they behave.
-NEVER = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math datalist select textarea param source track".split())
+NEVER = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas datalist param source track annotation annotation-xml".split())
+# Parts of drawings that are not painted where they stand, and HTML elements that end a drawing or formula.
+UNPAINTED = frozenset("defs symbol clippath mask pattern marker desc metadata lineargradient radialgradient filter".split())
+FOREIGN_ENDERS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr tbody thead tfoot caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
@@ -28,7 +34,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE_SCOPE = frozenset("table td th caption html body".split())
 # What a start tag closes, and the elements at which the search for it stops.
 CLOSES = {
-    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select", "datalist")),
     "tr": (("tr", "td", "th", "caption"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
 }
@@ -38,7 +44,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-DEPTH = 200
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 
 
 class Node:
@@ -59,14 +65,23 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
     """The tree of a page, and the simple selectors that its style sheets hide."""
     root = Node("html", {})
     stack, hidden, at = [root], set(), 0
+    count: Counter = Counter()  # open elements by name, so that deep pages need no search in vain
+
+    def push(node: Node) -> None:
+        stack[-1].kids.append(node)
+        stack.append(node)
+        count[node.tag] += 1
+
+    def cut(i: int) -> None:
+        count.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close(names, stops) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        i = len(stack) - 1
+        while i > 0 and any(count[x] > 0 for x in names) and stack[i].tag not in stops:
             if stack[i].tag in names:
-                del stack[i:]
-                return close(names, stops) if i > 1 else None
-            if stack[i].tag in stops:
-                return
+                cut(i)
+            i -= 1
 
     end = len(html)
     while at < end:
@@ -80,39 +95,48 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
         if not tag:
             continue
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not count["p"]:
                 stack[-1].kids.append(Node("p", {}))
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if count[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
                     break  # an end tag inside a cell does not reach outside it
             continue
         if tag in ("html", "body") and m[3]:
             root.attrs.update(attributes(m[3]))
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in stack):
+        if tag == "html" or tag == "body" and count["body"] > 0:
             continue
+        foreign = count["svg"] > 0 or count["math"] > 0
+        if foreign and tag in FOREIGN_ENDERS:
+            i = len(stack) - 1
+            while i > 0 and stack[i].tag not in HTML_INSIDE and stack[i].tag not in ("svg", "math"):
+                i -= 1
+            while i > 0 and stack[i].tag in ("svg", "math"):
+                cut(i)  # HTML goes on where the drawing or formula stands
+                i -= 1
         if tag in P_ENDERS:
             close(("p",), INLINE_SCOPE)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            cut(-1)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if stack[-1].tag == "head" and tag not in NEVER:
-            stack.pop()
+            cut(-1)
         if tag == "tr" and stack[-1].tag == "table":
-            stack[-1].kids.append(body := Node("tbody", {}))
-            stack.append(body)
+            push(Node("tbody", {}))
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            stack[-1].kids.append(row := Node("tr", {}))
-            stack.append(row)
+            push(Node("tr", {}))
         node = Node(tag, attributes(m[3]) if m[3] and m[3] != "/" else {})
-        stack[-1].kids.append(node)
-        if tag in RAW:
+        if tag in VOID or tag in RAW or foreign and m[3] and SELF_CLOSED.search(m[3]):
+            stack[-1].kids.append(node)
+        else:
+            push(node)
+        if tag in RAW and not (foreign and m[3] and SELF_CLOSED.search(m[3])):
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             at = stop.end() if stop else end
@@ -122,8 +146,8 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
                         hidden.update(s for s in map(str.strip, r[1].split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
             elif tag == "xmp":
                 node.kids.append(body)
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+            elif tag == "textarea":
+                node.kids.append(unescape(body).removeprefix("\n"))
     return root, hidden
 
 
@@ -255,6 +279,18 @@ def render_table(node: Node, hidden: set[str]) -> list[str]:
     return out
 
 
+def painted(svg: Node, hidden: set[str]) -> list[Node]:
+    """The text elements and embedded HTML of a drawing that are shown, in order."""
+    out, todo = [], [svg]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("text", "foreignobject"):
+            out.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and k.tag not in UNPAINTED and visible(k, hidden)]
+    return out
+
+
 def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
     out = Lines()
 
@@ -284,6 +320,26 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
                 out.add(["---"], 2)
             elif tag == "blockquote":
                 out.add(["> " + y if y else ">" for y in render(kid, hidden)], 2)
+            elif tag == "svg":
+                for t in painted(kid, hidden):
+                    out.write(" ")
+                    walk(t, False)
+                    out.write(" ")
+            elif tag == "textarea":
+                for t in kid.kids:
+                    out.write(t, True)
+            elif tag in ("option", "optgroup"):
+                out.block(1)
+                if kid.attrs.get("label"):
+                    out.write(kid.attrs["label"])
+                    out.block(1)
+                if tag == "optgroup" or not kid.attrs.get("label"):
+                    walk(kid, False)
+                out.block(1)
+            elif tag == "select":
+                out.block(1)
+                walk(kid, False)
+                out.block(1)
             elif tag in BLOCK:
                 gap = 2 if tag in SPACED else 1
                 out.block(gap)
@@ -295,13 +351,23 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
             else:
                 walk(kid, pre)
 
+    if node.tag in ("svg", "textarea", "select", "option", "optgroup"):
+        node, inner = Node("", {}), node
+        node.kids.append(inner)
     walk(node, pre or node.tag == "pre")
     return out.done()
 
 
 def visible_text(html: str | None) -> str:
-    root, hidden = build_tree((html or "").replace("\r\n", "\n").replace("\r", "\n").replace("\0", ""))
-    return "\n".join(render(root, hidden)) if visible(root, hidden) else ""
+    html = (html or "").replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
+    root, hidden = build_tree(html)
+    limit = sys.getrecursionlimit()
+    # calls of Python by Python use no C stack; an open element takes four of them at most, with those it implies
+    sys.setrecursionlimit(max(limit, limit + 12 * html.count("<")))
+    try:
+        return "\n".join(render(root, hidden)) if visible(root, hidden) else ""
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def _runner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

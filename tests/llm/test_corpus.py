@@ -121,6 +121,18 @@ def test_html(html, text):
     assert html_layout.visible_text(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><g>no<text x='1'>Jan</text><text>Feb</text></g></svg> end", "Jan Feb end"),
+    ("<ul><svg><desc>no</desc><text>s</text></svg><li>y</ul>", "  s\n- y"), ("<svg><rect/><text>l</text><p>out", "l\n\nout"), ("<math><mi>x<p>out", "x\n\nout"),
+    ("<textarea>\nx &lt;\n  y</textarea>", "x <\n  y"), ("<select><optgroup label=g><option>one<option label=two>x<optgroup label=h><option>three</select>z", "g\none\ntwo\nh\nthree\nz"),
+    ("<div>" * 300 + "a<div hidden>no<b>no</b></div>b" + "</div>" * 300 + "c", "ab\nc"), ("<ul><li>" + "<i>" * 300 + "<div>x</div>" + "</i>" * 300 + "<li>y</ul>", "- x\n- y"),
+    ("<div>" * 30000 + "a<p hidden>no</p>b", "ab"), ("<blockquote>" * 2000 + "x", "> " * 2000 + "x"), ("<table><tr><td>" * 2000 + "x", "x"),
+])
+def test_html_shows_formulas_drawings_forms_and_depth(html, text):
+    assert html_layout.visible_text(html) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t")], "page_id long, html string, text string")
     assert {(r.page_id, r.text) for r in html_layout.render_pages(df).collect()} == {(1, "a"), (None, "")}
