@@ -148,7 +148,7 @@ register("c33_order_charges", lambda s, d: mn.order_charges(fx.txns(s, d)).selec
 register("c34_term_and_tax", lambda s, d: fx.txns(s, d).select("txn_id", mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date")).alias("long_term"), F.round(mn.estimated_tax(F.round(F.col("price") - 1400, 0), mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date"))), 2).alias("tax")), with_views("txns") + ", x AS (SELECT txn_id, DATE '1997-03-01' > CASE WHEN month(trade_date) = 2 AND day(trade_date) = 29 THEN CAST(trade_date + INTERVAL 1 YEAR AS DATE) + 1 ELSE CAST(trade_date + INTERVAL 1 YEAR AS DATE) END AS long_term, round(price - 1400, 0) AS g FROM txns) SELECT txn_id, long_term, CASE WHEN g <= 0 THEN 0 ELSE round(g * CASE WHEN long_term THEN 0.125 ELSE 0.20 END, 2) END AS tax FROM x")
 CUM = with_views("txns") + ", c AS (SELECT *, sum(quantity) OVER (PARTITION BY account, company_id, side ORDER BY trade_date, txn_id) AS upto FROM txns), b AS (SELECT * FROM c WHERE side = 'BUY'), s AS (SELECT * FROM c WHERE side = 'SELL')\n"
 register("c35_fifo_lots", lambda s, d: mn.fifo_matches(fx.txns(s, d)).select("account", "company_id", "buy_id", "sell_id", "quantity", F.round("cost", 7).alias("cost"), F.round("proceeds", 7).alias("proceeds")), CUM + "SELECT b.account, b.company_id, b.txn_id AS buy_id, s.txn_id AS sell_id, CAST(least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity) AS BIGINT) AS quantity, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * b.price, 7) AS cost, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * s.price, 7) AS proceeds FROM b JOIN s ON b.account = s.account AND b.company_id = s.company_id AND b.upto - b.quantity < s.upto AND s.upto - s.quantity < b.upto")
-register("c35_fifo_with_events", lambda s, d: r6(mn.fifo_with_events(fx.txns(s, d).withColumn("account", F.col("account") % 20), fx.factors(s, d).where("price_factor = 0.5").select("company_id", "ex_date", F.lit(2.0).alias("ratio")))))
+register("c35_fifo_with_events", lambda s, d: r6(mn.fifo_with_events(fx.txns(s, d), fx.factors(s, d).where("price_factor = 0.5").select("company_id", "ex_date", F.lit(2.0).alias("ratio")))))
 register("c36_validate_ledger", lambda s, d: mn.ledger_violations(fx.txns(s, d)), with_views("txns") + "SELECT * FROM (SELECT account, company_id, txn_id, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY account, company_id ORDER BY trade_date, txn_id) AS BIGINT) AS held FROM txns) x WHERE held < 0")
 LOTS = CUM.rstrip() + ", sold AS (SELECT account, company_id, sum(quantity) AS sold FROM txns WHERE side = 'SELL' GROUP BY 1, 2), lots AS (SELECT b.account, b.company_id, b.txn_id, b.trade_date, b.price, least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) AS quantity FROM b LEFT JOIN sold USING (account, company_id) WHERE least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) > 0), lp AS (SELECT company_id, max_by(close, trade_date) AS close, max(trade_date) AS price_date FROM (SELECT company_id, trade_date, max_by(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS close FROM px GROUP BY 1, 2) q GROUP BY 1)\n"
 lots = lambda s, d: mn.open_lots(fx.txns(s, d))
@@ -164,7 +164,8 @@ register("c39_value_history", lambda s, d: mn.value_history(few(s, d), fx.bars(s
 flows = lambda s, d: few(s, d).groupBy("account", "trade_date").agg(F.sum(F.col("quantity") * F.col("price")).alias("flow"))
 FLOW = ", fl AS (SELECT account % 20 AS account, trade_date, sum(quantity * price) AS flow FROM txns WHERE side = 'BUY' GROUP BY 1, 2)\n"
 register("c40_benchmark_same_flows", lambda s, d: mn.benchmark_same_flows(flows(s, d), fx.market(s, d)).select("account", "trade_date", F.round("units", 4).alias("units")), with_views("txns", "market") + FLOW + "SELECT account, trade_date, round(sum(flow / nifty500) OVER (PARTITION BY account ORDER BY trade_date), 4) AS units FROM fl JOIN market USING (trade_date)")
-register("c41_xirr", lambda s, d: mn.xirr(flows(s, d).withColumn("flow", -F.col("flow")).unionByName(flows(s, d).groupBy("account").agg(F.date_add(F.max("trade_date"), 400).alias("trade_date"), (F.sum("flow") * 1.2).alias("flow")))).select("account", F.round("xirr", 5).alias("xirr")))
+paid = lambda s, d: fx.txns(s, d).where("side = 'BUY'").groupBy("account", "trade_date").agg(F.sum(F.col("quantity") * F.col("price")).alias("flow"))
+register("c41_xirr", lambda s, d: mn.xirr(paid(s, d).withColumn("flow", -F.col("flow")).unionByName(paid(s, d).groupBy("account").agg(F.date_add(F.max("trade_date"), 400).alias("trade_date"), (F.sum("flow") * 1.2).alias("flow")))).select("account", F.round("xirr", 5).alias("xirr")))
 register("c42_performance", lambda s, d: mn.performance(mn.value_history(few(s, d), fx.bars(s, d))).select("account", F.round("contributed", 2).alias("contributed"), F.round("twr", 5).alias("twr"), F.round("max_drawdown", 5).alias("max_drawdown")), HIST + ", gr AS (SELECT *, CASE WHEN lag(value) OVER w > 0 THEN (value - flow) / lag(value) OVER w END AS growth FROM h WINDOW w AS (PARTITION BY account ORDER BY trade_date)), ix AS (SELECT *, exp(sum(ln(coalesce(growth, 1))) OVER (PARTITION BY account ORDER BY trade_date)) AS i FROM gr WHERE growth IS NULL OR growth > 0), dd AS (SELECT *, i / max(i) OVER (PARTITION BY account ORDER BY trade_date) - 1 AS fall FROM ix) SELECT account, round(sum(flow), 2) AS contributed, round(max_by(i, trade_date) - 1, 5) AS twr, round(min(fall), 5) AS max_drawdown FROM dd GROUP BY 1")
 picks = lambda s, d: fx.bars(s, d).where(F.dayofmonth("trade_date") % 5 == 0).select(*KEYS)
 BARRIER = with_views("bars") + """, n AS (SELECT *, row_number() OVER w AS n, lead(open) OVER w AS next_open FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)), p AS (SELECT * FROM n WHERE day(trade_date) % 5 = 0 AND next_open IS NOT NULL),

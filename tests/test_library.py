@@ -171,3 +171,41 @@ def test_other_files(spark, tmp_path):
     xml = '<x><context id="q"><period><startDate>2024-01-01</startDate><endDate>2024-03-31</endDate></period></context><context id="y"><period><startDate>2023-04-01</startDate><endDate>2024-03-31</endDate></period></context><Rev contextRef="y">9</Rev><Sales contextRef="q">7</Sales></x>'
     r = files.extract_filing_facts(spark, p("r.xml", xml), {"revenue": ["Rev", "Sales"]}).first()
     assert (r.field, r.value, r.tag) == ("revenue", 7.0, "Sales")
+
+
+def test_lots_and_xirr_of_real_accounts(spark):
+    import __spark_entry__
+    from tallyfield.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    txns, queries = fx.txns(spark, d).orderBy("trade_date", "txn_id").collect(), __spark_entry__.queries()
+    splits = fx.factors(spark, d).where("price_factor = 0.5").select("company_id", "ex_date").collect()
+    groups, want = {}, set()
+    for t in txns:
+        groups.setdefault((t.account, t.company_id), []).append((t.trade_date, 1, t.txn_id, t))
+    for (account, company), steps in groups.items():
+        lots = {}
+        for _, rank, _, t in sorted(steps + [(s.ex_date, 0, -1, None) for s in splits if s.company_id == company], key=lambda x: x[:3]):
+            if rank == 0:
+                lots = {k: 2 * q for k, q in lots.items()}
+            elif t.side == "BUY":
+                lots[t.txn_id] = t.quantity
+            else:
+                need = t.quantity
+                for k in lots:
+                    take = min(need, lots[k])
+                    lots[k], need = lots[k] - take, need - take
+        want |= {(account, company, k, q) for k, q in lots.items() if q}
+    assert {(r.account, r.company_id, r.txn_id, r.quantity) for r in queries["c35_fifo_with_events"](spark, d).collect()} == want
+
+    paid = {}
+    for t in txns:
+        if t.side == "BUY":
+            paid.setdefault(t.account, []).append((t.trade_date, -t.quantity * t.price))
+    got = {r.account: r.xirr for r in queries["c41_xirr"](spark, d).collect()}
+    assert got.keys() == paid.keys()
+    for account, x in paid.items():
+        first, last = min(x)[0], max(x)[0]
+        x = [*x, (last + dt.timedelta(400), -1.2 * sum(f for _, f in x))]
+        npv = lambda r, x=x, first=first: sum(f / (1 + r) ** ((day - first).days / 365.25) for day, f in x)
+        assert npv(got[account] - 2e-5) > 0 > npv(got[account] + 2e-5)
