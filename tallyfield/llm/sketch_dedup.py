@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, discard, materialize, mix64, narrow, slices
+from .common import CHUNK_BYTES, discard, materialize, mix64, slices
 from .graph import components
 
 ALL_REGISTERS = 2048  # the low bit of each makes up the signature
 REGISTERS, ROWS = 128, 4  # the first ones in full: 32 bands of four 16-bit registers, each one exact 64-bit value
 BANDS, WORDS = REGISTERS // ROWS, ALL_REGISTERS // 64
+ORDERS = 4  # orders by which buckets elect their leaders
 #: Standard deviations that the pruning steps allow a pair of just enough similarity.
 SLACK = 4.5
 BASE, RATE = 1.001, np.exp(8.0)  # spacing of the register scale, and its origin
@@ -114,13 +115,18 @@ def set_sketch(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(np.where(np.isfinite(k), k, 0), 0, 65535).astype(np.uint16).reshape(docs, m)
 
 
+def _fingerprints(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set's elements: with the size, what tells sets apart."""
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(s)), dtype=np.uint64))) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
+    return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+
+
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends in slices(batches):
             h, first = shingle_sets(data, ends, width)
             n = np.diff(first)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(s)), dtype=np.uint64))) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
-            marks = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+            marks = _fingerprints(h, first)
             bands, bits = [], []
             for at in range(0, len(n), 512):
                 part = first[at : at + 513]
@@ -128,16 +134,21 @@ def _sketcher(width: int):
                 bands.append(np.ascontiguousarray(k[:, :REGISTERS]).view(np.int64).reshape(-1))
                 bits.append(np.packbits((k & 1).astype(bool), axis=1).view(np.int64).reshape(-1))
             rows = lambda x, w: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * w), pa.array(np.concatenate(x)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), rows(bands, BANDS), rows(bits, WORDS)], names=["doc_id", "n_shingles", "f1", "f2", "sketch", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(marks[0]), pa.array(marks[1]), rows(bands, BANDS), rows(bits, WORDS)], names=["row", "n_shingles", "f1", "f2", "sketch", "bits"])
 
     return run
 
 
 def _setter(width: int):
+    """Shingle sets of the rows (struct<node, f1, f2>, text) whose fingerprints are as said."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, ends in slices(batches):
             h, first = shingle_sets(data, ends, width)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"])
+            node, f1, f2 = ids.flatten()
+            g1, g2 = _fingerprints(h, first)
+            sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([node, sets], names=["node", "shingles"]).filter(pa.array((np.asarray(f1) == g1) & (np.asarray(f2) == g2)))
 
     return run
 
@@ -167,11 +178,15 @@ def _pruner(least: float):
     return run
 
 
+def _bits_apart(a: str, b: str) -> Column:
+    """The number of bits in which signatures a and b differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)])
+
+
 def _bits_agree(a: str, b: str, percent: int) -> Column:
     """Whether signatures a and b differ in no more bits than a pair of that similarity may."""
     p = (1 - percent / 100) / 2
-    most = int(ALL_REGISTERS * p + SLACK * (ALL_REGISTERS * p * (1 - p)) ** 0.5)
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)]) <= most
+    return _bits_apart(a, b) <= int(ALL_REGISTERS * p + SLACK * (ALL_REGISTERS * p * (1 - p)) ** 0.5)
 
 
 def _first_shared(a: str, b: str) -> Column:
@@ -180,16 +195,18 @@ def _first_shared(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose whole sets reach the similarity; as (u, v)."""
+    """Of candidate pairs (a, b) of nodes, those whose whole sets reach the similarity; as (u, v)."""
     t = percent / 100
     margin = SLACK * (t * (1 - t) / REGISTERS) ** 0.5
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     fair = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(fair).select("a", "b", "na", "nb", "sa", "sb")
     near = materialize(near.mapInArrow(_pruner(t - margin), "a long, b long, na long, nb long"), "near")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(width), "doc_id long, shingles array<long>"), "sets")
-    of = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"x{s}"))
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    wanted = reps.select("node", "doc_id", "t", "f1", "f2").join(wanted, "node")
+    rows = texts.select("row.doc_id", "row.t", "text").join(wanted, ["doc_id", "t"]).select(F.struct("node", "f1", "f2").alias("row"), "text")
+    sets = materialize(rows.mapInArrow(_setter(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    of = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
     both = F.size(F.array_intersect("xa", "xb"))
     linked = near.join(of("a"), "a").join(of("b"), "b").withColumn("both", both).where(f"100L * both >= {percent}L * (na + nb - both)")
     out = materialize(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
@@ -202,44 +219,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_shingles, component_id, kept, set_id) of every row.
 
     Links documents whose shingle sets have 100 * intersection >= percent * union; a component is what
-    such links connect. Null and blank texts have no shingle, n_shingles 0, and are their own component.
-    A row without an id takes part in nothing: component_id null, kept true. Rows that repeat an id count
-    as that one document. Equal sets collapse to one representative before any pair is formed, so copies
-    never meet each other in a join. Other columns of `df` are ignored. An empty table gives no rows.
+    such links connect, named by its smallest id. Null, empty and blank texts have no shingle, n_shingles 0,
+    and are their own component. A row without an id takes part in nothing: component_id null, kept true.
+    Rows that repeat an id are linked by their own texts, each by itself, and all of them are kept if the id
+    is their component's smallest. Ids may be of any type that can be ordered. Texts of any length are
+    taken whole, a few megabytes of them at a time. Equal sets (ties) collapse to one node before any pair
+    is formed, so copies never meet each other in a join. Other columns of `df` are ignored, whatever their
+    names. An empty table gives no rows.
 
     A pair at exactly 75 % stays unproposed with a probability of (1 - 0.75**4)**32, about 5e-6, and is
     pruned with one of about 4e-6 at each of two steps; above 80 % all three are below 1e-7.
     """
-    texts = narrow(df, id_col, text_col)
-    base = materialize(texts.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, bits array<long>"), "sketches")
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).alias("row"), F.col(text_col).alias("text"))
+    sketched = texts.mapInArrow(_sketcher(width), f"row struct<doc_id: {kind}, t: bigint>, n_shingles long, f1 long, f2 long, sketch array<long>, bits array<long>")
+    base = materialize(sketched.select("row.doc_id", "row.t", "n_shingles", "f1", "f2", "sketch", "bits"), "sketches")
     known = base.where("n_shingles > 0 and doc_id is not null")
-    reps = materialize(known.groupBy("f1", "f2", "n_shingles").agg(F.min_by(F.struct("sketch", "bits"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")).select("doc_id", "n_shingles", "f1", "f2", "x.sketch", "x.bits"), "reps")
-    bands = reps.select("doc_id", F.posexplode("sketch").alias("band", "key"))
-    # every band has leaders of its own: the least id after a hash that the band seeds
-    leaders = bands.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("band", "doc_id").alias("h"), F.col("doc_id").alias("leader"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("band", "key", "x.leader")
-    shared = materialize(bands.join(leaders, ["band", "key"]).select("band", "key", "doc_id", "leader"), "buckets")
-    star = shared.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    signed = lambda k, b: reps.select(F.col("doc_id").alias(k), F.col("bits").alias(b))
-    star = star.join(signed("a", "xa"), "a").join(signed("b", "xb"), "b").where(_bits_agree("xa", "xb", percent)).select("a", "b")
+    reps = known.groupBy("f1", "f2", "n_shingles").agg(F.min_by(F.struct("doc_id", "t", "sketch", "bits"), "doc_id").alias("x")).select("f1", "f2", "n_shingles", "x.*")
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # a node stands for a set
+    bands = reps.select("node", F.posexplode("sketch").alias("band", "key"))
+    # few orders for all bands: the members of a large group of near copies then meet few leaders each
+    order = F.xxhash64(F.col("band") % ORDERS, "node").alias("h")
+    leaders = bands.groupBy("band", "key").agg(F.min(F.struct(order, F.col("node").alias("leader"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("band", "key", "x.leader")
+    shared = materialize(bands.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"), "buckets")
+    star = shared.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    signed = lambda k, b: reps.select(F.col("node").alias(k), F.col("bits").alias(b))
+    star = star.join(signed("b", "xb"), "b").join(signed("a", "xa"), "a").where(_bits_agree("xa", "xb", percent)).select("a", "b")
     first = _verified(star, reps, texts, width, percent)
-    part = materialize(components(first), "parts")
+    part = components(first)
     # pairs of one bucket that are still apart: all but the bucket's largest part against everything else in it
-    placed = shared.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("part"))
+    placed = shared.join(part, "node", "left").select("band", "key", "node", "leader", F.coalesce("component", "node").alias("part"))
     sizes = placed.groupBy("band", "key", "part").count()
     mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("top")).where("parts > 1").select("band", "key", F.col("top.part").alias("top"))
-    placed = materialize(placed.join(mixed, ["band", "key"]).join(reps.select("doc_id", "bits", "sketch"), "doc_id"), "mixed")
-    few = placed.where("part <> top").select("band", "key", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("leader").alias("lead"), F.col("bits").alias("bx"), F.col("sketch").alias("sx"))
-    rest = placed.select("band", "key", F.col("doc_id").alias("y"), F.col("part").alias("py"), "top", F.col("bits").alias("by"), F.col("sketch").alias("sy"))
+    placed = materialize(placed.join(mixed, ["band", "key"]).join(reps.select("node", "bits", "sketch"), "node"), "mixed")
+    few = placed.where("part <> top").select("band", "key", F.col("node").alias("x"), F.col("part").alias("px"), F.col("leader").alias("lead"), F.col("bits").alias("bx"), F.col("sketch").alias("sx"))
+    rest = placed.select("band", "key", F.col("node").alias("y"), F.col("part").alias("py"), "top", F.col("bits").alias("by"), F.col("sketch").alias("sy"))
     # the leader's pairs have been decided; of two minor parts only one order is needed
     apart = few.join(rest, ["band", "key"]).where("px <> py and (py = top or x < y) and x <> lead and y <> lead").where(_bits_agree("bx", "by", percent) & _first_shared("sx", "sy"))
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _verified(apart, reps, texts, width, percent)
-    whole = materialize(components(first.union(second)), "parts")
-    named = reps.join(whole, reps.doc_id == whole.node, "left").select("f1", "f2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
-    out = base.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    alone = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
-    discard(part)
-    discard(placed)
-    discard(shared)
+    apart = materialize(apart.select("x", "y", "py", _bits_apart("bx", "by").alias("bits")), "apart")
+    # the most similar pair of a document and a part joins the two if any pair does; what is apart even then is all verified
+    best = apart.groupBy("x", "py").agg(F.min_by("y", F.struct("bits", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    second = _verified(best, reps, texts, width, percent)
+    joined = components(first.union(second))
+    at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    left = apart.join(at("x"), "x", "left").join(at("y"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)")
+    left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    third = _verified(left, reps, texts, width, percent)
+    whole = components(first.union(second).union(third))
+    ids = whole.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = reps.select("f1", "f2", "n_shingles", "node", F.col("doc_id").alias("set_id")).join(whole.join(ids, "component").select("node", "component_id"), "node", "left").drop("node")
+    # empty texts and rows without an id stay out of the join: they are their own
+    known = known.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.coalesce("component_id", "set_id").alias("component_id"), "set_id")
+    alone = base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
+    out = materialize(known.union(alone), "near-duplicates")
+    for x in (base, reps, shared, first, part, placed, apart, second, joined, third, whole):
+        discard(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
