@@ -194,7 +194,14 @@ def _first_shared(a: str, b: str) -> Column:
     return ~reduce(lambda x, y: x | y, [(F.col("band") > i) & (F.col(a)[i] == F.col(b)[i]) for i in range(BANDS - 1)])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _whole_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the whole shingle sets of `nodes`, from the texts that stand for them; a table."""
+    wanted = reps.select("node", "doc_id", "t", "f1", "f2").join(nodes, "node")
+    rows = texts.select("row.doc_id", "row.t", "text").join(wanted, ["doc_id", "t"]).select(F.struct("node", "f1", "f2").alias("row"), "text")
+    return materialize(rows.mapInArrow(_setter(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) of nodes, those whose whole sets reach the similarity; as (u, v)."""
     t = percent / 100
     margin = SLACK * (t * (1 - t) / REGISTERS) ** 0.5
@@ -202,16 +209,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, p
     fair = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(fair).select("a", "b", "na", "nb", "sa", "sb")
     near = materialize(near.mapInArrow(_pruner(t - margin), "a long, b long, na long, nb long"), "near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = reps.select("node", "doc_id", "t", "f1", "f2").join(wanted, "node")
-    rows = texts.select("row.doc_id", "row.t", "text").join(wanted, ["doc_id", "t"]).select(F.struct("node", "f1", "f2").alias("row"), "text")
-    sets = materialize(rows.mapInArrow(_setter(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     of = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
     both = F.size(F.array_intersect("xa", "xb"))
     linked = near.join(of("a"), "a").join(of("b"), "b").withColumn("both", both).where(f"100L * both >= {percent}L * (na + nb - both)")
     out = materialize(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
     discard(near)
-    discard(sets)
     return out
 
 
@@ -242,10 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = F.xxhash64(F.col("band") % ORDERS, "node").alias("h")
     leaders = bands.groupBy("band", "key").agg(F.min(F.struct(order, F.col("node").alias("leader"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("band", "key", "x.leader")
     shared = materialize(bands.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"), "buckets")
+    sets = _whole_sets(shared.select("node").distinct(), reps, texts, width)  # of all that share a bucket with another
     star = shared.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     signed = lambda k, b: reps.select(F.col("node").alias(k), F.col("bits").alias(b))
     star = star.join(signed("b", "xb"), "b").join(signed("a", "xa"), "a").where(_bits_agree("xa", "xb", percent)).select("a", "b")
-    first = _verified(star, reps, texts, width, percent)
+    first = _verified(star, reps, sets, percent)
     part = components(first)
     # pairs of one bucket that are still apart: all but the bucket's largest part against everything else in it
     placed = shared.join(part, "node", "left").select("band", "key", "node", "leader", F.coalesce("component", "node").alias("part"))
@@ -259,12 +262,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = materialize(apart.select("x", "y", "py", _bits_apart("bx", "by").alias("bits")), "apart")
     # the most similar pair of a document and a part joins the two if any pair does; what is apart even then is all verified
     best = apart.groupBy("x", "py").agg(F.min_by("y", F.struct("bits", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _verified(best, reps, texts, width, percent)
+    second = _verified(best, reps, sets, percent)
     joined = components(first.union(second))
     at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     left = apart.join(at("x"), "x", "left").join(at("y"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)")
     left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    third = _verified(left, reps, texts, width, percent)
+    third = _verified(left, reps, sets, percent)
     whole = components(first.union(second).union(third))
     ids = whole.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = reps.select("f1", "f2", "n_shingles", "node", F.col("doc_id").alias("set_id")).join(whole.join(ids, "component").select("node", "component_id"), "node", "left").drop("node")
@@ -272,6 +275,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = known.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.coalesce("component_id", "set_id").alias("component_id"), "set_id")
     alone = base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
     out = materialize(known.union(alone), "near-duplicates")
-    for x in (base, reps, shared, first, part, placed, apart, second, joined, third, whole):
+    for x in (base, reps, shared, sets, first, part, placed, apart, second, joined, third, whole):
         discard(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
