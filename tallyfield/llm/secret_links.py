@@ -25,29 +25,55 @@ BASE = (
 WEAK = (
     ("weak_id", r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,31}(?![A-Za-z0-9])", "id"),
     ("weak_user", r"(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", "id"),
-    ("weak_token", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),
+    ("weak_token", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),  # of ENTROPY bits a character
     ("endpoint", r"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", "endpoint"),
 )
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {k: r for k, _, r in WEAK}
 #: Code points around a candidate that make up its scope.
 SCOPE = 200
+#: Shannon entropy of its characters, in bits, from which a bare token counts as random.
+ENTROPY = 3.5
+#: Matches whose offsets one inner fold adds up.
+PIECE = 256
+_SPANS = "array<struct<start:int,end:int,kind:string>>"
+
+
+def _bits(word: Column) -> Column:
+    """Shannon entropy of the characters of `word`."""
+    share = lambda c: (F.length(word) - F.length(F.replace(word, c, F.lit("")))) / F.length(word)
+    return F.aggregate(F.transform(F.array_distinct(F.split(word, "")), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda s, x: s + x)
 
 
 def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """array<struct<start, end, kind>> of the leftmost non-overlapping matches, code points, end exclusive."""
+    """array<struct<start, end, kind>> of the leftmost non-overlapping matches, code points, end exclusive.
+
+    Offsets are running sums, folded within pieces of PIECE matches and over the pieces' totals, so a text
+    with very many matches doesn't copy its list for each of them.
+    """
     p = F.lit(pattern)
     matches = F.regexp_extract_all(text, p, F.lit(0))
-    sized = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length) if group else F.transform(matches, F.length)
-    parts = F.arrays_zip(
-        F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), sized.alias("own")
-    )
-    span = lambda s, x: F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind"))
-    found = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)").alias("all")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.when(x["own"] >= least, F.concat(s["all"], F.array(span(s, x)))).otherwise(s["all"]).alias("all")),
-        lambda s: s["all"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)"))
+    fit = F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda m: F.length(m) >= least)
+    if kind == "weak_token":
+        fit = F.transform(matches, lambda m: _bits(m) >= ENTROPY)
+    parts = F.arrays_zip(F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), F.length).alias("gap"), F.transform(matches, F.length).alias("size"), fit.alias("fit"))
+
+    def offsets(parts: Column) -> Column:
+        count = F.ceil(F.size(parts) / PIECE).cast("int")
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(parts, (i - 1) * PIECE + 1, PIECE))
+        total = lambda q: F.aggregate(q, F.lit(0), lambda s, x: s + x["gap"] + x["size"])
+        bases = lambda qs: F.aggregate(
+            qs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+            lambda s, q: F.struct((s["at"] + total(q)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"],
+        )
+        span = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind"))
+        inner = lambda q, base: F.aggregate(
+            q, F.struct(base.alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("all")),
+            lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.when(x["fit"], F.array_append(s["all"], span(s["at"], x))).otherwise(s["all"]).alias("all")), lambda s: s["all"],
+        )
+        return F.transform(F.array(pieces), lambda qs: F.flatten(F.zip_with(qs, bases(qs), inner)))[0]
+
+    found = F.transform(F.array(parts), offsets)[0]
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _listed(spans: Column) -> Column:
@@ -72,12 +98,23 @@ def linked_parts(candidates: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.groupBy("key", "start", "end", "kind").agg(F.sort_array(F.collect_set("role2")).alias("with"))
 
 
+def free_weak(weak: DataFrame, base: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """Rows of `weak` (key, start, end, ...) that no row of `base` covers; they meet by blocks of `scope` code points."""
+    block = lambda c: F.floor(c / scope)
+    left = weak.withColumn("block", block(F.col("start")))
+    right = base.select(F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(block(F.col("start")), block(F.col("end")))).alias("b2"))
+    covered = (F.col("key") == F.col("k2")) & (F.col("block") == F.col("b2")) & (F.col("s2") <= F.col("start")) & (F.col("end") <= F.col("e2"))
+    return left.join(right, covered, "left_anti").drop("block")
+
+
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of `df`.
 
-    Null texts are empty: no span, and base_sha256 that of an empty list. Ids, null or repeated, pass
-    through, each row by itself. Certain kinds are always listed; weak ones only where linked. Other
-    columns are not read; an empty table gives no rows.
+    Null texts are empty: no span, and base_sha256 that of an empty list. Texts of any length are searched
+    whole. Ids, null or repeated, pass through, each row by itself; rows equal in id and text (ties) get the
+    same. Certain kinds are always listed; weak ones only where linked, and not inside a certain one; spans that
+    start together come in the order of kinds. Other columns are not read, whatever their names; an empty table
+    gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -86,14 +123,13 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a key of its own for each row: texts that repeat an id must not be mixed up
     found = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("h2"), base.alias("base"), weak.alias("weak"))
     found = materialize(found.withColumn("key", F.struct("h1", "h2")).drop("h1", "h2"), "spans")
-    inside = lambda w: F.exists("base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"]))
     role = F.create_map(*[x for k, r in ROLES.items() for x in (F.lit(k), F.lit(r))])
-    free = F.transform(F.filter("weak", lambda w: ~inside(w)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["kind"].alias("kind"), F.lit(True).alias("weak")))
-    sure = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(False).alias("weak")))
-    some = found.select("key", free.alias("free"), sure.alias("sure")).where(F.size("free") > 0).dropDuplicates(["key"])
-    candidates = some.select("key", F.explode(F.concat("free", "sure")).alias("c")).select("key", "c.*").withColumn("role", role[F.col("kind")])
+    some = found.where(F.size("weak") > 0).dropDuplicates(["key"])
+    spread = lambda c: some.select("key", F.explode(c).alias("c")).select("key", "c.*", F.lit(c == "weak").alias("weak")).withColumn("role", role[F.col("kind")])
+    sure = spread("base")
+    candidates = materialize(free_weak(spread("weak"), sure, scope).unionByName(sure), "candidates")
     linked = linked_parts(candidates, scope).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("linked"))
     out = found.select("doc_id", "key", "base").join(linked, "key", "left")
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
-    every = F.concat("base", F.coalesce("linked", F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")))
+    every = F.concat("base", F.coalesce("linked", F.expr(f"cast(array() as {_SPANS})")))
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
