@@ -26,7 +26,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_audio(store_audio(table(spark, sf_dir, "documents")))
+    return read_audio(store_audio(table(spark, sf_dir, "documents"))).drop("pcm")
 
 
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:

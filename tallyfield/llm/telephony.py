@@ -2,7 +2,8 @@
 
 Payload bytes are stored as the 8-bit mu-law samples of a WAV file, which is lossless. Reading parses
 the container, expands mu-law and A-law through 256-entry tables, decodes 64-byte IMA ADPCM blocks with
-numpy across all blocks of a slice, and resamples to 16 kHz PCM.
+numpy across all blocks of a slice (the variant of the format that takes a difference as
+((2 * code + 1) * step) >> 3), and resamples to PCM, which is stored in a table beside the other features.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import materialize, narrow, slices
 
@@ -96,19 +98,35 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary())], names=["doc_id", "media"])
 
 
-def _reader(with_pcm: bool):
+def resample(samples: np.ndarray, first: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """(samples at `rate`, each row's first): the mean of two at half the rate; at double the rate each sample and the mean with the row's next."""
+    x = samples.astype(np.int32)
+    if rate == RATE:
+        return samples, first
+    if 2 * rate == RATE:  # rows hold an even number of samples
+        return ((x[0::2] + x[1::2]) >> 1).astype(np.int16), first // 2
+    if rate == 2 * RATE:
+        after = np.append(x[1:], 0)
+        after[first[1:] - 1] = x[first[1:] - 1]
+        out = np.empty(2 * len(x), dtype=np.int16)
+        out[0::2], out[1::2] = x, (x + after) >> 1
+        return out, first * 2
+    raise ValueError(f"the rate must be {RATE // 2}, {RATE} or {2 * RATE}")
+
+
+def _reader(rate: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column(1)), dtype=np.int64)
             part = np.cumsum(sizes) >> 21  # about 2 MB at one time
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
-                yield _features(batch.slice(int(rows[0]), len(rows)), with_pcm)
+                yield _features(batch.slice(int(rows[0]), len(rows)), rate)
 
     return run
 
 
-def _features(batch: pa.RecordBatch, with_pcm: bool) -> pa.RecordBatch:
+def _features(batch: pa.RecordBatch, rate: int) -> pa.RecordBatch:
     media = batch.column(1).to_pylist()
     read = [from_wav(x) for x in media]
     codes = np.frombuffer(b"".join(p for p, _ in read), dtype=np.uint8)
@@ -122,27 +140,18 @@ def _features(batch: pa.RecordBatch, with_pcm: bool) -> pa.RecordBatch:
     crossings = np.add.reduceat(cross, at)
     adpcm = decode_adpcm(codes.reshape(-1, UNIT))
     peak = np.maximum.reduceat(np.abs(adpcm.astype(np.int32)).max(axis=1), at // UNIT)
-    # twice the rate: each sample, then the mean with the next one of the same row
-    after = np.append(mu[1:], 0).astype(np.int32)
-    after[first[1:] - 1] = mu[first[1:] - 1]
-    pcm = np.empty(2 * len(mu), dtype="<i2")
-    pcm[0::2], pcm[1::2] = mu, (mu.astype(np.int32) + after) >> 1
-    raw, blocks = pcm.tobytes(), np.ascontiguousarray(adpcm, dtype="<i2").tobytes()
+    pcm, start = resample(mu, first, rate)
+    raw, blocks = np.ascontiguousarray(pcm, dtype="<i2").tobytes(), np.ascontiguousarray(adpcm, dtype="<i2").tobytes()
     width = 2 * adpcm.shape[1]
     e_mu, e_al = energy(mu), energy(al)
     out = []
     for i, ((payload, samples), m) in enumerate(zip(read, media, strict=True)):
         a, b = int(first[i]), int(first[i + 1])
-        sound = zlib.crc32(raw[4 * a : 4 * b])
         coded = zlib.crc32(blocks[a // UNIT * width : b // UNIT * width])
-        feature = f"mu={int(e_mu[i]) // int(n[i])},a={int(e_al[i]) // int(n[i])},zc={int(crossings[i])},peak={int(peak[i])},adpcm={coded:08x},pcm16k={sound:08x}"
-        out.append((samples, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    cols = [batch.column(0), *(pa.array(x) for x in zip(*out, strict=True))]
-    if with_pcm:
-        cols.append(pa.array([raw[4 * a : 4 * b] for a, b in zip(first.tolist(), first[1:].tolist())], pa.binary()))
-        names.append("pcm")
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", *names])
+        feature = f"mu={int(e_mu[i]) // int(n[i])},a={int(e_al[i]) // int(n[i])},zc={int(crossings[i])},peak={int(peak[i])},adpcm={coded:08x}"
+        out.append((samples, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature, raw[2 * int(start[i]) : 2 * int(start[i + 1])]))
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*out, strict=True))], names=["doc_id", *names])
 
 
 def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,12 +161,15 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return materialize(rows.mapInArrow(_write, f"doc_id {kind}, media binary"), "media")
 
 
-def read_audio(media: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """Payload digests and features of stored files (doc_id, media), with the resampled PCM if wanted.
+def read_audio(media: DataFrame, rate: int = RATE // 2) -> DataFrame:
+    """Payload digests, features and resampled PCM of stored files (doc_id, media); the PCM is stored, and its digest taken from what is read back.
 
-    Null texts were stored as empty ones (64 zero bytes). Null and repeated ids pass through; columns
-    other than the two are not read; an empty table gives no rows. Equal texts have equal values.
+    Null texts were stored as empty ones (64 zero bytes). Null and repeated ids pass through, each row by
+    itself; columns other than the two are not read, whatever their names; an empty table gives no rows. Equal
+    texts have equal values. Files of any length are decoded whole, about 2 MB of them at one time. `rate` is half, all or double of
+    the telephone rate. `pcm` holds little-endian 16-bit samples.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
-    return media.select("doc_id", "media").mapInArrow(_reader(with_pcm), schema)
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    stored = materialize(media.select("doc_id", "media").mapInArrow(_reader(rate), schema), "pcm")
+    return stored.withColumn("feature", F.format_string(f"%s,pcm{rate}=%08x", "feature", F.crc32("pcm")))
