@@ -1,154 +1,262 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-The examples are a bounded sample of the labelled rows (at most PER_CLASS of each class, by hash). Terms
-are words, five-letter word beginnings and their repeated use; those that tell the classes apart in the sample make up the
-vocabulary. The examples' unit vectors form an inverted index in blocks of 64 examples, with the largest
-weight of every term in every block. A document visits blocks in the order of their upper bounds until
-none can still enter its k nearest, so the neighbours are exact. Votes weigh by similarity and by how
-many labelled rows an example stands for; leave-one-out votes of the examples calibrate the score.
+The examples are a bounded sample of the labelled rows (at most PER_CLASS of each class, by hash); a quarter
+of them is set aside to calibrate the votes. Terms are all words of a text and all its stems (a word's first
+five letters); nothing is left out. A term weighs (1 + ln tf) * idf * relevance: idf counts over all
+documents, relevance is the difference of the classes' smoothed log frequencies in the sample (known as delta
+TF-IDF), without which invented or rare words drown the few that matter. Terms that no example has can't
+match one; they only lengthen the query, with the idf of an unseen term and the relevance 0 of one.
+
+The examples' unit vectors, put in an order that keeps similar ones together, form an inverted index in
+blocks of 64: for every block the postings of its own terms, and for every term the largest weight in each
+block. A document visits a block only if the bound from these maxima reaches its k-th best cosine, so the
+neighbours are exact. Votes weigh by squared cosine and by how many labelled rows an example stands for.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow
+from .common import discard, materialize, mix64, narrow, slices
 from .quality_rff import isotonic
+from .sketch_dedup import _BYTE, _powers
+
+PER_CLASS, NEAREST, BLOCK, STEM = 1000, 25, 64, 5
+#: Rows of prior evidence that shrink a term's relevance towards 0.
+PRIOR = 10.0
+
+
+def _lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_lower(pc.fill_null(b.column(1).cast(pa.large_string()), ""))], names=["row", "text"])
 
-PER_CLASS, VOCABULARY, NEAREST, BLOCK = 4000, 2048, 25, 64
-LETTERS = re.compile(r"[^\W\d_]+")
 
+def term_counts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, counts, first): each text's distinct term hashes in order, how often, and where each text's begin (and the end).
 
-def term_counts(text: str | None) -> Counter:
-    """Counts of words and of five-letter beginnings, with one more term for two, three and four uses of a beginning."""
-    words = Counter(LETTERS.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for w, n in words.items():
-        if len(w) >= 5:
-            stems[w[:5]] += n
-    for w, n in stems.items():
-        words[w + "-"] = n
-        for r in range(2, min(n, 4) + 1):
-            words[f"{w}-{r}"] = 1
-    return words
+    Words are runs of ASCII letters and of all bytes beyond ASCII; `data` holds lower-cased UTF-8.
+    """
+    docs, total = len(ends) - 1, len(data)
+    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    edge = np.zeros(total + 1, dtype=bool)
+    edge[ends] = True
+    before = np.concatenate(([True], ~letter[:-1])) | edge[:-1] if total else np.zeros(0, bool)
+    after = np.concatenate((~letter[1:], [True])) | edge[1:] if total else np.zeros(0, bool)
+    starts, stops = np.flatnonzero(letter & before), np.flatnonzero(letter & after) + 1
+    up, down = _powers(total)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:total], dtype=np.uint64)))
+    of = np.searchsorted(ends, starts, "right") - 1
+    words = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    chars = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    cut = np.searchsorted(chars, starts) + STEM
+    cut = np.append(chars, total)[np.minimum(cut, len(chars))]
+    long = cut <= stops
+    stems = mix64((sums[cut[long]] - sums[starts[long]]) * down[starts[long]] ^ np.uint64(0xA0761D6478BD642F))
+    h, owner = np.concatenate((words, stems)), np.concatenate((of, of[long]))
+    o = np.argsort(h)
+    o = o[np.argsort(owner[o].astype(np.uint16), kind="stable")]
+    h, owner = h[o], owner[o]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(owner[first], np.arange(docs + 1))
 
 
 class BlockMaxIndex:
-    """Postings of the examples' unit vectors by block and term, with block maxima."""
+    """Postings of unit vectors (terms, weights) by block and term, with block maxima."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.count = len(vectors)
-        self.blocks = max(1, -(-self.count // BLOCK))
-        self.top = np.zeros((terms, self.blocks))
-        posting: dict[tuple[int, int], tuple[list, list]] = {}
-        for e, (ids, weights) in enumerate(vectors):
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                at = posting.setdefault((t, e // BLOCK), ([], []))
-                at[0].append(e % BLOCK)
-                at[1].append(w)
-                self.top[t, e // BLOCK] = max(self.top[t, e // BLOCK], w)
-        self.posting = {k: (np.array(a), np.array(w)) for k, (a, w) in posting.items()}
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: smaller number first), and their cosines."""
-        bound = weights @ self.top[ids]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                if self.top[t, b] > 0:
-                    at, x = self.posting[t, b]
-                    score[at] += w * x
-            hit = np.flatnonzero(score > 0)
-            e, s = hit + b * BLOCK, score[hit]
-            if without >= 0:
-                e, s = e[e != without], s[e != without]
-            e, s = np.concatenate((best_e, e)), np.round(np.concatenate((best_s, s)), 12)
-            o = np.lexsort((e, -s))[:k]
-            best_e, best_s = e[o], s[o]
-        return best_e, best_s
+        self.count, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        self.top = np.zeros((terms + 1, self.blocks), np.float32)
+        self.row = np.full((self.blocks, terms + 1), -1, np.int32)  # a term's postings in a block, if any
+        self.postings = []
+        for b in range(self.blocks):
+            own = vectors[b * BLOCK : (b + 1) * BLOCK]
+            local = np.unique(np.concatenate([v[0] for v in own])) if own else np.zeros(0, np.int64)
+            x = np.zeros((len(local), BLOCK), np.float32)
+            for e, (t, w) in enumerate(own):
+                x[np.searchsorted(local, t), e] = w
+            self.postings.append(x)
+            self.row[b, local] = np.arange(len(local))
+            if len(local):
+                self.top[local, b] = x.max(1)
+
+    def scores(self, b: int, ids: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Cosines of queries (terms `ids` with `weights`, each query's from `first` on) with block b's examples."""
+        row = self.row[b, ids]
+        hit = np.flatnonzero(row >= 0)
+        out = np.zeros((len(first) - 1, BLOCK), np.float32)
+        at = np.searchsorted(hit, first)
+        some = np.flatnonzero(at[1:] > at[:-1])
+        if len(some):
+            x = self.postings[b][row[hit]]
+            x *= weights[hit, None]
+            out[some] = np.add.reduceat(x, at[some], axis=0)
+        return out
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k examples of largest cosine (ties: smaller number first) and their cosines; -1 and 0 where fewer have one above 0."""
+        q = len(first) - 1
+        weights = weights.astype(np.float32)
+        bound = np.zeros((q, self.blocks), np.float32)
+        some = np.flatnonzero(first[1:] > first[:-1])
+        if len(some):
+            x = self.top[ids]
+            x *= weights[:, None]
+            bound[some] = np.add.reduceat(x, first[some], axis=0)
+        bound += np.float32(1e-5) * (bound > 0)  # sums of small numbers round either way
+        best_e, best_s = np.full((q, k), self.count, np.int64), np.zeros((q, k), np.float32)
+        seen = np.zeros((q, self.blocks), dtype=bool)
+
+        def visit(b: int, who: np.ndarray) -> None:
+            n = first[who + 1] - first[who]
+            start = np.concatenate(([0], np.cumsum(n)))
+            take = np.arange(start[-1]) - np.repeat(start[:-1] - first[who], n)
+            s = np.round(self.scores(b, ids[take], weights[take], start), 6)
+            e = np.broadcast_to(np.arange(BLOCK) + b * BLOCK, s.shape)
+            s, e = np.concatenate((best_s[who], s), axis=1), np.concatenate((best_e[who], e), axis=1)
+            o = np.lexsort((e, -s), axis=1)[:, :k]
+            best_s[who], best_e[who] = np.take_along_axis(s, o, 1), np.take_along_axis(e, o, 1)
+            seen[who, b] = True
+
+        most = bound.argmax(1)  # the most promising block of each query sets a threshold for the others
+        for b in np.unique(most).tolist():
+            visit(b, np.flatnonzero(most == b))
+        for b in np.argsort(-bound.sum(0), kind="stable").tolist():
+            who = np.flatnonzero(~seen[:, b] & (bound[:, b] > 0) & (bound[:, b] >= best_s[:, -1]))
+            if len(who):
+                visit(b, who)
+        return np.where(best_s > 0, best_e, -1), best_s
 
 
 class Voter:
-    """The index with everything that turns a text into a score."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, list[tuple[int, int]], int]], weight: dict[int, float]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-        vectors = [self._unit(dict(x)) for _, x, _ in examples]
-        self.name = np.array([d for d, _, _ in examples], dtype=np.int64)
-        self.y = np.array([y for _, _, y in examples], dtype=float)
-        self.weight = np.array([weight[y] for _, _, y in examples])
-        self.index = BlockMaxIndex(vectors, max(1, len(terms)))
-        # a text without a known term, and the pull towards all examples' rate
-        total = self.weight.sum()
-        self.rate = float((self.weight * self.y).sum() / total) if total else 0.5
-        bare = np.array([len(v[0]) == 0 for v in vectors], dtype=bool)
-        self.bare = float(((self.weight * self.y)[bare].sum() + self.rate) / (self.weight[bare].sum() + 1)) if total else 0.5
+    """The index with everything that turns term counts into scores."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, unseen: float, examples: list[tuple], class_weight: dict[int, float]):
+        """`terms` ascending with a weight each; `examples`: (id, term hashes, counts, label, whether for calibration)."""
+        self.terms, self.unseen = terms, unseen
+        self.weight = np.append(weight, 0.0)  # the last: terms that no example has
+        index = [e for e in examples if not e[4]]
+        vectors = [self._own(e[1], e[2]) for e in index]
+        order = _similar_together(vectors, len(terms))
+        index, vectors = [index[i] for i in order], [vectors[i] for i in order]
+        self.name = [e[0] for e in index] + [None]
+        self.y = np.array([e[3] for e in index] + [0], dtype=float)
+        self.mass = np.array([class_weight[e[3]] for e in index] + [0.0])
+        self.index = BlockMaxIndex(vectors, len(terms))
+        total = self.mass.sum()
+        self.rate = float((self.mass * self.y).sum() / total) if total else 0.5
+        self.pull = 1e-3 * min(class_weight.values()) if class_weight else 1.0
         self.knots, self.levels = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        raw = np.array([self._vote(*v, without=i)[0] if len(v[0]) else -1.0 for i, v in enumerate(vectors)])
-        fit = np.flatnonzero(raw >= 0)
-        if len(fit) and 0 < self.y[fit].sum() < len(fit):
-            step = np.round(raw[fit] * 200).astype(int)
-            n = np.bincount(step, self.weight[fit], 201)
-            ones = np.bincount(step, (self.weight * self.y)[fit], 201)
-            at = np.flatnonzero(n)
-            knots = np.concatenate([[0], at / 200, [1]])
-            y = np.concatenate([[self.bare], ones[at] / n[at], [1.0]])
-            self.knots, self.levels = knots, isotonic(knots, y, np.concatenate([[1.0], n[at], [1.0]]))
-
-    def _unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + np.log(counts[i]) for i in ids.tolist()]) * self.idf[ids] if len(ids) else np.zeros(0)
-        norm = np.sqrt((w**2).sum())
-        return (ids, w / norm) if norm > 0 else (ids[:0], w[:0])
-
-    def _vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        e, s = self.index.nearest(ids, weights, NEAREST, without)
-        w = s**2 * self.weight[e]
-        pull = 0.1 * self.weight.min() if len(self.weight) else 1.0
-        return float(((w * self.y[e]).sum() + pull * self.rate) / (w.sum() + pull)), e, s
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        known, counts = self.terms, {}
-        for t, n in term_counts(text).items():
-            i = known.get(t)
-            if i is not None:
-                counts[i] = n
-        ids, w = self._unit(counts)
-        if not len(ids):
-            return self.bare, [], []
-        raw, e, s = self._vote(ids, w)
-        return float(np.clip(np.interp(raw, self.knots, self.levels), 0, 1)), self.name[e[:5]].tolist(), s[:5].tolist()
+        held = [e for e in examples if e[4]]
+        if held and index:
+            raw = np.concatenate([self._votes(e[1], e[2], np.array([0, len(e[1])]))[0] for e in held])
+            y, w = np.array([e[3] for e in held], dtype=float), np.array([class_weight[e[3]] for e in held])
+            if 0 < y.sum() < len(y):
+                step = np.round(raw * 50).astype(int)
+                n, ones = np.bincount(step, w, 51), np.bincount(step, w * y, 51)
+                at = np.flatnonzero(n)
+                self.knots = at / 50
+                self.levels = isotonic(self.knots, ones[at] / n[at], n[at])
+
+    def _own(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, w, _ = self._weigh(terms, counts, np.array([0, len(terms)]))
+        return ids, w
+
+    def _weigh(self, terms: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, weights, first) of the texts' unit vectors, of known terms alone; unknown ones count in the length."""
+        n = len(self.terms)
+        at = np.searchsorted(self.terms, terms)
+        known = (at < n) & (self.terms[np.minimum(at, n - 1)] == terms) if n else np.zeros(len(terms), bool)
+        w = (1 + np.log(counts)) * np.where(known, self.weight[np.where(known, at, n)], self.unseen)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        norm = np.sqrt(np.bincount(owner, w**2, len(first) - 1))
+        w = w / np.where(norm > 0, norm, 1)[owner]
+        keep = known & (w > 0)
+        return at[keep], w[keep], np.concatenate(([0], np.cumsum(keep)))[first]
+
+    def _votes(self, terms: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e, s = self.index.nearest(*self._weigh(terms, counts, first), NEAREST)
+        w = s.astype(float) ** 2 * self.mass[e]
+        return ((w * self.y[e]).sum(1) + self.pull * self.rate) / (w.sum(1) + self.pull), e, s
+
+    def score(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, examples, cosines) of texts."""
+        if not self.index.count:
+            return np.full(len(ends) - 1, 0.5), np.full((len(ends) - 1, NEAREST), -1), np.zeros((len(ends) - 1, NEAREST))
+        raw, e, s = self._votes(*term_counts(data, ends))
+        return np.clip(np.interp(raw, self.knots, self.levels), 0, 1), e, s
+
+
+def _similar_together(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> list[int]:
+    """An order of the examples in which blocks hold similar ones: halves by nearness to one of two far ones, again and again."""
+    if not vectors:
+        return []
+    plain = BlockMaxIndex(vectors, terms)
+    near = np.zeros((len(vectors), plain.blocks * BLOCK), np.float32)
+    for at in range(0, len(vectors), BLOCK):  # a block of queries at one time
+        some = vectors[at : at + BLOCK]
+        first = np.concatenate(([0], np.cumsum([len(v[0]) for v in some])))
+        ids, w = np.concatenate([v[0] for v in some]), np.concatenate([v[1] for v in some]).astype(np.float32)
+        near[at : at + BLOCK] = np.concatenate([plain.scores(b, ids, w, first) for b in range(plain.blocks)], axis=1)
+    near = near[:, : len(vectors)]
+
+    def order(some: np.ndarray) -> list[int]:
+        if len(some) <= BLOCK:
+            return some.tolist()
+        a = some[near[some[0], some].argmin()]
+        b = some[near[a, some].argmin()]
+        some = some[np.argsort(near[some, b] - near[some, a], kind="stable")]
+        half = max(1, len(some) // 2 // BLOCK) * BLOCK
+        return order(some[:half]) + order(some[half:])
+
+    return order(np.arange(len(vectors)))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        counts = [term_counts(t) for t in b.column(1).to_pylist()]
-        terms = pa.array([list(c) for c in counts], pa.list_(pa.string()))
-        times = pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), terms, times], names=["doc_id", "y", "terms", "times"])
+    for ids, data, ends in slices(_lower(batches)):
+        terms, counts, first = term_counts(data, ends)
+        at = pa.array(first.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(at, pa.array(terms.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(counts.astype(np.int64)))], names=["row", "terms", "times"])
+
+
+def _frequencies(shared):
+    """(term, n): in how many of a partition's texts each of the shared terms stands; the row without a term counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        n, texts = np.zeros(len(vocabulary), np.int64), 0
+        for _, data, ends in slices(_lower(batches)):
+            terms, _, _ = term_counts(data, ends)
+            at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+            n += np.bincount(at[vocabulary[at] == terms], minlength=len(vocabulary))
+            texts += len(ends) - 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], texts))], names=["term", "n"])
+
+    return run
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity) of every row of `df`.
 
     Learns from labelled rows whose crc32(id as text) mod 3 is not 1 (held_out tells that remainder), at
-    most `per_class` rows of each class. Texts without a known term, null and empty ones among them,
-    score what such examples' labels say; evidence lists the nearest examples. A null id is not held
-    out and never learnt from; rows that repeat an id are scored each, and an id's largest label counts.
-    Without labels the score is 0.5. Only the named columns are read.
+    most `per_class` rows of each class; three quarters of these are the examples, the rest calibrates. That
+    bounds what the driver collects and broadcasts. Whole texts count, of any length. Null texts are empty;
+    a text that shares no term with an example scores what the examples' rate is calibrated to. `evidence` lists
+    the nearest examples' ids by falling cosine (equal ones: in the index's order), `similarity` the cosines.
+    A null id is not held out and never learnt from; rows that repeat an id are scored each; an id's largest
+    label counts, and of its texts the least. Without labels the score is 0.5 and evidence empty. An empty table
+    gives no rows. Only the named columns are read, whatever the others' names.
     """
-    rows = narrow(df, id_col, text_col).withColumn("text", F.col("text").cast("string"))
+    spark = df.sparkSession
+    rows = narrow(df, id_col, text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").where(rest != 1)
@@ -158,39 +266,48 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for y in sorted(sizes):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         few = part if few is None else few.union(part)
-    examples = []
-    terms, idf = [], np.zeros(1)
+    examples: list[tuple] = []
     if few is not None:
         # the sample's size is bounded by per_class, so its ids may be broadcast
-        picked = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
-        counts = materialize(picked.mapInArrow(_counter, f"doc_id {kind}, y int, terms array<string>, times array<bigint>").dropDuplicates(["doc_id"]), "examples")
-        n1, n0 = (counts.where(F.col("y") == v).count() for v in (1, 0))
-        least = max(3, int(0.005 * n1))
-        per = counts.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
-        a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-        odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-        z = odds / F.sqrt(1 / a + 1 / (n1 + 1 - a) + 1 / b + 1 / (n0 + 1 - b))
-        chosen = per.select("term", "n", odds.alias("odds"), z.alias("z")).where("abs(z) >= 2.9 and abs(odds) >= 3.0")
-        chosen = chosen.orderBy(F.abs("z").desc(), "term").limit(VOCABULARY).collect()
-        terms = [r.term for r in chosen]
-        idf = np.array([np.log((1 + n1 + n0) / r.n) for r in chosen]) if chosen else np.zeros(1)
-        known_terms = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-        pairs = F.filter(F.arrays_zip("terms", "times"), lambda p: F.array_contains(known_terms, p["terms"]))
-        number = {t: i for i, t in enumerate(terms)}
-        # of each example only the chosen terms' counts come to the driver
-        for r in counts.select("doc_id", "y", pairs.alias("p")).orderBy("doc_id").collect():
-            examples.append((r.doc_id, [(number[p.terms], p.times) for p in r.p], r.y))
-    drawn = Counter(y for _, _, y in examples)
-    weight = {y: sizes[y] / n for y, n in drawn.items()}
-    shared = df.sparkSession.sparkContext.broadcast(Voter(terms, idf, examples, weight))
+        picked = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+        picked = picked.select(F.struct("doc_id", "y", (F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).alias("held")).alias("row"), "text")
+        counted = materialize(picked.mapInArrow(_counter, f"row struct<doc_id: {kind}, y: int, held: boolean>, terms array<bigint>, times array<bigint>"), "examples")
+        for r in counted.orderBy("row.doc_id").collect():
+            examples.append((r.row.doc_id, np.array(r.terms, np.int64).view(np.uint64), np.array(r.times, np.int64), r.row.y, r.row.held))
+        discard(counted)
+    discard(known)
+    drawn = {y: sum(e[3] == y for e in examples) for y in {e[3] for e in examples}}
+    class_weight = {y: sizes[y] / n for y, n in drawn.items()}
+    index = [e for e in examples if not e[4]]
+    terms = np.unique(np.concatenate([e[1] for e in index])) if index else np.zeros(0, np.uint64)
+    weight, unseen = np.zeros(len(terms)), 0.0
+    if len(terms):
+        shared = spark.sparkContext.broadcast(terms)
+        per = rows.mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        df_all, texts = np.zeros(len(terms)), int(per.n[per.term < 0].sum())
+        per = per[per.term >= 0]
+        df_all[per.term.to_numpy()] = per.n.to_numpy()
+        in_class = {y: np.zeros(len(terms)) for y in (0, 1)}
+        for _, t, _, y, _ in index:
+            in_class[int(y > 0)][np.searchsorted(terms, t)] += 1
+        n = {y: sum(int(e[3] > 0) == y for e in index) for y in (0, 1)}
+        share = {y: (n[y] + 1) / (len(index) + 2) for y in (0, 1)}
+        rate = lambda y: np.log((in_class[y] + PRIOR * share[y]) / (n[y] + PRIOR * share[y]))
+        weight = np.log1p(texts / np.maximum(df_all, 1)) * np.abs(rate(1) - rate(0))
+    shared = spark.sparkContext.broadcast(Voter(terms, weight, unseen, examples, class_weight))
 
     def run(batches):
         voter = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                x = b.slice(at, 512)
-                out = [voter.score(t) for t in x.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "similarity"])
+        name = pa.array(voter.name, ids_type)
+        for ids, data, ends in slices(_lower(batches), 1 << 18):
+            score, e, s = voter.score(data, ends)
+            some = e >= 0
+            at = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(score), pa.ListArray.from_arrays(at, name.take(pa.array(e[some]))), pa.ListArray.from_arrays(at, pa.array(s[some].astype(np.float64)))],
+                names=["doc_id", "score", "evidence", "similarity"],
+            )
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>, similarity array<double>")
+    ids_type = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.int64())
+    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>, similarity array<double>")
     return scored.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "similarity")
