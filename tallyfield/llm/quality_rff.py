@@ -84,7 +84,7 @@ def _statistician(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for ids, data, ends in slices(batches):
         x = statistics(data, ends)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([ids, rows], names=["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([ids, rows], names=["row", "x"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -108,8 +108,10 @@ def _summed(rows: DataFrame, make, width: int) -> np.ndarray:
             total += _matrix(b.column(0)).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["v"])
 
-    sums = rows.select("x", "y").mapInArrow(part, "v array<double>").repartition(8).mapInArrow(add, "v array<double>")
-    return np.sum([r.v for r in sums.collect()], axis=0)
+    sums = rows.select("x", "y").mapInArrow(part, "v array<double>")
+    for parts in (32, 4):  # a tree: tasks take the vectors one batch after the other
+        sums = sums.repartition(parts).mapInArrow(add, "v array<double>")
+    return np.sum([np.zeros(width), *(r.v for r in sums.collect())], axis=0)
 
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -181,29 +183,33 @@ def fit(labelled: DataFrame, width: int) -> Model | None:
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of `df`.
+    """(doc_id, held_out, score, predicted, text_hash) of every row of `df`.
 
     Learns from the labelled rows whose crc32(id as text) mod 4 is not 2; held_out tells that remainder.
-    Null texts are empty and scored like any text; a null id is not held out and is never learnt from.
-    Rows that repeat an id are scored each. Null labels are no labels. Without labels the score is 0.5.
-    Only the two columns of `df` are read.
+    Null texts are empty and scored like any text; texts of any length are read whole, a few megabytes of them
+    at one time. A null id is not held out and is never learnt from. Rows that repeat an id are scored each by
+    their own texts, and an id's largest label counts for all of them; equal texts (ties) score the same. Null labels are no labels. Without
+    labels the score is 0.5; an empty table gives no rows. Scores are rounded to ten places, since sums over
+    partitions may differ in the last bits from run to run. Only the two columns of `df` are read, whatever
+    the others' names. text_hash (xxhash64, null as empty) tells texts of one id apart.
     """
     width = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     rows = narrow(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    stats = materialize(rows.mapInArrow(_statistician, f"doc_id {kind}, x array<double>"), "statistics")
+    rows = rows.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("row"), "text")
+    stats = materialize(rows.mapInArrow(_statistician, f"row struct<doc_id: {kind}, text_hash: bigint>, x array<double>").select("row.doc_id", "row.text_hash", "x"), "statistics")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null").where(rest != 2)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    labelled = materialize(stats.join(known, "doc_id"), "labelled")
+    labelled = materialize(stats.join(known, "doc_id").select("doc_id", "x", "y"), "labelled")
     model = fit(labelled, width)
     discard(labelled)
 
     def run(batches):
         for b in batches:
-            x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, width))
-            s = np.clip(model.score(x), 0, 1) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            x = _matrix(b.column(2)) if b.num_rows else np.zeros((0, width))
+            s = np.round(np.clip(model.score(x), 0, 1), 10) if model else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["doc_id", "text_hash", "score"])
 
-    scored = stats.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(run, f"doc_id {kind}, text_hash long, score double")
+    return scored.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

@@ -11,6 +11,8 @@ node pass through the tree; no row is moved but by its own shard number. Everyth
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .common import WORD, materialize
 
 #: Blocks of one permutation bucket: the unit in which ranks and running sums are taken.
 BUCKET_BLOCKS = 2048
+#: Words that an output shard holds at most, about; there are 2**LEVELS shards at least.
+SHARD_WORDS, LEVELS = 2**30, 6
 
 
 def word_count(text: str) -> Column:
@@ -100,7 +104,7 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int = 1) -> DataFrame:
         nodes = nodes.withColumn("left", draw)
         pick = lambda right: F.zip_with("xs", "left", lambda x, t: F.struct(x["k"].alias("k"), x["none"].alias("none"), ((x["c"] - t) if right else t).alias("c")))
         nodes = nodes.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), pick(False).alias("xs")), F.struct((F.col("node") * 2 + 1).alias("node"), pick(True).alias("xs")))).alias("x")).select("x.node", "x.xs")
-        nodes = materialize(nodes, "tree") if level % 3 == 2 else nodes
+        nodes = materialize(nodes.repartition("node"), "tree") if level % 3 == 2 else nodes
     leaves = nodes.select((F.col("node") - 2**levels).alias("shard"), F.explode("xs").alias("x")).select("shard", F.when(~F.col("x.none"), F.col("x.k")).alias("source"), F.col("x.c").alias("count"))
     order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.withColumn("first", F.coalesce(F.sum("count").over(order), F.lit(0)).cast("long"))
@@ -153,29 +157,32 @@ def taken() -> Column:
     return first & F.exists("runs", lambda r: (F.col("rank") >= r["start"]) & (F.col("rank") < r["stop"]) & (F.col("size") <= r["gap"]))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, levels: int = 6, seed: int = 1) -> DataFrame:
-    """Each row of `df` with what the mix takes of it: doc_id, source, size, source_size, target, draws.
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, levels: int | None = None, seed: int = 1) -> DataFrame:
+    """Each row of `df` with what the mix takes of it: doc_id, text_hash, source, size, source_size, target, draws.
 
     `draws` lists the row's uses as (shard, position): the output shard and the place in the shard's
     local shuffle. A row is used at most `cap` times and always whole, so it adds size * size(draws)
     words; a source's words end short of the target by less than the smallest block not used in its partial pass, or beyond
-    the target by less than they would be short of it without the last block. Null texts have size 0. A null source is a source of its own, the last one; a null id is hashed as null. Rows that
-    repeat an id are blocks of their own. Equal draws every run; an empty table gives no rows. Columns
-    other than the three named are not read.
+    the target by less than they would be short of it without the last block. Null and empty texts have size 0
+    and fill no gap; texts of any length are one block. A null source is a source of its own, the last one.
+    The permutation is by a hash of id and text, so null ids spread; rows that repeat an id are blocks of their
+    own, and rows equal in id and text (ties) may swap what they get. There are 2**`levels` shards, by default as many as the
+    words ask for. Equal draws every run; an empty table gives no rows. Columns other than the three named
+    are not read, whatever their names.
     """
-    sizes = materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
+    sizes = materialize(df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
     goals = source_targets(sizes, weights, cap)
     # a target that reaches the cap means `cap` passes; rounding must not make it a hair less
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     goals = goals.withColumn("passes", passes).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     goals = materialize(goals.withColumn("buckets", F.ceil(F.col("blocks") / BUCKET_BLOCKS)), "goals")
     placed = sizes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("u", _unit(F.lit(seed), F.col("doc_id"), F.lit("block"))).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
-    inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size")
+    placed = placed.withColumn("u", _unit(F.lit(seed), F.col("doc_id"), F.col("text_hash"), F.lit("block"))).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
+    inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "text_hash")
     starts = _before(placed, F.count("*"), "rank0")
     ranked = placed.withColumn("rn", F.row_number().over(inside)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     ranked = ranked.withColumn("rank", F.col("rank0") + F.col("rn") - 1)
-    ranked = materialize(ranked.select("doc_id", "source", "size", "source_size", "target", "blocks", "passes", "rest", "bucket", "rank"), "ranked")
+    ranked = materialize(ranked.select("doc_id", "text_hash", "source", "size", "source_size", "target", "blocks", "passes", "rest", "bucket", "rank"), "ranked")
 
     runs = materialize(partial_passes(ranked, goals), "runs")
     picked = ranked.join(runs.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -187,14 +194,23 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     picked = picked.withColumn("nth", F.sum("extra").over(inside)).join(extras, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     picked = picked.withColumn("last", F.when(F.col("extra") > 0, F.col("extra0") + F.col("nth") - 1))
 
+    if levels is None:
+        words = goals.agg(F.sum("target")).first()[0] or 0
+        levels = max(LEVELS, math.ceil(math.log2(max(words, 1) / SHARD_WORDS)))
     leaves = shard_quotas(quotas, levels, seed)
     ranges = leaves.where("count > 0").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("ranges"))
     out = picked.join(ranges.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: p * F.col("blocks") + F.col("rank"))).otherwise(F.array().cast("array<bigint>"))
     places = F.concat(whole, F.when(F.col("last").isNotNull(), F.array(F.col("passes") * F.col("blocks") + F.col("last"))).otherwise(F.array().cast("array<bigint>")))
-    shard = lambda i: F.element_at(F.filter("ranges", lambda r: r["first"] <= i), -1)["shard"]
-    draws = F.transform(places, lambda i: F.struct(shard(i).alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", i).alias("position")))
-    return out.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
+
+    def shard(i: Column) -> Column:
+        """Of the range that holds place i: a search by halves, one step for each level of the tree."""
+        half = lambda s: F.floor((s["a"] + s["b"]) / 2).cast("int")
+        step = lambda s, _: F.when(F.get("ranges", half(s))["first"] <= i, F.struct(half(s).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), half(s).alias("b")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), F.struct(F.lit(0).alias("a"), F.size("ranges").alias("b")), step, lambda s: F.get("ranges", s["a"])["shard"])
+
+    draws = F.transform(places, lambda i: F.struct(shard(i).alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), "doc_id", "text_hash", i).alias("position")))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", draws.alias("draws"))
 
 
 def _before(rows: DataFrame, what: Column, name: str) -> DataFrame:
@@ -204,7 +220,9 @@ def _before(rows: DataFrame, what: Column, name: str) -> DataFrame:
     return per.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(name))
 
 
-def mixed_rows(draws: DataFrame) -> DataFrame:
-    """One row per use, dealt out to its shard and in the shard's shuffled order."""
-    uses = draws.select("*", F.explode("draws").alias("use")).select(*[c for c in draws.columns if c != "draws"], "use.shard", "use.position")
-    return uses.repartition("shard").sortWithinPartitions("shard", "position")
+def mixed_rows(rows: DataFrame, draws: str = "draws") -> DataFrame:
+    """One row per use, dealt out by shard and by sixteenth of the shard's local shuffle, in the order of that shuffle."""
+    uses = rows.select("*", F.explode(draws).alias("__use")).select(*[c for c in rows.columns if c != draws], F.col("__use.shard").alias("__shard"), F.col("__use.position").alias("__position"))
+    # positions are hashes: their upper bits part a shard evenly, so a shard is never one task's alone
+    uses = uses.repartition("__shard", F.shiftright("__position", 60)).sortWithinPartitions("__shard", "__position")
+    return uses.drop("__shard", "__position")
