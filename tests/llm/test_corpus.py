@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -59,6 +60,13 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
                 comp = {k: min(a, b) if v in (a, b) else v for k, v in comp.items()}
     assert {i: r.component_id for i, r in got.items()} == comp
     assert all(r.n_shingles == len(s[i]) and r.kept == (i == comp[i]) for i, r in got.items())
+    # one id with two texts, repeats, and ids of another type
+    long = " ".join(f"v{i}" for i in range(30000))
+    rows = [("b", BASE), ("a", BASE + " tail one"), ("b", "nothing alike"), ("c", "nothing alike"), ("c", "nothing alike"), ("d", long), ("e", long + " end"), ("f", None), ("f", "")]
+    odd = sketch_dedup.near_duplicates(spark.createDataFrame([(*r, 0) for r in rows], "doc_id string, text string, component_id int")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in odd) == [
+        ("a", 118, "a", True), ("b", 1, "b", True), ("b", 116, "a", False), ("c", 1, "b", False), ("c", 1, "b", False), ("d", 29996, "d", True), ("e", 29997, "d", False), ("f", 0, "f", True), ("f", 0, "f", True),
+    ]
     assert sketch_dedup.near_duplicates(none).count() == 0
     assert {r.component_id for r in sketch_dedup.near_duplicates(docs.where("doc_id is null")).collect()} == {None}
 
@@ -73,25 +81,44 @@ def test_joint_likelihood():
 
 def test_audio_round_trip(docs, none):
     media = telephony.store_audio(docs)
-    got = telephony.read_audio(media, with_pcm=True).collect()
+    got = telephony.read_audio(media, 16000).collect()
     want = sorted(hashlib.sha256(((t or "").encode() + bytes((-len((t or "").encode())) % 64 or (0 if t else 64)))).hexdigest() for _, t in TEXTS)
     assert sorted(r.payload_sha256 for r in got) == want
     assert all(len(r.pcm) == 4 * r.payload_bytes and r.tail_crc32 < 2**32 for r in got)
     assert telephony.read_audio(telephony.store_audio(none)).count() == 0
+    texts = {i: t for i, t in TEXTS}
+    for rate, rows in ((16000, got), (4000, telephony.read_audio(media).collect())):
+        for r in rows:  # features and samples by a plain loop over the payload
+            x = (texts[r.doc_id] or "").encode()
+            x += bytes(-len(x) % 64 or (0 if x else 64))
+            mu, al = [int(telephony.MU_LAW[b]) for b in x], [int(telephony.A_LAW[b]) for b in x]
+            pcm = [y for a, b in zip(mu, mu[1:] + mu[-1:]) for y in (a, (a + b) >> 1)] if rate == 16000 else [(a + b) >> 1 for a, b in zip(mu[::2], mu[1::2])]
+            peak, coded = 0, b""
+            for k in range(0, len(x), 64):
+                samples = scalar_adpcm(x[k : k + 64])
+                peak, coded = max([peak, *map(abs, samples)]), coded + struct.pack(f"<{len(samples)}h", *samples)
+            raw = struct.pack(f"<{len(pcm)}h", *pcm)
+            crossings = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
+            want = f"mu={sum(v * v for v in mu) // len(mu)},a={sum(v * v for v in al) // len(al)},zc={crossings},peak={peak},adpcm={zlib.crc32(coded):08x},pcm{rate}={zlib.crc32(raw):08x}"
+            assert bytes(r.pcm) == raw and r.feature == want
     assert telephony.MU_LAW[0xFF] == 0 and telephony.MU_LAW[0] == -32124 and telephony.A_LAW[0xD5] == 8
 
 
-def test_adpcm_follows_a_scalar_decoder():
-    block = np.frombuffer(bytes(random.Random(1).randrange(256) for _ in range(64)), np.uint8)
-    v, i = int(np.frombuffer(block[:2].tobytes(), "<i2")[0]), min(int(block[2]), 88)
+def scalar_adpcm(block):
+    v, i = struct.unpack("<h", block[:2])[0], min(block[2], 88)
     out = [v]
     for x in block[4:]:
-        for c in (int(x) & 15, int(x) >> 4):
+        for c in (x & 15, x >> 4):
             move = ((2 * (c & 7) + 1) * int(telephony.STEPS[i])) >> 3
             v = max(-32768, min(32767, v - move if c & 8 else v + move))
             i = max(0, min(88, i + int(telephony.INDEX[c])))
             out.append(v)
-    assert telephony.decode_adpcm(block[None, :])[0].tolist() == out
+    return out
+
+
+def test_adpcm_follows_a_scalar_decoder():
+    block = bytes(random.Random(1).randrange(256) for _ in range(64))
+    assert telephony.decode_adpcm(np.frombuffer(block, np.uint8)[None, :])[0].tolist() == scalar_adpcm(block)
 
 
 def test_secret_spans(spark, docs, none):
@@ -104,6 +131,26 @@ def test_secret_spans(spark, docs, none):
     assert secret_links.secret_spans(none).count() == 0
 
 
+def test_base_spans_match_brute_force(spark):
+    kinds = (("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
+    rng = random.Random(11)
+    bits = ["password", "Token", "API_KEY", "apikey", "secret", '"', "'", " ", "  ", ":", "=", "\n", "AKIA", "ABCDEF0123", "Z9", "0123456789abcdef", "dead", "xyz", "é漢😀", "abcdefghijkl", "https://h.example/p", "login: bob"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["0123456789abcdef " * 3000, "x" * 200000, None, ""]
+    rows = [(i, t, "n") for i, t in enumerate(texts)] + [(0, texts[1], "n"), (0, texts[0], "n")]
+    got = secret_links.secret_spans(spark.createDataFrame(rows, "doc_id int, text string, spans string").repartition(4)).collect()
+
+    def base(t):
+        found = [(m.start(), k, m.end(), name) for k, (name, p, g, n) in enumerate(kinds) for m in p.finditer(t or "") if len(m.group(g)) >= n]
+        return [sum(x[1] == k for x in found) for k in range(3)], [f"{name}:{a}:{b}" for a, _, b, name in sorted(found)]
+
+    assert len(got) == len(rows)
+    want = sorted((i, *base(t)[0], hashlib.sha256(",".join(base(t)[1]).encode()).hexdigest()) for i, t, _ in rows)
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    for r in got:
+        if r.doc_id:
+            assert set(base(texts[r.doc_id])[1]) <= set(r.spans.split(",")) | {""}
+
+
 def test_interval_join_matches_brute_force(spark):
     rng = random.Random(2)
     rows = [("k", s, s + rng.randint(3, 30), "x", rng.choice(["id", "secret"]), rng.random() < 0.7) for s in rng.sample(range(4000), 80)]
@@ -141,22 +188,41 @@ def test_html_table(spark):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(300):
-        ids = np.sort(rng.choice(50, 5, replace=False))
-        w = rng.random(5)
-        vectors.append((ids, w / np.sqrt((w**2).sum())))
+    make = lambda n: [(i, w / np.sqrt((w**2).sum())) for i, w in ((np.sort(rng.choice(50, 5, replace=False)), rng.random(5)) for _ in range(n))]
+    vectors = make(300)
+    vectors += vectors[:3]  # ties
+    order = toxic_knn._similar_together(vectors, 50)
+    assert sorted(order) == list(range(303))
+    vectors = [vectors[i] for i in order]
     index = toxic_knn.BlockMaxIndex(vectors, 50)
-    dense = np.zeros((300, 50))
+    dense = np.zeros((303, 50), np.float32)
     for i, (ids, w) in enumerate(vectors):
         dense[i, ids] = w
-    for ids, w in vectors[:40]:
-        e, s = index.nearest(ids, w, 10)
-        q = np.zeros(50)
+    queries = [*vectors[:40], *make(30), (np.zeros(0, np.int64), np.zeros(0))]
+    first = np.concatenate(([0], np.cumsum([len(v[0]) for v in queries])))
+    es, ss = index.nearest(np.concatenate([v[0] for v in queries]), np.concatenate([v[1] for v in queries]), first, 10)
+    for (ids, w), e, s in zip(queries, es, ss, strict=True):
+        q = np.zeros(50, np.float32)
         q[ids] = w
-        full = np.round(dense @ q, 12)
-        o = np.lexsort((np.arange(300), -full))[:10]
-        assert e.tolist() == o[full[o] > 0].tolist() and np.allclose(s, full[e])
+        full = dense @ q
+        top = np.sort(full)[::-1][:10]
+        assert np.allclose(s, top, atol=3e-6) and np.allclose(full[e[e >= 0]], s[e >= 0], atol=3e-6) and (e >= 0).sum() == (top > 0).sum()
+        assert all(a < b for a, b, x, y in zip(e, e[1:], s, s[1:], strict=False) if x == y and b >= 0)
+
+
+def test_term_counts_match_brute_force():
+    texts = ["the cat, the CATALOGUE: catalog", "", "été ÉTÉS  étéss x1yy 漢字", None, "a" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["a", "b"])
+    for _, data, ends in slices(toxic_knn._lower(iter([batch]))):
+        terms, counts, first = toxic_knn.term_counts(data, ends)
+    for k, t in enumerate(texts):
+        words = re.findall(r"[a-z\u0080-\U0010ffff]+", (t or "").lower())
+        want = {("w", w): words.count(w) for w in words}
+        for w in words:
+            if len(w) >= 5:
+                want["s", w[:5]] = want.get(("s", w[:5]), 0) + 1
+        assert sorted(counts[first[k] : first[k + 1]].tolist()) == sorted(want.values())
+    assert len(set(terms[first[0] : first[1]].tolist()) & set(terms[first[2] : first[3]].tolist())) == 0
 
 
 def labelled(spark, n=400):
@@ -176,8 +242,15 @@ def test_toxicity_held_out(spark, docs):
     held = [r for r in got if r.held_out]
     assert held and sum(r.predicted == r.toxic for r in held) / len(held) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(len(r.evidence) == len(r.similarity) and sorted(r.similarity, reverse=True) == r.similarity for r in got)
     edge = toxic_knn.toxicity_scores(docs, d.where("false").select("doc_id", "toxic")).collect()
-    assert len(edge) == len(TEXTS) and all(0 <= r.score <= 1 for r in edge)
+    assert len(edge) == len(TEXTS) and all(r.score == 0.5 for r in edge)
+    # ids of another type, repeated; columns that clash; a very long text; no rows
+    odd = d.select(F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("doc_id"), "text", "toxic", F.lit(1).alias("score"), F.lit(2).alias("held_out"))
+    more = odd.union(odd.limit(5)).union(odd.sparkSession.createDataFrame([("y", "c1 venomous " + "c2 c3 c4 " * 50000, 1, 1, 2), (None, None, 1, 1, 2)], odd.schema))
+    again = toxic_knn.toxicity_scores(more, odd, per_class=60).collect()
+    assert len(again) == d.count() + 7 and all(0 <= r.score <= 1 and (r.doc_id is None or all(e[0] == "x" for e in r.evidence)) for r in again)
+    assert toxic_knn.toxicity_scores(docs.where("false"), d).count() == 0
 
 
 def test_quality_held_out(spark, docs, none):
@@ -187,7 +260,19 @@ def test_quality_held_out(spark, docs, none):
     got = quality_rff.quality_scores(d, d).join(d.select("doc_id", "quality"), "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert held and all(r.predicted == r.quality for r in held)
-    assert quality_rff.quality_scores(docs, d).count() == len(TEXTS)
+    edge = quality_rff.quality_scores(docs.withColumn("score", F.lit(1)).withColumn("held_out", F.lit(1)), d).collect()
+    assert len(edge) == len(TEXTS) and len({r.score for r in edge if r.doc_id in (1, 2)}) == 1
+    assert {r.score for r in quality_rff.quality_scores(docs, d.where("false")).collect()} == {0.5}
+    # the same ridge regression solved at once, in one process
+    texts = [t for _, t, _ in rows]
+    ends = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    x, y = quality_rff.statistics(np.frombuffer("".join(texts).encode(), np.uint8), ends), np.array([q for *_, q in rows], dtype=float)
+    frame = spark.createDataFrame([(i, v.tolist(), float(w)) for i, (v, w) in enumerate(zip(x, y, strict=True))], "doc_id long, x array<double>, y double").repartition(5)
+    model = quality_rff.fit(frame, x.shape[1])
+    learnt = [r.doc_id for r in frame.where(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) != 0).collect()]
+    z = model.features(x[learnt])
+    beta = np.linalg.solve(z.T @ z + quality_rff.RIDGE * len(x) / z.shape[1] * np.eye(z.shape[1]), z.T @ y[learnt])
+    assert np.allclose(model.features(x) @ beta, model.raw(x), atol=1e-6)
     assert quality_rff.quality_scores(none, d.where("false")).count() == 0
     assert quality_rff.isotonic(np.arange(4.0), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4)).tolist() == [0, 0.5, 0.5, 1]
 
@@ -198,9 +283,13 @@ def test_line_dedup(spark, docs, none):
     assert set(got[1].asDict()) == {"doc_id", "text", "source", "size", "kept", "n_lines", "n_deleted", "deleted_lines"}
     assert line_runs.line_dedup(none).count() == 0
     rng = random.Random(8)
-    rows = [(i, "\n".join(f"this is a shared sentence number {rng.randrange(4)}" for _ in range(rng.randint(1, 12)))) for i in range(25)]
+    blank = lambda: rng.choice(["", " ", "\t", " \t ", "\r"])
+    odd = [("b", "a line that is long enough to be deleted by itself\t \nx"), ("c", "y\n  a line that is long enough to be deleted by itself"), (None, "z\na line that is long enough to be deleted by itself \r")]
+    odd = {r.doc_id: r.text for r in line_runs.line_dedup(spark.createDataFrame(odd + odd[1:2], "doc_id string, text string")).collect()}
+    assert odd == {"b": "x", "c": "y", None: "z\na line that is long enough to be deleted by itself \r"}
+    rows = [(i, "\n".join(blank() + f"this is a shared sentence number {rng.randrange(4)}" + blank() for _ in range(rng.randint(1, 12)))) for i in range(25)]
     out = {r.doc_id: list(r.deleted_lines) for r in line_runs.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=120).collect()}
-    seq = [t.split("\n") for _, t in rows]
+    seq = [[x.strip() for x in t.split("\n")] for _, t in rows]
     for d, lines in enumerate(seq):
         gone = set()
         for p in range(len(lines)):
@@ -215,6 +304,10 @@ def test_line_dedup(spark, docs, none):
             if sum(map(len, lines[p : p + best])) >= 120:
                 gone |= set(range(p, p + best))
         assert out[d] == sorted(gone)
+    # one very long text: the second half repeats the first
+    half = "\n".join(f"line number {i}" for i in range(3000))
+    long = line_runs.line_dedup(spark.createDataFrame([(1, half + "\n" + half)], "doc_id long, text string")).first()
+    assert long.text == half and list(long.deleted_lines) == list(range(3000, 6000))
 
 
 def test_bpe_equals_the_library(docs, none):
@@ -252,6 +345,9 @@ def test_mix(spark, docs, none):
     assert set(shards) == set(range(8)) and max(shards.count(k) for k in range(8)) - min(shards.count(k) for k in range(8)) <= 3
     assert source_mix.mix_sources(none).count() == 0
     assert source_mix.mix_sources(docs).count() == len(TEXTS)
+    bare = spark.createDataFrame([(None, f"w {k % 7} {k}", None) for k in range(60)] + [(1, "a b", "s")] * 4, "doc_id long, text string, source string")
+    bare = source_mix.mix_sources(bare).collect()  # null ids and repeats are blocks of their own
+    assert len(bare) == 64 and abs(sum(r.size * len(r.draws) for r in bare) - 188) <= 1 and {len(r.draws) for r in bare if r.source} == {3}
     capped = source_mix.source_targets(spark.createDataFrame([("a", 100), ("b", 10), ("c", 10)], "source string, size long")).collect()
     assert {r.source: round(r.target, 6) for r in capped} == {"a": 60.0, "b": 30.0, "c": 30.0}
 
@@ -264,7 +360,7 @@ def test_mix_goes_on_past_blocks_that_do_not_fit(spark, monkeypatch):
         rows += [(source, n) for n in [rng.randint(0, 140) if rng.random() < 0.9 else rng.randint(300, 3000) for _ in range(150)] + ([long] if long else [])]
     d = spark.createDataFrame([(i, " ".join(["w"] * n), source) for i, (source, n) in enumerate(rows)], "doc_id long, text string, source string")
     for seed in (1, 2):
-        got = source_mix.mix_sources(d, levels=3, seed=seed).withColumn("u", source_mix._unit(F.lit(seed), F.col("doc_id"), F.lit("block"))).collect()
+        got = source_mix.mix_sources(d, levels=3, seed=seed).withColumn("u", source_mix._unit(F.lit(seed), F.col("doc_id"), F.col("text_hash"), F.lit("block"))).collect()
         for source in ("a", "b", "c", None):
             own = sorted((r for r in got if r.source == source), key=lambda r: r.u)
             passes = int(own[0].target / own[0].source_size + 1e-12)
@@ -309,5 +405,10 @@ def test_exact_dedup(spark, docs, tmp_path):
             group = [i for i, t in TEXTS if norm(t) == text]
             assert r.keep_id == min(i for i in group if i is not None) and r.group_size == len(group) and r.kept == (r.doc_id == r.keep_id)
             assert r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    # one id with several texts, many times
+    rows = [(1, "same  text"), (1, "same text"), (2, "same text"), (1, "other"), (3, "other"), (3, "other")] * 3
+    docs.sparkSession.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, keep_id string").write.parquet(str(tmp_path / "r.parquet"))
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(spark, str(tmp_path / "r.parquet")).collect())
+    assert got == sorted([(1, 1, 9, True)] * 9 + [(2, 1, 9, False)] * 3 + [(3, 1, 9, False)] * 6)
     docs.where("false").write.parquet(str(tmp_path / "e.parquet"))
     assert exact_duplicates(spark, str(tmp_path / "e.parquet")).count() == 0
