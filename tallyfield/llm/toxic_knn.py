@@ -149,7 +149,8 @@ class Voter:
         self.name = [e[0] for e in index] + [None]
         self.y = np.array([e[3] for e in index] + [0], dtype=float)
         self.mass = np.array([class_weight[e[3]] for e in index] + [0.0])
-        self.index = BlockMaxIndex(vectors, len(terms))
+        self.vectors = [(t.astype(np.int32), w.astype(np.float32)) for t, w in vectors]
+        self.index = BlockMaxIndex(self.vectors, len(terms))
         total = self.mass.sum()
         self.rate = float((self.mass * self.y).sum() / total) if total else 0.5
         self.pull = 1e-3 * min(class_weight.values()) if class_weight else 1.0
@@ -165,6 +166,14 @@ class Voter:
                 self.knots = at / 50
                 self.levels = isotonic(self.knots, ones[at] / n[at], n[at])
 
+    def __getstate__(self) -> dict:
+        """Only the vectors travel; every worker builds the index from them, once."""
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.index = BlockMaxIndex(self.vectors, len(self.terms))
+
     def _own(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, w, _ = self._weigh(terms, counts, np.array([0, len(terms)]))
         return ids, w
