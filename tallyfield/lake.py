@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where none is set and Spark is one local process (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, at: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: what is used more than once is computed once."""
+    spark = df.sparkSession
+    at = at or new_folder(spark)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def has_table(spark: SparkSession, path: str) -> bool:
     """Whether the folder exists and holds a row."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,7 +79,7 @@ def archive_raw(spark: SparkSession, landing: str, manifest: str, source: str) -
     files = spark.read.format("binaryFile").load(landing).select("path", "length", F.sha2("content", 256).alias("sha256")).withColumn("source", F.lit(source))
     if has_table(spark, manifest):
         files = files.join(spark.read.parquet(manifest).select("source", "path", "sha256"), ["source", "path", "sha256"], "left_anti")
-    new = files.select("source", "path", "sha256", "length")
+    new = stored(files.select("source", "path", "sha256", "length"))  # what was new stays so once the manifest has it
     new.write.mode("append").parquet(manifest)
     return new
 

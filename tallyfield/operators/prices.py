@@ -5,58 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lake import shared_folder
 from .intervals import asof_join, ordinal_band, session_ordinals, valid_at, without_between
+from .subjects import parse_actions
 from .tables import keep_last
 
-_N = r"(\d+(?:\.\d+)?)"
-_RS = r"(?:(?:rs\.?|re\.?|inr)\s*-?\s*)*"
-# Fixed patterns of the exchange's wording: one per kind of action.
-BONUS = rf"bonus\s*(?:issue)?\s*-?\s*{_N}\s*:\s*{_N}"
-SPLIT = rf"(?:from|frm)?\s*{_RS}{_N}\s*(?:/-)?.*?\bto\s*{_RS}{_N}"
-RIGHTS = rf"rights\s*(?:issue)?\s*-?\s*{_N}\s*:\s*{_N}"
-PREMIUM = rf"@\s*(?:prem(?:ium)?\.?|prm\.?)?\s*{_RS}{_N}"
-DIVIDEND = rf"div(?:idend)?\s*-?\s*{_RS}{_N}"
-PERCENT = rf"div(?:idend)?\s*-?\s*{_N}\s*%"
-
-
-def parse_actions(actions: DataFrame, subject: str = "subject", face_value: Column | None = None) -> DataFrame:
-    """One row per component of each subject with kind, status, ratio and factor.
-
-    Components are separated by a slash that no dash follows, or by a plus between blanks. The tests'
-    order matters: instruments without a share ratio, unadjustable events, then bonus, split, rights,
-    dividend; what names no price event has no effect.
-    """
-    face = face_value if face_value is not None else F.lit(None).cast("double")
-    parts = F.split(F.trim(subject), r"\s*/(?!\s*-)\s*|\s+\+\s+")
-    rows = actions.select("*", F.posexplode(F.filter(parts, lambda x: F.length(F.trim(x)) > 0)).alias("part", "component"))
-    text = F.lower(F.trim("component"))
-    num = lambda p, g: F.regexp_extract(text, p, g).try_cast("double")
-    split_like, bonus, rights, dividend = text.rlike(r"split|splt|sub-?division|consolidat"), text.contains("bonus"), text.contains("rights"), text.rlike(r"dividend|\bdiv\b")
-    kind = (
-        F.when(bonus & text.rlike("debenture|ncrps|preference"), "bonus_debenture").when(text.rlike("de-?merger"), "demerger").when(text.rlike(r"amalgamation|\bmerger\b"), "amalgamation")
-        .when(text.rlike("capital reduction|reduction of capital"), "capital_reduction").when(text.rlike("scheme of arrangement"), "restructuring")
-        .when(bonus, "bonus").when(split_like & (num(SPLIT, 2) > num(SPLIT, 1)), "consolidation").when(split_like, "split").when(rights, "rights").when(dividend, "dividend").otherwise("other")
-    )
-    rows = rows.withColumn("kind", kind)
-    k = F.col("kind")
-    a = F.when(k == "bonus", num(BONUS, 1)).when(k == "rights", num(RIGHTS, 1))
-    b = F.when(k == "bonus", num(BONUS, 2)).when(k == "rights", num(RIGHTS, 2))
-    pct = num(PERCENT, 1)
-    cash = F.when(k == "dividend", F.when(pct.isNotNull(), pct / 100 * face).otherwise(num(DIVIDEND, 1)))
-    rows = rows.withColumns({"ratio_new": a, "ratio_held": b, "from_fv": F.when(k.isin("split", "consolidation"), num(SPLIT, 1)), "to_fv": F.when(k.isin("split", "consolidation"), num(SPLIT, 2)), "rights_premium": F.when(k == "rights", num(PREMIUM, 1)), "dividend_per_share": cash})
-    c = F.col
-    good = (
-        F.when(k == "bonus", (c("ratio_new") > 0) & (c("ratio_held") > 0)).when(k.isin("split", "consolidation"), (c("from_fv") > 0) & (c("to_fv") > 0) & (c("from_fv") != c("to_fv")))
-        .when(k == "rights", c("ratio_new").isNotNull()).when(k == "dividend", c("dividend_per_share").isNotNull())
-    )
-    status = (
-        F.when(k.isin("bonus_debenture", "demerger", "amalgamation", "capital_reduction", "restructuring"), "unadjustable").when(k == "other", "no_price_effect")
-        .when((k == "rights") & text.rlike("partly paid|ccps|debenture|warrant|preference"), "unadjustable").when(~F.coalesce(good, F.lit(False)), "unparsed").when((k == "rights") & c("rights_premium").isNull(), "unadjustable").otherwise("parsed")
-    )
-    factor = F.when((k == "bonus") & (c("status") == "parsed"), c("ratio_held") / (c("ratio_new") + c("ratio_held"))).when(k.isin("split", "consolidation") & (c("status") == "parsed"), c("to_fv") / c("from_fv"))
-    return rows.withColumn("status", status).withColumn("price_factor", factor)
-
-
 def rights_factor(prior: Column, ratio_new: Column, ratio_held: Column, issue: Column) -> Column:
     """Theoretical ex-rights price over the prior close, at most 1."""
     return F.least(F.lit(1.0), F.try_divide((ratio_held * prior + ratio_new * issue) / (ratio_held + ratio_new), prior))
@@ -104,7 +57,7 @@ def continuity_check(bars: DataFrame, factors: DataFrame, breaks: DataFrame, max
     return both.select("company_id", "ex_date", raw.alias("raw_move"), adj.alias("adj_move"), (F.abs(adj) <= 0.20 + 0.10 / (F.col("c0") * F.col("price_factor"))).alias("passed"))
 
 
-def build_universe(prices: DataFrame, size: int = 500, window: int = 126, share: float = 0.8) -> DataFrame:
+def build_universe(prices: DataFrame, size: int = 500, window: int = 126, share: float = 0.9) -> DataFrame:
     """Per month the `size` companies of largest median traded value over the `window` sessions before it."""
     ordinals = session_ordinals(prices)
     months = ordinals.groupBy(F.date_format("trade_date", "yyyy-MM").alias("month")).agg(F.min("n").alias("n0")).where(F.col("n0") > window)
@@ -133,9 +86,7 @@ def propagate_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
     both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
     sc = edges.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(edges.sparkSession))
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).select(F.col("u").alias("node"), "c")
     for _ in range(rounds):
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("c").alias("near"))

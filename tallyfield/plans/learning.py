@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import lake
@@ -20,9 +17,7 @@ KEYS = ["company_id", "trade_date"]
 NAMES = ["ret_5", "ret_20", "vol_20", "sma_gap_20"]
 
 
-def folder(spark) -> str:
-    """A new folder in the cluster's shared place; a temporary one only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/run-{uuid.uuid4().hex}"
+folder = lake.new_folder
 
 
 def samples(s, d):
