@@ -98,12 +98,19 @@ def missed_events(issued: DataFrame, labels: DataFrame, keys: list[str]) -> Data
     return happened.agg(F.count("*").alias("events")).crossJoin(flagged.agg(F.count("*").alias("flagged"))).withColumn("missed", c("events") - c("flagged"))
 
 
-def audit_health(scores: DataFrame, attempts: DataFrame, latest: DataFrame) -> DataFrame:
-    """Worst and mean score, unresolved failures and retried partitions, in one row."""
+def audit_health(scores: DataFrame, attempts: DataFrame, latest: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """One row: worst and mean score, unresolved failures, failed attempts since made good, runs, open quarantine by severity.
+
+    `quarantine` has (severity, resolved_at); open rows have no resolved_at.
+    """
     a = scores.agg(F.min("score").alias("worst"), F.round(F.avg("score"), 4).alias("mean"))
-    b = latest.agg(F.count(F.when(c("status") == "failed", 1)).alias("unresolved"))
-    r = attempts.groupBy("source_id", "partition_key").count().where("count > 1").agg(F.count("*").alias("retried"))
-    return a.crossJoin(b).crossJoin(r)
+    failed = F.count(F.when(c("status") == "failed", 1))
+    b = latest.agg(failed.alias("unresolved"))
+    r = attempts.agg(failed.alias("failed"), F.count("*").alias("runs"))
+    open_ = lambda s: F.count(F.when(c("resolved_at").isNull() & (c("severity") == s), 1))
+    q = quarantine.agg(open_("BLOCK").alias("open_block"), open_("WARN").alias("open_warn"))
+    # four one-row tables side by side
+    return a.crossJoin(b).crossJoin(r).crossJoin(q).withColumn("retried", c("failed") - c("unresolved")).drop("failed")
 
 
 def proposals(cards: DataFrame, least: int) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.rolling import average_rank, finite, last_rows, median, ordered, ratio, rolling
 from .intervals import asof_join, overlapping
 
+#: Days ahead beyond which the nearest results date no longer tells.
+AHEAD = 45
 RETURNS = (1, 3, 5, 10, 20, 60, 120, 250)
 
 
@@ -110,10 +112,18 @@ def event_features(samples: DataFrame, meetings: DataFrame, filings: DataFrame,
     first = filings.groupBy("company_id", "period_to").agg(F.min("published_at").alias("published_at"))
     since = asof_join(s, first, "company_id", "at", "published_at", ["period_to"])
     since = since.select("company_id", "trade_date", F.least(F.datediff("trade_date", F.col("matched_published_at").cast("date")), F.lit(200)).alias("days_since_results"))
-    # meetings announced by then and still to come; the residual join keeps to one company's rows
-    m = meetings.where("is_results").select(F.col("company_id").alias("k"), "meeting_date", F.col("announced_at").cast("timestamp_ntz").alias("announced_at"))
-    known = s.join(m, (F.col("company_id") == F.col("k")) & (F.col("announced_at") <= F.col("at")) & (F.col("meeting_date") > F.col("trade_date")))
-    ahead = known.groupBy("company_id", "trade_date").agg(F.least(F.min(F.datediff("meeting_date", "trade_date")), F.lit(45)).alias("results_ahead_days"))
+    # meetings known by then and still to come: each is told to the days of its last weeks, where the nearest one
+    # counts; further ahead it only matters that there is one, which a running count of known meetings tells
+    known = F.col("announced_at").cast("timestamp_ntz")
+    told = F.when(F.date_format(known, "HH:mm:ss.SSSSSS") <= "20:00:00.000000", known.cast("date")).otherwise(F.date_add(known.cast("date"), 1))
+    m = meetings.where("is_results").select("company_id", "meeting_date", told.alias("told")).where("told < meeting_date")
+    near = m.select("company_id", "meeting_date", F.explode(F.sequence(F.greatest(F.col("told"), F.date_sub("meeting_date", AHEAD)), F.date_sub("meeting_date", 1))).alias("trade_date"))
+    near = near.groupBy("company_id", "trade_date").agg(F.min(F.datediff("meeting_date", "trade_date")).alias("near"))
+    steps = m.select("company_id", F.explode(F.array(F.struct(F.col("told").alias("trade_date"), F.lit(1).alias("step")), F.struct(F.col("meeting_date").alias("trade_date"), F.lit(-1).alias("step")))).alias("x")).select("company_id", "x.*", F.lit(False).alias("own"))
+    upto = Window.partitionBy("company_id").orderBy("trade_date", "own").rowsBetween(Window.unboundedPreceding, 0)
+    both = steps.unionByName(samples.select("company_id", "trade_date", F.lit(0).alias("step"), F.lit(True).alias("own"))).withColumn("open", F.sum("step").over(upto))
+    ahead = both.where("own").select("company_id", "trade_date", "open").distinct().join(near, ["company_id", "trade_date"], "left")
+    ahead = ahead.select("company_id", "trade_date", F.when(F.col("open") > 0, F.least(F.coalesce("near", F.lit(AHEAD)), F.lit(AHEAD))).alias("results_ahead_days"))
     # the session that can first react: the same day up to 15:30, else the next one
     day = F.when(F.date_format("published_at", "HH:mm:ss") <= "15:30:00", F.col("published_at").cast("date")).otherwise(F.date_add(F.col("published_at").cast("date"), 1))
     w = Window.partitionBy("company_id").orderBy("trade_date")

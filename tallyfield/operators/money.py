@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import asof_join
+
 # Fixed rates of the fee and tax schedule.
 RATES = {"brokerage": 0.0, "stt": 0.001, "stamp_buy": 0.00015, "exchange": 0.0000307, "sebi": 0.000001, "dp_sell": 15.34, "gst": 0.18}
 TAX = {"short": 0.20, "long": 0.125}
@@ -56,19 +58,30 @@ def ledger_violations(txns: DataFrame) -> DataFrame:
     return signed(txns).withColumn("held", F.sum("signed").over(w)).where("held < 0").select("account", "company_id", "txn_id", "held")
 
 
+def without_violations(txns: DataFrame) -> DataFrame:
+    """Transactions of the (account, company) pairs that never sold more than they held."""
+    return txns.join(ledger_violations(txns).select(*KEY).distinct(), list(KEY), "left_anti")
+
+
 def fifo_matches(txns: DataFrame) -> DataFrame:
     """Oldest-first matches of sells to buys as overlaps of cumulative quantities (no quantity events).
 
-    Each buy covers an interval of the account's bought units and each sell one of its sold units; what
-    overlaps is matched. A buy is matched whether it comes before or after the sell, so callers exclude
-    accounts with violations. Joined on (account, company) with an inequality, not as a product.
+    Each buy covers an interval of the pair's bought units and each sell one of its sold units. The ends of all
+    intervals cut the line into pieces; a piece belongs to the buy and to the sell that end next, which one
+    window over the ends tells, so the work grows with the number of transactions. A buy is matched whether
+    it comes before or after the sell, so callers exclude pairs with violations.
     """
-    side = lambda s, p: txns.where(F.col("side") == s).select(*KEY, F.col("txn_id").alias(f"{p}_id"), F.col("trade_date").alias(f"{p}_date"), F.col("price").alias(f"{p}_price"), F.coalesce(F.sum("quantity").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{p}_from"), F.sum("quantity").over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias(f"{p}_to"))
-    b, s = side("BUY", "buy"), side("SELL", "sell")
-    cond = [*[b[k] == s[k] for k in KEY], b.buy_from < s.sell_to, s.sell_from < b.buy_to]
-    j = b.join(s, cond).drop(*[s[k] for k in KEY])
-    n = F.least("buy_to", "sell_to") - F.greatest("buy_from", "sell_from")
-    return j.select(*KEY, "buy_id", "sell_id", "buy_date", "sell_date", n.alias("quantity"), (n * F.col("buy_price")).alias("cost"), (n * F.col("sell_price")).alias("proceeds"))
+    mine = Window.partitionBy(*KEY, "side").orderBy("trade_date", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda s: F.when(F.col("side") == s, F.struct("txn_id", "trade_date", "price"))
+    ends = txns.where("quantity > 0").select(*KEY, F.sum("quantity").over(mine).alias("end"), of("BUY").alias("b"), of("SELL").alias("s"))
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    j = ends.select(*KEY, "end", F.last("b", True).over(ahead).alias("b"), F.last("s", True).over(ahead).alias("s"))
+    n = F.col("end") - F.coalesce(F.lag("end").over(Window.partitionBy(*KEY).orderBy("end")), F.lit(0))
+    j = j.withColumn("quantity", n).where("quantity > 0 and b is not null and s is not null")
+    return j.select(
+        *KEY, F.col("b.txn_id").alias("buy_id"), F.col("s.txn_id").alias("sell_id"), F.col("b.trade_date").alias("buy_date"), F.col("s.trade_date").alias("sell_date"),
+        "quantity", (F.col("quantity") * F.col("b.price")).alias("cost"), (F.col("quantity") * F.col("s.price")).alias("proceeds"),
+    )
 
 
 def open_lots(txns: DataFrame) -> DataFrame:
@@ -79,37 +92,59 @@ def open_lots(txns: DataFrame) -> DataFrame:
     return out.where("left > 0").select(*KEY, "txn_id", "trade_date", "price", F.col("left").alias("quantity"))
 
 
-def fifo_with_events(txns: DataFrame, events: DataFrame) -> DataFrame:
-    """Open lots when quantity events (ratio, applied to open lots, floored) come before same-day trades.
+def fifo_ledger(txns: DataFrame, events: DataFrame, strict: bool = False) -> DataFrame:
+    """(account, company_id, kind, txn_id, sell_id, bought, sold, quantity, cost, proceeds): the exact ledger.
 
-    Order within an account and company matters, so each group is folded in one task; groups are small.
+    Quantity events (company_id, ex_date, ratio) come before the day's trades and change open lots only,
+    rounded down; a lot's cost stays. kind: `open` what is left of a buy; `sold` what a sell took of it, with cost
+    and proceeds in proportion and charges (a column, 0 if absent) in both; `short` what a sell found no lot
+    for, which is an error if `strict`. The order within an account and company matters, so each pair's rows are one array, folded
+    by a native aggregate; a pair's transactions are few, however many pairs there are.
     """
-    a = txns.select(*KEY, "trade_date", F.lit(1).alias("rank"), "txn_id", "side", F.col("quantity").cast("double").alias("amount"), F.col("price").cast("double").alias("price"))
-    e = events.join(txns.select(*KEY).distinct(), "company_id").select(*KEY, F.col("ex_date").alias("trade_date"), F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("txn_id"), F.lit("EVENT").alias("side"), F.col("ratio").cast("double").alias("amount"), F.lit(0.0).alias("price"))
-
-    def fold(pdf):
-        import math
-
-        import pandas as pd
-
-        lots: list = []
-        for day, _, txn, side, amount, price in sorted(zip(*(pdf[c].tolist() for c in ("trade_date", "rank", "txn_id", "side", "amount", "price")), strict=True)):
-            if side == "EVENT":
-                lots = [(i, d, p / amount, math.floor(q * amount)) for i, d, p, q in lots]
-            elif side == "BUY":
-                lots.append((txn, day, price, int(amount)))
-            else:
-                need = int(amount)
-                while need and lots:
-                    i, d, p, q = lots[0]
-                    take = min(q, need)
-                    need -= take
-                    lots = ([(i, d, p, q - take)] if q > take else []) + lots[1:]
-        acc, com = pdf["account"].iloc[0], pdf["company_id"].iloc[0]
-        return pd.DataFrame([(acc, com, i, d, p, q) for i, d, p, q in lots if q > 0], columns=["account", "company_id", "txn_id", "trade_date", "price", "quantity"])
-
-    kind = dict(txns.dtypes)
-    return a.unionByName(e).groupBy(*KEY).applyInPandas(fold, f"account {kind['account']}, company_id {kind['company_id']}, txn_id long, trade_date date, price double, quantity long")
+    fee = F.col("charges").cast("double") if "charges" in txns.columns else F.lit(0.0)
+    a = txns.select(*KEY, "trade_date", F.lit(1).alias("rank"), "txn_id", "side", F.col("quantity").cast("double").alias("amount"), F.col("price").cast("double").alias("price"), fee.alias("fee"))
+    e = events.join(txns.select(*KEY).distinct(), "company_id").select(*KEY, F.col("ex_date").alias("trade_date"), F.lit(0).alias("rank"), F.lit(-1).cast("long").alias("txn_id"), F.lit("EVENT").alias("side"), F.col("ratio").cast("double").alias("amount"), F.lit(0.0).alias("price"), F.lit(0.0).alias("fee"))
+    per = a.unionByName(e).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("trade_date", "rank", "txn_id", "side", "amount", "price", "fee"))).alias("rows"))
+    row = "struct<kind:string,txn_id:bigint,sell_id:bigint,bought:date,sold:date,quantity:double,cost:double,proceeds:double>"
+    none = F.expr(f"cast(array() as array<{row}>)")
+
+    def lot(kind, buy, sell_id, bought, sold, quantity, cost, proceeds) -> Column:
+        parts = (F.lit(kind) if isinstance(kind, str) else kind, buy, sell_id, bought, sold, quantity, cost, proceeds)
+        return F.struct(*[x.alias(n) for x, n in zip(parts, ("kind", "txn_id", "sell_id", "bought", "sold", "quantity", "cost", "proceeds"), strict=True)]).cast(row)
+
+    no_id, no_day, no_sum = F.lit(None).cast("long"), F.lit(None).cast("date"), F.lit(None).cast("double")
+
+    def sell(s: Column, t: Column) -> Column:
+        """Takes from the open lots in turn; what no lot covers becomes a `short` row."""
+        net = F.try_divide(t["amount"] * t["price"] - t["fee"], t["amount"])
+
+        def step(z: Column, x: Column) -> Column:
+            take = F.least(z["need"], x["quantity"])
+            share = F.try_divide(take, x["quantity"])
+            left = lot("open", x["txn_id"], no_id, x["bought"], no_day, x["quantity"] - take, x["cost"] * (1 - share), no_sum)
+            gone = lot("sold", x["txn_id"], t["txn_id"], x["bought"], t["trade_date"], take, x["cost"] * share, net * take)
+            return F.struct((z["need"] - take).alias("need"), F.when(x["quantity"] > take, F.array_append(z["lots"], left)).otherwise(z["lots"]).alias("lots"), F.when(take > 0, F.array_append(z["done"], gone)).otherwise(z["done"]).alias("done"))
+
+        after = F.aggregate(s["lots"], F.struct(t["amount"].alias("need"), none.alias("lots"), s["done"].alias("done")), step)
+        short = lot("short", no_id, t["txn_id"], no_day, t["trade_date"], after["need"], no_sum, net * after["need"])
+        return F.struct(after["lots"].alias("lots"), F.when(after["need"] > 0, F.array_append(after["done"], short)).otherwise(after["done"]).alias("done"))
+
+    def fold(s: Column, t: Column) -> Column:
+        grown = F.transform(s["lots"], lambda x: lot("open", x["txn_id"], no_id, x["bought"], no_day, F.floor(x["quantity"] * t["amount"]).cast("double"), x["cost"], no_sum))
+        bought = lot("open", t["txn_id"], no_id, t["trade_date"], no_day, t["amount"], t["amount"] * t["price"] + t["fee"], no_sum)
+        return F.when(t["side"] == "EVENT", F.struct(grown.alias("lots"), s["done"].alias("done"))).when(t["side"] == "BUY", F.struct(F.array_append(s["lots"], bought).alias("lots"), s["done"].alias("done"))).otherwise(sell(s, t))
+
+    state = F.aggregate("rows", F.struct(none.alias("lots"), none.alias("done")), fold, lambda s: F.concat(s["lots"], s["done"]))
+    out = per.select(*KEY, F.explode(state).alias("x")).select(*KEY, "x.*").withColumn("quantity", F.col("quantity").cast("long")).where("quantity > 0")
+    if strict:
+        out = out.withColumn("kind", F.when(F.col("kind") == "short", F.raise_error(F.format_string("sell %d exceeds the holding", "sell_id"))).otherwise(F.col("kind")))
+    return out
+
+
+def fifo_with_events(txns: DataFrame, events: DataFrame) -> DataFrame:
+    """Open lots of the exact ledger: (account, company_id, txn_id, trade_date, price, quantity), price being the cost a unit."""
+    lots = fifo_ledger(txns, events).where("kind = 'open'")
+    return lots.select(*KEY, "txn_id", F.col("bought").alias("trade_date"), (F.col("cost") / F.col("quantity")).alias("price"), "quantity")
 
 
 def value_portfolio(lots: DataFrame, prices: DataFrame, today: str) -> DataFrame:
@@ -150,6 +185,36 @@ def benchmark_same_flows(flows: DataFrame, index: DataFrame) -> DataFrame:
     return j.withColumn("units", F.sum(F.try_divide("flow", "nifty500")).over(w)).withColumn("value", F.col("units") * F.col("nifty500"))
 
 
+def time_weighted(history: DataFrame) -> DataFrame:
+    """`history` with `index`: the product of all growth so far; 0 from a total loss on."""
+    by = Window.partitionBy("account").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.max((F.coalesce("growth", F.lit(1.0)) <= 0).cast("int")).over(by) == 1
+    logs = F.sum(F.when(F.col("growth") > 0, F.ln("growth")).otherwise(0.0)).over(by)
+    return history.withColumn("index", F.when(lost, 0.0).otherwise(F.exp(logs)))
+
+
+def audit_money(history: DataFrame, index: DataFrame, matches: DataFrame, orders: DataFrame, start: str, end: str) -> DataFrame:
+    """Per account, over a period: time-weighted return, that of an index fund fed the same flows, realised gain, charges paid, worst fall.
+
+    `matches` are sold lots (sell_date, cost, proceeds), `orders` have charges (trade_date, total).
+    """
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    within = lambda c: F.col(c).between(a, b)
+    h = time_weighted(history).join(benchmark_same_flows(history.select("account", "trade_date", "flow"), index).select("account", "trade_date", F.col("value").alias("fund")), ["account", "trade_date"])
+    h = h.where(F.col("trade_date") <= b)
+    inside = within("trade_date")
+    before = F.max_by(F.when(~inside, F.struct("index", "fund")), F.when(~inside, F.col("trade_date")))
+    running = Window.partitionBy("account", "inside").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("inside", inside).withColumn("fall", F.try_divide("index", F.max("index").over(running)) - 1)
+    per = h.groupBy("account").agg(before.alias("x0"), F.max_by(F.struct("index", "fund"), "trade_date").alias("x1"), F.sum(F.when(F.col("inside"), F.col("flow"))).alias("flows"), F.min(F.when(F.col("inside"), F.col("fall"))).alias("max_drawdown"), F.max("inside").alias("any")).where("any")
+    base, fund0 = F.coalesce("x0.index", F.lit(1.0)), F.coalesce("x0.fund", F.lit(0.0))
+    bench = F.when(fund0 > 0, (F.col("x1.fund") - F.col("flows")) / fund0 - 1).otherwise(F.try_divide("x1.fund", "flows") - 1)
+    per = per.select("account", (F.try_divide(F.col("x1.index"), base) - 1).alias("twr"), bench.alias("benchmark"), "max_drawdown")
+    gain = matches.where(within("sell_date")).groupBy("account").agg(F.sum(F.col("proceeds") - F.col("cost")).alias("realised"))
+    fees = orders.where(within("trade_date")).groupBy("account").agg(F.sum("total").alias("charges"))
+    return per.join(gain, "account", "left").join(fees, "account", "left").fillna(0.0, ["realised", "charges"])
+
+
 def xirr(flows: DataFrame, steps: int = 60) -> DataFrame:
     """(account, xirr) of dated flows (negative: paid in) by bisection on [-0.99, 10]; null without a sign change.
 
@@ -165,25 +230,37 @@ def xirr(flows: DataFrame, steps: int = 60) -> DataFrame:
 
 
 def performance(history: DataFrame) -> DataFrame:
-    """(account, twr, max_drawdown, contributed, final) of a value history."""
+    """(account, final, contributed, twr, twr_annual, max_drawdown, xirr) of a value history."""
     by = Window.partitionBy("account").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    h = history.where("growth is null or growth > 0").withColumn("index", F.exp(F.sum(F.ln(F.coalesce("growth", F.lit(1.0)))).over(by)))
-    h = h.withColumn("fall", F.col("index") / F.max("index").over(by) - 1)
-    return h.groupBy("account").agg((F.max_by("index", "trade_date") - 1).alias("twr"), F.min("fall").alias("max_drawdown"), F.sum("flow").alias("contributed"), F.max_by("value", "trade_date").alias("final"))
-
-
-def barrier_outcomes(picks: DataFrame, bars: DataFrame, window: int = 5, gain: float = 0.1, loss: float = 0.1) -> DataFrame:
-    """First of target, stop or time in the sessions after a pick, filled at the next open after slippage."""
+    h = time_weighted(history)
+    h = h.withColumn("fall", F.try_divide("index", F.max("index").over(by)) - 1)
+    years = F.greatest(F.datediff(F.max("trade_date"), F.min("trade_date")) / 365.25, F.lit(1e-9))
+    per = h.groupBy("account").agg(
+        F.max_by("value", "trade_date").alias("final"), F.sum("flow").alias("contributed"), (F.max_by("index", "trade_date") - 1).alias("twr"),
+        (F.pow(F.max_by("index", "trade_date"), 1 / years) - 1).alias("twr_annual"), F.min("fall").alias("max_drawdown"), F.max("trade_date").alias("last"),
+    )
+    paid = history.where("flow <> 0").select("account", "trade_date", (-F.col("flow")).alias("flow"))
+    rates = xirr(paid.unionByName(per.select("account", F.col("last").alias("trade_date"), F.col("final").alias("flow"))))
+    return per.drop("last").join(rates, "account", "left")
+
+
+def barrier_outcomes(picks: DataFrame, bars: DataFrame, window: int = 5, gain: float = 0.1, stop_atr: float = 2.0, quantity: int = 100) -> DataFrame:
+    """First of target, stop (entry less `stop_atr` times the pick's atr) or time in the sessions after a pick.
+
+    Entry and exit fill at the next open, with slippage and charges on `quantity` shares; each pick stands alone.
+    """
     w = Window.partitionBy("company_id").orderBy("trade_date")
-    n = bars.withColumns({"n": F.row_number().over(w), "next_open": F.lead("open").over(w)})
+    n = bars.select("company_id", "trade_date", "open", "close", F.row_number().over(w).alias("n"), F.lead("open").over(w).alias("next_open"))
     at = picks.join(n.select("company_id", "trade_date", "n", F.col("next_open").alias("entry")), ["company_id", "trade_date"]).where("entry is not null")
-    ahead = at.select("company_id", "trade_date", "entry", F.explode(F.sequence(F.col("n") + 1, F.col("n") + window)).alias("n"), F.col("n").alias("n0"))
+    ahead = at.select("company_id", "trade_date", "entry", "atr", F.explode(F.sequence(F.col("n") + 1, F.col("n") + window)).alias("n"), F.col("n").alias("n0"))
     j = ahead.join(n.select("company_id", "n", "close", "next_open"), ["company_id", "n"])
-    kind = F.when(F.col("close") >= F.col("entry") * (1 + gain), "target").when(F.col("close") <= F.col("entry") * (1 - loss), "stop").when(F.col("n") - F.col("n0") == window, "time")
+    kind = F.when(F.col("close") >= F.col("entry") * (1 + gain), "target").when(F.col("close") <= F.col("entry") - stop_atr * F.col("atr"), "stop").when(F.col("n") - F.col("n0") == window, "time")
     hit = j.withColumn("kind", kind).where("kind is not null")
     best = hit.groupBy("company_id", "trade_date", "entry").agg(F.min_by(F.struct("kind", "close", "next_open"), "n").alias("x"))
     slip = SLIPPAGE_BPS / 10000
-    return best.select("company_id", "trade_date", "x.kind", (F.coalesce("x.next_open", "x.close") * (1 - slip) / (F.col("entry") * (1 + slip)) - 1).alias("ret"))
+    paid, got = quantity * F.col("entry") * (1 + slip), quantity * F.coalesce("x.next_open", "x.close") * (1 - slip)
+    buy, sell = charge_columns(F.lit("BUY"), paid)["total"], charge_columns(F.lit("SELL"), got)["total"]
+    return best.select("company_id", "trade_date", "x.kind", ((got - sell) / (paid + buy) - 1).alias("ret"))
 
 
 def net_edge(gain: Column, spend: Column) -> Column:
@@ -198,12 +275,20 @@ def accumulated_budget(txns: DataFrame, weekly: float, today: str) -> DataFrame:
     return last.select("account", (weekly * F.greatest(F.lit(1), F.floor(F.datediff(F.lit(today).cast("date"), "last_buy") / 7))).alias("budget"))
 
 
+def peaks_since(starts: DataFrame, bars: DataFrame) -> DataFrame:
+    """`starts` (company_id, bought, ...) with the peak close and the number of sessions from that day on.
+
+    Both are suffix aggregates of a company's bars, so one as-of join at the start finds them.
+    """
+    ahead = Window.partitionBy("company_id").orderBy(F.desc("trade_date")).rowsBetween(Window.unboundedPreceding, 0)
+    tails = bars.select("company_id", "trade_date", F.max("close").over(ahead).alias("peak_close"), F.count("*").over(ahead).alias("sessions_held"))
+    return asof_join(starts, tails, "company_id", "bought", "trade_date", ["peak_close", "sessions_held"], "forward").where("sessions_held is not null").drop("matched_trade_date")
+
+
 def holding_states(lots: DataFrame, prices: DataFrame, bars: DataFrame, today: str) -> DataFrame:
     """Per holding: cost per share, last close, peak and sessions since the first buy, profit if sold."""
     v = value_portfolio(lots, prices, today)
-    first = lots.groupBy(*KEY).agg(F.min("trade_date").alias("bought"))
-    b = bars.select(F.col("company_id").alias("k"), F.col("trade_date").alias("day"), "close")
-    since = first.join(b, (F.col("company_id") == F.col("k")) & (F.col("day") >= F.col("bought"))).groupBy(*KEY).agg(F.max("close").alias("peak_close"), F.count("*").alias("sessions_held"))
+    since = peaks_since(lots.groupBy(*KEY).agg(F.min("trade_date").alias("bought")), bars)
     out = v.join(since, list(KEY)).join(prices.select("company_id", F.col("close").alias("last_close")), "company_id")
     fees = charge_columns(F.lit("SELL"), F.col("value"))["total"]
     return out.withColumns({"cost_per_share": F.col("cost") / F.col("quantity"), "net_profit_if_sold": F.col("value") - F.col("cost") - fees - F.coalesce("tax", F.lit(0.0))})

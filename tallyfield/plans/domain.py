@@ -31,15 +31,6 @@ def r6(df, *cols):
     return df.select(*[F.round(x, 6).alias(x) if kinds[x] == "double" else F.col(x) for x in (cols or df.columns)])
 
 
-# validation, calendar, coverage
-DAY = lambda: F.lit("1996-03-01").cast("date")
-register("c01_validate_prices", lambda s, d: ql.validate_prices(fx.px(s, d).where("trade_date between '1996-03-01' and '1996-03-02'").withColumn("px", F.when(F.col("l_linenumber") != 7, F.col("px"))), DAY(), 10**9, ["px"], ["company_id", "trade_date"]), with_views("px") + """, x AS (SELECT company_id, trade_date, CASE WHEN l_linenumber <> 7 THEN px END AS px FROM px WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-02')
-SELECT * FROM (SELECT 'date_mismatch' AS rule, 'BLOCK' AS severity, count(*) FILTER (WHERE trade_date <> DATE '1996-03-01') AS n FROM x UNION ALL SELECT 'required_nulls', 'BLOCK', count(*) FILTER (WHERE px IS NULL) FROM x UNION ALL SELECT 'too_few_rows', 'BLOCK', count(*) FROM x
-UNION ALL SELECT 'duplicate_keys', 'BLOCK', count(*) FROM (SELECT 1 FROM x GROUP BY company_id, trade_date HAVING count(*) > 1) y) z WHERE n > 0""")
-register("c02_validate_delivery", lambda s, d: ql.validate_delivery(t(s, d, "lineitem").select((F.col("l_quantity") * (1 + F.col("l_tax"))).alias("deliverable_qty"), (F.col("l_quantity") - 2).alias("qty_traded"))), "SELECT * FROM (SELECT 'deliverable_over_traded' AS rule, 'WARN' AS severity, count(*) FILTER (WHERE l_quantity * (1 + l_tax) > l_quantity - 2) AS n FROM lineitem UNION ALL SELECT 'negative', 'BLOCK', count(*) FILTER (WHERE l_quantity < 2) FROM lineitem) x WHERE n > 0")
-register("c03_validate_index", lambda s, d: ql.validate_index(t(s, d, "nation").select(F.concat(F.lit("Idx "), (F.col("n_nationkey") % 20).cast("string")).alias("index_name"), F.when(F.col("n_nationkey") != 9, F.col("n_nationkey").cast("double")).alias("close")), ["idx 1", "idx 7", "idx 90"]), """WITH x AS (SELECT lower(concat('Idx ', CAST(n_nationkey % 20 AS VARCHAR))) AS name, count(*) AS n, count(*) FILTER (WHERE n_nationkey = 9) AS nulls FROM nation GROUP BY 1)
-SELECT * FROM (SELECT 'core_repeated' AS rule, 'BLOCK' AS severity, count(*) FILTER (WHERE name IN ('idx 1', 'idx 7', 'idx 90') AND n > 1) AS n FROM x UNION ALL SELECT 'repeated', 'WARN', count(*) FILTER (WHERE name NOT IN ('idx 1', 'idx 7', 'idx 90') AND n > 1) FROM x UNION ALL SELECT 'null_close', 'WARN', count(*) FILTER (WHERE nulls > 0) FROM x UNION ALL SELECT 'core_missing', 'BLOCK', 3 - count(*) FILTER (WHERE name IN ('idx 1', 'idx 7', 'idx 90')) FROM x) y WHERE n > 0""")
-register("c04_validate_actions", lambda s, d: ql.validate_actions(fx.factors(s, d).select(F.when(F.col("price_factor") != 0.5, F.col("company_id")).alias("company_id"), "ex_date"), "1996-07"), with_views("factors") + "SELECT * FROM (SELECT 'null_key' AS rule, 'BLOCK' AS severity, count(*) FILTER (WHERE price_factor = 0.5) AS n FROM factors UNION ALL SELECT 'outside_month', 'WARN', count(*) FILTER (WHERE strftime(ex_date, '%Y-%m') <> '1996-07') FROM factors) x WHERE n > 0")
 
 
 def some_sessions(s, d):
@@ -61,8 +52,6 @@ se AS (SELECT DISTINCT partition_key AS day FROM attempts WHERE job_run_id % 9 =
 SELECT partition_key AS day FROM l GROUP BY 1 HAVING bool_and(status = 'not_available') AND isodow(partition_key) < 6 AND partition_key < (SELECT max(day) FROM se) AND partition_key NOT IN (SELECT day FROM se) AND partition_key NOT IN (SELECT day FROM li)""")
 register("c07_calendar_status", lambda s, d: ql.calendar_status(s, "2024-01-01", "2024-03-31", some_sessions(s, d), listed(s, d)), with_views("attempts") + """, d AS (SELECT CAST(x AS DATE) AS day FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-04-01', INTERVAL 1 DAY) r(x))
 SELECT day, CASE WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 9 = 0) THEN 'session' WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 501 = 0) THEN 'holiday' WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'expected' END AS status FROM d""")
-register("c21_coverage", lambda s, d: ql.coverage(fx.attempts(s, d)), LATEST + "SELECT source_id, year(partition_key) AS year, count(*) FILTER (WHERE status = 'success') AS loaded, count(*) FILTER (WHERE status = 'not_available') AS no_file, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS partitions, round(100 * count(*) FILTER (WHERE status = 'success') / count(*), 2) AS loaded_pct FROM latest GROUP BY 1, 2")
-register("c57_audit_health", lambda s, d: dc.audit_health(fx.market(s, d).select(F.col("nifty500").alias("score")), fx.attempts(s, d), ql.latest_attempts(fx.attempts(s, d))).select(F.round("worst", 6).alias("worst"), "mean", "unresolved", "retried"), LATEST.replace("WITH attempts", with_views("market").rstrip() + ", attempts", 1) + "SELECT (SELECT round(min(nifty500), 6) FROM market) AS worst, (SELECT round(avg(nifty500), 4) FROM market) AS mean, (SELECT count(*) FROM latest WHERE status = 'failed') AS unresolved, (SELECT count(*) FROM (SELECT 1 FROM attempts GROUP BY source_id, partition_key HAVING count(*) > 1) x) AS retried")
 
 # identity, actions, adjustment
 register("c08_symbol_map", lambda s, d: pr.symbol_segments(fx.symbol_changes(s, d), pr.propagate_labels), with_views("symbol_changes") + """
@@ -116,18 +105,6 @@ u AS (SELECT month, company_id, median(value_inr) AS median_value_inr, count(*)
 uni AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY median_value_inr DESC, company_id) AS rank FROM u) x WHERE rank <= 10)
 """
 register("c17_build_universe", lambda s, d: universe(s, d).select("month", "company_id", F.round("median_value_inr", 4).alias("median_value_inr"), "sessions_traded", "as_of", "rank"), UNI + "SELECT month, company_id, round(median_value_inr, 4) AS median_value_inr, sessions_traded, as_of, rank FROM uni")
-register("c18_price_flags", lambda s, d: ql.price_flags(fx.bars(s, d), fx.factors(s, d), cont(s, d)).select("company_id", "from_date", "to_date", "check", "severity"), CONT + """, g AS (SELECT company_id, trade_date, close / lag(close) OVER w AS raw, lag(close) OVER w AS prior, lag(trade_date) OVER w AS prev_date, trade_date - lag(trade_date) OVER w AS gap FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)),
-q AS (SELECT * FROM g WHERE prev_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM factors f WHERE f.company_id = g.company_id AND f.ex_date = g.trade_date))
-SELECT company_id, trade_date AS from_date, trade_date AS to_date, 'ohlc' AS check, 'BLOCK' AS severity FROM bars WHERE least(open, high, low, close) <= 0 OR high < low - 1e-6 OR greatest(open, close) > high + 1e-6 OR least(open, close) < low - 1e-6 OR volume < 0
-UNION ALL SELECT company_id, prev_date, trade_date, 'unexplained_split', 'BLOCK' FROM q WHERE raw <= 0.55 AND prior >= 10 AND gap <= 10 AND list_min([abs(raw - 0.5) / 0.5, abs(raw - 1/3) / (1/3), abs(raw - 0.25) / 0.25, abs(raw - 0.2) / 0.2, abs(raw - 0.1) / 0.1, abs(raw - 0.4) / 0.4]) <= 0.03
-UNION ALL SELECT company_id, prev_date, trade_date, 'large_move', 'WARN' FROM q WHERE abs(raw - 1) > 0.4 AND gap <= 10 UNION ALL SELECT company_id, prev_date, trade_date, 'long_gap', 'WARN' FROM g WHERE gap > 30 UNION ALL SELECT company_id, ex_date, ex_date, 'continuity', 'WARN' FROM cont WHERE NOT passed""")
-score = lambda s, d: ql.quality_score(universe(s, d), fx.bars(s, d), fx.flags(s, d), fx.market(s, d).where("vix is not null"))
-SCORE = UNI.replace(with_views("bars"), with_views("bars", "market", "flags")) + """, ss AS (SELECT DISTINCT trade_date, strftime(trade_date, '%Y-%m') AS month FROM bars), mem AS (SELECT trade_date, company_id FROM ss JOIN uni USING (month)),
-dy AS (SELECT m.trade_date, count(*) AS members, count(b.company_id) AS priced, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM flags f WHERE f.severity = 'BLOCK' AND f.company_id = m.company_id AND m.trade_date BETWEEN f.from_date AND f.to_date)) AS blocked, count(b.delivery_pct) AS delivered FROM mem m LEFT JOIN bars b ON b.trade_date = m.trade_date AND b.company_id = m.company_id GROUP BY 1),
-sc AS (SELECT d.trade_date, members, priced, blocked, round(35 * least(greatest(priced / members / 0.95, 0), 1) + 25 * least(greatest((1 - blocked / members) / 0.90, 0), 1) + 15 + 15 * least(greatest(CASE WHEN priced = 0 THEN 0 ELSE delivered / priced END / 0.90, 0), 1) + 10 * CASE WHEN k.vix IS NOT NULL THEN 1 ELSE 0 END, 2) AS score FROM dy d LEFT JOIN market k ON k.trade_date = d.trade_date)
-"""
-register("c19_quality_score", score, SCORE + "SELECT * FROM sc")
-register("c20_quality_gate", lambda s, d: r6(ql.quality_gate(score(s, d), cont(s, d), fx.factors(s, d).where("price_factor = 0.5").select("company_id", "ex_date"))), SCORE.replace(with_views("bars", "market", "flags"), with_views("bars", "market", "flags", "breaks"), 1) + CONT[len(with_views("factors", "breaks")):] + ", q AS (SELECT (SELECT avg(CAST(passed AS DOUBLE)) FROM cont) AS continuous, (SELECT coalesce(bool_and(coalesce(c.passed, false)), true) FROM factors f LEFT JOIN cont c ON c.company_id = f.company_id AND c.ex_date = f.ex_date WHERE f.price_factor = 0.5) AS known_ok, (SELECT avg(CAST(score >= 95 AS DOUBLE)) FROM sc) AS good_days, (SELECT max_by(score, trade_date) FROM sc) AS latest) SELECT round(continuous, 6) AS continuous, known_ok, round(good_days, 6) AS good_days, latest, continuous >= 0.98 AND known_ok AND good_days >= 0.95 AND latest >= 95 AS passed FROM q")
 
 # samples
 register("c22_weekly_dates", lambda s, d: ft.weekly_dates(fx.bars(s, d)), with_views("bars") + "SELECT CAST(date_trunc('week', trade_date) AS DATE) AS week, max(trade_date) AS trade_date FROM bars GROUP BY 1")
@@ -148,30 +125,12 @@ register("c33_order_charges", lambda s, d: mn.order_charges(fx.txns(s, d)).selec
 register("c34_term_and_tax", lambda s, d: fx.txns(s, d).select("txn_id", mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date")).alias("long_term"), F.round(mn.estimated_tax(F.round(F.col("price") - 1400, 0), mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date"))), 2).alias("tax")), with_views("txns") + ", x AS (SELECT txn_id, DATE '1997-03-01' > CASE WHEN month(trade_date) = 2 AND day(trade_date) = 29 THEN CAST(trade_date + INTERVAL 1 YEAR AS DATE) + 1 ELSE CAST(trade_date + INTERVAL 1 YEAR AS DATE) END AS long_term, round(price - 1400, 0) AS g FROM txns) SELECT txn_id, long_term, CASE WHEN g <= 0 THEN 0 ELSE round(g * CASE WHEN long_term THEN 0.125 ELSE 0.20 END, 2) END AS tax FROM x")
 CUM = with_views("txns") + ", c AS (SELECT *, sum(quantity) OVER (PARTITION BY account, company_id, side ORDER BY trade_date, txn_id) AS upto FROM txns), b AS (SELECT * FROM c WHERE side = 'BUY'), s AS (SELECT * FROM c WHERE side = 'SELL')\n"
 register("c35_fifo_lots", lambda s, d: mn.fifo_matches(fx.txns(s, d)).select("account", "company_id", "buy_id", "sell_id", "quantity", F.round("cost", 7).alias("cost"), F.round("proceeds", 7).alias("proceeds")), CUM + "SELECT b.account, b.company_id, b.txn_id AS buy_id, s.txn_id AS sell_id, CAST(least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity) AS BIGINT) AS quantity, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * b.price, 7) AS cost, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * s.price, 7) AS proceeds FROM b JOIN s ON b.account = s.account AND b.company_id = s.company_id AND b.upto - b.quantity < s.upto AND s.upto - s.quantity < b.upto")
-register("c35_fifo_with_events", lambda s, d: r6(mn.fifo_with_events(fx.txns(s, d), fx.factors(s, d).where("price_factor = 0.5").select("company_id", "ex_date", F.lit(2.0).alias("ratio")))))
 register("c36_validate_ledger", lambda s, d: mn.ledger_violations(fx.txns(s, d)), with_views("txns") + "SELECT * FROM (SELECT account, company_id, txn_id, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY account, company_id ORDER BY trade_date, txn_id) AS BIGINT) AS held FROM txns) x WHERE held < 0")
 LOTS = CUM.rstrip() + ", sold AS (SELECT account, company_id, sum(quantity) AS sold FROM txns WHERE side = 'SELL' GROUP BY 1, 2), lots AS (SELECT b.account, b.company_id, b.txn_id, b.trade_date, b.price, least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) AS quantity FROM b LEFT JOIN sold USING (account, company_id) WHERE least(b.quantity, greatest(b.upto - coalesce(sold, 0), 0)) > 0), lp AS (SELECT company_id, max_by(close, trade_date) AS close, max(trade_date) AS price_date FROM (SELECT company_id, trade_date, max_by(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS close FROM px GROUP BY 1, 2) q GROUP BY 1)\n"
 lots = lambda s, d: mn.open_lots(fx.txns(s, d))
 latest = lambda s, d: mn.latest_prices(fx.bars(s, d))
 register("c37_value_portfolio", lambda s, d: mn.value_portfolio(lots(s, d), latest(s, d), "2001-01-01").select("account", "company_id", "quantity", F.round("cost", 8).alias("cost"), F.round("value", 8).alias("value"), F.round("weight", 6).alias("weight"), "over_cap", "stale"), LOTS + ", v AS (SELECT account, l.company_id, CAST(sum(quantity) AS BIGINT) AS quantity, sum(quantity * price) AS cost, sum(quantity * close) AS value, max(price_date) AS pd FROM lots l JOIN lp ON lp.company_id = l.company_id GROUP BY 1, 2) SELECT account, company_id, quantity, round(cost, 8) AS cost, round(value, 8) AS value, round(value / sum(value) OVER (PARTITION BY account), 6) AS weight, round(value / sum(value) OVER (PARTITION BY account) * 100, 1) > 15 AS over_cap, pd < DATE '2000-12-25' AS stale FROM v")
 register("c38_latest_prices", latest, with_views("bars") + "SELECT company_id, close, prev_close, trade_date AS price_date FROM (SELECT *, lag(close) OVER (PARTITION BY company_id ORDER BY trade_date) AS prev_close, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS rn FROM bars) x WHERE rn = 1")
-few = lambda s, d: fx.txns(s, d).where("side = 'BUY'").withColumn("account", F.col("account") % 20)
-HIST = with_views("txns", "bars") + """, mv AS (SELECT account % 20 AS account, company_id, trade_date, sum(quantity) AS move, sum(quantity * price) AS flow FROM txns WHERE side = 'BUY' GROUP BY 1, 2, 3), fi AS (SELECT account, company_id, min(trade_date) AS first FROM mv GROUP BY 1, 2),
-g AS (SELECT f.account, f.company_id, b.trade_date, b.close, coalesce(m.flow, 0) AS flow, sum(coalesce(m.move, 0)) OVER (PARTITION BY f.account, f.company_id ORDER BY b.trade_date) AS held FROM fi f JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= first LEFT JOIN mv m ON m.account = f.account AND m.company_id = f.company_id AND m.trade_date = b.trade_date),
-h AS (SELECT account, trade_date, sum(held * close) AS value, sum(flow) AS flow FROM g GROUP BY 1, 2)
-"""
-register("c39_value_history", lambda s, d: mn.value_history(few(s, d), fx.bars(s, d)).select("account", "trade_date", F.round("value", 5).alias("value"), F.round("flow", 5).alias("flow")), HIST + "SELECT account, trade_date, round(value, 5) AS value, round(flow, 5) AS flow FROM h")
-flows = lambda s, d: few(s, d).groupBy("account", "trade_date").agg(F.sum(F.col("quantity") * F.col("price")).alias("flow"))
-FLOW = ", fl AS (SELECT account % 20 AS account, trade_date, sum(quantity * price) AS flow FROM txns WHERE side = 'BUY' GROUP BY 1, 2)\n"
-register("c40_benchmark_same_flows", lambda s, d: mn.benchmark_same_flows(flows(s, d), fx.market(s, d)).select("account", "trade_date", F.round("units", 4).alias("units")), with_views("txns", "market") + FLOW + "SELECT account, trade_date, round(sum(flow / nifty500) OVER (PARTITION BY account ORDER BY trade_date), 4) AS units FROM fl JOIN market USING (trade_date)")
-paid = lambda s, d: fx.txns(s, d).where("side = 'BUY'").groupBy("account", "trade_date").agg(F.sum(F.col("quantity") * F.col("price")).alias("flow"))
-register("c41_xirr", lambda s, d: mn.xirr(paid(s, d).withColumn("flow", -F.col("flow")).unionByName(paid(s, d).groupBy("account").agg(F.date_add(F.max("trade_date"), 400).alias("trade_date"), (F.sum("flow") * 1.2).alias("flow")))).select("account", F.round("xirr", 5).alias("xirr")))
-register("c42_performance", lambda s, d: mn.performance(mn.value_history(few(s, d), fx.bars(s, d))).select("account", F.round("contributed", 2).alias("contributed"), F.round("twr", 5).alias("twr"), F.round("max_drawdown", 5).alias("max_drawdown")), HIST + ", gr AS (SELECT *, CASE WHEN lag(value) OVER w > 0 THEN (value - flow) / lag(value) OVER w END AS growth FROM h WINDOW w AS (PARTITION BY account ORDER BY trade_date)), ix AS (SELECT *, exp(sum(ln(coalesce(growth, 1))) OVER (PARTITION BY account ORDER BY trade_date)) AS i FROM gr WHERE growth IS NULL OR growth > 0), dd AS (SELECT *, i / max(i) OVER (PARTITION BY account ORDER BY trade_date) - 1 AS fall FROM ix) SELECT account, round(sum(flow), 2) AS contributed, round(max_by(i, trade_date) - 1, 5) AS twr, round(min(fall), 5) AS max_drawdown FROM dd GROUP BY 1")
-picks = lambda s, d: fx.bars(s, d).where(F.dayofmonth("trade_date") % 5 == 0).select(*KEYS)
-BARRIER = with_views("bars") + """, n AS (SELECT *, row_number() OVER w AS n, lead(open) OVER w AS next_open FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)), p AS (SELECT * FROM n WHERE day(trade_date) % 5 = 0 AND next_open IS NOT NULL),
-j AS (SELECT p.company_id, p.trade_date, p.next_open AS entry, x.n, x.close, x.next_open AS fill, CASE WHEN x.close >= p.next_open * 1.1 THEN 'target' WHEN x.close <= p.next_open * 0.9 THEN 'stop' WHEN x.n - p.n = 5 THEN 'time' END AS kind FROM p JOIN n x ON x.company_id = p.company_id AND x.n BETWEEN p.n + 1 AND p.n + 5)
-SELECT company_id, trade_date, kind, round(coalesce(fill, close) * (1 - 0.0015) / (entry * (1 + 0.0015)) - 1, 6) AS ret FROM j WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_id, trade_date ORDER BY n) = 1"""
-register("c43_barrier_outcomes", lambda s, d: r6(mn.barrier_outcomes(picks(s, d), fx.bars(s, d))), BARRIER)
 MONEY = "SELECT c / 10.0 AS cutoff, avg(expected_gain) - 0.4 AS xirr, avg(expected_gain) - 0.41 AS xirr_stress, -c / 20.0 AS max_drawdown, count(*) AS years, count(*) FILTER (WHERE label) AS won FROM range(1, 10) g(c) JOIN scored ON p >= c / 10.0 GROUP BY c"
 
 
@@ -183,7 +142,7 @@ def money_results(s, d):
 
 register("c44_judge_money", lambda s, d: r6(dc.judge_money(money_results(s, d), 0.09, -0.2), "cutoff", "xirr", "beats", "ok"), with_views("scored") + f", r AS ({MONEY}), b AS (SELECT *, xirr > 0.09 AS beats FROM r) SELECT cutoff, round(xirr, 6) AS xirr, beats, beats AND xirr_stress > 0.09 AND max_drawdown >= -0.3 AND won / years >= 0.6 AND (coalesce(lag(beats) OVER (ORDER BY cutoff), false) OR coalesce(lead(beats) OVER (ORDER BY cutoff), false)) AS ok FROM b")
 register("c64_accumulated_budget", lambda s, d: mn.accumulated_budget(fx.txns(s, d), 2000.0, "2001-01-01"), with_views("txns") + "SELECT account, 2000.0 * greatest(1, floor((DATE '2001-01-01' - max(trade_date)) / 7)) AS budget FROM txns WHERE side = 'BUY' GROUP BY 1")
-register("c70_holding_states", lambda s, d: mn.holding_states(lots(s, d), latest(s, d), fx.bars(s, d), "2001-01-01").select("account", "company_id", F.round("cost_per_share", 8).alias("cost_per_share"), "last_close", "peak_close", "sessions_held"), with_views("txns", "bars") + LOTS[len(with_views("txns")):] + ", fs AS (SELECT account, company_id, min(trade_date) AS bought, sum(quantity * price) / sum(quantity) AS cps FROM lots GROUP BY 1, 2) SELECT f.account, f.company_id, round(cps, 8) AS cost_per_share, lp.close AS last_close, max(b.close) AS peak_close, count(*) AS sessions_held FROM fs f JOIN lp ON lp.company_id = f.company_id JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY 1, 2, cps, lp.close")
+register("c70_holding_states", lambda s, d: mn.holding_states(lots(s, d), latest(s, d), fx.bars(s, d), "2001-01-01").select("account", "company_id", F.round(F.col("cost_per_share") + 1e-10, 8).alias("cost_per_share"), "last_close", "peak_close", "sessions_held"), with_views("txns", "bars") + LOTS[len(with_views("txns")):] + ", fs AS (SELECT account, company_id, min(trade_date) AS bought, sum(quantity * price) / sum(quantity) AS cps FROM lots GROUP BY 1, 2) SELECT f.account, f.company_id, round(cps + 1e-10, 8) AS cost_per_share, lp.close AS last_close, max(b.close) AS peak_close, count(*) AS sessions_held FROM fs f JOIN lp ON lp.company_id = f.company_id JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY 1, 2, cps, lp.close")
 
 # decisions
 
@@ -222,7 +181,6 @@ register("c55_missed_events", lambda s, d: dc.missed_events(issued(s, d), truth(
 EDGES = (0.1, 0.2, 0.3, 0.5, 0.7)
 _band = lambda op: " + ".join(f"CAST(p {op} {e} AS INT)" for e in EDGES)
 register("c56_live_calibration", lambda s, d: r6(ev.calibration_table(fx.scored(s, d), EDGES, left_closed=False)), with_views("scored") + f"SELECT CAST({_band('>')} AS BIGINT) AS band, count(*) AS n, round(avg(p), 6) AS stated, round(avg(CAST(label AS DOUBLE)), 6) AS observed FROM scored GROUP BY 1")
-register("c58_audit_money", lambda s, d: few(s, d).agg(F.round(F.sum(F.col("quantity") * F.col("price")), 1).alias("paid"), F.count("*").alias("orders")).crossJoin(mn.performance(mn.value_history(few(s, d), fx.bars(s, d))).agg(F.round(F.min("max_drawdown"), 5).alias("worst_drawdown"))), HIST + ", gr AS (SELECT *, CASE WHEN lag(value) OVER w > 0 THEN (value - flow) / lag(value) OVER w END AS growth FROM h WINDOW w AS (PARTITION BY account ORDER BY trade_date)), ix AS (SELECT *, exp(sum(ln(coalesce(growth, 1))) OVER (PARTITION BY account ORDER BY trade_date)) AS i FROM gr WHERE growth IS NULL OR growth > 0), dd AS (SELECT i / max(i) OVER (PARTITION BY account ORDER BY trade_date) - 1 AS fall FROM ix) SELECT (SELECT round(sum(quantity * price), 1) FROM txns WHERE side = 'BUY') AS paid, (SELECT count(*) FROM txns WHERE side = 'BUY') AS orders, (SELECT round(min(fall), 5) FROM dd) AS worst_drawdown")
 register("c59_proposals", lambda s, d: dc.proposals(dc.scorecards(issued(s, d), truth(s, d), ["row_id"]), 30), CARDS + "SELECT signal, CASE WHEN matured < 30 THEN concat('keep ', signal, ': too few results') WHEN correct / matured < 0.5 THEN concat('switch off ', signal) ELSE concat('keep ', signal) END AS proposal FROM k")
 alerts = lambda s, d: t(s, d, "events").select(F.col("event_id").alias("alert_id"), "ts", F.col("event_type").alias("kind"), F.concat_ws("-", "event_type", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("dedupe_key"))
 register("c61_alert_admission", lambda s, d: dc.alert_admission(alerts(s, d), 50, ("purchase",), ("login",)).select("alert_id", "verdict"), "WITH a AS (SELECT event_id AS alert_id, ts, event_type AS kind, concat_ws('-', event_type, CAST(user_id AS VARCHAR), CAST(CAST(ts AS DATE) AS VARCHAR)) AS k FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, alert_id) = 1 AS first, date_trunc('week', ts) AS wk FROM a), c AS (SELECT *, sum(CASE WHEN kind NOT IN ('login', 'purchase') AND first THEN 1 ELSE 0 END) OVER (PARTITION BY wk ORDER BY ts, alert_id ROWS UNBOUNDED PRECEDING) AS used FROM b) SELECT alert_id, CASE WHEN kind = 'login' THEN 'disabled' WHEN NOT first THEN 'duplicate' WHEN kind <> 'purchase' AND used > 50 THEN 'capped' ELSE 'sent' END AS verdict FROM c")

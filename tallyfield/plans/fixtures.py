@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,10 +70,22 @@ def scored(spark, d):
     )
 
 
+def numbered(rows: DataFrame, order: tuple[str, ...], bucket: Column, name: str) -> DataFrame:
+    """`rows` with consecutive numbers in `order`: a row's number in its bucket, after the rows of all earlier buckets.
+
+    Buckets follow the order, so no task holds more than one bucket, or one row for each bucket.
+    """
+    rows = rows.withColumn("__bucket", bucket)
+    sizes = rows.groupBy("__bucket").count()
+    before = sizes.select("__bucket", F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    return rows.withColumn("__n", inside).join(before, "__bucket").withColumn(name, (F.col("__before") + F.col("__n")).cast("long")).drop("__bucket", "__before", "__n")
+
+
 def txns(spark, d):
-    """Transactions; ids are dense ranks of the line items, so this one window is over the whole table's keys."""
+    """Transactions; ids number the line items from the first order on, in buckets of 65,536 order keys."""
     p, o = px(spark, d), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    out = p.join(o, p.l_orderkey == o.o_orderkey).withColumn("txn_id", F.row_number().over(Window.orderBy(*ORDER)).cast("long"))
+    out = numbered(p.join(o, p.l_orderkey == o.o_orderkey), ORDER, F.shiftright("l_orderkey", 16), "txn_id")
     return out.select("txn_id", F.col("o_custkey").alias("account"), "company_id", "trade_date", F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").cast("long").alias("quantity"), F.col("px").alias("price"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import features as ft
+from ..operators import money as mn
 from . import fixtures as fx
 from .sqltext import with_views
 
@@ -188,21 +189,18 @@ register("w35_calendar_year_return", lambda s, d: yearly_returns(fx.bars(s, d)),
 
 def w36(s, d):
     first = fx.txns(s, d).where("side = 'BUY'").groupBy("account", "company_id").agg(F.min("trade_date").alias("bought"))
-    b = fx.bars(s, d).select(F.col("company_id").alias("c"), "trade_date", "close")
-    j = first.join(b, (F.col("company_id") == F.col("c")) & (F.col("trade_date") >= F.col("bought")))
-    return j.groupBy("account", "company_id").agg(F.round(F.max("close"), 6).alias("peak"), F.count("*").alias("sessions_held"))
+    return mn.peaks_since(first, fx.bars(s, d)).select("account", "company_id", F.round("peak_close", 6).alias("peak"), "sessions_held")
 
 
 register("w36_peak_since_buy", w36, with_views("txns", "bars") + ", f AS (SELECT account, company_id, min(trade_date) AS bought FROM txns WHERE side = 'BUY' GROUP BY 1, 2) SELECT account, f.company_id, round(max(close), 6) AS peak, count(*) AS sessions_held FROM f JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY 1, 2")
 
 
 def w37(s, d):
-    b = fx.bars(s, d)
-    days = b.select("trade_date").distinct()
-    companies = b.select("company_id").distinct()
-    # every company on every session: a product of two dimensions, of which the smaller one is a list of companies
-    grid = days.crossJoin(companies).join(b.select(*KEYS, "close"), KEYS, "left")
-    return grid.select(*KEYS, F.last("close", ignorenulls=True).over(PEAK()).alias("close"))
+    """Every company on every session: a company's missing sessions are exploded from the list of all, which its first row carries."""
+    b = fx.bars(s, d).select(*KEYS, "close")
+    all_days = b.agg(F.array_sort(F.collect_set("trade_date")).alias("days"))  # one row, a date for each session
+    grid = b.groupBy("company_id").agg(F.min("trade_date").alias("first")).join(F.broadcast(all_days)).select("company_id", F.explode("days").alias("trade_date"))
+    return grid.join(b, KEYS, "left").select(*KEYS, F.last("close", ignorenulls=True).over(PEAK()).alias("close"))
 
 
 register("w37_carry_forward", w37, with_views("bars") + "SELECT company_id, trade_date, last_value(close IGNORE NULLS) OVER (PARTITION BY company_id ORDER BY trade_date) AS close FROM (SELECT c.company_id, t.trade_date, b.close FROM (SELECT DISTINCT company_id FROM bars) c CROSS JOIN (SELECT DISTINCT trade_date FROM bars) t LEFT JOIN bars b ON b.company_id = c.company_id AND b.trade_date = t.trade_date) g")
