@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives lost executors. `level` is that of zstd."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyfield_path = path
     return out

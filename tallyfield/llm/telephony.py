@@ -158,7 +158,7 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, media): each text's UTF-8 bytes, padded, as a mu-law WAV file in a table of the shared folder."""
     rows = narrow(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(_write, f"doc_id {kind}, media binary"), "media")
+    return materialize(rows.mapInArrow(_write, f"doc_id {kind}, media binary"), "media", level=9)
 
 
 def read_audio(media: DataFrame, rate: int = RATE // 2) -> DataFrame:
@@ -171,5 +171,5 @@ def read_audio(media: DataFrame, rate: int = RATE // 2) -> DataFrame:
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    stored = materialize(media.select("doc_id", "media").mapInArrow(_reader(rate), schema), "pcm")
+    stored = materialize(media.select("doc_id", "media").mapInArrow(_reader(rate), schema), "pcm", level=9)
     return stored.withColumn("feature", F.format_string(f"%s,pcm{rate}=%08x", "feature", F.crc32("pcm")))
