@@ -26,12 +26,13 @@ def auc(preds: DataFrame, by: list[str] | None = None, score: str = "p", label:
     return out.select(*by, F.try_divide(F.col("r") - F.col("p1") * (F.col("p1") + 1) / 2, F.col("p1") * F.col("p0")).alias("auc"))
 
 
-def average_precision(preds: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
+def average_precision(preds: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Precision at each distinct score, weighted by the positives found there."""
-    per = preds.where(F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
+    by = by or []
+    per = preds.where(F.col(label).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
     per = per.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
-    return per.agg(F.try_divide(F.sum(F.col("precision") * F.col("pos")), F.sum("pos")).alias("ap"))
+    return per.groupBy(*by).agg(F.try_divide(F.sum(F.col("precision") * F.col("pos")), F.sum("pos")).alias("ap"))
 
 
 def brier(preds: DataFrame) -> DataFrame:

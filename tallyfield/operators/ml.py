@@ -12,7 +12,12 @@ from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .evaluate import auc
+from ..functions.rolling import average_rank
+from ..lake import stored
+from .evaluate import auc, average_precision
+
+#: The members of a group: their calibrated probabilities are averaged.
+MEMBERS = ("gbt", "forest", "logistic", "deep_forest", "ridge")
 
 
 def make_folds(spark: SparkSession, first_test: str, last: str, calib_quarters: int = 4, embargo_days: int = 14) -> DataFrame:
@@ -39,8 +44,9 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
     data = train.where(F.col(label).isNotNull()).withColumns({"y": F.col(label).cast("double"), "w": F.when(F.col(label), 0.5 / max(rate, 1e-6)).otherwise(0.5 / max(1 - rate, 1e-6))})
     common = dict(featuresCol="vector", labelCol="y", weightCol="w")
-    model = {"gbt": lambda: GBTClassifier(maxIter=8, maxDepth=3, seed=7, **common), "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=7, **common), "logistic": lambda: LogisticRegression(maxIter=20, **common)}[kind]()
-    return Pipeline(stages=[*_prepare(features, kind == "logistic"), model]).fit(data)
+    model = {"gbt": lambda: GBTClassifier(maxIter=8, maxDepth=3, seed=7, **common), "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=7, **common), "logistic": lambda: LogisticRegression(maxIter=20, **common),
+             "deep_forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=8, minInstancesPerNode=20, seed=11, **common), "ridge": lambda: LogisticRegression(maxIter=20, regParam=0.1, **common)}[kind]()
+    return Pipeline(stages=[*_prepare(features, kind in ("logistic", "ridge")), model]).fit(data)
 
 
 def scores(model, df: DataFrame, name: str = "raw_p") -> DataFrame:
@@ -60,31 +66,52 @@ def calibrated(model, calibrator, df: DataFrame, name: str = "p") -> DataFrame:
     return out.select(*df.columns, name)
 
 
-def walk_forward(samples: DataFrame, folds: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = ("gbt",)) -> DataFrame:
+def group_scores(train: DataFrame, calib: DataFrame, test: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = MEMBERS, calibrate: bool = True) -> DataFrame:
+    """`test` with `p`: the mean of the members' probabilities, each member calibrated on `calib` by itself."""
+    scored = test
+    for k in kinds:
+        model = fit_classifier(train, features, label, k)
+        scored = calibrated(model, fit_calibrator(model, calib, label), scored, f"p_{k}") if calibrate else scores(model, scored, f"p_{k}")
+    return scored.withColumn("p", reduce(lambda a, b: a + b, [F.col(f"p_{k}") for k in kinds]) / len(kinds)).drop(*[f"p_{k}" for k in kinds])
+
+
+def walk_forward(samples: DataFrame, folds: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = ("gbt",), calibrate: bool = True) -> DataFrame:
     """Out-of-sample predictions of all folds; with several kinds their calibrated mean. Folds loop on the
-    driver (a short list); every fit and prediction is distributed."""
+    driver (a short list); every fit and prediction is distributed. Folds without a positive to learn from
+    or to calibrate on are left out."""
     out = []
     roles = assign_folds(samples, folds)
-    for f in sorted(r.fold for r in folds.select("fold").collect()):
+    seen = {(r.fold, r.role): r for r in roles.groupBy("fold", "role").agg(F.count("*").alias("n"), F.count(F.when(F.col(label), 1)).alias("pos")).collect()}
+    for f in sorted({fold for fold, _ in seen}):
+        if any((f, r) not in seen or r != "test" and not seen[f, r].pos for r in ("train", "calib", "test")):
+            continue
         part = roles.where(F.col("fold") == f)
         train, calib, test = (part.where(F.col("role") == r).drop("role") for r in ("train", "calib", "test"))
-        if train.where(F.col(label)).isEmpty() or calib.where(F.col(label)).isEmpty() or test.isEmpty():
-            continue
-        scored = test
-        for k in kinds:
-            model = fit_classifier(train, features, label, k)
-            scored = calibrated(model, fit_calibrator(model, calib, label), scored, f"p_{k}")
-        mean = reduce(lambda a, b: a + b, [F.col(f"p_{k}") for k in kinds]) / len(kinds)
-        out.append(scored.withColumn("p", mean))
+        out.append(group_scores(train, calib, test, features, label, kinds, calibrate))
     if not out:
         return samples.limit(0).withColumns({"fold": F.lit(0).cast("long"), "p": F.lit(0.0)})
     return reduce(DataFrame.unionByName, out)
 
 
-def baselines(preds: DataFrame, label: str = "label") -> DataFrame:
-    """Columns to compare with: the base rate, and ranks of volatility and momentum as scores."""
+def baselines(preds: DataFrame, label: str = "label", rising: bool = True) -> DataFrame:
+    """Columns to compare a model with: the base rate, and percentile ranks within the date of volatility and of
+    momentum (for a label of falls, of its opposite: `rising` False)."""
     rate = preds.agg(F.avg(F.col(label).cast("double")).alias("base_rate"))
-    return preds.crossJoin(F.broadcast(rate))  # one row
+    momentum = average_rank("ret_20")
+    out = preds.withColumns({"volatility": average_rank("vol_20"), "momentum": momentum if rising else 1 - momentum})
+    return out.crossJoin(F.broadcast(rate))  # one row
+
+
+def summarize(preds: DataFrame, names: list[str], label: str = "label", k: int = 5) -> DataFrame:
+    """(score, auc, avg_precision, top5_precision) of each score column, missing scores counting 0, and of the base rate."""
+    known = preds.where(F.col(label).isNotNull())
+    long = known.select("row_id", "trade_date", label, F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.coalesce(n, F.lit(0.0)).alias("p")) for n in names])).alias("x")).select("row_id", "trade_date", label, "x.*")
+    w = Window.partitionBy("score", "trade_date").orderBy(F.desc("p"), "row_id")
+    top = long.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy("score").agg(F.avg(F.col(label).cast("double")).alias("top5_precision"))
+    out = auc(long, ["score"], label=label).join(average_precision(long, label=label, by=["score"]).withColumnRenamed("ap", "avg_precision"), "score").join(top, "score")
+    rate = F.avg(F.col(label).cast("double"))
+    base = known.agg(rate.alias("r")).select(F.lit("base_rate").alias("score"), F.lit(0.5).alias("auc"), F.col("r").alias("avg_precision"), F.col("r").alias("top5_precision"))
+    return out.unionByName(base).select("score", *[F.round(c, 4).alias(c) for c in ("auc", "avg_precision", "top5_precision")])
 
 
 def median_gain(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -95,14 +122,21 @@ def median_gain(train: DataFrame, test: DataFrame, features: list[str], target:
     return model.transform(test).join(leaf, "leaf", "left").select(*test.columns, "median_gain")
 
 
+def numbered(rows: DataFrame, order) -> DataFrame:
+    """`rows` with `__n`, consecutive numbers in a random order: within hash buckets, and after the rows of earlier buckets."""
+    rows = stored(rows.withColumn("__o", order)).withColumn("__b", F.floor(F.col("__o") * 4096))
+    before = rows.groupBy("__b").count().select("__b", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__o")))
+    return inside.join(before, "__b").withColumn("__n", F.col("__before") + F.col("__r")).drop("__o", "__b", "__r", "__before")
+
+
 def holdout_auc(samples: DataFrame, features: list[str], split: str, label: str = "label", shuffle: bool = False, seed: int = 7) -> DataFrame:
     """AUC after the split date of a model fitted before it; with shuffled training labels it should be one half."""
     train, test = samples.where(F.col("trade_date") < split), samples.where(F.col("trade_date") >= split)
     if shuffle:
-        # labels of a random permutation: two independent random orders, joined by their numbers
-        a = train.drop(label).withColumn("n", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.rand(seed))))
-        b = train.select("trade_date", label).withColumn("n", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.rand(seed + 1))))
-        train = a.join(b, ["trade_date", "n"]).drop("n")
+        # labels of a random permutation of the whole sample: two independent random orders, joined by their numbers
+        a, b = numbered(train.drop(label), F.rand(seed)), numbered(train.select(label), F.rand(seed + 1))
+        train = a.join(b, "__n").drop("__n")
     model = fit_classifier(train, features, label, "logistic")
     return auc(scores(model, test), score="raw_p", label=label)
 

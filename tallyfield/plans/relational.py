@@ -41,9 +41,9 @@ register("p12_candidates", lambda s, d: tb.eligible(candidates(s, d), t(s, d, "c
 register("p13_clip", lambda s, d: fx.market(s, d).select("trade_date", F.round(tb.clip(F.col("vix"), 100, 300), 6).alias("vix")), with_views("market") + "SELECT trade_date, round(CASE WHEN vix IS NOT NULL THEN least(greatest(vix, 100), 300) END, 6) AS vix FROM market")
 register("p14_inf_to_null", lambda s, d: tb.infinite_to_null(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("x"))), "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN l_tax END AS x FROM lineitem")
 register("p15_feature_version", lambda s, d: fx.bars(s, d).withColumn("version", F.substring(F.sha2(F.when(F.year("trade_date") < 1996, "ret_5").otherwise("ret_5,vol_20"), 256), 1, 16)).where(F.col("version") == F.substring(F.sha2(F.lit("ret_5,vol_20"), 256), 1, 16)).select(*KEYS, "version"), B + "SELECT company_id, trade_date, substr(sha256('ret_5,vol_20'), 1, 16) AS version FROM bars WHERE year(trade_date) >= 1996")
-register("p16_row_key", lambda s, d: t(s, d, "region").withColumn("row", F.row_number().over(Window.orderBy("r_regionkey")).cast("long") - 1).select("row", "r_name"), "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row, r_name FROM region")
+register("p16_row_key", lambda s, d: fx.numbered(t(s, d, "orders"), ("o_orderkey",), F.shiftright("o_orderkey", 16), "row").select((F.col("row") - 1).alias("row"), "o_orderkey"), "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey FROM orders")
 register("p17_explode_payload", lambda s, d: t(s, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("st"))).alias("items"))).alias("payload")).select("o_custkey", F.explode(F.from_json("payload", "items array<struct<id:bigint,st:string>>")["items"]).alias("i")).select("o_custkey", "i.id", "i.st"), "SELECT o_custkey, o_orderkey AS id, o_orderstatus AS st FROM orders")
-register("p18_typed_nulls", lambda s, d: t(s, d, "nation").select("n_nationkey", F.lit(None).cast("double").alias("reaction")), "SELECT n_nationkey, CAST(NULL AS DOUBLE) AS reaction FROM nation")
+register("p18_typed_nulls", lambda s, d: t(s, d, "orders").select("o_orderkey", F.lit(None).cast("double").alias("reaction")), "SELECT o_orderkey, CAST(NULL AS DOUBLE) AS reaction FROM orders")
 
 # joins
 register("j01_inner", lambda s, d: t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"), "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -161,7 +161,7 @@ register("a18_scalar_counts", lambda s, d: t(s, d, "orders").agg(F.count("*").al
 register("a19_year_rollup", lambda s, d: fx.market(s, d).groupBy(F.year("trade_date").cast("long").alias("year")).agg(F.count("*").alias("sessions"), F.round(F.min("nifty500"), 6).alias("lowest"), F.round(F.avg("nifty500"), 6).alias("mean"), F.count(F.when(F.col("nifty500") < 1400, 1)).alias("below")), with_views("market") + "SELECT year(trade_date) AS year, count(*) AS sessions, round(min(nifty500), 6) AS lowest, round(avg(nifty500), 6) AS mean, count(*) FILTER (WHERE nifty500 < 1400) AS below FROM market GROUP BY 1")
 
 # sorts, limits, sets
-register("l01_mixed_sort", lambda s, d: fx.market(s, d).orderBy(F.desc_nulls_last("vix"), F.asc("trade_date")).limit(2000).select("trade_date", F.round("vix", 6).alias("vix")), with_views("market") + "SELECT trade_date, round(vix, 6) AS vix FROM (SELECT * FROM market ORDER BY vix DESC NULLS LAST, trade_date LIMIT 2000) x")
+register("l01_mixed_sort", lambda s, d: fx.market(s, d).orderBy(F.desc_nulls_last("vix"), F.asc("trade_date")).select("trade_date", F.round("vix", 6).alias("vix")), with_views("market") + "SELECT trade_date, round(vix, 6) AS vix FROM (SELECT * FROM market ORDER BY vix DESC NULLS LAST, trade_date) x")
 register("l02_limit", lambda s, d: t(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
 register("l04_best_row_per_key", lambda s, d: tb.keep_last(fx.filings(s, d), ["company_id", "period_to"], F.desc("consolidated"), F.asc("published_at"), F.asc("filing_id")).select("company_id", "period_to", "filing_id", "consolidated"), with_views("filings") + "SELECT company_id, period_to, filing_id, consolidated FROM filings QUALIFY row_number() OVER (PARTITION BY company_id, period_to ORDER BY consolidated DESC, published_at, filing_id) = 1")
 register("l05_keep_last", lambda s, d: tb.keep_last(fx.attempts(s, d), ["source_id"], F.desc("started_at"), F.desc("job_run_id")).select("source_id", "job_run_id"), with_views("attempts") + "SELECT source_id, job_run_id FROM attempts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, job_run_id DESC) = 1")
@@ -170,15 +170,22 @@ register("l06_priority_order", lambda s, d: t(s, d, "orders").withColumn("rn", F
 two = lambda s, d: (t(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), t(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
 register("u01_union_all", lambda s, d: tb.union_all(list(two(s, d))), "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 register("u02_relaxed_union", lambda s, d: tb.relaxed_union(t(s, d, "nation").select(F.col("n_nationkey").alias("k")), t(s, d, "orders").select(F.col("o_totalprice").alias("k")), {"k": "double"}), "SELECT CAST(n_nationkey AS DOUBLE) AS k FROM nation UNION ALL SELECT o_totalprice FROM orders")
-register("u03_diagonal_union", lambda s, d: tb.union_all([t(s, d, "nation").select("n_nationkey", "n_name"), t(s, d, "region").select("r_name")], True), "SELECT n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region")
+register("u03_diagonal_union", lambda s, d: tb.union_all([t(s, d, "orders").select("o_orderkey", "o_orderstatus"), t(s, d, "part").select("p_brand")], True), "SELECT o_orderkey, o_orderstatus, NULL AS p_brand FROM orders UNION ALL SELECT NULL, NULL, p_brand FROM part")
 register("u04_distinct_rows", lambda s, d: t(s, d, "orders").select("o_custkey", "o_orderstatus").distinct(), "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
 register("u05_set_difference", lambda s, d: t(s, d, "part").select("p_partkey").join(t(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"), "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
-settings = lambda s, d, lo, hi, m: t(s, d, "customer").where(f"c_custkey between {lo} and {hi}").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "gate.").when(F.col("c_custkey") % 3 == 1, "plan.").otherwise("model."), F.col("c_custkey").cast("string")).alias("key"), (F.col("c_custkey") % m).cast("string").alias("value"))
-SET = "SELECT concat(CASE c_custkey % 3 WHEN 0 THEN 'gate.' WHEN 1 THEN 'plan.' ELSE 'model.' END, CAST(c_custkey AS VARCHAR)) AS key, CAST(c_custkey % {m} AS VARCHAR) AS value FROM customer WHERE c_custkey BETWEEN {lo} AND {hi}"
-DIFF = "WITH a AS (" + SET.format(m=10, lo=1, hi=1000) + "), b AS (" + SET.format(m=20, lo=50, hi=1200) + ") SELECT coalesce(a.key, b.key) AS key, a.value AS old, b.value AS new FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value"
-register("u06_key_union_diff", lambda s, d: tb.changed_keys(settings(s, d, 1, 1000, 10), settings(s, d, 50, 1200, 20)), DIFF)
+def settings(s, d, name, number, m):
+    """A settings table of a whole table's keys: names by area, values by remainder."""
+    k = F.col(number)
+    return t(s, d, name).select(F.concat(F.when(k % 3 == 0, "gate.").when(k % 3 == 1, "plan.").otherwise("model."), k.cast("string")).alias("key"), (k % m).cast("string").alias("value"))
+
+
+old_settings, new_settings = (lambda s, d: settings(s, d, "customer", "c_custkey", 10)), (lambda s, d: settings(s, d, "part", "p_partkey", 20))
+SET = "SELECT concat(CASE {k} % 3 WHEN 0 THEN 'gate.' WHEN 1 THEN 'plan.' ELSE 'model.' END, CAST({k} AS VARCHAR)) AS key, CAST({k} % {m} AS VARCHAR) AS value FROM {t}"
+DIFF = f"""WITH a AS ({SET.format(k="c_custkey", m=10, t="customer")}), b AS ({SET.format(k="p_partkey", m=20, t="part")})
+SELECT coalesce(a.key, b.key) AS key, a.value AS old, b.value AS new FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value"""
+register("u06_key_union_diff", lambda s, d: tb.changed_keys(old_settings(s, d), new_settings(s, d)), DIFF)
 IMPACT = "CASE WHEN starts_with(key, 'model.') THEN 'retrain' WHEN starts_with(key, 'gate.') THEN 'gate' ELSE 'plan' END"
-register("c60_settings_diff", lambda s, d: tb.changed_keys(settings(s, d, 1, 1000, 10), settings(s, d, 50, 1200, 20)).withColumn("impact", F.when(F.col("key").startswith("model."), "retrain").when(F.col("key").startswith("gate."), "gate").otherwise("plan")), f"SELECT *, {IMPACT} AS impact FROM ({DIFF}) x")
+register("c60_settings_diff", lambda s, d: tb.changed_keys(old_settings(s, d), new_settings(s, d)).withColumn("impact", F.when(F.col("key").startswith("model."), "retrain").when(F.col("key").startswith("gate."), "gate").otherwise("plan")), f"SELECT *, {IMPACT} AS impact FROM ({DIFF}) x")
 
 # scalar functions
 register("f01_strings", lambda s, d: t(s, d, "part").select("p_partkey", F.upper(F.trim("p_name")).alias("up"), F.regexp_replace("p_type", "[AEIOU]", "").alias("no_vowels"), F.lower("p_brand").rlike("#1").alias("has_one"), F.length("p_name").cast("long").alias("n"), F.element_at(F.split("p_type", " "), -1).alias("last_word"), F.substring("p_name", 1, 5).alias("head"), F.format_string("%s-%d", "p_brand", "p_size").alias("tag")), "SELECT p_partkey, upper(trim(p_name)) AS up, regexp_replace(p_type, '[AEIOU]', '', 'g') AS no_vowels, contains(lower(p_brand), '#1') AS has_one, length(p_name) AS n, string_split(p_type, ' ')[-1] AS last_word, substr(p_name, 1, 5) AS head, concat(p_brand, '-', CAST(p_size AS VARCHAR)) AS tag FROM part")
