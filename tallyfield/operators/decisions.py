@@ -67,6 +67,47 @@ def watch_queue(candidates: DataFrame, chosen: DataFrame, n: int = 15) -> DataFr
     return rest.withColumn("rank", F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("p"), "row_id")).cast("long")).where(c("rank") <= n)
 
 
+def closest_candidate(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """On dates without a chosen candidate, the one that came closest: the largest p, then the smallest row_id."""
+    none = candidates.join(chosen.select("trade_date").distinct(), "trade_date", "left_anti")
+    return none.groupBy("trade_date").agg(F.max_by(F.struct("row_id", "p"), F.struct(c("p"), -c("row_id"))).alias("x")).select("trade_date", "x.row_id", "x.p")
+
+
+def issued_signals(plans: DataFrame) -> DataFrame:
+    """(plan_id, trade_date, signal, row_id, p) of saved plans (plan_id, trade_date, payload as JSON).
+
+    Opportunities are signal A; exits are signal C if they carry a probability, since those by rule carry none.
+    """
+    item = "array<struct<row_id:bigint,p:double>>"
+    x = plans.withColumn("x", F.from_json("payload", f"opportunities {item}, exits {item}"))
+    buys = x.select("plan_id", "trade_date", F.lit("A").alias("signal"), F.explode("x.opportunities").alias("i"))
+    exits = x.select("plan_id", "trade_date", F.lit("C").alias("signal"), F.explode(F.filter("x.exits", lambda e: e["p"].isNotNull())).alias("i"))
+    return buys.unionByName(exits).select("plan_id", "trade_date", "signal", "i.row_id", "i.p")
+
+
+def match_import(holdings: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ready, rejects) of imported holdings (symbol, isin, ...).
+
+    A symbol means the company that traded under it last (company_id, symbol, isin, trade_date); unknown symbols and those
+    whose ISIN differs from the traded one go to the rejects with a reason.
+    """
+    latest = prices.groupBy("symbol").agg(F.max_by(F.struct("company_id", F.col("isin").alias("traded_isin")), F.struct("trade_date", "company_id")).alias("m")).select("symbol", "m.*")
+    j = holdings.join(latest, "symbol", "left")
+    reason = F.when(c("company_id").isNull(), "unknown").when(c("isin") != c("traded_isin"), "isin_conflict")
+    j = j.withColumn("reason", reason)
+    return j.where("reason is null").drop("reason", "traded_isin"), j.where("reason is not null").select(*holdings.columns, "reason")
+
+
+def action_log(plans: DataFrame, actions: DataFrame, start: str, end: str) -> DataFrame:
+    """(trade_date, item_key, action, acted_at) logged for the plans of a period."""
+    period = plans.where(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return actions.join(period.select("plan_id", "trade_date"), "plan_id").select("trade_date", "item_key", "action", "acted_at")
+
+
+def action_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("trade_date").alias("days"))
+
+
 def reason_drivers(contributions: DataFrame, phrases: dict[str, str], k: int = 3) -> DataFrame:
     """The k largest positive contributions that have a phrase, as one line."""
     told = F.create_map(*[x for n, t in phrases.items() for x in (F.lit(n), F.lit(t))])
@@ -92,10 +133,11 @@ def scorecards(issued: DataFrame, labels: DataFrame, keys: list[str]) -> DataFra
 
 
 def missed_events(issued: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Events that happened, those flagged beforehand, and those missed."""
-    happened = labels.where("label")
-    flagged = happened.join(issued.select(*keys).distinct(), keys, "left_semi")
-    return happened.agg(F.count("*").alias("events")).crossJoin(flagged.agg(F.count("*").alias("flagged"))).withColumn("missed", c("events") - c("flagged"))
+    """Per signal of `labels` (*keys, signal, label): events that happened, those flagged beforehand, and those missed."""
+    happened = labels.where("label").select(*keys, "signal")
+    flags = issued.select(*keys, "signal", F.lit(1).alias("flagged")).distinct()
+    per = happened.join(flags, [*keys, "signal"], "left").groupBy("signal").agg(F.count("*").alias("events"), F.count("flagged").alias("flagged"))
+    return per.withColumn("missed", c("events") - c("flagged"))
 
 
 def audit_health(scores: DataFrame, attempts: DataFrame, latest: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -119,13 +161,19 @@ def proposals(cards: DataFrame, least: int) -> DataFrame:
 
 
 def alert_admission(alerts: DataFrame, per_week: int = 3, exempt: tuple[str, ...] = ("error",), disabled: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `verdict`: disabled, duplicate (same key seen before), capped (week's quota used) or sent."""
+    """Adds `verdict`: disabled, duplicate (same key seen before), capped (week's quota used) or sent.
+
+    Only the first `per_week` alerts that count against a week's quota are ever sent, and a bounded list of them per
+    week is all that the comparison needs: no task orders a whole week.
+    """
     first = F.row_number().over(Window.partitionBy("dedupe_key").orderBy("ts", "alert_id")) == 1
     out = alerts.withColumns({"off": c("kind").isin(*disabled) if disabled else F.lit(False), "first": first, "week": F.date_trunc("week", "ts")})
-    counts = ~c("off") & c("first") & ~c("kind").isin(*exempt)
-    used = F.sum(counts.cast("int")).over(Window.partitionBy("week").orderBy("ts", "alert_id").rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("used", used)
-    return out.withColumn("verdict", F.when(c("off"), "disabled").when(~c("first"), "duplicate").when(~c("kind").isin(*exempt) & (c("used") > per_week), "capped").otherwise("sent")).drop("off", "first", "week", "used")
+    out = out.withColumn("counts", ~c("off") & c("first") & ~c("kind").isin(*exempt))
+    place = F.struct("ts", "alert_id")
+    by_hour = out.where("counts").groupBy("week", F.date_trunc("hour", "ts").alias("hour")).agg(F.slice(F.array_sort(F.collect_list(place)), 1, per_week).alias("xs"))
+    quota = by_hour.groupBy("week").agg(F.slice(F.array_sort(F.flatten(F.collect_list("xs"))), 1, per_week).alias("xs")).select("week", F.element_at("xs", -1).alias("last"))
+    out = out.join(quota, "week", "left")
+    return out.withColumn("verdict", F.when(c("off"), "disabled").when(~c("first"), "duplicate").when(c("counts") & (place > c("last")), "capped").otherwise("sent")).drop("off", "first", "week", "counts", "last")
 
 
 #: Fixed pattern: an amount of money in a text.
@@ -150,3 +198,9 @@ def judge_money(results: DataFrame, index_xirr: float, index_drawdown: float, ex
     near = F.coalesce(F.lag("beats").over(w), F.lit(False)) | F.coalesce(F.lead("beats").over(w), F.lit(False))
     ok = c("beats") & (c("xirr_stress") > index_xirr) & (c("max_drawdown") >= index_drawdown - extra) & (c("won") / c("years") >= share) & near
     return out.withColumn("ok", ok)
+
+
+def money_gate(judged: DataFrame) -> DataFrame:
+    """One row: the best cutoff under stress, of those that pass if any does; LIVE with it, or OFF with the closest result."""
+    best = judged.agg(F.max_by(F.struct("cutoff", "xirr", "xirr_stress", "ok"), F.struct("ok", F.coalesce("xirr_stress", F.lit(-1.0)), -c("cutoff"))).alias("x")).select("x.*")
+    return best.select(F.when(c("ok"), "LIVE").otherwise("OFF").alias("status"), F.when(c("ok"), c("cutoff")).alias("cutoff"), c("cutoff").alias("closest"), "xirr", "xirr_stress")

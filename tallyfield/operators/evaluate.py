@@ -39,12 +39,12 @@ def brier(preds: DataFrame) -> DataFrame:
     return preds.agg(F.avg(F.pow(F.col("p") - F.col("label").cast("double"), F.lit(2))).alias("brier"))
 
 
-def calibration_table(preds: DataFrame, edges: tuple[float, ...], left_closed: bool = True) -> DataFrame:
+def calibration_table(preds: DataFrame, edges: tuple[float, ...], left_closed: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Stated against observed rate by band of p; bands include their left edge, or else their right one."""
     band = F.lit(0)
     for e in edges:
         band = band + ((F.col("p") >= e) if left_closed else (F.col("p") > e)).cast("int")
-    return preds.groupBy(band.cast("long").alias("band")).agg(F.count("*").alias("n"), F.avg("p").alias("stated"), F.avg(F.col("label").cast("double")).alias("observed"))
+    return preds.groupBy(*by, band.cast("long").alias("band")).agg(F.count("*").alias("n"), F.avg("p").alias("stated"), F.avg(F.col("label").cast("double")).alias("observed"))
 
 
 def top_k_precision(preds: DataFrame, k: int = 5) -> DataFrame:
@@ -101,7 +101,30 @@ def judge_safety(preds: DataFrame, cutoffs: DataFrame, days: int = 28, bar: floa
     return out.withColumn("ok", ok)
 
 
-def compare_scores(preds: DataFrame, scores: list[str]) -> DataFrame:
-    """AUC of several score columns over the same labels."""
-    long = preds.select("label", F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("p")) for s in scores])).alias("x")).select("label", "x.*")
-    return auc(long, ["model"])
+def safety_gate(judged: DataFrame, signals: int = 30) -> DataFrame:
+    """One row of `judge_safety`: the lowest cutoff that passes, LIVE, or OFF with the most precise one.
+
+    Cutoffs count from the lowest on, up to the first that leaves fewer than `signals` warnings.
+    """
+    stop = judged.agg(F.min(F.when(F.col("n") < signals, F.col("cutoff"))).alias("stop"))
+    rows = judged.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("cutoff") < F.col("stop")))  # one row
+    live = F.min(F.when(F.col("ok"), F.col("cutoff")))
+    best = F.max_by(F.struct("cutoff", "precision"), F.struct(F.col("precision"), -F.col("cutoff")))
+    out = rows.agg(live.alias("cutoff"), best.alias("b"))
+    return out.select(F.when(F.col("cutoff").isNotNull(), "LIVE").otherwise("OFF").alias("status"), "cutoff", F.col("b.cutoff").alias("best_cutoff"), F.col("b.precision").alias("best_precision"))
+
+
+def compare_scores(preds: DataFrame, scores: list[str], per_week: int = 5, precision: float = 0.9, signals: int = 30, lower: float = 0.8) -> DataFrame:
+    """Per score column over the same labels: AUC, top-k precision, the gate's best precision and its status."""
+    known = preds.where("label is not null")
+    long = known.select("row_id", "trade_date", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("p")) for s in scores])).alias("x")).select("row_id", "trade_date", "label", "x.*")
+    w = Window.partitionBy("model", "trade_date").orderBy(F.desc("p"), "row_id")
+    top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_week)
+    best = top.groupBy("model").agg(F.avg(F.col("label").cast("double")).alias("top_k_precision"))
+    per = top.groupBy("model", F.round("p", 6).alias("cutoff")).agg(F.count("*").alias("k"), F.sum(F.col("label").cast("long")).alias("h"))
+    run = Window.partitionBy("model").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)  # over distinct cutoffs
+    curve = per.select("model", "cutoff", F.sum("k").over(run).alias("n"), F.sum("h").over(run).alias("hits")).withColumn("precision", F.col("hits") / F.col("n"))
+    ok = (F.col("precision") >= precision) & (F.col("n") >= signals) & (wilson_lower(F.col("hits"), F.col("n")) >= lower)
+    gate = curve.groupBy("model").agg(F.max(F.when(F.col("n") >= signals, F.col("precision"))).alias("best_precision"), F.max(ok).alias("live"))
+    out = auc(long, ["model"]).join(best, "model").join(gate, "model")
+    return out.withColumn("gate", F.when(F.col("live"), "LIVE").otherwise("OFF")).drop("live")

@@ -72,6 +72,31 @@ def company_prices(rows: DataFrame, symbol_map: DataFrame, boards: tuple[str, ..
     return keep_last(j, ["company_id", "trade_date"], prefer.asc(), F.asc("symbol"), F.asc("row_id"))
 
 
+def company_delivery(prices: DataFrame, delivery: DataFrame, rule_series: tuple[str, ...] = ("BE", "BZ")) -> DataFrame:
+    """(company_id, trade_date, delivery_pct, delivery_source): as reported, or 100 by the rule of trade-for-trade series."""
+    j = prices.select("company_id", "trade_date", "series").join(delivery.select("company_id", "trade_date", F.col("delivery_pct").alias("reported")), ["company_id", "trade_date"], "left")
+    rule = F.col("series").isin(*rule_series)
+    return j.select("company_id", "trade_date", F.when(rule, 100.0).otherwise(F.col("reported")).alias("delivery_pct"), F.when(rule, "rule").when(F.col("reported").isNotNull(), "reported").alias("delivery_source"))
+
+
+def results_targets(filings: DataFrame, trading: DataFrame, days: int = 120) -> DataFrame:
+    """One filing for each company and quarter: consolidated before standalone, then the first published.
+
+    Filings name a symbol, which may have meant several companies (symbol, company_id, first_day, last_day): the one that
+    traded under it at publication counts, or up to `days` later; of several the one that began last.
+    """
+    held = trading.select(F.col("symbol").alias("__s"), "company_id", "first_day", "last_day")
+    day = F.col("published_at").cast("date")
+    j = filings.join(held, (F.col("symbol") == F.col("__s")) & (F.col("first_day") <= F.date_add(day, days)) & (F.col("last_day") >= day)).drop("__s", "last_day")
+    j = keep_last(j, ["filing_id"], F.desc("first_day"), F.asc("company_id")).drop("first_day")
+    return keep_last(j, ["company_id", "period_to"], F.desc("consolidated"), F.asc("published_at"), F.asc("filing_id"))
+
+
+def load_fundamentals(facts: DataFrame) -> DataFrame:
+    """Of every company and quarter the facts fetched last."""
+    return keep_last(facts, ["company_id", "period_to"], F.desc("fetched_at"), F.desc("filing_id"))
+
+
 def symbol_segments(changes: DataFrame, components) -> DataFrame:
     """(symbol, company_id): symbols that rename links connect share the company, named by the least symbol.
 

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import domain, health, learning, portfolio, relational, windows  # noqa: F401
+from . import domain, health, learning, portfolio, relational, signals, windows  # noqa: F401

@@ -67,7 +67,6 @@ def board_rows(s, d):
 PREFER = lambda: F.when(F.col("series") == "EQ", 0).otherwise(1)
 register("c09_company_prices", lambda s, d: pr.company_prices(board_rows(s, d), fx.symbol_map(s, d), ("EQ", "BE"), PREFER()).select("company_id", "trade_date", "series", "px"), with_views("px", "symbol_map") + """, b AS (SELECT concat('SYM', CAST(dayofyear(trade_date) % 10 AS VARCHAR)) AS symbol, trade_date, CASE l_returnflag WHEN 'R' THEN 'BE' WHEN 'A' THEN 'BZ' ELSE 'EQ' END AS series, px, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_extendedprice) AS BIGINT), CAST(trunc(l_quantity) AS BIGINT)) AS row_id FROM px)
 SELECT m.company_id, trade_date, series, px FROM b JOIN symbol_map m ON b.symbol = m.symbol AND trade_date BETWEEN valid_from AND valid_to WHERE series IN ('EQ', 'BE') QUALIFY row_number() OVER (PARTITION BY m.company_id, trade_date ORDER BY CASE series WHEN 'EQ' THEN 0 ELSE 1 END, b.symbol, row_id) = 1""")
-register("c10_company_delivery", lambda s, d: fx.panel(s, d).select(*KEYS, F.when(F.col("series") == "BE", 100.0).otherwise(F.round("delivery_pct", 6)).alias("delivery_pct"), F.when(F.col("series") == "BE", "rule").otherwise("reported").alias("delivery_source")), with_views("panel") + "SELECT company_id, trade_date, CASE WHEN series = 'BE' THEN 100.0 ELSE round(delivery_pct, 6) END AS delivery_pct, CASE WHEN series = 'BE' THEN 'rule' ELSE 'reported' END AS delivery_source FROM panel")
 PARSE = with_views("action_text") + r""", c AS (SELECT p_partkey, company_id, lower(trim(unnest(string_split(replace(subject, '1:1/Dividend', '1:1|Dividend'), '|')))) AS x FROM action_text),
 parsed AS (SELECT p_partkey, company_id, x, CASE WHEN x LIKE 'bonus%' THEN 'bonus' WHEN x LIKE 'face value split%' THEN CASE WHEN CAST(regexp_extract(x, 'to rs (\d+)', 1) AS DOUBLE) > 10 THEN 'consolidation' ELSE 'split' END WHEN x LIKE 'rights%' THEN 'rights' WHEN x LIKE 'demerger' THEN 'demerger' WHEN x LIKE '%dividend%' THEN 'dividend' ELSE 'other' END AS kind,
  CASE WHEN x = 'demerger' THEN 'unadjustable' WHEN x = 'interim dividend' THEN 'unparsed' WHEN x LIKE '%meeting%' THEN 'no_price_effect' ELSE 'parsed' END AS status,
@@ -116,8 +115,6 @@ register("c27_event_features", lambda s, d: ft.event_features(fx.bars(s, d).sele
 register("c28_blocked_samples", lambda s, d: ft.blocked_samples(fx.bars(s, d).select(*KEYS), fx.flags(s, d), 14), with_views("flags") + "SELECT company_id, trade_date, EXISTS (SELECT 1 FROM flags f WHERE f.company_id = b.company_id AND severity = 'BLOCK' AND from_date <= trade_date + 14 AND to_date >= trade_date) AS blocked FROM bars b")
 register("c29_weekly_samples", lambda s, d: r6(ft.weekly_samples(fx.panel(s, d), fx.market(s, d), universe(s, d), fx.meetings(s, d), fx.filings(s, d), fx.flags(s, d)), "company_id", "trade_date", "ret_20", "rank_ret_20", "label_a", "days_since_results", "blocked"))
 register("c30_horizon_samples", lambda s, d: r6(ft.horizon_samples(ft.compute_labels(fx.panel(s, d)), fx.panel(s, d), 0.15, 10), "company_id", "segment", "trade_date", "max_gain_10", "label_a", "label_c"), with_views("panel") + label_sql(0.15, 0.15, 10))
-register("c31_results_targets", lambda s, d: fx.filings(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("company_id", "period_to").orderBy(F.desc("consolidated"), "published_at", "filing_id"))).where("rn = 1").select("company_id", "period_to", "filing_id", "published_at"), with_views("filings") + "SELECT company_id, period_to, filing_id, published_at FROM filings QUALIFY row_number() OVER (PARTITION BY company_id, period_to ORDER BY consolidated DESC, published_at, filing_id) = 1")
-register("c32_load_fundamentals", lambda s, d: fx.filings(s, d).groupBy("company_id", "period_to").agg(F.max_by("filing_id", F.struct("published_at", "filing_id")).alias("filing_id")), with_views("filings") + "SELECT company_id, period_to, arg_max(filing_id, (published_at, filing_id)) AS filing_id FROM filings GROUP BY 1, 2")
 
 # money
 FEE = "round({v} * 0.001 + {v} * 0.0000307 + {v} * 0.000001 + ({v} * 0.0000307 + {v} * 0.000001) * 0.18 + CASE WHEN {s} = 'BUY' THEN {v} * 0.00015 ELSE 0 END + CASE WHEN {s} = 'SELL' THEN 15.34 ELSE 0 END, 2)"
@@ -140,7 +137,6 @@ def money_results(s, d):
     return j.groupBy("cutoff").agg((F.avg("expected_gain") - 0.4).alias("xirr"), (F.avg("expected_gain") - 0.41).alias("xirr_stress"), F.count("*").alias("years"), F.count(F.when(F.col("label"), 1)).alias("won")).withColumn("max_drawdown", -F.col("cutoff") / 2)
 
 
-register("c44_judge_money", lambda s, d: r6(dc.judge_money(money_results(s, d), 0.09, -0.2), "cutoff", "xirr", "beats", "ok"), with_views("scored") + f", r AS ({MONEY}), b AS (SELECT *, xirr > 0.09 AS beats FROM r) SELECT cutoff, round(xirr, 6) AS xirr, beats, beats AND xirr_stress > 0.09 AND max_drawdown >= -0.3 AND won / years >= 0.6 AND (coalesce(lag(beats) OVER (ORDER BY cutoff), false) OR coalesce(lead(beats) OVER (ORDER BY cutoff), false)) AS ok FROM b")
 register("c64_accumulated_budget", lambda s, d: mn.accumulated_budget(fx.txns(s, d), 2000.0, "2001-01-01"), with_views("txns") + "SELECT account, 2000.0 * greatest(1, floor((DATE '2001-01-01' - max(trade_date)) / 7)) AS budget FROM txns WHERE side = 'BUY' GROUP BY 1")
 register("c70_holding_states", lambda s, d: mn.holding_states(lots(s, d), latest(s, d), fx.bars(s, d), "2001-01-01").select("account", "company_id", F.round(F.col("cost_per_share") + 1e-10, 8).alias("cost_per_share"), "last_close", "peak_close", "sessions_held"), with_views("txns", "bars") + LOTS[len(with_views("txns")):] + ", fs AS (SELECT account, company_id, min(trade_date) AS bought, sum(quantity * price) / sum(quantity) AS cps FROM lots GROUP BY 1, 2) SELECT f.account, f.company_id, round(cps + 1e-10, 8) AS cost_per_share, lp.close AS last_close, max(b.close) AS peak_close, count(*) AS sessions_held FROM fs f JOIN lp ON lp.company_id = f.company_id JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY 1, 2, cps, lp.close")
 
@@ -168,30 +164,22 @@ def opportunities(s, d):
     return dc.plan_opportunities(cand, budgets, 4000.0, 3000.0)
 
 
-register("c49_plan_opportunities", opportunities)
-register("c50_watch_queue", lambda s, d: dc.watch_queue(fx.scored(s, d), fx.scored(s, d).where("p >= 0.9")).select("trade_date", "row_id", "rank"), with_views("scored") + "SELECT trade_date, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY p DESC, row_id) AS rank FROM scored WHERE p < 0.9) x WHERE rank <= 15")
 register("c51_reason_drivers", lambda s, d: dc.reason_drivers(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), {"l_tax": "tax", "l_discount": "discount"}).select("l_orderkey", "l_linenumber", "reason"), "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > l_discount THEN concat_ws('; ', CASE WHEN l_tax > 0 THEN printf('tax %.2f', l_tax) END, CASE WHEN l_discount > 0 THEN printf('discount %.2f', l_discount) END) WHEN l_tax = l_discount THEN concat_ws('; ', CASE WHEN l_tax > 0 THEN printf('tax %.2f', l_tax) END, CASE WHEN l_discount > 0 THEN printf('discount %.2f', l_discount) END) ELSE concat_ws('; ', CASE WHEN l_discount > 0 THEN printf('discount %.2f', l_discount) END, CASE WHEN l_tax > 0 THEN printf('tax %.2f', l_tax) END) END AS reason FROM lineitem")
 register("c52_goal_feasibility", lambda s, d: r6(dc.goal_feasibility(fx.bars(s, d), 0.05)), with_views("bars") + "SELECT company_id, round(avg(CAST(r >= 0.05 AS DOUBLE)), 6) AS rate, 'unlikely' AS band, round(pow(1.05, 12) - 1, 6) AS yearly FROM (SELECT company_id, close / lag(close, 21) OVER (PARTITION BY company_id ORDER BY trade_date) - 1 AS r FROM bars) x GROUP BY 1")
 issued = lambda s, d: fx.scored(s, d).where("p >= 0.5").select("row_id", F.when(F.col("row_id") % 2 == 0, "A").otherwise("C").alias("signal"))
 truth = lambda s, d: fx.scored(s, d).where("row_id % 5 <> 0").select("row_id", "label")
-register("c53_issued_signals", lambda s, d: fx.scored(s, d).groupBy("trade_date").agg(F.to_json(F.collect_list(F.struct("row_id", "p"))).alias("payload")).select("trade_date", F.explode(F.from_json("payload", "array<struct<row_id:bigint,p:double>>")).alias("i")).where("i.p >= 0.5").select("trade_date", "i.row_id", "i.p"), with_views("scored") + "SELECT trade_date, row_id, p FROM scored WHERE p >= 0.5")
 CARDS = with_views("scored") + ", i AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'A' ELSE 'C' END AS signal FROM scored WHERE p >= 0.5), l AS (SELECT row_id, label FROM scored WHERE row_id % 5 <> 0), k AS (SELECT signal, count(*) AS issued, count(label) AS matured, count(*) FILTER (WHERE label) AS correct FROM i LEFT JOIN l USING (row_id) GROUP BY 1)\n"
 register("c54_scorecards", lambda s, d: r6(dc.scorecards(issued(s, d), truth(s, d), ["row_id"])), CARDS + f"SELECT signal, issued, matured, correct, issued - matured AS pending, round(correct / matured, 6) AS precision, round({wil('correct', 'matured')}, 6) AS lower FROM k")
-register("c55_missed_events", lambda s, d: dc.missed_events(issued(s, d), truth(s, d), ["row_id"]), with_views("scored") + "SELECT count(*) AS events, count(*) FILTER (WHERE p >= 0.5) AS flagged, count(*) FILTER (WHERE p < 0.5) AS missed FROM scored WHERE label AND row_id % 5 <> 0")
 EDGES = (0.1, 0.2, 0.3, 0.5, 0.7)
 _band = lambda op: " + ".join(f"CAST(p {op} {e} AS INT)" for e in EDGES)
-register("c56_live_calibration", lambda s, d: r6(ev.calibration_table(fx.scored(s, d), EDGES, left_closed=False)), with_views("scored") + f"SELECT CAST({_band('>')} AS BIGINT) AS band, count(*) AS n, round(avg(p), 6) AS stated, round(avg(CAST(label AS DOUBLE)), 6) AS observed FROM scored GROUP BY 1")
 register("c59_proposals", lambda s, d: dc.proposals(dc.scorecards(issued(s, d), truth(s, d), ["row_id"]), 30), CARDS + "SELECT signal, CASE WHEN matured < 30 THEN concat('keep ', signal, ': too few results') WHEN correct / matured < 0.5 THEN concat('switch off ', signal) ELSE concat('keep ', signal) END AS proposal FROM k")
 alerts = lambda s, d: t(s, d, "events").select(F.col("event_id").alias("alert_id"), "ts", F.col("event_type").alias("kind"), F.concat_ws("-", "event_type", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("dedupe_key"))
-register("c61_alert_admission", lambda s, d: dc.alert_admission(alerts(s, d), 50, ("purchase",), ("login",)).select("alert_id", "verdict"), "WITH a AS (SELECT event_id AS alert_id, ts, event_type AS kind, concat_ws('-', event_type, CAST(user_id AS VARCHAR), CAST(CAST(ts AS DATE) AS VARCHAR)) AS k FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, alert_id) = 1 AS first, date_trunc('week', ts) AS wk FROM a), c AS (SELECT *, sum(CASE WHEN kind NOT IN ('login', 'purchase') AND first THEN 1 ELSE 0 END) OVER (PARTITION BY wk ORDER BY ts, alert_id ROWS UNBOUNDED PRECEDING) AS used FROM b) SELECT alert_id, CASE WHEN kind = 'login' THEN 'disabled' WHEN NOT first THEN 'duplicate' WHEN kind <> 'purchase' AND used > 50 THEN 'capped' ELSE 'sent' END AS verdict FROM c")
 register("c62_redact_guard", lambda s, d: dc.redact_guard(fx.action_text(s, d), "subject").select("p_partkey", "has_amount"), with_views("action_text") + r"SELECT p_partkey, regexp_matches(subject, '(?i)(₹|\brs\.?|\binr)\s*-?\d') AS has_amount FROM action_text")
 held = lambda s, d: fx.scored(s, d).select("row_id", "p", F.when(F.col("row_id") % 13 == 0, "EXIT").otherwise("HOLD").alias("action"), F.when(F.col("row_id") % 3 == 0, F.col("trade_date")).alias("reviewed"))
 register("c63_confidence_buckets", lambda s, d: dc.confidence_buckets(held(s, d), 0.7, 400, "1999-01-01").select("row_id", "bucket"), with_views("scored") + "SELECT row_id, CASE WHEN row_id % 13 = 0 THEN 'sell' WHEN row_id % 3 = 0 AND DATE '1999-01-01' - trade_date < 400 THEN 'quiet' WHEN p >= 0.7 THEN 'sell_watch' ELSE 'hold' END AS bucket FROM scored")
 register("c65_candidates", lambda s, d: fx.bars(s, d).join(latest(s, d).select("company_id", F.col("close").alias("last_close")), "company_id", "left").where("last_close is not null").select(*KEYS, F.round((F.col("high") - F.col("low")) / F.col("close") * F.col("last_close"), 4).alias("atr")), with_views("bars") + ", lp AS (SELECT company_id, max_by(close, trade_date) AS lc FROM bars GROUP BY 1) SELECT company_id, trade_date, round((high - low) / close * lc, 4) AS atr FROM bars JOIN lp USING (company_id)")
-register("c66_match_import", lambda s, d: t(s, d, "nation").select(F.concat(F.lit("SYM"), F.col("n_nationkey").cast("string")).alias("symbol")).join(fx.symbol_map(s, d).where("valid_to = '9999-12-31'").groupBy("symbol").agg(F.max_by("company_id", F.struct("valid_from", "company_id")).alias("company_id")), "symbol", "left").withColumn("status", F.when(F.col("company_id").isNull(), "unknown").otherwise("matched")), with_views("symbol_map") + ", m AS (SELECT symbol, arg_max(company_id, (valid_from, company_id)) AS company_id FROM symbol_map WHERE valid_to = DATE '9999-12-31' GROUP BY 1) SELECT concat('SYM', CAST(n_nationkey AS VARCHAR)) AS symbol, company_id, CASE WHEN company_id IS NULL THEN 'unknown' ELSE 'matched' END AS status FROM nation LEFT JOIN m ON m.symbol = concat('SYM', CAST(n_nationkey AS VARCHAR))")
 register("c67_fill_charges", lambda s, d: fx.txns(s, d).withColumn("charges", F.when(F.col("txn_id") % 2 == 0, 10.0)).select("txn_id", F.round(F.coalesce("charges", mn.charge_columns(F.col("side"), F.round(F.col("quantity") * F.col("price"), 0))["total"]), 1).alias("charges")), with_views("txns") + "SELECT txn_id, round(CASE WHEN txn_id % 2 = 0 THEN 10.0 ELSE " + FEE.format(v="round(quantity * price, 0)", s="side") + " END, 1) AS charges FROM txns")
 register("c68_fresh_scores", lambda s, d: fx.scored(s, d).where((F.col("trade_date") == F.lit("1996-04-01").cast("date")) & (F.col("row_id") % 7 != 0)).select("row_id", "p"), with_views("scored") + "SELECT row_id, p FROM scored WHERE trade_date = DATE '1996-04-01' AND row_id % 7 <> 0")
-register("c69_action_log", lambda s, d: t(s, d, "events").join(fx.attempts(s, d).select(F.col("job_run_id").alias("event_id"), "status"), "event_id").groupBy("event_type", "status").count().withColumnRenamed("count", "n"), with_views("attempts") + "SELECT event_type, status, count(*) AS n FROM events JOIN attempts ON job_run_id = event_id GROUP BY 1, 2")
 
 # metrics
 RANKSUM = "SELECT {by}((SELECT 0) + (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0)) AS auc FROM (SELECT *, CAST(label AS INT) AS y, rank() OVER (PARTITION BY {part} ORDER BY p) + (count(*) OVER (PARTITION BY {part}, p) - 1) / 2.0 AS r FROM {src}) x {group}"
@@ -211,6 +199,3 @@ register("m17_precision_curve", lambda s, d: r6(ev.precision_curve(fx.scored(s,
 warn = lambda s, d: fx.scored(s, d).groupBy("company_id", "trade_date").agg(F.max("p").alias("p"), F.max_by("label", F.struct("p", "row_id")).alias("label"))
 register("m18_dedupe_warnings", lambda s, d: ev.dedupe_warnings(warn(s, d), 28), with_views("scored").replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT company_id, trade_date, arg_max(label, (p, row_id)) AS label FROM scored GROUP BY 1, 2), k AS (SELECT company_id, min(trade_date) AS trade_date FROM w GROUP BY 1 UNION ALL SELECT k.company_id, (SELECT min(trade_date) FROM w WHERE w.company_id = k.company_id AND w.trade_date >= k.trade_date + 28) FROM k WHERE k.trade_date IS NOT NULL)
 SELECT w.company_id, w.trade_date, w.label FROM k JOIN w ON w.company_id = k.company_id AND w.trade_date = k.trade_date""")
-register("m19_judge_safety", lambda s, d: r6(ev.judge_safety(warn(s, d), s.range(0, 27).select(F.round(0.30 + 0.025 * F.col("id"), 3).alias("cutoff")))))
-register("m22_reevaluate_gate", lambda s, d: r6(ev.precision_curve(fx.scored(s, d), s.range(1).select(F.lit(0.65).alias("cutoff")))), with_views("scored") + "SELECT CAST(0.65 AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER (WHERE label) AS hits, count(DISTINCT trade_date) AS weeks, round(count(*) FILTER (WHERE label) / count(*), 6) AS precision, round(" + wil("count(*) FILTER (WHERE label)", "count(*)") + ", 6) AS lower FROM scored WHERE p >= 0.65")
-register("m23_model_comparison", lambda s, d: r6(ev.compare_scores(fx.scored(s, d), ["p", "expected_gain"])), with_views("scored") + ", m AS (SELECT 'p' AS model, label, p FROM scored UNION ALL SELECT 'expected_gain', label, expected_gain FROM scored) SELECT model, round(auc, 6) AS auc FROM (" + RANKSUM.format(by="model, ", part="model", src="m", group="GROUP BY model") + ") z")
