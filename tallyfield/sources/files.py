@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, line) of the text members of ZIP files, one task per file."""
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def zipped_lines(files: DataFrame) -> DataFrame:
+    """(path, n, line) of the text members of ZIP files (path, content), one file at a time."""
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -23,7 +28,7 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
                         lines = z.read(name).decode("utf-8-sig").splitlines()
                         yield pa.RecordBatch.from_arrays([pa.array([where] * len(lines)), pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["path", "n", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzip, "path string, n long, line string")
+    return files.select("path", "content").mapInArrow(unzip, "path string, n long, line string")
 
 
 def typed_csv(lines: DataFrame, header: str, types: dict[str, tuple[str, str]]) -> DataFrame:
@@ -39,17 +44,25 @@ UDIFF = {"TradDt": ("trade_date", "date"), "TckrSymb": ("symbol", "string"), "Sc
 LEGACY = {"SYMBOL": ("symbol", "string"), "SERIES": ("series", "string"), "ISIN": ("isin", "string"), "OPEN": ("open", "double"), "HIGH": ("high", "double"), "LOW": ("low", "double"), "CLOSE": ("close", "double"), "PREVCLOSE": ("prev_close", "double"), "TOTTRDQTY": ("volume", "long"), "TOTTRDVAL": ("value_inr", "double"), "TIMESTAMP": ("day", "string")}
 
 
+def udiff_rows(files: DataFrame, header: str) -> DataFrame:
+    return typed_csv(zipped_lines(files), header, {c: t for c, t in UDIFF.items() if c in header.split(",")})
+
+
 def read_udiff(spark: SparkSession, path: str, header: str) -> DataFrame:
-    return typed_csv(zipped_lines(spark, path), header, {c: t for c, t in UDIFF.items() if c in header.split(",")})
+    return udiff_rows(binary_files(spark, path), header)
 
 
-def read_legacy(spark: SparkSession, path: str, header: str) -> DataFrame:
+def legacy_rows(files: DataFrame, header: str) -> DataFrame:
     """The old layout; two-digit years have nine characters."""
-    out = typed_csv(zipped_lines(spark, path), header, {c: t for c, t in LEGACY.items() if c in header.split(",")})
+    out = typed_csv(zipped_lines(files), header, {c: t for c, t in LEGACY.items() if c in header.split(",")})
     day = F.when(F.length("day") == 9, F.to_date("day", "d-MMM-yy")).otherwise(F.to_date("day", "d-MMM-yyyy"))
     return out.withColumn("trade_date", day).drop("day")
 
 
+def read_legacy(spark: SparkSession, path: str, header: str) -> DataFrame:
+    return legacy_rows(binary_files(spark, path), header)
+
+
 def read_delivery(spark: SparkSession, path: str) -> DataFrame:
     """Text with a preamble naming the day; records start with 20 and have seven fields."""
     text = spark.read.text(path, wholetext=True)
@@ -116,47 +129,80 @@ def read_holidays(spark: SparkSession, path: str, segment: str = "CM") -> DataFr
     return raw.select(F.explode(segment).alias("h")).select(_date("h.tradingDate").alias("day"), F.col("h.description").alias("name"))
 
 
-# Fixed aliases of the columns of broker files.
-ALIASES = {"symbol": ("instrument", "symbol", "tradingsymbol"), "quantity": ("qty.", "qty", "quantity", "quantity available"), "price": ("avg. cost", "average price", "avg cost")}
+# Fixed aliases of the columns of broker files, as they read without dots and other marks.
+ALIASES = {
+    "symbol": ("instrument", "symbol", "tradingsymbol", "trading symbol", "scrip"),
+    "quantity": ("qty", "quantity", "quantity available", "qty available", "net qty"),
+    "price": ("avg cost", "average cost", "average price", "avg price", "buy average"),
+    "isin": ("isin",),
+}
+REQUIRED = ("symbol", "quantity", "price")
 
 
 def read_broker_holdings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of a holdings file of unknown layout; a missing or ambiguous column raises."""
+    """(good, rejects) of a holdings file of unknown layout; a missing required or an ambiguous column raises."""
     raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
+    plain = {c: "".join(x for x in c.lower() if x.isascii() and (x.isalpha() or x == " ")).strip() for c in raw.columns}
     found = {}
     for field, names in ALIASES.items():
-        hits = [c for c in raw.columns if c.strip().lower() in names]
-        if len(hits) != 1:
+        hits = [c for c in raw.columns if plain[c] in names]
+        if len(hits) > 1 or not hits and field in REQUIRED:
             raise ValueError(f"{field}: {len(hits)} matching columns")
-        found[field] = hits[0]
+        found[field] = hits[0] if hits else None
     number = lambda c, t: F.regexp_replace(F.col(f"`{c}`"), "[,₹\\s]", "").try_cast(t)
-    out = raw.select(F.regexp_replace(F.upper(F.trim(F.col(f"`{found['symbol']}`"))), "-(EQ|BE|BZ)$", "").alias("symbol"), number(found["quantity"], "double").cast("long").alias("quantity"), number(found["price"], "double").alias("price"), F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias("raw"))
+    isin = F.upper(F.trim(F.col(f"`{found['isin']}`"))) if found["isin"] else F.lit(None).cast("string")
+    out = raw.select(
+        F.regexp_replace(F.upper(F.trim(F.col(f"`{found['symbol']}`"))), "-(EQ|BE|BZ)$", "").alias("symbol"), number(found["quantity"], "double").cast("long").alias("quantity"),
+        number(found["price"], "double").alias("price"), isin.alias("isin"), F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias("raw"),
+    )
     bad = F.col("symbol").isNull() | (F.col("symbol") == "") | F.col("quantity").isNull() | F.col("price").isNull()
     return out.where(~bad).drop("raw"), out.where(bad).select(F.to_json("raw").alias("raw"))
 
 
-def extract_filing_facts(spark: SparkSession, path: str, ranked: dict[str, list[str]]) -> DataFrame:
-    """(path, field, value, tag) of XML filings: per field the first listed tag that has a fact in a
-    context of one quarter (75 to 100 days) without further dimensions. One small file per row."""
-
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xml.etree.ElementTree as ET
-        from datetime import date
-
-        for b in batches:
-            rows = []
-            for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                root = ET.fromstring(content)
-                local = lambda e: e.tag.rpartition("}")[2]
-                spans = {}
-                for ctx in (e for e in root if local(e) == "context"):
-                    d = {local(x): (x.text or "").strip() for x in ctx.iter()}
-                    if "startDate" in d and "endDate" in d and not {"segment", "scenario"} & d.keys():
-                        spans[ctx.get("id")] = (date.fromisoformat(d["endDate"]) - date.fromisoformat(d["startDate"])).days
-                rows += [(where, local(e), e.text.strip()) for e in root if spans.get(e.get("contextRef"), 0) in range(75, 101) and e.text]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["path", "tag", "text"])
-
-    long = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(facts, "path string, tag string, text string")
-    order = spark.createDataFrame([(f, t, i) for f, tags in ranked.items() for i, t in enumerate(tags)], "field string, tag string, rank int")
-    j = long.join(F.broadcast(order), "tag")  # a short list of tags
-    return j.groupBy("path", "field").agg(F.min_by(F.struct("text", "tag"), "rank").alias("x")).select("path", "field", F.col("x.text").try_cast("double").alias("value"), F.col("x.tag").alias("tag"))
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, n, context, tag, text, start, end) of the top elements of XML filings: facts with their context, and plain contexts (tag null)."""
+    import xml.etree.ElementTree as ET
+
+    local = lambda e: e.tag.rpartition("}")[2]
+    for b in batches:
+        rows = []
+        for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for n, e in enumerate(ET.fromstring(content)):
+                if local(e) == "context":
+                    inner = {local(x): (x.text or "").strip() for x in e.iter()}
+                    if not {"segment", "scenario"} & inner.keys():
+                        rows.append((where, n, e.get("id"), None, None, inner.get("startDate"), inner.get("endDate")))
+                elif e.get("contextRef") and (e.text or "").strip():
+                    rows.append((where, n, e.get("contextRef"), local(e), e.text.strip(), None, None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(7)], names=["path", "n", "context", "tag", "text", "start", "end"])
+
+
+def filing_facts(files: DataFrame, ranked: dict[str, list[str]], revenue: str = "revenue") -> DataFrame:
+    """(path, field, value, tag) of XML filings (path, content, period_to): per field the first listed tag that has a number.
+
+    Facts count from a context of one quarter (75 to 100 days) that ends on `period_to` and has no further dimensions; a null
+    period_to takes any such quarter. A file that declares none counts by its context OneD, if that says that it ends
+    on period_to, unless its revenue is nearly the year's (FourD) in another quarter than the first. One file
+    makes a few hundred rows; all choices are joins over these.
+    """
+    c = F.col
+    rows = files.select("path", "content").mapInArrow(_elements, "path string, n long, context string, tag string, text string, start string, end string")
+    rows = rows.join(files.select("path", "period_to"), "path")
+    day = lambda x: F.expr(f"try_to_date(substr({x}, 1, 10), 'yyyy-MM-dd')")
+    quarter = rows.where("tag is null").where(F.datediff(day("end"), day("start")).between(75, 100) & (c("period_to").isNull() | (day("end") == c("period_to")))).select("path", "context").distinct()
+    number = c("text").try_cast("double")
+    order = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("tag"), F.lit(i).alias("rank")) for f, tags in ranked.items() for i, t in enumerate(tags)])
+    facts = rows.where("tag is not null").select("path", "period_to", "context", "n", "tag", number.alias("value"), "text")
+    known = facts.where("value is not null").withColumn("o", F.explode(F.filter(order, lambda o: o["tag"] == c("tag")))).select("path", "period_to", "context", "n", "tag", "value", "o.field", "o.rank")
+    # files without a quarter of their own
+    says = facts.where((c("context") == "OneD") & c("tag").isin("DateOfEndOfReportingPeriod", "DateOfEndOfFinancialYear") & (day("text") == c("period_to"))).select("path").distinct()
+    first = lambda ctx: F.min_by(F.when((c("context") == ctx) & (c("field") == revenue), c("value")), F.when((c("context") == ctx) & (c("field") == revenue), F.struct("rank", "n")))
+    year = known.groupBy("path").agg(first("OneD").alias("one"), first("FourD").alias("four"), F.first("period_to").alias("period_to"))
+    whole_year = year.where((c("one") >= 0.9 * c("four")) & (c("four") != 0) & (c("one") != 0) & (F.month("period_to") != 6)).select("path")
+    loose = says.join(quarter, "path", "left_anti").join(whole_year, "path", "left_anti").select("path", F.lit("OneD").alias("context"))
+    j = known.join(quarter.unionByName(loose), ["path", "context"])
+    return j.groupBy("path", "field").agg(F.min_by(F.struct("value", "tag"), F.struct("rank", "n")).alias("x")).select("path", "field", "x.value", "x.tag")
+
+
+def extract_filing_facts(spark: SparkSession, path: str, ranked: dict[str, list[str]], period_to: str | None = None) -> DataFrame:
+    return filing_facts(binary_files(spark, path).withColumn("period_to", F.lit(period_to).cast("date")), ranked)
