@@ -236,22 +236,32 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(shared):
-    """(term, n): in how many of a partition's texts each of the shared terms stands; the row without a term counts the texts."""
+    """One vector for each partition: in how many of its texts each of the shared terms stands, and the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        n, texts = np.zeros(len(vocabulary), np.int64), 0
+        n = np.zeros(len(vocabulary) + 1, np.int64)
         for _, data, ends in slices(_lower(batches)):
             terms, _, _ = term_counts(data, ends)
             at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-            n += np.bincount(at[vocabulary[at] == terms], minlength=len(vocabulary))
-            texts += len(ends) - 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], texts))], names=["term", "n"])
+            n[:-1] += np.bincount(at[vocabulary[at] == terms], minlength=len(vocabulary))
+            n[-1] += len(ends) - 1
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the partition's vectors, if it has any."""
+    total = None
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            v = np.frombuffer(x, np.int64)
+            total = v.copy() if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity) of every row of `df`.
 
@@ -292,10 +302,11 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     weight, unseen = np.zeros(len(terms)), 0.0
     if len(terms):
         shared = spark.sparkContext.broadcast(terms)
-        per = rows.mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        df_all, texts = np.zeros(len(terms)), int(per.n[per.term < 0].sum())
-        per = per[per.term >= 0]
-        df_all[per.term.to_numpy()] = per.n.to_numpy()
+        sums = rows.mapInArrow(_frequencies(shared), "n binary")
+        for parts in (32, 4):  # a tree, as the number of partitions grows with the corpus
+            sums = sums.repartition(parts).mapInArrow(_added, "n binary")
+        n_all = sum((np.frombuffer(bytes(r.n), np.int64) for r in sums.collect()), np.zeros(len(terms) + 1, np.int64))
+        df_all, texts = n_all[:-1].astype(float), int(n_all[-1])
         in_class = {y: np.zeros(len(terms)) for y in (0, 1)}
         for _, t, _, y, _ in index:
             in_class[int(y > 0)][np.searchsorted(terms, t)] += 1
