@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -75,19 +76,21 @@ def group_scores(train: DataFrame, calib: DataFrame, test: DataFrame, features:
     return scored.withColumn("p", reduce(lambda a, b: a + b, [F.col(f"p_{k}") for k in kinds]) / len(kinds)).drop(*[f"p_{k}" for k in kinds])
 
 
-def walk_forward(samples: DataFrame, folds: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = ("gbt",), calibrate: bool = True) -> DataFrame:
-    """Out-of-sample predictions of all folds; with several kinds their calibrated mean. Folds loop on the
-    driver (a short list); every fit and prediction is distributed. Folds without a positive to learn from
+def walk_forward(samples: DataFrame, folds: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = ("gbt",), calibrate: bool = True, parallelism: int = 8) -> DataFrame:
+    """Out-of-sample predictions of all folds; with several kinds their calibrated mean. Folds are a short list, of
+    which `parallelism` are fitted at one time; every fit and prediction is distributed. Folds without a positive to learn from
     or to calibrate on are left out."""
-    out = []
     roles = assign_folds(samples, folds)
     seen = {(r.fold, r.role): r for r in roles.groupBy("fold", "role").agg(F.count("*").alias("n"), F.count(F.when(F.col(label), 1)).alias("pos")).collect()}
-    for f in sorted({fold for fold, _ in seen}):
-        if any((f, r) not in seen or r != "test" and not seen[f, r].pos for r in ("train", "calib", "test")):
-            continue
+
+    def one(f: int) -> DataFrame:
         part = roles.where(F.col("fold") == f)
         train, calib, test = (part.where(F.col("role") == r).drop("role") for r in ("train", "calib", "test"))
-        out.append(group_scores(train, calib, test, features, label, kinds, calibrate))
+        return group_scores(train, calib, test, features, label, kinds, calibrate)
+
+    usable = [f for f in sorted({fold for fold, _ in seen}) if all((f, r) in seen and (r == "test" or seen[f, r].pos) for r in ("train", "calib", "test"))]
+    with ThreadPoolExecutor(parallelism) as pool:
+        out = list(pool.map(one, usable))
     if not out:
         return samples.limit(0).withColumns({"fold": F.lit(0).cast("long"), "p": F.lit(0.0)})
     return reduce(DataFrame.unionByName, out)
