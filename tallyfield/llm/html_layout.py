@@ -240,8 +240,22 @@ def render_list(node: Node, hidden: set[str]) -> list[str]:
 
 
 def render_table(node: Node, hidden: set[str]) -> list[str]:
-    """Rows of cells, each column as wide as its widest line; a cell of several lines takes several lines."""
-    rows, above = [], []
+    """Rows of cells, each column as wide as its widest line; a cell of several lines takes several lines.
+
+    A cell that spans columns or rows shows in the first of them, and keeps the others' places empty.
+    """
+    rows, above, taken = [], [], {}  # taken: for how many more rows a column is held by a cell from above
+
+    def span(cell: Node, name: str) -> int:
+        n = cell.attrs.get(name, "1").strip()
+        return min(max(int(n), 1), 1000) if re.fullmatch(r"\d{1,6}", n) else 1  # HTML's own limit
+
+    def place(row: list, cell: Node) -> None:
+        while taken.get(len(row), 0) > 0:
+            row.append([])
+        for k in range(span(cell, "colspan")):
+            taken[len(row)] = span(cell, "rowspan")
+            row.append([y for y in render(cell, hidden) if y] if k == 0 else [])
 
     def walk(x: Node) -> None:
         for kid in x.kids:
@@ -253,14 +267,14 @@ def render_table(node: Node, hidden: set[str]) -> list[str]:
                     row = []
                     for c in kid.kids:
                         if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, hidden):
-                            row.append([y for y in render(c, hidden) if y])
-                            span = c.attrs.get("colspan", "1")
-                            row += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+                            place(row, c)
                         elif isinstance(c, Node) and visible(c, hidden):
                             above.extend(render(c, hidden))
                         elif isinstance(c, str) and c.strip():
                             above.append(BLANKS.sub(" ", c).strip())
                     rows.append(row)
+                    for k in [k for k, n in taken.items() if n]:
+                        taken[k] -= 1
                 elif kid.tag in ("tbody", "thead", "tfoot", "colgroup"):
                     walk(kid)
                 else:
@@ -275,7 +289,10 @@ def render_table(node: Node, hidden: set[str]) -> list[str]:
     out = above
     for r in rows:
         for k in range(max(map(len, r))):
-            out.append(" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip(" |"))
+            cells = [c[k] if k < len(c) else "" for c in r]
+            while cells and not cells[-1].strip():
+                cells.pop()
+            out.append(" | ".join(c.ljust(width[i]) for i, c in enumerate(cells)).rstrip(" "))
     return out
 
 

@@ -162,6 +162,8 @@ def test_interval_join_matches_brute_force(spark):
 @pytest.mark.parametrize(("html", "text"), [
     ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y</ul>", "- x\n- y"), ("<table><tr><td>a<td>bbb<tr><td>cc<td>d</table>", "a  | bbb\ncc | d"), ("<div hidden>no</div>yes", "yes"),
     ("<style>.k{display:none}</style><b class=k>no</b> a &lt; b", "a < b"), ("<pre>a\n  b</pre>", "a\n  b"), ("<ol start=3><li>q<li>r</ol>", "3. q\n4. r"), (None, ""), ("<div>" * 5000 + "x", "x"), ("<b a=\"", '<b a="'),
+    ("<table><tr><td>a |<td>|<tr><td>b<td></table>", "a | | |\nb"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a |   | b\nc | d | e"), ("<table><tr><td rowspan=x colspan=0>a<td>b</table>", "a | b"),
     ("a<br>b", "a\nb"), ("<script>var t='</p>'</script>ok", "ok"), ("<details><summary>s</summary>hid</details>", "s"),
 ])
 def test_html(html, text):
