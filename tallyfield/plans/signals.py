@@ -9,7 +9,7 @@ from ..operators import decisions as dc
 from ..operators import evaluate as ev
 from ..operators import prices as pr
 from . import fixtures as fx
-from .domain import MONEY, RANKSUM, money_results, opportunities, warn, wil
+from .domain import EDGE, MONEY, RANKSUM, money_results, opportunities, warn, wil
 from .sqltext import with_views
 
 t = fx.table
@@ -158,4 +158,19 @@ j AS (
   QUALIFY row_number() OVER (PARTITION BY f.filing_id ORDER BY valid_from DESC, m.company_id) = 1)
 SELECT company_id, period_to, filing_id, published_at FROM j QUALIFY row_number() OVER (PARTITION BY company_id, period_to ORDER BY consolidated DESC, published_at, filing_id) = 1""")
 register("c32_load_fundamentals", lambda s, d: pr.load_fundamentals(fx.filings(s, d).withColumnRenamed("published_at", "fetched_at")).select("company_id", "period_to", "filing_id"), with_views("filings") + "SELECT company_id, period_to, arg_max(filing_id, (published_at, filing_id)) AS filing_id FROM filings GROUP BY 1, 2")
-register("c49_plan_opportunities", opportunities)
+
+# greedy buys: the recursion carries an account's cash from one candidate to the next
+GREEDY = with_views("scored").replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT trade_date AS account, CAST(count(*) * 1000 AS DOUBLE) AS budget FROM scored GROUP BY 1),
+c AS (
+  SELECT s.trade_date AS account, CAST(row_id AS VARCHAR) AS company_id, CAST(100 + row_id % 700 AS DOUBLE) AS close, expected_gain, least(budget, 4000.0) AS v
+  FROM scored s JOIN b ON b.account = s.trade_date WHERE p >= 0.8),
+e AS (SELECT *, round(""" + EDGE.format(v="v") + """, 9) AS edge FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY edge DESC, company_id, close) AS k FROM e WHERE edge > 0),
+g AS (
+  SELECT account, CAST(0 AS BIGINT) AS k, budget AS cash, 0 AS n, CAST(NULL AS VARCHAR) AS company_id, CAST(NULL AS BIGINT) AS quantity, CAST(NULL AS DOUBLE) AS price FROM b
+  UNION ALL
+  SELECT account, k, CASE WHEN ok THEN cash - q * close ELSE cash END, n + CAST(ok AS INT), CASE WHEN ok THEN cid END, CASE WHEN ok THEN q END, CASE WHEN ok THEN close END
+  FROM (SELECT g.account, o.k, cash, n, o.company_id AS cid, o.close, CAST(floor(least(cash, 4000.0) / o.close) AS BIGINT) AS q, floor(least(cash, 4000.0) / o.close) * o.close >= 3000 AND n < 5 AS ok
+        FROM g JOIN o ON o.account = g.account AND o.k = g.k + 1) z)
+SELECT account, company_id, quantity, price FROM g WHERE company_id IS NOT NULL"""
+register("c49_plan_opportunities", opportunities, GREEDY)
