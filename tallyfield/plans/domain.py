@@ -118,7 +118,7 @@ register("c30_horizon_samples", lambda s, d: r6(ft.horizon_samples(ft.compute_la
 
 # money
 FEE = "round({v} * 0.001 + {v} * 0.0000307 + {v} * 0.000001 + ({v} * 0.0000307 + {v} * 0.000001) * 0.18 + CASE WHEN {s} = 'BUY' THEN {v} * 0.00015 ELSE 0 END + CASE WHEN {s} = 'SELL' THEN 15.34 ELSE 0 END, 2)"
-register("c33_order_charges", lambda s, d: mn.order_charges(fx.txns(s, d)).select("txn_id", F.round("stt", 8).alias("stt"), F.round("gst", 8).alias("gst"), F.round("stamp", 8).alias("stamp"), "dp"), with_views("txns") + "SELECT txn_id, round(quantity * price * CAST(0.001 AS DOUBLE), 8) AS stt, round(quantity * price * (0.0000307 + 0.000001) * 0.18, 8) AS gst, round(CASE WHEN side = 'BUY' THEN quantity * price * CAST(0.00015 AS DOUBLE) ELSE 0 END, 8) AS stamp, CASE WHEN side = 'SELL' THEN 15.34 ELSE 0 END AS dp FROM txns")
+register("c33_order_charges", lambda s, d: mn.order_charges(fx.txns(s, d)).select("txn_id", F.round("stt", 8).alias("stt"), F.round(F.col("gst") + 1e-12, 8).alias("gst"), F.round("stamp", 8).alias("stamp"), "dp"), with_views("txns") + "SELECT txn_id, round(quantity * price * CAST(0.001 AS DOUBLE), 8) AS stt, round(quantity * price * (0.0000307 + 0.000001) * 0.18 + 1e-12, 8) AS gst, round(CASE WHEN side = 'BUY' THEN quantity * price * CAST(0.00015 AS DOUBLE) ELSE 0 END, 8) AS stamp, CASE WHEN side = 'SELL' THEN 15.34 ELSE 0 END AS dp FROM txns")
 register("c34_term_and_tax", lambda s, d: fx.txns(s, d).select("txn_id", mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date")).alias("long_term"), F.round(mn.estimated_tax(F.round(F.col("price") - 1400, 0), mn.holding_term(F.col("trade_date"), F.lit("1997-03-01").cast("date"))), 2).alias("tax")), with_views("txns") + ", x AS (SELECT txn_id, DATE '1997-03-01' > CASE WHEN month(trade_date) = 2 AND day(trade_date) = 29 THEN CAST(trade_date + INTERVAL 1 YEAR AS DATE) + 1 ELSE CAST(trade_date + INTERVAL 1 YEAR AS DATE) END AS long_term, round(price - 1400, 0) AS g FROM txns) SELECT txn_id, long_term, CASE WHEN g <= 0 THEN 0 ELSE round(g * CASE WHEN long_term THEN 0.125 ELSE 0.20 END, 2) END AS tax FROM x")
 CUM = with_views("txns") + ", c AS (SELECT *, sum(quantity) OVER (PARTITION BY account, company_id, side ORDER BY trade_date, txn_id) AS upto FROM txns), b AS (SELECT * FROM c WHERE side = 'BUY'), s AS (SELECT * FROM c WHERE side = 'SELL')\n"
 register("c35_fifo_lots", lambda s, d: mn.fifo_matches(fx.txns(s, d)).select("account", "company_id", "buy_id", "sell_id", "quantity", F.round("cost", 7).alias("cost"), F.round("proceeds", 7).alias("proceeds")), CUM + "SELECT b.account, b.company_id, b.txn_id AS buy_id, s.txn_id AS sell_id, CAST(least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity) AS BIGINT) AS quantity, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * b.price, 7) AS cost, round((least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * s.price, 7) AS proceeds FROM b JOIN s ON b.account = s.account AND b.company_id = s.company_id AND b.upto - b.quantity < s.upto AND s.upto - s.quantity < b.upto")
