@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to whole tables with production parameters."""
+"""The queries of the corpus operators, op11 to op13 from structure_queries: each applies its operator to whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import structure_queries
 from .byte_bpe import bpe_round_trip
 from .common import table
 from .exact_stream import exact_duplicates
@@ -84,8 +85,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_source_mix": op9_source_mix,
         "op10_exact_dedup": op10_exact_dedup,
-    }
+    } | structure_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _OP10}
+    return {"op10_exact_dedup": _OP10} | structure_queries.oracle_sql()
