@@ -72,11 +72,13 @@ def first_edit(old: Column, new: Column, backwards: bool = False) -> Column:
     return F.when(_root(old) != _root(new), F.concat_ws(".", *path))
 
 
-def with_next(rows: DataFrame, id_col: str, tie_col: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """`rows` with next_<field> of the row that comes next by descending id (nulls last), after the last that of the first; and the table this reads, to be discarded.
+def with_next(rows: DataFrame, id_col: str, tie_col: str, field: str, derived: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """`rows` with the columns `derived`, and with next_<column> of `field` and of these from the row that comes next by descending id
+    (nulls last), after the last from the first; and the table this reads, to be discarded.
 
     Rows are dealt to ranges of the order, so none holds more than its share; each range gets a copy of the next range's
-    first row as its end, and a window within the range does the rest. Of the ranges the driver sees numbers only.
+    first row as its end, and a window within the range does the rest. Columns are derived behind the exchange, once for
+    each row. Of the ranges the driver sees numbers only.
     """
     spark = rows.sparkSession
     order = [F.col(id_col).desc_nulls_last(), F.col(tie_col).desc(), F.col("__row").desc()]
@@ -89,7 +91,8 @@ def with_next(rows: DataFrame, id_col: str, tie_col: str, fields: list[str]) ->
     ends = ends.withColumn("__range", F.col("__before")).drop("__before")
     window = Window.partitionBy("__range").orderBy("__end", *order)
     both = ranged.withColumn("__end", F.lit(0)).unionByName(ends.withColumn("__end", F.lit(1)))
-    out = both.withColumns({f"next_{c}": F.lead(c).over(window) for c in fields}).where("__end = 0").drop("__end", "__row", "__range")
+    out = both.withColumn(f"next_{field}", F.lead(field).over(window)).withColumns(derived)
+    out = out.withColumns({f"next_{c}": F.lead(c).over(window) for c in derived}).where("__end = 0").drop("__end", "__row", "__range")
     return out, ranged
 
 
@@ -103,8 +106,8 @@ def document_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their names; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), fingerprint(F.col(text_col)).alias("fingerprint"))
-    linked, ranged = with_next(rows.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", ["text", "fingerprint"])
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    linked, ranged = with_next(rows, "doc_id", "tie", "text", {"fingerprint": fingerprint(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
