@@ -35,7 +35,16 @@ def stored(df: DataFrame, at: str | None = None) -> DataFrame:
     spark = df.sparkSession
     at = at or new_folder(spark)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._tallyfield_stored = at
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete what `stored` wrote, once nothing reads it any more."""
+    at = getattr(df, "_tallyfield_stored", None)
+    if at:
+        remove_folder(df.sparkSession, at)
 
 
 def has_table(spark: SparkSession, path: str) -> bool:
@@ -99,15 +108,6 @@ def stitch_sources(old: DataFrame, new: DataFrame, cut: str, day: str = "trade_d
     return old.where(F.col(day) < cut).withColumn("source", F.lit("old")).unionByName(new.where(F.col(day) >= cut).withColumn("source", F.lit("new")))
 
 
-def ingest_partition(spark: SparkSession, df: DataFrame, issues: DataFrame, table: str, quarantine: str, column: str) -> bool:
-    """Replace the partition unless an issue blocks it, in which case the issues go to the quarantine table."""
-    if not issues.where("severity = 'BLOCK'").isEmpty():
-        issues.withColumn("at", F.current_timestamp()).write.mode("append").parquet(quarantine)
-        return False
-    write_partition(df, table, column)
-    return True
-
-
 def report_table(df: DataFrame, path: str) -> None:
     """One JSON document per row."""
     df.write.mode("overwrite").json(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lake import shared_folder
 from .intervals import asof_join, ordinal_band, session_ordinals, valid_at, without_between
 from .subjects import parse_actions
 from .tables import keep_last
@@ -97,34 +96,6 @@ def load_fundamentals(facts: DataFrame) -> DataFrame:
     return keep_last(facts, ["company_id", "period_to"], F.desc("fetched_at"), F.desc("filing_id"))
 
 
-def symbol_segments(changes: DataFrame, components) -> DataFrame:
-    """(symbol, company_id): symbols that rename links connect share the company, named by the least symbol.
-
-    `components` maps an edge table (u, v) to (node, component); it is injected so that any graph
-    routine may serve. Chains of renames are short, so few rounds suffice.
-    """
-    return components(changes.select(F.col("old_symbol").alias("u"), F.col("new_symbol").alias("v")))
-
-
-def propagate_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the least node reachable, by label propagation with checkpoints."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(edges.sparkSession))
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")).select(F.col("u").alias("node"), "c")
-    for _ in range(rounds):
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("c").alias("near"))
-        jump = labels.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        nxt = labels.join(near, labels.node == near.u, "left").join(jump, "c", "left")
-        nxt = nxt.select("node", F.least("c", "near", "further").alias("c2"), "c").checkpoint()
-        moved = nxt.where("c2 <> c").limit(1).count()
-        labels = nxt.select("node", F.col("c2").alias("c"))
-        if not moved:
-            return labels.withColumnRenamed("c", "component")
-    raise RuntimeError("labels did not settle")
-
-
 def stretches_without_events(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Consecutive bars with no event between them: the pairs a gap check may compare."""
     w = Window.partitionBy("company_id").orderBy("trade_date")

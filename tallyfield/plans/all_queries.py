@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from . import domain, health, landing, learning, portfolio, relational, signals, windows  # noqa: F401
+from . import domain, health, identity, ingest, landing, learning, portfolio, relational, signals, stateful, windows  # noqa: F401

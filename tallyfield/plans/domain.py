@@ -54,9 +54,6 @@ register("c07_calendar_status", lambda s, d: ql.calendar_status(s, "2024-01-01",
 SELECT day, CASE WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 9 = 0) THEN 'session' WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 501 = 0) THEN 'holiday' WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'expected' END AS status FROM d""")
 
 # identity, actions, adjustment
-register("c08_symbol_map", lambda s, d: pr.symbol_segments(fx.symbol_changes(s, d), pr.propagate_labels), with_views("symbol_changes") + """
-SELECT concat('S', k + i) AS node, (SELECT min(concat('S', k + j)) FROM range(0, 5) q(j) WHERE k + j <= (SELECT max(c_custkey) + 1 FROM customer WHERE c_custkey % 5 <> 4) AND k + j >= lo) AS component
-FROM (SELECT DISTINCT (c_custkey // 5) * 5 AS k, (SELECT min(c_custkey) FROM customer) AS lo FROM customer WHERE c_custkey % 5 <> 4) b, range(0, 5) r(i) WHERE k + i >= lo AND k + i <= (SELECT max(c_custkey) + 1 FROM customer WHERE c_custkey % 5 <> 4)""")
 
 
 def board_rows(s, d):

@@ -214,15 +214,3 @@ def s23(s, d):
 
 
 register("s23_report_json", s23, with_views("market") + "SELECT CAST(trade_date AS VARCHAR) AS day, round(nifty500, 6) AS level FROM market")
-
-
-def c05(s, d):
-    at = folder(s)
-    days = fx.px(s, d).select("company_id", F.year("trade_date").alias("y"), "px")
-    none = s.createDataFrame([], "rule string, severity string, n long")
-    lake.ingest_partition(s, days.where("y = 1996"), none, f"{at}/silver", f"{at}/bad", "y")
-    lake.ingest_partition(s, days.where("y = 1997"), none.unionByName(s.createDataFrame([("too_few_rows", "BLOCK", 1)], none.schema)), f"{at}/silver", f"{at}/bad", "y")
-    return lake.scan_table(s, f"{at}/silver").groupBy(F.col("y").cast("long").alias("y")).count().withColumnRenamed("count", "n")
-
-
-register("c05_ingest_partition", c05, with_views("px") + "SELECT year(trade_date) AS y, count(*) AS n FROM px WHERE year(trade_date) = 1996 GROUP BY 1")

@@ -175,11 +175,6 @@ def test_warnings_are_spaced(spark):
     assert sorted(r.trade_date for r in out) == [d[0], d[2], d[4]]
 
 
-def test_rename_chain(spark):
-    e = spark.createDataFrame([("S1", "S2"), ("S3", "S2"), ("S8", "S9")], "u string, v string")
-    assert {(r.node, r.component) for r in pr.propagate_labels(e).collect()} == {("S1", "S1"), ("S2", "S1"), ("S3", "S1"), ("S8", "S8"), ("S9", "S8")}
-
-
 def test_lake(spark, tmp_path):
     at = str(tmp_path / "t")
     lake.write_partition(spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string"), at, "p")
