@@ -166,7 +166,6 @@ register("st3_late_tolerant_counts", lambda s, d: run_stream(s, st.late_tolerant
 keyed = lambda s, d: stream(s, d).select("ts", F.col("event_type").alias("kind"), F.concat_ws("-", "event_type", "user_id").alias("dedupe_key"))
 register("st4_deduplicated_alerts", lambda s, d: run_stream(s, st.deduplicated_alerts(keyed(s, d), "60 days"), "append").select("dedupe_key"), "SELECT DISTINCT concat_ws('-', event_type, CAST(user_id AS VARCHAR)) AS dedupe_key FROM events")
 register("st4_weekly_counts", lambda s, d: run_stream(s, st.weekly_counts(keyed(s, d))).select(F.col("week").cast("date").alias("week"), "kind", "n"), "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
-register("st5_spaced_warnings", lambda s, d: run_stream(s, st.spaced_warnings(stream(s, d).select(F.col("user_id").alias("company_id"), F.col("ts").cast("date").alias("trade_date")), 7), "append"), "WITH RECURSIVE w AS (SELECT DISTINCT user_id AS company_id, CAST(ts AS DATE) AS trade_date FROM events), k AS (SELECT company_id, min(trade_date) AS trade_date FROM w GROUP BY 1 UNION ALL SELECT k.company_id, (SELECT min(trade_date) FROM w WHERE w.company_id = k.company_id AND w.trade_date >= k.trade_date + 7) FROM k WHERE k.trade_date IS NOT NULL) SELECT company_id, trade_date FROM k WHERE trade_date IS NOT NULL")
 register("st6_exit_watch", lambda s, d: run_stream(s, st.exit_watch(stream(s, d).select(F.col("user_id").alias("company_id"), "event_id", F.col("value").alias("close")), fx.table(s, d, "customer").select(F.col("c_custkey").alias("company_id"), F.lit(50.0).alias("cost"))).select("event_id", "rule"), "append"), "SELECT event_id, CASE WHEN value >= 50.0 * (1 + CAST(0.1 AS DOUBLE)) THEN 'target' ELSE 'stop' END AS rule FROM events JOIN customer ON c_custkey = user_id WHERE value >= 50.0 * (1 + CAST(0.1 AS DOUBLE)) OR value <= 50.0 * (1 - CAST(0.1 AS DOUBLE))")
 register("st7_first_publications", lambda s, d: run_stream(s, st.first_publications(stream(s, d).select(F.col("event_type").alias("company_id"), F.col("user_id").alias("period_to"), F.col("ts").alias("published_at")))), "SELECT event_type AS company_id, user_id AS period_to, min(ts) AS published_at FROM events GROUP BY 1, 2")
 register("st8_daily_bars", lambda s, d: run_stream(s, st.daily_bars(stream(s, d))), "SELECT CAST(ts AS DATE) AS day, event_type, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2")

@@ -125,7 +125,8 @@ def live_calibration(s, d):
 
 register("c56_live_calibration", live_calibration, STORED + f""", b AS (SELECT signal, p, label FROM st UNION ALL SELECT 'all', p, label FROM st)
 SELECT signal, CAST({_over} AS BIGINT) AS band, count(*) AS n, round(avg(p), 6) AS stated, round(avg(CAST(label AS DOUBLE)), 6) AS observed FROM b GROUP BY 1, 2""")
-alerts = lambda s, d: t(s, d, "events").select(F.col("event_id").alias("alert_id"), "ts", F.col("event_type").alias("kind"), F.concat_ws("-", "event_type", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("dedupe_key"))
+alerts_of = lambda events: events.select(F.col("event_id").alias("alert_id"), "ts", F.col("event_type").alias("kind"), F.concat_ws("-", "event_type", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("dedupe_key"))
+alerts = lambda s, d: alerts_of(t(s, d, "events"))
 register("c61_alert_admission", lambda s, d: dc.alert_admission(alerts(s, d), 50, ("purchase",), ("login",)).select("alert_id", "verdict"), """WITH a AS (SELECT event_id AS alert_id, ts, event_type AS kind, concat_ws('-', event_type, CAST(user_id AS VARCHAR), CAST(CAST(ts AS DATE) AS VARCHAR)) AS k FROM events),
 b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, alert_id) = 1 AS first, date_trunc('week', ts) AS wk FROM a),
 c AS (SELECT *, sum(CASE WHEN kind NOT IN ('login', 'purchase') AND first THEN 1 ELSE 0 END) OVER (PARTITION BY wk ORDER BY ts, alert_id ROWS UNBOUNDED PRECEDING) AS used FROM b)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,25 +50,6 @@ def weekly_counts(stream: DataFrame, delay: str = "10 days") -> DataFrame:
     return late_tolerant(stream, delay=delay).groupBy(w, "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("week"), "kind", "n")
 
 
-def spaced_warnings(stream: DataFrame, days: int = 28) -> DataFrame:
-    """At most one warning per company in `days` days, in date order; the last kept day is the state."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = sorted({d for b in batches for d in b["trade_date"]})
-        kept = []
-        for d in rows:
-            if last is None or (pd.Timestamp(d) - pd.Timestamp(last)).days >= days:
-                kept.append(d)
-                last = d
-        state.update((last,))
-        yield pd.DataFrame({"company_id": [key[0]] * len(kept), "trade_date": kept})
-
-    return stream.groupBy("company_id").applyInPandasWithState(step, "company_id long, trade_date date", "last date", "append", GroupStateTimeout.NoTimeout)
-
-
 def exit_watch(closes: DataFrame, holdings: DataFrame, gain: float = 0.1, loss: float = 0.1) -> DataFrame:
     """Stream of closes against static holdings: which rule each new close meets."""
     j = closes.join(holdings, "company_id")
