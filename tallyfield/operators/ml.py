@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -35,7 +36,7 @@ def assign_folds(samples: DataFrame, folds: DataFrame, day: str = "trade_date")
     return samples.join(f, F.col(day) <= F.col("test_to")).withColumn("role", role).where("role is not null").select(*samples.columns, "fold", "role")
 
 
-def _prepare(features: list[str], scale: bool = False):
+def prepare(features: list[str], scale: bool = False):
     stages = [Imputer(inputCols=features, outputCols=[f"{c}_i" for c in features]), VectorAssembler(inputCols=[f"{c}_i" for c in features], outputCol="raw_vector" if scale else "vector")]
     return stages + ([StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True)] if scale else [])
 
@@ -47,7 +48,7 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     common = dict(featuresCol="vector", labelCol="y", weightCol="w")
     model = {"gbt": lambda: GBTClassifier(maxIter=8, maxDepth=3, seed=7, **common), "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=7, **common), "logistic": lambda: LogisticRegression(maxIter=20, **common),
              "deep_forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=8, minInstancesPerNode=20, seed=11, **common), "ridge": lambda: LogisticRegression(maxIter=20, regParam=0.1, **common)}[kind]()
-    return Pipeline(stages=[*_prepare(features, kind in ("logistic", "ridge")), model]).fit(data)
+    return Pipeline(stages=[*prepare(features, kind in ("logistic", "ridge")), model]).fit(data)
 
 
 def scores(model, df: DataFrame, name: str = "raw_p") -> DataFrame:
@@ -67,12 +68,35 @@ def calibrated(model, calibrator, df: DataFrame, name: str = "p") -> DataFrame:
     return out.select(*df.columns, name)
 
 
+@dataclass
+class Group:
+    """Fitted members, each with its own calibrator."""
+
+    features: list[str]
+    members: dict[str, tuple]
+
+    def score(self, df: DataFrame, name: str = "p", each: bool = False) -> DataFrame:
+        """`df` with the mean of the members' calibrated probabilities; with `each` also theirs, as p_<member>."""
+        out = df
+        for kind, (model, calibrator) in self.members.items():
+            out = calibrated(model, calibrator, out, f"p_{kind}")
+        out = out.withColumn(name, reduce(lambda a, b: a + b, [F.col(f"p_{k}") for k in self.members]) / len(self.members))
+        return out if each else out.drop(*[f"p_{k}" for k in self.members])
+
+
+def fit_group(train: DataFrame, calib: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = MEMBERS) -> Group:
+    """Members fitted on `train` and calibrated on `calib`."""
+    fitted = {k: fit_classifier(train, features, label, k) for k in kinds}
+    return Group(list(features), {k: (m, fit_calibrator(m, calib, label)) for k, m in fitted.items()})
+
+
 def group_scores(train: DataFrame, calib: DataFrame, test: DataFrame, features: list[str], label: str = "label", kinds: tuple[str, ...] = MEMBERS, calibrate: bool = True) -> DataFrame:
     """`test` with `p`: the mean of the members' probabilities, each member calibrated on `calib` by itself."""
+    if calibrate:
+        return fit_group(train, calib, features, label, kinds).score(test)
     scored = test
     for k in kinds:
-        model = fit_classifier(train, features, label, k)
-        scored = calibrated(model, fit_calibrator(model, calib, label), scored, f"p_{k}") if calibrate else scores(model, scored, f"p_{k}")
+        scored = scores(fit_classifier(train, features, label, k), scored, f"p_{k}")
     return scored.withColumn("p", reduce(lambda a, b: a + b, [F.col(f"p_{k}") for k in kinds]) / len(kinds)).drop(*[f"p_{k}" for k in kinds])
 
 
@@ -120,7 +144,7 @@ def summarize(preds: DataFrame, names: list[str], label: str = "label", k: int =
 def median_gain(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
     """The training median of the target in each test row's regression-tree leaf."""
     tree = DecisionTreeRegressor(featuresCol="vector", labelCol=target, maxDepth=4, leafCol="leaf", seed=7)
-    model = Pipeline(stages=[*_prepare(features), tree]).fit(train.where(F.col(target).isNotNull()))
+    model = Pipeline(stages=[*prepare(features), tree]).fit(train.where(F.col(target).isNotNull()))
     leaf = model.transform(train.where(F.col(target).isNotNull())).groupBy("leaf").agg(F.percentile_approx(target, 0.5).alias("median_gain"))
     return model.transform(test).join(leaf, "leaf", "left").select(*test.columns, "median_gain")
 

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import lake
 from ..catalog import register
+from ..operators import boosting, ml
 from ..operators import features as ft
-from ..operators import ml
+from ..operators import model_store as store
 from ..streaming import incremental as st
 from . import fixtures as fx
 from .sqltext import with_views
 from .windows import features
 
 KEYS = ["company_id", "trade_date"]
+BEFORE, AFTER = "trade_date < '1998-01-01'", "trade_date >= '1998-01-01'"
 NAMES = ["ret_5", "ret_20", "vol_20", "sma_gap_20"]
 
 
@@ -78,9 +80,32 @@ def m25(s, d):
     return ml.contributions(ml.fit_classifier(x, NAMES, kind="logistic"), x, NAMES).select(*KEYS, *[F.round(f"c_{n}", 4).alias(f"c_{n}") for n in NAMES])
 
 
-register("m03_boosted_trees", classified("gbt"))
+def m03(s, d):
+    """Trees and depth by validation."""
+    x = samples(s, d)
+    return ml.scores(boosting.fit_boosted(x.where(BEFORE), NAMES), x.where(AFTER)).select(*KEYS, F.round("raw_p", 4).alias("p"))
+
+
+def both_medians(s, d):
+    """The held-out rows with the single tree's median and the boosted one, for which a tenth of the training rows decides on the rounds."""
+    x = samples(s, d)
+    train, held = x.where(BEFORE), boosting.held_back(KEYS, 10)
+    model = boosting.fit_quantile(train.where(~held), NAMES, "max_gain_5", valid=train.where(held))
+    return model.predict(ml.median_gain(train, x.where(AFTER), NAMES, "max_gain_5"), "boosted")
+
+
+def m05_losses(s, d):
+    """Mean pinball loss of either for each held-out quarter."""
+    y, half = F.col("max_gain_5"), 0.5
+    rows = both_medians(s, d).where("max_gain_5 is not null").groupBy(F.trunc("trade_date", "quarter").alias("quarter"))
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.avg(boosting.pinball(y, F.col(c), half)), 6).alias(f"loss_{c}") for c in ("median_gain", "boosted")])
+
+
+register("m03_boosted_trees", m03)
 register("m04_isotonic", m04)
 register("m05_median_gain", m05)
+register("m05_quantile_boost", lambda s, d: both_medians(s, d).select(*KEYS, F.round("boosted", 4).alias("median_gain")))
+register("m05_pinball_losses", m05_losses)
 register("m06_walk_forward", lambda s, d: ml.walk_forward((x := samples(s, d)), folds(s, x), NAMES, kinds=("logistic",)).select(*KEYS, "fold", F.round("p", 4).alias("p")))
 
 
@@ -124,12 +149,34 @@ def m08(s, d):
     return ml.walk_forward(x, folds(s, x), NAMES, kinds=ml.MEMBERS).select(*KEYS, "fold", F.round("p", 4).alias("p"))
 
 
-def m21(s, d):
-    """A group fitted on all but the last year, calibrated on that, scores the latest week."""
+def by_signal(s, d):
+    """Walk-forward predictions of a signal for each label, kept by signal and fold, and read back."""
+    at, x = folder(s), samples(s, d).withColumn("label_c", F.col("max_gain_5") < 0.02)
+    f = folds(s, x)
+    for signal, label in (("A", "label"), ("C", "label_c")):
+        preds = ml.walk_forward(x, f, NAMES, label, kinds=("logistic",))
+        store.keep_predictions(preds.select(*KEYS, F.col(label).alias("label"), "p", "fold", *(["max_gain_5"] if signal == "A" else [])), at, signal)
+    kept = [store.kept_predictions(s, at, signal) for signal in ("A", "C")]
+    return kept[0].unionByName(kept[1], allowMissingColumns=True).select("signal", F.col("fold").cast("long").alias("fold"), *KEYS, "label", F.round("p", 4).alias("p"))
+
+
+register("m06_predictions_by_signal", by_signal)
+
+
+def final_group(s, d):
+    """(group fitted on all but the last year and calibrated on that, rows of the latest week)."""
     x = samples(s, d)
     cut = x.agg(F.add_months(F.max("trade_date"), -12)).first()[0]
-    last = x.join(x.agg(F.max("trade_date").alias("trade_date")), "trade_date", "left_semi")
-    return ml.group_scores(x.where(F.col("trade_date") < F.date_sub(F.lit(cut), 14)), x.where(F.col("trade_date") >= F.lit(cut)), last, NAMES, kinds=("forest", "logistic")).select(*KEYS, F.round("p", 4).alias("p"))
+    last = x.join(F.broadcast(x.agg(F.max("trade_date").alias("trade_date"))), "trade_date", "left_semi")  # one row
+    return ml.fit_group(x.where(F.col("trade_date") < F.date_sub(F.lit(cut), 14)), x.where(F.col("trade_date") >= F.lit(cut)), NAMES), last
+
+
+def m21(s, d):
+    """All five members are fitted, saved as a version, loaded again, and score the latest week."""
+    group, last = final_group(s, d)
+    at = folder(s)
+    store.save_group(s, at, "A", "v1", group, {"label": "label"})
+    return store.load_group(s, at, "A").score(last).select(*KEYS, F.round("p", 4).alias("p"), F.lit("v1").alias("version"))
 
 
 register("m08_model_group", m08)
