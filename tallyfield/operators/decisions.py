@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lake import stored
 from .evaluate import wilson_lower
 from .money import net_edge
 
@@ -44,22 +47,25 @@ def plan_exits(states: DataFrame) -> DataFrame:
 
 
 def plan_opportunities(candidates: DataFrame, budgets: DataFrame, cap: float, minimum: float, most: int = 5) -> DataFrame:
-    """Greedy whole-share buys for many accounts: best net edge first, each within cash and cap.
+    """Greedy whole-share buys for many accounts: best net edge first, each within cash and cap, at most `most`.
 
-    Candidates (company_id, close, expected_gain, shortlisted to `shortlist` per account) are folded per
-    account, as the cash left decides the next size.
+    One round for each buy: of an account's candidates behind the one bought last, the first that the cash left can pay for at least
+    `minimum`. What was passed over with more cash can't be bought with less, so no list of candidates is needed: a round
+    is a join and an aggregation that keeps one row for each account.
     """
     j = candidates.join(budgets, "account").withColumn("edge", F.round(net_edge(c("expected_gain"), F.least(c("budget"), F.lit(cap))), 9)).where("edge > 0")
-    per = j.groupBy("account", "budget").agg(F.array_sort(F.collect_list(F.struct((-c("edge")).alias("k"), "company_id", "close"))).alias("xs"))
-    empty = F.expr("cast(array() as array<struct<company_id:string,quantity:bigint,price:double>>)")
-
-    def take(s, x):
-        q = F.floor(F.least(s["cash"], F.lit(cap)) / x["close"]).cast("long")
-        ok = (q * x["close"] >= minimum) & (F.size(s["out"]) < most)
-        return F.when(ok, F.struct((s["cash"] - q * x["close"]).alias("cash"), F.concat(s["out"], F.array(F.struct(x["company_id"].cast("string").alias("company_id"), q.alias("quantity"), x["close"].alias("price")))).alias("out"))).otherwise(s)
-
-    picked = F.aggregate("xs", F.struct(c("budget").cast("double").alias("cash"), empty.alias("out")), take, lambda s: s["out"])
-    return per.select("account", F.explode(picked).alias("b")).select("account", "b.*")
+    offers = stored(j.select("account", F.struct((-c("edge")).alias("k"), c("company_id").cast("string").alias("company_id"), "close").alias("x")))
+    state = budgets.select(c("account").alias("__account"), c("budget").cast("double").alias("cash"), F.lit(None).cast(offers.schema["x"].dataType).alias("last"))
+    bought = []
+    for _ in range(most):
+        close = c("x.close")
+        quantity = F.floor(F.least(c("cash"), F.lit(cap)) / close).cast("long")
+        open_offers = offers.join(state, c("account") == c("__account")).where((c("last").isNull() | (c("x") > c("last"))) & (quantity * close >= minimum))
+        best = open_offers.groupBy("account").agg(F.min(F.struct("x", "cash")).alias("m")).select("account", "m.x", "m.cash")
+        best = stored(best.select("account", "x", quantity.alias("quantity"), (c("cash") - quantity * close).alias("cash")))
+        bought.append(best.select("account", "x.company_id", "quantity", c("x.close").alias("price")))
+        state = best.select(c("account").alias("__account"), "cash", c("x").alias("last"))
+    return reduce(DataFrame.unionByName, bought)
 
 
 def watch_queue(candidates: DataFrame, chosen: DataFrame, n: int = 15) -> DataFrame:

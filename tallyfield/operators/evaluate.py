@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +14,40 @@ def wilson_lower(hits: Column, n: Column, z: float = Z95) -> Column:
     return F.when(n > 0, (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
 
 
-def auc(preds: DataFrame, by: list[str] | None = None, score: str = "p", label: str = "label") -> DataFrame:
-    """Exact area under the curve by average ranks; null with one class only.
+#: Ranges of scores that a ranking is dealt to.
+RANGES = 200
+
+
+def running_counts(preds: DataFrame, score: str, label: str, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """(by, score, n, pos, n_below, pos_below): rows and positives of each distinct score, and of all smaller ones.
 
-    Equal scores are aggregated first, so the ranking window sees distinct scores per group.
+    Scores are dealt to ranges cut at their approximate quantiles, of which the driver sees the bounds only; null scores are the smallest. Within a range a window
+    adds up; what lies in the ranges before is the sum of at most `ranges` totals. So no task sorts more than a range
+    of a group.
     """
+    known = preds.where(F.col(label).isNotNull())
+    cuts = known.agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    inf = float("inf")
+    deal = Bucketizer(splits=[-inf, *(sorted({float(x) for x in cuts or [0.0]} - {inf, -inf}) or [0.0]), inf], inputCol="__score", outputCol="__range")
+    per = known.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    per = deal.transform(per.withColumn("__score", F.coalesce(F.col(score).cast("double"), F.lit(-inf)))).drop("__score")
+    inside = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy(*by, "__range").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
+    other = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__before"), F.col("tn").alias("on"), F.col("tp").alias("op"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    start = totals.join(other, same & (F.col("__before") < F.col("__range")), "left").groupBy(*by, "__range").agg(F.coalesce(F.sum("on"), F.lit(0)).alias("sn"), F.coalesce(F.sum("op"), F.lit(0)).alias("sp"))
+    start = start.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), "sn", "sp")
+    below = lambda c, s: F.col(s) + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    out = per.join(start, same & (F.col("__range") == F.col("__r")))
+    return out.select(*by, score, "n", "pos", below("n", "sn").alias("n_below"), below("pos", "sp").alias("pos_below"))
+
+
+def auc(preds: DataFrame, by: list[str] | None = None, score: str = "p", label: str = "label") -> DataFrame:
+    """Exact area under the curve by average ranks; null with one class only."""
     by = by or []
-    per = preds.where(F.col(label).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("rank", below + (F.col("n") + 1) / 2)
+    per = running_counts(preds, score, label, by).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / 2)
     out = per.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p1"), (F.sum("n") - F.sum("pos")).alias("p0"))
     return out.select(*by, F.try_divide(F.col("r") - F.col("p1") * (F.col("p1") + 1) / 2, F.col("p1") * F.col("p0")).alias("auc"))
 
@@ -29,10 +55,18 @@ def auc(preds: DataFrame, by: list[str] | None = None, score: str = "p", label:
 def average_precision(preds: DataFrame, score: str = "p", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Precision at each distinct score, weighted by the positives found there."""
     by = by or []
-    per = preds.where(F.col(label).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
-    per = per.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
-    return per.groupBy(*by).agg(F.try_divide(F.sum(F.col("precision") * F.col("pos")), F.sum("pos")).alias("ap"))
+    per = running_counts(preds, score, label, by)
+    whole = per.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+    if by:
+        keyed = whole.select(*[F.col(c).alias(f"__{c}") for c in by], "all_n", "all_pos")
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        per = per.join(keyed, same)
+    else:
+        per = per.crossJoin(F.broadcast(whole))  # one row
+    precision = (F.col("all_pos") - F.col("pos_below")) / (F.col("all_n") - F.col("n_below"))
+    return per.groupBy(*by).agg(F.try_divide(F.sum(precision * F.col("pos")), F.sum("pos")).alias("ap"))
 
 
 def brier(preds: DataFrame) -> DataFrame:
@@ -86,7 +120,7 @@ def dedupe_warnings(preds: DataFrame, days: int, keys: tuple[str, ...] = ("compa
     """Per key the warnings that come at least `days` after the last kept one (a fold over sorted dates)."""
     per = preds.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("trade_date", "label"))).alias("xs"))
     start = F.struct(F.lit(None).cast("date").alias("last"), F.expr("cast(array() as array<struct<trade_date:date,label:boolean>>)").alias("out"))
-    keep = lambda s, x: F.when(s["last"].isNull() | (F.datediff(x["trade_date"], s["last"]) >= days), F.struct(x["trade_date"].alias("last"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
+    keep = lambda s, x: F.when(s["last"].isNull() | (F.datediff(x["trade_date"], s["last"]) >= days), F.struct(x["trade_date"].alias("last"), F.array_append(s["out"], x).alias("out"))).otherwise(s)
     return per.select(*keys, F.explode(F.aggregate("xs", start, keep, lambda s: s["out"])).alias("w")).select(*keys, "w.*")
 
 

@@ -24,22 +24,53 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return both.select("__l.*", *[F.col(f"__m.{v}").alias(v) for v in values], F.col("__m.__matched").alias(f"matched_{right_time}"))
 
 
+#: Days of a bin of the interval index.
+BIN_DAYS = 32
+
+
+def day_bin(at: Column, days: int = BIN_DAYS) -> Column:
+    return F.floor(F.unix_date(at.cast("date")) / days)
+
+
+def binned(intervals: DataFrame, start: str, end: str, first: Column, last: Column, rows: DataFrame, at: str) -> DataFrame:
+    """`intervals` once for each bin of days that they touch within the rows' span of time, as __bin.
+
+    `first` and `last` are the days to be covered, made from `start` and `end`. The rows' span is one row and broadcast; it
+    keeps intervals that are open on a side from touching bins without rows.
+    """
+    span = rows.agg(F.min(F.col(at).cast("date")).alias("__low"), F.max(F.col(at).cast("date")).alias("__high"))
+    low, high = F.greatest(first.cast("date"), F.col("__low")), F.least(last.cast("date"), F.col("__high"))
+    cut = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull()).crossJoin(F.broadcast(span)).withColumns({"__low": low, "__high": high}).where("__low <= __high")
+    return cut.withColumn("__bin", F.explode(F.sequence(day_bin(F.col("__low")), day_bin(F.col("__high"))))).drop("__low", "__high")
+
+
 def valid_at(rows: DataFrame, intervals: DataFrame, on: str, at: str, start: str = "valid_from", end: str = "valid_to", how: str = "inner") -> DataFrame:
-    """Join on a key where `at` lies in the interval, both ends included."""
-    return rows.alias("r").join(intervals.alias("i"), (F.col(f"r.{on}") == F.col(f"i.{on}")) & F.col(f"r.{at}").between(F.col(f"i.{start}"), F.col(f"i.{end}")), how)
+    """Join on a key where `at` lies in the interval, both ends included.
+
+    Rows meet the intervals of their key and bin of days only, so a key with very many intervals doesn't
+    compare each of its rows with all of them.
+    """
+    i = binned(intervals, start, end, F.col(start), F.col(end), rows, at).alias("i")
+    r, point = rows.alias("r"), F.col(f"r.{at}")
+    hit = (F.col(f"r.{on}") == F.col(f"i.{on}")) & (day_bin(point) == F.col("i.__bin")) & point.between(F.col(f"i.{start}"), F.col(f"i.{end}"))
+    return r.join(i, hit, how)
 
 
 def overlapping(rows: DataFrame, intervals: DataFrame, on: str, at: str, days: int, start: str = "from_date", end: str = "to_date") -> DataFrame:
-    """Distinct (on, at) of rows whose [at, at + days] meets an interval."""
-    i = intervals.select(F.col(on).alias("__k"), F.col(start).alias("__a"), F.col(end).alias("__b"))
-    hit = (F.col(on) == F.col("__k")) & (F.col("__a") <= F.date_add(at, days)) & (F.col("__b") >= F.col(at))
-    return rows.select(on, at).join(i, hit, "left_semi").distinct()
+    """Distinct (on, at) of rows whose [at, at + days] meets an interval: those that lie in the interval begun `days` earlier."""
+    i = intervals.select(F.col(on).alias("__k"), F.date_sub(start, days).alias("__a"), F.col(end).alias("__b"))
+    points = rows.select(on, at).distinct()
+    i = binned(i, "__a", "__b", F.col("__a"), F.col("__b"), points, at)
+    hit = (F.col(on) == F.col("__k")) & (day_bin(F.col(at)) == F.col("__bin")) & F.col(at).between(F.col("__a"), F.col("__b"))
+    return points.join(i, hit, "left_semi")
 
 
 def without_between(rows: DataFrame, events: DataFrame, on: str, after: str, upto: str, event: str) -> DataFrame:
-    """Rows with no event of their key in (after, upto]."""
-    e = events.select(F.col(on).alias("__k"), F.col(event).alias("__e"))
-    return rows.join(e, (F.col(on) == F.col("__k")) & (F.col("__e") > F.col(after)) & (F.col("__e") <= F.col(upto)), "left_anti")
+    """Rows with no event of their key in (after, upto]: the first event behind `after` decides."""
+    e = events.select(F.col(on), F.col(event).alias("__event"))
+    found = asof_join(rows, e, on, after, "__event", ["__event"], "forward", strict=True)
+    none = F.col("__event").isNull() | F.coalesce(F.col("__event") > F.col(upto), F.lit(True)) | F.col(on).isNull() | F.col(after).isNull()
+    return found.where(none).select(*rows.columns)
 
 
 def with_segment(rows: DataFrame, breaks: DataFrame, key: str = "company_id", time: str = "trade_date", event: str = "break_date") -> DataFrame:

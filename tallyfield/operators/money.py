@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import asof_join
+from .intervals import asof_join, session_ordinals
 
 # Fixed rates of the fee and tax schedule.
 RATES = {"brokerage": 0.0, "stt": 0.001, "stamp_buy": 0.00015, "exchange": 0.0000307, "sebi": 0.000001, "dp_sell": 15.34, "gst": 0.18}
@@ -162,20 +162,37 @@ def latest_prices(bars: DataFrame) -> DataFrame:
     return bars.withColumn("prev_close", F.lag("close").over(w)).groupBy("company_id").agg(F.max_by(F.struct("close", "prev_close"), "trade_date").alias("x"), F.max("trade_date").alias("price_date")).select("company_id", "x.close", "x.prev_close", "price_date")
 
 
-def value_history(txns: DataFrame, bars: DataFrame) -> DataFrame:
+#: Sessions of a block of closes.
+BLOCK = 32
+
+
+def value_history(txns: DataFrame, bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """(account, trade_date, value, flow, growth): daily value of each account's running quantities.
 
-    Quantities and prices are carried forward only over sessions of companies that the account has held.
+    Quantities and prices are carried forward only over sessions of companies that the account has held. A holding is a
+    run of sessions with one quantity, cut at the blocks of sessions; closes are arrays for each (company, block). Their
+    products are added up for each (account, block), so there is a row for each run and block, and never one for each account,
+    company and session; days come apart only in the result.
     """
     moves = signed(txns).groupBy(*KEY, "trade_date").agg(F.sum("signed").alias("move"), F.sum(F.col("signed") * F.col("price")).alias("flow"))
-    first = moves.groupBy(*KEY).agg(F.min("trade_date").alias("first"))
-    b = bars.select("company_id", "trade_date", "close")
-    grid = first.join(b, "company_id").where("trade_date >= first").join(moves, [*KEY, "trade_date"], "left")
-    w = Window.partitionBy(*KEY).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("held", F.sum(F.coalesce("move", F.lit(0))).over(w))
-    day = grid.groupBy("account", "trade_date").agg(F.sum(F.col("held") * F.col("close")).alias("value"), F.sum(F.coalesce("flow", F.lit(0.0))).alias("flow"))
+    sessions = session_ordinals(bars).select("trade_date", (F.col("n") - 1).alias("n"))
+    offset = F.col("n") % block
+    closes = bars.select("company_id", "trade_date", "close").join(sessions, "trade_date").groupBy("company_id", F.floor(F.col("n") / block).alias("block"))
+    closes = closes.agg(F.array(*[F.max(F.when(offset == i, F.col("close"))) for i in range(block)]).alias("closes"))
+    w = Window.partitionBy(*KEY).orderBy("n")
+    runs = moves.join(sessions, "trade_date").select(*KEY, "n", F.sum("move").over(w).alias("held"), F.lead("n").over(w).alias("next"))
+    last = sessions.agg(F.max("n").alias("last"))
+    runs = runs.crossJoin(F.broadcast(last)).withColumn("upto", F.coalesce(F.col("next") - 1, "last"))  # one row
+    pieces = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("n") / block), F.floor(F.col("upto") / block))))
+    start = F.greatest(F.col("n") - F.col("block") * block, F.lit(0)).alias("a")
+    pieces = pieces.select(*KEY, "held", "block", start, F.least(F.col("upto") - F.col("block") * block, F.lit(block - 1)).alias("b")).join(closes, ["company_id", "block"])
+    worth = [F.sum(F.when((F.col("a") <= i) & (F.col("b") >= i), F.col("held") * F.col("closes")[i])) for i in range(block)]
+    blocks = pieces.groupBy("account", "block").agg(F.array(*worth).alias("values"))
+    days = blocks.select("account", "block", F.posexplode("values").alias("at", "value")).where("value is not null").select("account", (F.col("block") * block + F.col("at")).alias("n"), "value")
+    flows = moves.groupBy("account", "trade_date").agg(F.sum("flow").alias("flow"))
+    day = days.join(sessions, "n").drop("n").join(flows, ["account", "trade_date"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
     before = F.lag("value").over(Window.partitionBy("account").orderBy("trade_date"))
-    return day.withColumn("growth", F.when(before > 0, (F.col("value") - F.col("flow")) / before))
+    return day.select("account", "trade_date", "value", "flow", F.when(before > 0, (F.col("value") - F.col("flow")) / before).alias("growth"))
 
 
 def benchmark_same_flows(flows: DataFrame, index: DataFrame) -> DataFrame:
