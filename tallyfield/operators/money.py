@@ -302,10 +302,25 @@ def peaks_since(starts: DataFrame, bars: DataFrame) -> DataFrame:
     return asof_join(starts, tails, "company_id", "bought", "trade_date", ["peak_close", "sessions_held"], "forward").where("sessions_held is not null").drop("matched_trade_date")
 
 
+def latest_range(bars: DataFrame, sessions: int = 14) -> DataFrame:
+    """(company_id, atr_14): the mean true range of a company's last sessions; null with no more sessions than that."""
+    w = Window.partitionBy("company_id").orderBy("trade_date")
+    last = Window.partitionBy("company_id").orderBy(F.desc("trade_date"))
+    prev = F.lag("close").over(w)
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    rows = bars.select("company_id", "trade_date", tr.alias("tr"), F.row_number().over(last).alias("n")).where(F.col("n") <= sessions + 1)
+    return rows.groupBy("company_id").agg(F.when(F.count("*") > sessions, F.avg(F.when(F.col("n") <= sessions, F.col("tr")))).alias(f"atr_{sessions}"))
+
+
 def holding_states(lots: DataFrame, prices: DataFrame, bars: DataFrame, today: str) -> DataFrame:
-    """Per holding: cost per share, last close, peak and sessions since the first buy, profit if sold."""
-    v = value_portfolio(lots, prices, today)
-    since = peaks_since(lots.groupBy(*KEY).agg(F.min("trade_date").alias("bought")), bars)
-    out = v.join(since, list(KEY)).join(prices.select("company_id", F.col("close").alias("last_close")), "company_id")
-    fees = charge_columns(F.lit("SELL"), F.col("value"))["total"]
-    return out.withColumns({"cost_per_share": F.col("cost") / F.col("quantity"), "net_profit_if_sold": F.col("value") - F.col("cost") - fees - F.coalesce("tax", F.lit(0.0))})
+    """Per holding: cost per share, last close, range, peak and sessions since the first buy, profit if sold.
+
+    The profit is what a sale of everything at the last close leaves after its charges and the tax on that gain, for which the
+    first buy decides on the term. `bars` are adjusted ones where there were actions.
+    """
+    held = lots.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("price")).alias("cost"), F.min("trade_date").alias("bought"))
+    out = peaks_since(held, bars).join(prices.select("company_id", F.col("close").alias("last_close")), "company_id").join(latest_range(bars), "company_id", "left")
+    value = F.col("quantity") * F.col("last_close")
+    gain = value - charge_columns(F.lit("SELL"), value)["total"] - F.col("cost")
+    tax = F.coalesce(estimated_tax(gain, holding_term(F.col("bought"), F.lit(today).cast("date"))), F.lit(0.0))
+    return out.withColumns({"cost_per_share": F.col("cost") / F.col("quantity"), "net_profit_if_sold": gain - tax})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import with_segment
-from .tables import looks_like_split, ohlc_violations
+from .tables import looks_like_split, ohlc_broken
 
 ISSUE = ("rule", "severity", "n")
 
@@ -79,32 +79,40 @@ def price_flags(bars: DataFrame, adjusted: DataFrame, breaks: DataFrame, factors
 
     Bars that break the price order; big adjusted moves without a break or an event between, split-like ones as a
     possible missing action; trading gaps; adjustments that failed the continuity check; price actions and
-    dividends whose wording is not understood. Ranges that end before they start are left out.
+    dividends whose wording is not understood. Ranges that end before they start are left out. The four checks of
+    bars are columns of one pass, in windows over one partitioning by company.
     """
-    w = Window.partitionBy("company_id").orderBy("trade_date")
-    one = lambda df, a, b, check, severity, detail: df.select("company_id", a.alias("from_date"), b.alias("to_date"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.to_json(F.struct(*detail)).alias("detail"))
-    c = F.col
-    first = bars.groupBy("company_id").agg(F.min("trade_date").alias("first_day"))
-    # running counts of breaks and of events, so that a change between two bars tells one that lies between them
-    rows = bars.select("company_id", "trade_date", "close").join(adjusted.select("company_id", "trade_date", "adj_close"), ["company_id", "trade_date"])
-    rows = with_segment(rows, breaks).withColumnRenamed("segment", "broken")
-    rows = with_segment(rows, factors.where("abs(price_factor - 1) > 1e-9"), event="ex_date").withColumnRenamed("segment", "acted")
+    c, own = F.col, Window.partitionBy("company_id")
+    w = own.orderBy("trade_date")
+    # a running count of breaks and price actions: a change between two bars tells one that lies between them
+    halts = breaks.select("company_id", c("break_date").alias("day")).unionByName(factors.where("abs(price_factor - 1) > 1e-9").select("company_id", c("ex_date").alias("day")))
+    rows = bars.select("company_id", "trade_date", "open", "high", "low", "close", "volume").join(adjusted.select("company_id", "trade_date", "adj_close"), ["company_id", "trade_date"])
+    rows = with_segment(rows, halts, event="day")
     lag = lambda x: F.lag(x).over(w)
-    moves = rows.select("company_id", "trade_date", "close", lag("trade_date").alias("prev_date"), lag("close").alias("prior"), (F.try_divide("adj_close", lag("adj_close")) - 1).alias("move"), lag("adj_close").alias("prev_adj"), F.datediff("trade_date", lag("trade_date")).alias("gap"), (c("broken") != lag("broken")).alias("b"), (c("acted") != lag("acted")).alias("a"))
-    moves = moves.where("prev_date is not null and not b and not a").withColumn("raw", F.try_divide("close", "prior"))
-    big = moves.where(F.abs("move") > 0.2 + F.try_divide(F.lit(0.1), c("prev_adj"))).withColumn("split_like", looks_like_split(c("raw"), c("prior"), c("gap"))).join(first, "company_id")
-    unread = events.where("status = 'unparsed'").join(first, "company_id", "left")
-    day_before = lambda d: F.date_sub(d, 1)
-    frames = [
-        one(ohlc_violations(bars), c("trade_date"), c("trade_date"), "ohlc_integrity", "BLOCK", ["open", "close"]),
-        one(big.where("split_like"), c("first_day"), day_before("trade_date"), "possible_missing_action", "BLOCK", [F.round("raw", 6).alias("raw")]),
-        one(big.where("not split_like"), c("trade_date"), c("trade_date"), "large_move", "WARN", [F.round("move", 6).alias("move")]),
-        one(moves.where(c("gap") > gap_days), F.date_add("prev_date", 1), day_before("trade_date"), "trading_gap", "WARN", ["gap"]),
-        one(continuity.where("not passed").join(first, "company_id"), c("first_day"), day_before("ex_date"), "unreconciled_adjustment", "BLOCK", [F.round("adj_move", 6).alias("adj_move")]),
-        one(unread.where("kind <> 'dividend'"), F.coalesce("first_day", "ex_date"), day_before("ex_date"), "unparsed_action", "BLOCK", ["subject"]),
-        one(unread.where("kind = 'dividend'"), c("ex_date"), c("ex_date"), "unparsed_dividend", "WARN", ["subject"]),
-    ]
-    return reduce(DataFrame.unionByName, frames).where("from_date <= to_date")
+    rows = rows.withColumns({
+        "bad": ohlc_broken(), "first_day": F.min("trade_date").over(own), "prev_date": lag("trade_date"), "prior": lag("close"), "prev_adj": lag("adj_close"),
+        "gap": F.datediff("trade_date", lag("trade_date")), "joined": F.coalesce(c("segment") == lag("segment"), F.lit(False)),
+    })
+    rows = rows.withColumns({"raw": F.try_divide("close", "prior"), "move": F.try_divide("adj_close", "prev_adj") - 1})
+    big = c("joined") & (F.abs("move") > 0.2 + F.try_divide(F.lit(0.1), c("prev_adj")))
+    split_like = looks_like_split(c("raw"), c("prior"), c("gap"))
+    before = lambda d: F.date_sub(d, 1)
+    flag = lambda a, b, check, severity, *detail: F.struct(a.alias("from_date"), b.alias("to_date"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.to_json(F.struct(*detail)).alias("detail"))
+    day, first = c("trade_date"), c("first_day")
+    found = F.array(
+        F.when(c("bad"), flag(day, day, "ohlc_integrity", "BLOCK", "open", "close")),
+        F.when(big & split_like, flag(first, before(day), "possible_missing_action", "BLOCK", F.round("raw", 6).alias("raw"))),
+        F.when(big & ~split_like, flag(day, day, "large_move", "WARN", F.round("move", 6).alias("move"))),
+        F.when(c("joined") & (c("gap") > gap_days), flag(F.date_add("prev_date", 1), before(day), "trading_gap", "WARN", "gap")),
+    )
+    spread = lambda df: df.select("company_id", F.explode(F.array_compact("found")).alias("f")).select("company_id", "f.*")
+    starts = bars.groupBy("company_id").agg(F.min("trade_date").alias("first_day"))
+    failed = continuity.where("not passed").join(starts, "company_id")
+    failed = failed.withColumn("found", F.array(flag(first, before(c("ex_date")), "unreconciled_adjustment", "BLOCK", F.round("adj_move", 6).alias("adj_move"))))
+    unread = events.where("status = 'unparsed'").join(starts, "company_id", "left")
+    wording = F.when(c("kind") == "dividend", flag(c("ex_date"), c("ex_date"), "unparsed_dividend", "WARN", "subject")).otherwise(flag(F.coalesce("first_day", "ex_date"), before(c("ex_date")), "unparsed_action", "BLOCK", "subject"))
+    unread = unread.where("kind is not null").withColumn("found", F.array(wording))
+    return spread(rows.withColumn("found", found)).unionByName(spread(failed)).unionByName(spread(unread)).where("from_date <= to_date")
 
 
 #: Fixed weights of the daily score's parts, and the share at and below which a part counts nothing.

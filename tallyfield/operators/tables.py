@@ -71,11 +71,15 @@ def split_bad_rows(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, Dat
     return good.select(*[F.trim(c).try_cast(t).alias(c) if (t := types.get(c)) else F.col(c) for c in df.columns]), df.where(bad)
 
 
-def ohlc_violations(bars: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """Bars with prices that aren't positive, out of order, or a negative volume."""
+def ohlc_broken(eps: float = 1e-6) -> Column:
+    """Prices that aren't positive, out of order, or a negative volume."""
     c = F.col
-    bad = (F.least("open", "high", "low", "close") <= 0) | (c("high") < c("low") - eps) | (F.greatest("open", "close") > c("high") + eps) | (F.least("open", "close") < c("low") - eps) | (c("volume") < 0)
-    return bars.where(bad)
+    order = (c("high") < c("low") - eps) | (F.greatest("open", "close") > c("high") + eps) | (F.least("open", "close") < c("low") - eps)
+    return (F.least("open", "high", "low", "close") <= 0) | order | (c("volume") < 0)
+
+
+def ohlc_violations(bars: DataFrame, eps: float = 1e-6) -> DataFrame:
+    return bars.where(ohlc_broken(eps))
 
 
 #: Split ratios that a raw move is compared with.

@@ -50,7 +50,13 @@ register("c06_infer_holidays", lambda s, d: ql.infer_holidays(holiday_attempts(s
 l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source_id, partition_key ORDER BY started_at DESC, job_run_id DESC) = 1),
 se AS (SELECT DISTINCT partition_key AS day FROM attempts WHERE job_run_id % 9 = 0 AND day(partition_key) % 3 <> 0), li AS (SELECT DISTINCT partition_key AS day FROM attempts WHERE job_run_id % 501 = 0 AND day(partition_key) % 2 = 0)
 SELECT partition_key AS day FROM l GROUP BY 1 HAVING bool_and(status = 'not_available') AND isodow(partition_key) < 6 AND partition_key < (SELECT max(day) FROM se) AND partition_key NOT IN (SELECT day FROM se) AND partition_key NOT IN (SELECT day FROM li)""")
-register("c07_calendar_status", lambda s, d: ql.calendar_status(s, "2024-01-01", "2024-03-31", some_sessions(s, d), listed(s, d)), with_views("attempts") + """, d AS (SELECT CAST(x AS DATE) AS day FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-04-01', INTERVAL 1 DAY) r(x))
+def calendar(s, d):
+    """Every day of the months in which there were attempts."""
+    first, last = fx.attempts(s, d).agg(F.trunc(F.min("started_at"), "month"), F.last_day(F.max("started_at"))).first()
+    return ql.calendar_status(s, str(first), str(last), some_sessions(s, d), listed(s, d))
+
+
+register("c07_calendar_status", calendar, with_views("attempts") + """, d AS (SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(range(date_trunc('month', min(started_at)), date_trunc('month', max(started_at)) + INTERVAL 1 MONTH, INTERVAL 1 DAY)) AS x FROM attempts) r)
 SELECT day, CASE WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 9 = 0) THEN 'session' WHEN day IN (SELECT partition_key FROM attempts WHERE job_run_id % 501 = 0) THEN 'holiday' WHEN isodow(day) >= 6 THEN 'weekend' ELSE 'expected' END AS status FROM d""")
 
 # identity, actions, adjustment
@@ -106,11 +112,47 @@ register("c17_build_universe", lambda s, d: universe(s, d).select("month", "comp
 register("c22_weekly_dates", lambda s, d: ft.weekly_dates(fx.bars(s, d)), with_views("bars") + "SELECT CAST(date_trunc('week', trade_date) AS DATE) AS week, max(trade_date) AS trade_date FROM bars GROUP BY 1")
 EVENTS = """, s AS (SELECT company_id, trade_date, CAST(trade_date AS TIMESTAMP) + INTERVAL 20 HOUR AS at_ FROM bars), fp AS (SELECT company_id, period_to, min(published_at) AS published_at FROM filings GROUP BY 1, 2),
 since AS (SELECT s.company_id, s.trade_date, least(s.trade_date - CAST(max(fp.published_at) AS DATE), 200) AS days_since_results FROM s LEFT JOIN fp ON fp.company_id = s.company_id AND fp.published_at <= s.at_ GROUP BY s.company_id, s.trade_date),
-ah AS (SELECT s.company_id, s.trade_date, least(min(meeting_date - s.trade_date), 45) AS results_ahead_days FROM s JOIN meetings m ON m.company_id = s.company_id AND m.is_results AND announced_at <= at_ AND meeting_date > s.trade_date GROUP BY 1, 2)
-SELECT s.company_id, s.trade_date, CAST(days_since_results AS INT) AS days_since_results, CAST(results_ahead_days AS INT) AS results_ahead_days, coalesce(results_ahead_days <= 7, false) AS results_this_week FROM s JOIN since USING (company_id, trade_date) LEFT JOIN ah USING (company_id, trade_date)"""
-register("c27_event_features", lambda s, d: ft.event_features(fx.bars(s, d).select(*KEYS), fx.meetings(s, d), fx.filings(s, d), fx.bars(s, d).select(*KEYS, "close")).select(*KEYS, "days_since_results", "results_ahead_days", "results_this_week"), with_views("bars", "filings", "meetings") + EVENTS)
+ah AS (SELECT s.company_id, s.trade_date, least(min(meeting_date - s.trade_date), 45) AS results_ahead_days FROM s JOIN meetings m ON m.company_id = s.company_id AND m.is_results AND announced_at <= at_ AND meeting_date > s.trade_date GROUP BY 1, 2),
+mv AS (SELECT company_id, trade_date AS session, close / lag(close) OVER (PARTITION BY company_id ORDER BY trade_date) - 1 AS move FROM bars),
+rx AS (
+  SELECT p.company_id, p.period_to, min(b.trade_date) AS session
+  FROM fp p JOIN bars b ON b.company_id = p.company_id AND b.trade_date >= CAST(published_at AS DATE) + CASE WHEN CAST(published_at AS TIME) <= TIME '15:30:00' THEN 0 ELSE 1 END GROUP BY 1, 2),
+lr AS (SELECT s.company_id, s.trade_date, max(rx.session) AS session FROM s JOIN rx ON rx.company_id = s.company_id AND rx.session <= s.trade_date GROUP BY 1, 2),
+ev AS (
+  SELECT s.company_id, s.trade_date, CAST(days_since_results AS INT) AS days_since_results, CAST(results_ahead_days AS INT) AS results_ahead_days,
+         coalesce(results_ahead_days <= 7, false) AS results_this_week, round(move, 6) AS last_results_reaction
+  FROM s JOIN since USING (company_id, trade_date) LEFT JOIN ah USING (company_id, trade_date) LEFT JOIN lr USING (company_id, trade_date) LEFT JOIN mv ON mv.company_id = s.company_id AND mv.session = lr.session)
+"""
+EVENT_COLUMNS = ("days_since_results", "results_ahead_days", "results_this_week", "last_results_reaction")
+
+
+def event_features(s, d):
+    bars = fx.bars(s, d)
+    return r6(ft.event_features(bars.select(*KEYS), fx.meetings(s, d), fx.filings(s, d), bars.select(*KEYS, "close")).select(*KEYS, *EVENT_COLUMNS))
+
+
+register("c27_event_features", event_features, with_views("bars", "filings", "meetings") + EVENTS + "SELECT * FROM ev")
 register("c28_blocked_samples", lambda s, d: ft.blocked_samples(fx.bars(s, d).select(*KEYS), fx.flags(s, d), 14), with_views("flags") + "SELECT company_id, trade_date, EXISTS (SELECT 1 FROM flags f WHERE f.company_id = b.company_id AND severity = 'BLOCK' AND from_date <= trade_date + 14 AND to_date >= trade_date) AS blocked FROM bars b")
-register("c29_weekly_samples", lambda s, d: r6(ft.weekly_samples(fx.panel(s, d), fx.market(s, d), universe(s, d), fx.meetings(s, d), fx.filings(s, d), fx.flags(s, d)), "company_id", "trade_date", "ret_20", "rank_ret_20", "label_a", "days_since_results", "blocked"))
+def weekly_samples(s, d):
+    out = ft.weekly_samples(fx.panel(s, d), fx.market(s, d), universe(s, d), fx.meetings(s, d), fx.filings(s, d), fx.flags(s, d))
+    return r6(out.select("company_id", "trade_date", "segment", "ret_20", "rank_ret_20", "max_gain_5", "label_a", "label_c", "days_since_results", "last_results_reaction", "breadth", "blocked"))
+
+
+WEEKLY = UNI.replace(with_views("bars"), with_views("bars", "panel", "flags", "filings", "meetings"), 1).rstrip() + EVENTS.rstrip() + f""", la AS ({label_sql()}),
+wd AS (SELECT max(trade_date) AS trade_date FROM bars GROUP BY date_trunc('week', trade_date)),
+fe AS (
+  SELECT company_id, trade_date, segment, close / lag(close, 20) OVER w - 1 AS ret_20,
+         close / CASE WHEN count(close) OVER (PARTITION BY company_id, segment ORDER BY trade_date ROWS 49 PRECEDING) = 50 THEN avg(close) OVER (PARTITION BY company_id, segment ORDER BY trade_date ROWS 49 PRECEDING) END - 1 AS gap50
+  FROM panel WINDOW w AS (PARTITION BY company_id, segment ORDER BY trade_date)),
+me AS (
+  SELECT fe.* FROM fe JOIN wd USING (trade_date) JOIN uni ON uni.company_id = fe.company_id AND uni.month = strftime(fe.trade_date, '%Y-%m'))
+SELECT me.company_id, me.trade_date, me.segment, round(ret_20, 6) AS ret_20,
+  round(CASE WHEN ret_20 IS NOT NULL THEN (rank() OVER (PARTITION BY me.trade_date ORDER BY ret_20 NULLS LAST) + (count(*) OVER (PARTITION BY me.trade_date, ret_20) - 1) / 2.0) / count(ret_20) OVER (PARTITION BY me.trade_date) END, 6) AS rank_ret_20,
+  max_gain_5, label_a, label_c, days_since_results, last_results_reaction, round(avg(CAST(gap50 > 0 AS DOUBLE)) OVER (PARTITION BY me.trade_date), 6) AS breadth,
+  EXISTS (SELECT 1 FROM flags f WHERE f.company_id = me.company_id AND severity = 'BLOCK' AND from_date <= me.trade_date + 14 AND to_date >= me.trade_date) AS blocked
+FROM me LEFT JOIN la ON la.company_id = me.company_id AND la.segment = me.segment AND la.trade_date = me.trade_date
+LEFT JOIN ev ON ev.company_id = me.company_id AND ev.trade_date = me.trade_date"""
+register("c29_weekly_samples", weekly_samples, WEEKLY)
 register("c30_horizon_samples", lambda s, d: r6(ft.horizon_samples(ft.compute_labels(fx.panel(s, d)), fx.panel(s, d), 0.15, 10), "company_id", "segment", "trade_date", "max_gain_10", "label_a", "label_c"), with_views("panel") + label_sql(0.15, 0.15, 10))
 
 # money
@@ -135,7 +177,29 @@ def money_results(s, d):
 
 
 register("c64_accumulated_budget", lambda s, d: mn.accumulated_budget(fx.txns(s, d), 2000.0, "2001-01-01"), with_views("txns") + "SELECT account, 2000.0 * greatest(1, floor((DATE '2001-01-01' - max(trade_date)) / 7)) AS budget FROM txns WHERE side = 'BUY' GROUP BY 1")
-register("c70_holding_states", lambda s, d: mn.holding_states(lots(s, d), latest(s, d), fx.bars(s, d), "2001-01-01").select("account", "company_id", F.round(F.col("cost_per_share") + 1e-10, 8).alias("cost_per_share"), "last_close", "peak_close", "sessions_held"), with_views("txns", "bars") + LOTS[len(with_views("txns")):] + ", fs AS (SELECT account, company_id, min(trade_date) AS bought, sum(quantity * price) / sum(quantity) AS cps FROM lots GROUP BY 1, 2) SELECT f.account, f.company_id, round(cps + 1e-10, 8) AS cost_per_share, lp.close AS last_close, max(b.close) AS peak_close, count(*) AS sessions_held FROM fs f JOIN lp ON lp.company_id = f.company_id JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY 1, 2, cps, lp.close")
+def holding_states(s, d):
+    bars = fx.bars(s, d)
+    out = mn.holding_states(lots(s, d), latest(s, d), bars, "2001-01-01")
+    return out.select(
+        "account", "company_id", F.round(F.col("cost_per_share") + 1e-10, 8).alias("cost_per_share"), "last_close", "peak_close", "sessions_held",
+        F.round("atr_14", 6).alias("atr_14"), F.round("net_profit_if_sold", 0).alias("net_profit_if_sold"),
+    )
+
+
+register("c70_holding_states", holding_states, with_views("txns", "bars") + LOTS[len(with_views("txns")):] + f""", fs AS (
+  SELECT account, company_id, min(trade_date) AS bought, sum(quantity) AS q, sum(quantity * price) AS cost FROM lots GROUP BY 1, 2),
+tr AS (
+  SELECT company_id, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS n
+  FROM bars WINDOW w AS (PARTITION BY company_id ORDER BY trade_date)),
+atr AS (SELECT company_id, CASE WHEN count(*) > 14 THEN avg(tr) FILTER (n <= 14) END AS atr_14 FROM tr GROUP BY 1),
+h AS (
+  SELECT f.account, f.company_id, q, cost, bought, lp.close AS last_close, max(b.close) AS peak_close, count(*) AS sessions_held
+  FROM fs f JOIN lp ON lp.company_id = f.company_id JOIN bars b ON b.company_id = f.company_id AND b.trade_date >= bought GROUP BY ALL),
+g AS (SELECT *, q * last_close - ({FEE.format(v="(q * last_close)", s="'SELL'")}) - cost AS gain,
+  DATE '2001-01-01' > CASE WHEN month(bought) = 2 AND day(bought) = 29 THEN CAST(bought + INTERVAL 1 YEAR AS DATE) + 1 ELSE CAST(bought + INTERVAL 1 YEAR AS DATE) END AS long_term FROM h)
+SELECT account, g.company_id, round(cost / q + 1e-10, 8) AS cost_per_share, last_close, peak_close, sessions_held, round(atr_14, 6) AS atr_14,
+  round(gain - CASE WHEN gain <= 0 THEN 0 ELSE round(gain * CASE WHEN long_term THEN 0.125 ELSE 0.20 END, 2) END, 0) AS net_profit_if_sold
+FROM g LEFT JOIN atr ON atr.company_id = g.company_id""")
 
 # decisions
 
@@ -176,7 +240,7 @@ held = lambda s, d: fx.scored(s, d).select("row_id", "p", F.when(F.col("row_id")
 register("c63_confidence_buckets", lambda s, d: dc.confidence_buckets(held(s, d), 0.7, 400, "1999-01-01").select("row_id", "bucket"), with_views("scored") + "SELECT row_id, CASE WHEN row_id % 13 = 0 THEN 'sell' WHEN row_id % 3 = 0 AND DATE '1999-01-01' - trade_date < 400 THEN 'quiet' WHEN p >= 0.7 THEN 'sell_watch' ELSE 'hold' END AS bucket FROM scored")
 register("c65_candidates", lambda s, d: fx.bars(s, d).join(latest(s, d).select("company_id", F.col("close").alias("last_close")), "company_id", "left").where("last_close is not null").select(*KEYS, F.round((F.col("high") - F.col("low")) / F.col("close") * F.col("last_close"), 4).alias("atr")), with_views("bars") + ", lp AS (SELECT company_id, max_by(close, trade_date) AS lc FROM bars GROUP BY 1) SELECT company_id, trade_date, round((high - low) / close * lc, 4) AS atr FROM bars JOIN lp USING (company_id)")
 register("c67_fill_charges", lambda s, d: fx.txns(s, d).withColumn("charges", F.when(F.col("txn_id") % 2 == 0, 10.0)).select("txn_id", F.round(F.coalesce("charges", mn.charge_columns(F.col("side"), F.round(F.col("quantity") * F.col("price"), 0))["total"]), 1).alias("charges")), with_views("txns") + "SELECT txn_id, round(CASE WHEN txn_id % 2 = 0 THEN 10.0 ELSE " + FEE.format(v="round(quantity * price, 0)", s="side") + " END, 1) AS charges FROM txns")
-register("c68_fresh_scores", lambda s, d: fx.scored(s, d).where((F.col("trade_date") == F.lit("1996-04-01").cast("date")) & (F.col("row_id") % 7 != 0)).select("row_id", "p"), with_views("scored") + "SELECT row_id, p FROM scored WHERE trade_date = DATE '1996-04-01' AND row_id % 7 <> 0")
+register("c68_fresh_scores", lambda s, d: fx.scored(s, d).where(F.col("trade_date") == F.lit("1996-04-01").cast("date")).select("row_id", "p"), with_views("scored") + "SELECT row_id, p FROM scored WHERE trade_date = DATE '1996-04-01'")
 
 # metrics
 RANKSUM = "SELECT {by}((SELECT 0) + (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0)) AS auc FROM (SELECT *, CAST(label AS INT) AS y, rank() OVER (PARTITION BY {part} ORDER BY p) + (count(*) OVER (PARTITION BY {part}, p) - 1) / 2.0 AS r FROM {src}) x {group}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..lake import stored
 from ..operators import decisions as dc
 from ..operators import prices as pr
 from ..operators import quality as ql
@@ -125,7 +126,14 @@ def adjusted(s, d):
     return pr.adjusted_prices(fx.bars(s, d), fx.factors(s, d)).withColumn("adj_close", F.round("adj_close", 8))
 
 
-register("c18_price_flags", lambda s, d: ql.price_flags(fx.bars(s, d), adjusted(s, d), fx.breaks(s, d), fx.factors(s, d), cont(s, d), events(s, d)).select("company_id", "from_date", "to_date", "check", "severity"), PARSE.replace(with_views("action_text"), with_views("action_text", "factors", "breaks")).rstrip() + ONCE.rstrip() + CONT[len(with_views("factors", "breaks")):].rstrip() + FLAGS.rstrip() + "\nSELECT company_id, from_date, to_date, \"check\", severity FROM fl WHERE from_date <= to_date")
+def price_flags(s, d):
+    bars, factors, breaks = stored(fx.bars(s, d)), stored(fx.factors(s, d)), stored(fx.breaks(s, d))  # each is read several times
+    adj = pr.adjusted_prices(bars, factors).withColumn("adj_close", F.round("adj_close", 8))
+    events_ = pr.build_events(dated_actions(s, d), breaks.select("company_id").distinct())
+    return ql.price_flags(bars, adj, breaks, factors, pr.continuity_check(bars, factors, breaks), events_)
+
+
+register("c18_price_flags", lambda s, d: price_flags(s, d).select("company_id", "from_date", "to_date", "check", "severity"), PARSE.replace(with_views("action_text"), with_views("action_text", "factors", "breaks")).rstrip() + ONCE.rstrip() + CONT[len(with_views("factors", "breaks")):].rstrip() + FLAGS.rstrip() + "\nSELECT company_id, from_date, to_date, \"check\", severity FROM fl WHERE from_date <= to_date")
 
 # the score: two of the three core indices always close, the third on days with a spread; months without a factor are not loaded
 INDEX = lambda s, d: fx.market(s, d).select("trade_date", F.when(F.col("vix").isNotNull(), 3).otherwise(2).alias("core"))

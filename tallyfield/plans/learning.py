@@ -248,7 +248,9 @@ def s05(s, d):
 register("s05_latest_snapshot", s05, with_views("factors") + "SELECT company_id, ex_date, price_factor FROM factors WHERE price_factor <> 0.5")
 register("s01_scan_table", lambda s, d: lake.scan_table(s, f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, o_orderstatus FROM orders")
 register("s02_missing_table", lambda s, d: lake.scan_table(s, f"{folder(s)}/none", "k long").unionByName(fx.table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))), "SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders")
-register("s20_stitch_sources", lambda s, d: lake.stitch_sources(fx.bars(s, d).select(*KEYS), fx.bars(s, d).select(*KEYS), "1997-06-01"), with_views("bars") + "SELECT company_id, trade_date, CASE WHEN trade_date < DATE '1997-06-01' THEN 'old' ELSE 'new' END AS source FROM bars")
+PRICES = lambda s, d, column: fx.bars(s, d).select(*KEYS, F.col(column).alias("price"))
+register("s20_stitch_sources", lambda s, d: lake.stitch_sources(PRICES(s, d, "open"), PRICES(s, d, "close"), "1997-06-01"), with_views("bars") + """
+SELECT company_id, trade_date, CASE WHEN trade_date < DATE '1997-06-01' THEN open ELSE close END AS price, CASE WHEN trade_date < DATE '1997-06-01' THEN 'old' ELSE 'new' END AS source FROM bars""")
 register("s21_lineage", lambda s, d: lake.add_lineage(fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "f1", "00", "1").drop("_ingested_at"), "SELECT l_orderkey, l_linenumber, 'f1' AS _source_file_id, '00' AS _sha256, '1' AS _pipeline_version FROM lineitem")
 register("s22_fingerprint_header", lambda s, d: fx.table(s, d, "part").select("p_partkey", lake.fingerprint_header(F.concat_ws(" , ", "p_brand", "p_type")).alias("mark")), "SELECT p_partkey, substr(sha256(concat_ws(',', trim(p_brand), trim(p_type))), 1, 16) AS mark FROM part")
 

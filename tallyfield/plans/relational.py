@@ -112,14 +112,18 @@ register("j17_fallback_mapping", j17, SYM + "SELECT trade_date, symbol, own, own
 
 
 def j18(s, d):
+    """Every order's symbol: who held it on the order's day, else who holds it now."""
     m = fx.symbol_map(s, d)
-    rows = t(s, d, "region").select(F.concat(F.lit("SYM"), (F.col("r_regionkey") * 3).cast("string")).alias("symbol"))
-    at = m.where(F.lit("1995-01-10").cast("date").between(F.col("valid_from"), F.col("valid_to"))).groupBy("symbol").agg(F.min("company_id").alias("company_id"))
+    rows = t(s, d, "orders").select("o_orderkey", F.concat(F.lit("SYM"), (F.col("o_custkey") % 10).cast("string")).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
+    at = iv.valid_at(rows, m, "symbol", "day").groupBy("r.o_orderkey").agg(F.min("i.company_id").alias("company_id"))
     now = m.where("valid_to = '9999-12-31'").groupBy("symbol").agg(F.min("company_id").alias("company_id"))
-    return iv.coalesce_maps(rows, at, now, "symbol")
+    now = rows.join(now, "symbol").select("o_orderkey", "company_id")
+    return iv.coalesce_maps(rows, at, now, "o_orderkey").select("o_orderkey", "symbol", "company_id")
 
 
-register("j18_at_date_else_current", j18, with_views("symbol_map") + ", r AS (SELECT concat('SYM', CAST(r_regionkey * 3 AS VARCHAR)) AS symbol FROM region) SELECT symbol, coalesce((SELECT min(company_id) FROM symbol_map m WHERE m.symbol = r.symbol AND DATE '1995-01-10' BETWEEN valid_from AND valid_to), (SELECT min(company_id) FROM symbol_map m WHERE m.symbol = r.symbol AND valid_to = DATE '9999-12-31')) AS company_id FROM r")
+register("j18_at_date_else_current", j18, with_views("symbol_map") + """, r AS (SELECT o_orderkey, concat('SYM', CAST(o_custkey % 10 AS VARCHAR)) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT o_orderkey, symbol, coalesce((SELECT min(company_id) FROM symbol_map m WHERE m.symbol = r.symbol AND r.day BETWEEN valid_from AND valid_to),
+  (SELECT min(company_id) FROM symbol_map m WHERE m.symbol = r.symbol AND valid_to = DATE '9999-12-31')) AS company_id FROM r""")
 register("j19_open_interval_lookup", lambda s, d: fx.symbol_map(s, d).where("valid_to = '9999-12-31'").select("company_id", "symbol", "valid_from"), with_views("symbol_map") + "SELECT company_id, symbol, valid_from FROM symbol_map WHERE valid_to = DATE '9999-12-31'")
 
 
