@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lake import stored
 from .intervals import asof_join, ordinal_band, session_ordinals, valid_at, without_between
 from .subjects import parse_actions
 from .tables import keep_last
@@ -17,7 +18,9 @@ def rights_factor(prior: Column, ratio_new: Column, ratio_held: Column, issue: C
 def build_events(actions: DataFrame, mapping: DataFrame, key: str = "company_id") -> DataFrame:
     """Distinct (company, ex_date, subject) with parsed components; the mapping may leave a company null."""
     once = keep_last(actions, [key, "ex_date", "subject"], *[F.asc(c) for c in actions.columns])
-    return parse_actions(once).join(mapping, key, "left")
+    parsed = stored(parse_actions(once.select("subject").distinct()))  # a wording is read once, however often it occurs and is asked for
+    columns = [*once.columns, *parsed.columns[1:]]
+    return once.join(parsed, "subject").select(*columns).join(mapping, key, "left")
 
 
 def build_factors(events: DataFrame, closes: DataFrame, face_value: float = 10.0) -> DataFrame:
