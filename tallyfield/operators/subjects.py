@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[0-9]+(?:[.][0-9]+)?|[a-z]+(?:-[a-z]+)*|[:%@]"
 CURRENCY = ("rs", "re", "inr")
 #: Kind of action by stems that must all occur, in order of precedence; a set means any of its stems.
+# The words that tell an action's kind, in the order in which they are looked for.
 MEANINGS: tuple[tuple[str, tuple], ...] = (
     ("bonus_debenture", ("bonus", {"debenture", "ncrps", "preference"})),
     ("demerger", ("demerge",)),
@@ -28,7 +29,7 @@ MEANINGS: tuple[tuple[str, tuple], ...] = (
     ("rights", ("rights",)),
     ("dividend", ({"dividend", "div"},)),
 )
-#: Kinds whose effect no ratio tells, and what turns a rights issue into one.
+# Kinds whose effect no ratio tells, and what turns a rights issue into one.
 UNADJUSTABLE = ("bonus_debenture", "demerger", "amalgamation", "capital_reduction", "restructuring")
 NOT_SHARES = ({"partly", "ccps", "debenture", "warrant", "preference"},)
 

@@ -16,19 +16,19 @@ from . import fixtures as fx
 from .sqltext import with_views
 
 HEADER, OTHER = "company_id,trade_date,close,volume", "ISIN,trade_date,close,volume"
-MONTH, YEAR = F.month("trade_date"), F.year("trade_date")
 
 
 def monthly_files(s, d):
     """(batch, source, key, name, content, seen) of both batches."""
     bars = fx.bars(s, d).select("company_id", "trade_date", "close", F.col("volume").cast("long").alias("volume"))
+    month, year = F.month("trade_date"), F.year("trade_date")
     both = bars.withColumn("batch", F.explode(F.array(F.lit(1), F.lit(2))))
-    bad = ((MONTH == 3) & (YEAR % 2 == 0) & (F.col("batch") == 1)) | ((MONTH == 6) & (YEAR % 2 == 1))
-    both = both.where((F.col("batch") == 1) | (MONTH % 2 == 0) | (MONTH % 4 == 1) | (MONTH == 3))
-    volume = F.when(bad, -F.col("volume")).when((F.col("batch") == 2) & (MONTH % 4 == 1), F.col("volume") + 1).otherwise(F.col("volume"))
+    bad = ((month == 3) & (year % 2 == 0) & (F.col("batch") == 1)) | ((month == 6) & (year % 2 == 1))
+    both = both.where((F.col("batch") == 1) | (month % 2 == 0) | (month % 4 == 1) | (month == 3))
+    volume = F.when(bad, -F.col("volume")).when((F.col("batch") == 2) & (month % 4 == 1), F.col("volume") + 1).otherwise(F.col("volume"))
     line = F.concat_ws(",", "company_id", F.col("trade_date").cast("string"), F.col("close").cast("string"), volume.cast("string"))
     header = F.when((F.col("batch") == 1) & (F.col("m") % 6 == 5), OTHER).otherwise(HEADER)
-    files = both.groupBy("batch", F.date_format("trade_date", "yyyy-MM").alias("key"), MONTH.alias("m")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    files = both.groupBy("batch", F.date_format("trade_date", "yyyy-MM").alias("key"), month.alias("m")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     content = F.array_join(F.concat(F.array(header), "lines"), "\n").cast("binary")
     return files.select("batch", F.lit("bars").alias("source"), "key", F.concat("key", F.lit(".csv")).alias("name"), content.alias("content"), F.col("batch").cast("long").alias("seen"))
 
