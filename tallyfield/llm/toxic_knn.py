@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import discard, materialize, mix64, narrow, slices
 from .quality_rff import isotonic
@@ -270,7 +271,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bounds what the driver collects and broadcasts. Whole texts count, of any length. Null texts are empty;
     a text that shares no term with an example scores what the examples' rate is calibrated to. `evidence` lists
     the nearest examples' ids by falling cosine (equal ones: in the index's order), `similarity` the cosines.
-    A null id is not held out and never learnt from; rows that repeat an id are scored each; an id's largest
+    A null id is not held out and never learnt from; labels of ids that `df` lacks count for nothing; rows that repeat an id are scored each; an id's largest
     label counts, and of its texts the least. Without labels the score is 0.5 and evidence empty. An empty table
     gives no rows. Only the named columns are read, whatever the others' names.
     """
@@ -279,7 +280,8 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     kind = rows.schema["doc_id"].dataType.simpleString()
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     known = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").where(rest != 1)
-    known = materialize(known.groupBy("doc_id").agg(F.max("y").alias("y")), "known")
+    # labels of documents that aren't there must neither fill the sample nor weigh in the classes
+    known = materialize(known.groupBy("doc_id").agg(F.max("y").alias("y")).join(rows.select("doc_id"), "doc_id", "left_semi"), "known")
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     few = None
     for y in sorted(sizes):
@@ -328,6 +330,6 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 names=["doc_id", "score", "evidence", "similarity"],
             )
 
-    ids_type = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.int64())
+    ids_type = to_arrow_type(rows.schema["doc_id"].dataType)
     scored = rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>, similarity array<double>")
     return scored.select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "similarity")

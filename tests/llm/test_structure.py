@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pytest
 
-from tallyfield.llm import centroids, conversation_repair, merkle
+from tallyfield.llm import centroids, conversation_repair, merkle, toxic_knn
 
 CONV = "conv_id long, turn long, role string, text string, cost int, head string, n int"
 
@@ -193,3 +193,17 @@ def test_fingerprints_of_repeats_and_nothing(spark):
     assert merkle.document_fingerprints(df.where("false")).count() == 0
     one = merkle.document_fingerprints(df.where("text = 'other'")).first()
     assert one.edited_sha256 == sha("otherot"[:3] + "ot") and one.near_next == 1.0
+
+
+def test_labels_without_documents_and_ids_of_other_types(spark):
+    """Thousands of labels of absent documents change no score, and dates serve as ids."""
+    rows = [(i, f"plain words about {'garden trees' if i % 3 else 'rivers and'} w{i}" if i % 2 else f"vile rotten insult number {i % 7} w{i}", 1 - i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    orphans = spark.range(1000, 60_000).selectExpr("id as doc_id", "cast(id % 5 = 0 as int) as toxic")
+    want = {r.doc_id: r.score for r in toxic_knn.toxicity_scores(docs, labels).collect()}
+    got = {r.doc_id: r.score for r in toxic_knn.toxicity_scores(docs, labels.union(orphans)).collect()}
+    assert got == want and min(s for i, s in got.items() if i % 2 == 0) > 0.5 > max(s for i, s in got.items() if i % 2)
+    dated = lambda df: df.selectExpr("date_add(date'2020-01-01', cast(doc_id as int)) as doc_id", df.columns[1])
+    by_date = toxic_knn.toxicity_scores(dated(docs), dated(labels))
+    assert by_date.count() == 120 and by_date.selectExpr("max(score) > 0.5 and min(score) < 0.5").first()[0]
