@@ -7,6 +7,8 @@ Bands of registers propose candidates; one bit of each of many more registers pr
 joins, and a joint likelihood of both sketches after that; whole shingle sets decide. Within a bucket, members are first held against the bucket's leader only;
 afterwards only pairs that still lie in different components are looked at, so a large group of
 copies costs a number of pairs in proportion to its size and yet no link between components is lost.
+Buckets in which many members are still apart, such as pages of one template, form no pairs at all: rare
+shingles that two whole sets must share if they are similar enough propose their pairs, exactly.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ ALL_REGISTERS = 2048  # the low bit of each makes up the signature
 REGISTERS, ROWS = 128, 4  # the first ones in full: 32 bands of four 16-bit registers, each one exact 64-bit value
 BANDS, WORDS = REGISTERS // ROWS, ALL_REGISTERS // 64
 ORDERS = 4  # orders by which buckets elect their leaders
+#: Members outside a bucket's largest part that may meet all its members; where there are more, rare shingles propose the pairs.
+FEW = 64
 #: Standard deviations that the pruning steps allow a pair of just enough similarity.
 SLACK = 4.5
 BASE, RATE = 1.001, np.exp(8.0)  # spacing of the register scale, and its origin
@@ -217,6 +221,46 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     return out
 
 
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y, py): pairs of `members` (node, part) of different parts that share a rare enough shingle; a table.
+
+    Shingles are ordered by the number of members that have them. Of a pair of sizes nx <= ny that reaches the
+    similarity, at least 2p / (100 + p) of x's shingles and p / 100 of y's are shared, so the first shared one is among
+    the first nx and ny less those numbers, plus one; and as many as the pair needs must follow in both sets. No pair
+    is lost, and what all pages of a template share is too frequent to be looked up. Shingles that one member has
+    take places in that order but are never looked up, nor are those that one part has to itself. `y` is the member of
+    the part that has a shingle most often, if one of the two is.
+    """
+    held = sets.join(members, "node").select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = held.join(often, "s").groupBy("node", "part", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    ordered = ordered.withColumn("k", F.size("shared")).withColumn("looked", F.expr(f"k - ({percent}L * n + 99) div 100 + 1")).where("looked > 0")
+    first = ordered.select("node", "part", "n", "k", F.posexplode(F.expr("slice(shared, 1, int(looked))")).alias("at", "x"))
+    first = first.select("node", "part", "n", F.col("x.s").alias("s"), F.expr("k - at").alias("after"), F.expr(f"at <= k - (2L * {percent} * n + {99 + percent}) div {100 + percent}").alias("indexed"))
+    first = materialize(first, "prefixes")
+    spread = first.groupBy("s", "part").count().groupBy("s").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("top")).where("parts > 1").select("s", F.col("top.part").alias("top"))
+    rows = materialize(first.join(spread, "s"), "rare")
+    side = lambda d, k: d.select("s", F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("part", "n", "after")])
+    fair = F.expr(f"partx <> party and (nx < ny or nx = ny and x < y) and 100L * nx >= {percent}L * ny and {100 + percent}L * least(afterx, aftery) >= {percent}L * (nx + ny)")
+    minor = side(rows.where("indexed and part <> top"), "x").join(side(rows, "y"), "s").where(fair).select("x", "y", F.col("party").alias("py"))
+    major = side(rows.where("indexed and part = top"), "x").join(side(rows.where("part <> top"), "y"), "s").where(fair).select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("partx").alias("py"))
+    out = materialize(minor.union(major).distinct(), "rare-pairs")
+    discard(first)
+    discard(rows)
+    return out
+
+
+def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
+    """`part` (node, component) after `links` (u, v) as well: only links between its components are contracted; a table."""
+    at = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    between = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v")
+    found = components(between)
+    moved = part.join(found.select(F.col("node").alias("component"), F.col("component").alias("head")), "component", "left").select("node", F.coalesce("head", "component").alias("component"))
+    out = materialize(moved.union(found.join(part, "node", "left_anti").select("node", "component")), "joined")
+    discard(found)
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_id) of every row.
 
@@ -253,28 +297,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # pairs of one bucket that are still apart: all but the bucket's largest part against everything else in it
     placed = shared.join(part, "node", "left").select("band", "key", "node", "leader", F.coalesce("component", "node").alias("part"))
     sizes = placed.groupBy("band", "key", "part").count()
-    mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("top")).where("parts > 1").select("band", "key", F.col("top.part").alias("top"))
-    placed = materialize(placed.join(mixed, ["band", "key"]).join(reps.select("node", "bits", "sketch"), "node"), "mixed")
+    mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("count").alias("n"), F.max(F.struct("count", "part")).alias("top")).where("parts > 1")
+    mixed = mixed.select("band", "key", F.col("top.part").alias("top"), (F.col("n") - F.col("top.count") > FEW).alias("many"))
+    spots = materialize(placed.join(mixed, ["band", "key"]), "mixed")
+    rare = _rare_pairs(spots.where("many").select("node", "part").distinct(), sets, percent)
+    placed = materialize(spots.where("not many").join(reps.select("node", "bits", "sketch"), "node"), "few")
     few = placed.where("part <> top").select("band", "key", F.col("node").alias("x"), F.col("part").alias("px"), F.col("leader").alias("lead"), F.col("bits").alias("bx"), F.col("sketch").alias("sx"))
     rest = placed.select("band", "key", F.col("node").alias("y"), F.col("part").alias("py"), "top", F.col("bits").alias("by"), F.col("sketch").alias("sy"))
-    # the leader's pairs have been decided; of two minor parts only one order is needed
+    # the leader's pairs have been decided; of two minor parts only one order is needed; if a pair's first shared bucket
+    # is one of many parts, the pair is among those of rare shingles
     apart = few.join(rest, ["band", "key"]).where("px <> py and (py = top or x < y) and x <> lead and y <> lead").where(_bits_agree("bx", "by", percent) & _first_shared("sx", "sy"))
-    apart = materialize(apart.select("x", "y", "py", _bits_apart("bx", "by").alias("bits")), "apart")
+    apart = apart.select("x", "y", "py", _bits_apart("bx", "by").alias("bits"))
+    rare_apart = rare.join(signed("x", "bx"), "x").join(signed("y", "by"), "y").where(_bits_agree("bx", "by", percent))
+    apart = materialize(apart.union(rare_apart.select("x", "y", "py", _bits_apart("bx", "by").alias("bits"))), "apart")
     # the most similar pair of a document and a part joins the two if any pair does; what is apart even then is all verified
     best = apart.groupBy("x", "py").agg(F.min_by("y", F.struct("bits", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _verified(best, reps, sets, percent)
-    joined = components(first.union(second))
+    joined = _joined(part, second)
     at = lambda k: joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     left = apart.join(at("x"), "x", "left").join(at("y"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)")
     left = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     third = _verified(left, reps, sets, percent)
-    whole = components(first.union(second).union(third))
+    whole = _joined(joined, third)
     ids = whole.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = reps.select("f1", "f2", "n_shingles", "node", F.col("doc_id").alias("set_id")).join(whole.join(ids, "component").select("node", "component_id"), "node", "left").drop("node")
     # empty texts and rows without an id stay out of the join: they are their own
     known = known.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"]).select("doc_id", "n_shingles", F.coalesce("component_id", "set_id").alias("component_id"), "set_id")
     alone = base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
     out = materialize(known.union(alone), "near-duplicates")
-    for x in (base, reps, shared, sets, first, part, placed, apart, second, joined, third, whole):
+    for x in (base, reps, shared, sets, first, part, spots, rare, placed, apart, second, joined, third, whole):
         discard(x)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -43,7 +43,9 @@ def sets(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_duplicates_match_brute_force(spark, docs, none):
+@pytest.mark.parametrize("few", [64, 0])  # 0: every bucket leaves its pairs to rare shingles
+def test_near_duplicates_match_brute_force(spark, docs, none, monkeypatch, few):
+    monkeypatch.setattr(sketch_dedup, "FEW", few)
     rng = random.Random(5)
     family = []
     for k in range(60):  # a group of near copies around the threshold
@@ -60,6 +62,8 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
                 comp = {k: min(a, b) if v in (a, b) else v for k, v in comp.items()}
     assert {i: r.component_id for i, r in got.items()} == comp
     assert all(r.n_shingles == len(s[i]) and r.kept == (i == comp[i]) for i, r in got.items())
+    if not few:
+        return
     # one id with two texts, repeats, and ids of another type
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [("b", BASE), ("a", BASE + " tail one"), ("b", "nothing alike"), ("c", "nothing alike"), ("c", "nothing alike"), ("d", long), ("e", long + " end"), ("f", None), ("f", "")]
@@ -71,6 +75,37 @@ def test_near_duplicates_match_brute_force(spark, docs, none):
     assert {r.component_id for r in sketch_dedup.near_duplicates(docs.where("doc_id is null")).collect()} == {None}
 
 
+def test_pages_of_one_template_form_no_pairs(spark):
+    """At 60 % no two pages are linked, and rare shingles propose no pair however many pages there are; planted links are found."""
+    rng = random.Random(11)
+    template = [rng.getrandbits(40) for _ in range(150)]
+    for n in (150, 600):
+        pages = [(k, k, template + [rng.getrandbits(40) for _ in range(50)]) for k in range(n)]
+        copy = pages[7][2][:-20] + [rng.getrandbits(40) for _ in range(20)]  # 180 of 220 shared
+        pages += [(n, n, copy), (n + 1, 7, pages[7][2][1:])]  # the second is in page 7's part already
+        sets = spark.createDataFrame([(i, s) for i, _, s in pages], "node long, shingles array<long>")
+        members = spark.createDataFrame([(i, p) for i, p, _ in pages], "node long, part long")
+        got = {frozenset((r.x, r.y)) for r in sketch_dedup._rare_pairs(members, sets, 75).collect()}
+        near = {frozenset((a[0], b[0])) for i, a in enumerate(pages) for b in pages[:i] if a[1] != b[1] and 100 * len(set(a[2]) & set(b[2])) >= 75 * len(set(a[2]) | set(b[2]))}
+        assert near <= got and len(near) == 2 and len(got) <= 4
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    rng = random.Random(12)
+    pages = []
+    for k in range(120):  # sets of many sizes and overlaps, some at exactly 75 %
+        base = list(range(rng.choice([3, 8, 40]))) if k % 3 else list(range(100, 100 + rng.choice([12, 60])))
+        pages.append((k, k % 17, sorted({x for x in base if rng.random() < 0.9} | {1000 + rng.randrange(30) for _ in range(rng.choice([0, 1, 5]))})))
+    pages += [(200, 200, [1, 2, 3, 4000]), (201, 201, [1, 2, 3])]
+    sets = spark.createDataFrame([(i, s) for i, _, s in pages], "node long, shingles array<long>")
+    members = spark.createDataFrame([(i, p) for i, p, _ in pages], "node long, part long")
+    got = sketch_dedup._rare_pairs(members, sets, 75).collect()
+    part = {i: p for i, p, _ in pages}
+    near = {frozenset((a[0], b[0])) for i, a in enumerate(pages) for b in pages[:i] if a[1] != b[1] and a[2] and b[2] and 100 * len(set(a[2]) & set(b[2])) >= 75 * len(set(a[2]) | set(b[2]))}
+    assert near and near <= {frozenset((r.x, r.y)) for r in got} and frozenset((200, 201)) in near
+    assert all(r.py == part[r.y] != part[r.x] for r in got)
+
+
 def test_joint_likelihood():
     h = mix64(np.arange(4000, dtype=np.uint64))
     a, b = h[:3000], h[1000:]
