@@ -1,8 +1,9 @@
 """Layout-aware rendering of HTML pages to text.
 
 A tree builder applies the implied tags of HTML (a paragraph ends where a block starts, list items, table
-rows and cells end each other, a row implies a table body), at any depth. Visibility follows the elements that are never shown, the hidden attribute, inline
-styles, simple style-sheet rules, and closed details. Rendering collapses blanks as a browser does, keeps
+rows and cells end each other, a row implies a table body), at any depth. Visibility follows the elements that are never shown, the hidden attribute, closed
+details, and a small cascade of `display` and `visibility`: style sheets with one simple selector a rule, ordered by importance, specificity and place, then inline
+styles; rules for other media than screens don't count, and what is inside a hidden element may be visible again. Rendering collapses blanks as a browser does, keeps
 paragraph spacing, list markers with their nesting, preformatted text, and pads table cells to columns. Formulas are inline
 text, of drawings the text elements are shown, text areas keep their lines, and each option takes a line.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -39,19 +41,69 @@ CLOSES = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)),
 }
 P_ENDERS = BLOCK - frozenset("html body dt dd li tr tbody thead tfoot caption legend".split()) | {"li", "dd", "dt"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARATION = re.compile(r"([\w-]+)\s*:((?:[^;\"']|\"[^\"]*\"|'[^']*')*)")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SIMPLE = re.compile(r"\*|[.#]?[\w-]+")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+# Fields that show their value.
+VALUED = frozenset("submit button reset text search email url tel number".split())
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "shown", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.shown = tag, attrs, [], True
+
+
+def declarations(style: str) -> Iterator[tuple[str, bool, str]]:
+    """(property, important, value) of each display and visibility."""
+    for m in DECLARATION.finditer(COMMENT.sub(" ", style)):
+        name, (value, mark, _) = m[1].lower(), m[2].lower().partition("!important")
+        if name in ("display", "visibility"):
+            yield name, bool(mark), value.strip()
+
+
+class Sheet:
+    """What style sheets say of display and visibility, by simple selector: (important, specificity, place, value)."""
+
+    def __init__(self):
+        self.rules: dict[tuple[str, str], list] = {}
+        self.place = 0
+
+    def read(self, css: str) -> None:
+        css, at = COMMENT.sub(" ", css), 0
+        while (open_ := css.find("{", at)) >= 0:
+            head = css[at:open_].rpartition(";")[2].strip()
+            depth, end = 1, open_ + 1
+            while depth and (m := re.compile(r"[{}]").search(css, end)):
+                depth, end = depth + (1 if m[0] == "{" else -1), m.end()
+            body, at = css[open_ + 1 : end - 1 if not depth else len(css)], end if not depth else len(css)
+            if head.startswith("@"):
+                name, _, media = head[1:].lower().partition(" ")
+                if name in ("supports", "layer") or name == "media" and any(re.match(r"\s*(only\s+)?(all|screen)\b|\s*\(", x) for x in media.split(",")):
+                    self.read(body)
+                continue
+            found = list(declarations(body))
+            for selector in map(str.strip, head.split(",")) if found else ():
+                if SIMPLE.fullmatch(selector):
+                    rank = {"*": 0, ".": 2, "#": 3}.get(selector[0], 1)
+                    for name, important, value in found:
+                        self.place += 1
+                        self.rules.setdefault((selector if rank else "*", name), []).append((important, rank, self.place, value))
+
+    def value(self, node: Node, name: str) -> str:
+        """The property's value for an element, or an empty string."""
+        a, found = node.attrs, []
+        if self.rules:
+            for selector in ("*", node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())):
+                found += self.rules.get((selector, name), ())
+        if "style" in a:
+            found += [(important, 4, i, value) for i, (n, important, value) in enumerate(declarations(a["style"])) if n == name]
+        return max(found)[3] if found else ""
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -61,10 +113,10 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def build_tree(html: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors that its style sheets hide."""
+def build_tree(html: str) -> tuple[Node, Sheet]:
+    """The tree of a page, and its style sheets. A tag with a quote that nothing closes ends at the next >."""
     root = Node("html", {})
-    stack, hidden, at = [root], set(), 0
+    stack, sheet, at = [root], Sheet(), 0
     count: Counter = Counter()  # open elements by name, so that deep pages need no search in vain
 
     def push(node: Node) -> None:
@@ -91,10 +143,11 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
             stack[-1].kids.append(unescape(text) if "&" in text else text)
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        ends, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at, tag = m.end(), (name or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if ends:
             if tag == "p" and not count["p"]:
                 stack[-1].kids.append(Node("p", {}))
             if tag == "br":
@@ -107,8 +160,8 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
                 if stack[i].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
                     break  # an end tag inside a cell does not reach outside it
             continue
-        if tag in ("html", "body") and m[3]:
-            root.attrs.update(attributes(m[3]))
+        if tag in ("html", "body") and raw:
+            root.attrs.update(attributes(raw))
         if tag == "html" or tag == "body" and count["body"] > 0:
             continue
         foreign = count["svg"] > 0 or count["math"] > 0
@@ -131,37 +184,55 @@ def build_tree(html: str) -> tuple[Node, set[str]]:
             push(Node("tbody", {}))
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr", {}))
-        node = Node(tag, attributes(m[3]) if m[3] and m[3] != "/" else {})
-        if tag in VOID or tag in RAW or foreign and m[3] and SELF_CLOSED.search(m[3]):
+        node = Node(tag, attributes(raw) if raw and raw != "/" else {})
+        if tag in VOID or tag in RAW or foreign and raw and SELF_CLOSED.search(raw):
             stack[-1].kids.append(node)
         else:
             push(node)
-        if tag in RAW and not (foreign and m[3] and SELF_CLOSED.search(m[3])):
+        if tag in RAW and not (foreign and raw and SELF_CLOSED.search(raw)):
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             at = stop.end() if stop else end
             if tag == "style":
-                for r in RULE.finditer(body):
-                    if HIDING.search(r[2]):
-                        hidden.update(s for s in map(str.strip, r[1].split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
+                sheet.read(body)
             elif tag == "xmp":
                 node.kids.append(body)
             elif tag == "textarea":
                 node.kids.append(unescape(body).removeprefix("\n"))
-    return root, hidden
+    return root, sheet
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
+def prune(node: Node, sheet: Sheet, seen: bool = True) -> bool:
+    """Take away what isn't displayed and the text of hidden elements; whether anything of the node shows.
+
+    Hidden list items and cells keep their number and their place.
+    """
     if node.tag in NEVER:
         return False
-    a = node.attrs
-    if not a and not hidden:
-        return True
-    if "hidden" in a or node.tag == "input" or node.tag == "dialog" and "open" not in a or HIDING.search(a.get("style", "")):
+    a, display = node.attrs, sheet.value(node, "display")
+    if display == "none" or not display and ("hidden" in a or node.tag == "dialog" and "open" not in a):
         return False
-    if hidden:
-        return not (node.tag in hidden or "#" + a.get("id", "") in hidden or any("." + c in hidden for c in a.get("class", "").split()))
-    return True
+    visibility = sheet.value(node, "visibility")
+    if visibility in ("hidden", "collapse", "visible", "initial"):
+        seen = visibility in ("visible", "initial")
+    if node.tag == "input":
+        if seen and a.get("value") and a.get("type", "text").lower() in VALUED:
+            node.kids.append(a["value"])
+    kids, some = [], False
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if seen:
+                kids.append(kid)
+        elif prune(kid, sheet, seen):
+            kids.append(kid)
+            some = True
+    node.kids, node.shown = kids, seen or some
+    return node.shown or node.tag in ("li", "td", "th", "tr", "tbody", "thead", "tfoot")
+
+
+def columns(text: str) -> int:
+    """The places that a line takes: two for wide characters, none for marks that combine."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Lines:
@@ -219,8 +290,9 @@ class Lines:
         return self.lines
 
 
-def render_list(node: Node, hidden: set[str]) -> list[str]:
-    out, number = [], 1
+def render_list(node: Node) -> list[str]:
+    step = -1 if "reversed" in node.attrs else 1
+    out, number = [], 1 if step > 0 else sum(isinstance(k, Node) and k.tag == "li" for k in node.kids)
     start = node.attrs.get("start", "")
     if re.fullmatch(r"-?\d{1,9}", start):
         number = int(start)
@@ -228,18 +300,22 @@ def render_list(node: Node, hidden: set[str]) -> list[str]:
         if isinstance(kid, str):
             if kid.strip():
                 out.append(BLANKS.sub(" ", kid).strip())
-        elif visible(kid, hidden):
-            lines = render(kid, hidden)
+        else:
+            lines = render(kid)
             if kid.tag == "li":
+                if re.fullmatch(r"-?\d{1,9}", kid.attrs.get("value", "")):
+                    number = int(kid.attrs["value"])
                 mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
+                number += step
+                if not kid.shown:
+                    continue
                 out += [(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(lines or [""])]
             else:
                 out += ["  " + x if x else "" for x in lines]
     return [x.rstrip() for x in out]
 
 
-def render_table(node: Node, hidden: set[str]) -> list[str]:
+def render_table(node: Node) -> list[str]:
     """Rows of cells, each column as wide as its widest line; a cell of several lines takes several lines.
 
     A cell that spans columns or rows shows in the first of them, and keeps the others' places empty.
@@ -255,21 +331,21 @@ def render_table(node: Node, hidden: set[str]) -> list[str]:
             row.append([])
         for k in range(span(cell, "colspan")):
             taken[len(row)] = span(cell, "rowspan")
-            row.append([y for y in render(cell, hidden) if y] if k == 0 else [])
+            row.append(render(cell) if k == 0 else [])
 
     def walk(x: Node) -> None:
         for kid in x.kids:
             if isinstance(kid, str):
                 if kid.strip():
                     above.append(BLANKS.sub(" ", kid).strip())
-            elif visible(kid, hidden):
+            else:
                 if kid.tag == "tr":
                     row = []
                     for c in kid.kids:
-                        if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, hidden):
+                        if isinstance(c, Node) and c.tag in ("td", "th"):
                             place(row, c)
-                        elif isinstance(c, Node) and visible(c, hidden):
-                            above.extend(render(c, hidden))
+                        elif isinstance(c, Node):
+                            above.extend(render(c))
                         elif isinstance(c, str) and c.strip():
                             above.append(BLANKS.sub(" ", c).strip())
                     rows.append(row)
@@ -278,25 +354,25 @@ def render_table(node: Node, hidden: set[str]) -> list[str]:
                 elif kid.tag in ("tbody", "thead", "tfoot", "colgroup"):
                     walk(kid)
                 else:
-                    above.extend(render(kid, hidden))
+                    above.extend(render(kid))
 
     walk(node)
     rows = [r for r in rows if any(r)]
     width = [0] * max(map(len, rows), default=0)
     for r in rows:
         for i, c in enumerate(r):
-            width[i] = max([width[i], *map(len, c)])
+            width[i] = max([width[i], *map(columns, c)])
     out = above
     for r in rows:
         for k in range(max(map(len, r))):
             cells = [c[k] if k < len(c) else "" for c in r]
             while cells and not cells[-1].strip():
                 cells.pop()
-            out.append(" | ".join(c.ljust(width[i]) for i, c in enumerate(cells)).rstrip(" "))
+            out.append(" | ".join(c + " " * (width[i] - columns(c)) for i, c in enumerate(cells)).rstrip(" "))
     return out
 
 
-def painted(svg: Node, hidden: set[str]) -> list[Node]:
+def painted(svg: Node) -> list[Node]:
     """The text elements and embedded HTML of a drawing that are shown, in order."""
     out, todo = [], [svg]
     while todo:
@@ -304,11 +380,11 @@ def painted(svg: Node, hidden: set[str]) -> list[Node]:
         if x.tag in ("text", "foreignobject"):
             out.append(x)
         else:
-            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and k.tag not in UNPAINTED and visible(k, hidden)]
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and k.tag not in UNPAINTED]
     return out
 
 
-def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
+def render(node: Node, pre: bool = False) -> list[str]:
     out = Lines()
 
     def walk(x: Node, pre: bool) -> None:
@@ -323,22 +399,20 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
             if tag == "br":
                 out.line_break()
                 continue
-            if not visible(kid, hidden):
-                continue
             if closed:
                 if tag != "summary" or shown:
                     continue
                 shown = True
             if tag in ("ul", "ol", "menu"):
-                out.add(render_list(kid, hidden), 1 if x.tag == "li" else 2)
+                out.add(render_list(kid), 1 if x.tag == "li" else 2)
             elif tag == "table":
-                out.add(render_table(kid, hidden), 2)
+                out.add(render_table(kid), 2)
             elif tag == "hr":
                 out.add(["---"], 2)
             elif tag == "blockquote":
-                out.add(["> " + y if y else ">" for y in render(kid, hidden)], 2)
+                out.add(["> " + y if y else ">" for y in render(kid)], 2)
             elif tag == "svg":
-                for t in painted(kid, hidden):
+                for t in painted(kid):
                     out.write(" ")
                     walk(t, False)
                     out.write(" ")
@@ -361,7 +435,7 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
                 gap = 2 if tag in SPACED else 1
                 out.block(gap)
                 if tag == "dd":
-                    out.add(["  " + y if y else "" for y in render(kid, hidden)], 1)
+                    out.add(["  " + y if y else "" for y in render(kid)], 1)
                 else:
                     walk(kid, pre or tag == "pre")
                 out.block(gap)
@@ -377,12 +451,12 @@ def render(node: Node, hidden: set[str], pre: bool = False) -> list[str]:
 
 def visible_text(html: str | None) -> str:
     html = (html or "").replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
-    root, hidden = build_tree(html)
+    root, sheet = build_tree(html)
     limit = sys.getrecursionlimit()
     # calls of Python by Python use no C stack; an open element takes four of them at most, with those it implies
     sys.setrecursionlimit(max(limit, limit + 12 * html.count("<")))
     try:
-        return "\n".join(render(root, hidden)) if visible(root, hidden) else ""
+        return "\n".join(render(root)) if prune(root, sheet) else ""
     finally:
         sys.setrecursionlimit(limit)
 

@@ -217,6 +217,20 @@ def test_html_shows_formulas_drawings_forms_and_depth(html, text):
     assert html_layout.visible_text(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"), ("<style>@media print{.x{display:none}} p{color:red}</style><p class=x>shown", "shown"),
+    ("<style>@media screen{.x{display:none}}</style><p class=x>no</p>ok", "ok"), ("<style>.x{display:none}</style><style>.x{display:block}</style><p class=x>shown", "shown"),
+    ("<style>.x{display:none}.x{display:block}#y{display:none}</style><p class=x>s</p><p class=x id=y>gone", "s"), ("<style>#y{display:none}p{display:block}</style><p id=y>gone</p>ok", "ok"),
+    ("<style>p{display:none!important}</style><p style='display:block'>no</p>ok", "ok"), ("<p style='content:\"display:none\"'>shown", "shown"), ("<p hidden style='display:block'>shown</p><p hidden>no", "shown"),
+    ("<style>/* .x{display:none} */ .x{color:red}</style><p class=x>shown", "shown"), ("<style>.x{display:none", ""), ("<dialog>x</dialog><dialog open>y</dialog>", "y"),
+    ("<input type=submit value=Go><input type=hidden value=no>", "Go"), ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<ol><li style='visibility:hidden'>a<li>b</ol>", "2. b"), ("a <i title=\"x>b</i> c", "a b c"), ("<table><tr><td>a<br><br>b<td>c</table>", "a | c\n\nb"),
+    ("<table><tr><td>漢字<td>x<tr><td>abcde<td>y</table>", "漢字  | x\nabcde | y"), ("<table><tr><td style='visibility:hidden'>aaa<td>b</table>", " | b"),
+])
+def test_html_cascade_and_marks(html, text):
+    assert html_layout.visible_text(html) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (None, None, "t")], "page_id long, html string, text string")
     assert {(r.page_id, r.text) for r in html_layout.render_pages(df).collect()} == {(1, "a"), (None, "")}
