@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where none is set and Spark is one local process (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tallyfield_folder", None)
     if not at:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        spark.sparkContext._tallyfield_folder = at  # the setting itself is fixed once a session runs
     return at.rstrip("/")
 
 
