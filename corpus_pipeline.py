@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.byte_bpe import bpe_round_trip
-from tallyfield.llm.common import materialize, table
+from tallyfield.llm.common import discard, materialize, recorded, table
 from tallyfield.llm.line_runs import line_dedup
 from tallyfield.llm.quality_rff import quality_scores
 from tallyfield.llm.sketch_dedup import near_duplicates
@@ -97,7 +97,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no token; texts of any length are encoded whole. An empty table stays empty.
     """
-    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -112,9 +112,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; of the tables written on the way only the last stage's input stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with recorded() as tables:
+            docs = materialize(stage(spark, before, sf_dir), name)
+        for t in (before, *tables[:-1]):
+            discard(t)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

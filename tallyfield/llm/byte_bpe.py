@@ -25,6 +25,8 @@ from .sketch_dedup import _BYTE, _powers
 NONE = np.int64(1) << 62
 SHIFT, MASK = 7, 127  # positions of the vectorised trees: up to 64 bytes, below a rank
 WIDEST = 64
+# Fixed value: the split pattern that the numpy rules below stand for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 300_000
 
 
@@ -294,14 +296,17 @@ def _runner(shared, with_ids: bool):
     return run
 
 
-def bpe_round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, pattern: str = SPLIT) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256 [, ids, decoded]) of every row.
 
     Null texts are empty and have no token. Ids, null or repeated, pass through with their type; other
     columns of `df` are not read. The rank file is read on the driver and sent once (its size is that of
-    a vocabulary, whatever the table's). Texts of any length are encoded whole.
+    a vocabulary, whatever the table's). Texts of any length are encoded whole. `pattern` is the vocabulary's own split
+    pattern; any other than SPLIT is refused, since its pretokens would differ.
     """
     spark = df.sparkSession
+    if pattern != SPLIT:
+        raise ValueError(f"pretokens are found by rules that stand for one pattern only: {SPLIT}")
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast((Ranks(f.read()), char_classes()))
     rows = narrow(df, id_col, text_col)

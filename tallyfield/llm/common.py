@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ CHUNK_BYTES = 2 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is set and Spark is one local process (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tallyfield_folder", None)
     if not at:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        spark.sparkContext._tallyfield_folder = at  # the setting itself is fixed once a session runs
     return at.rstrip("/")
 
 
@@ -36,9 +37,25 @@ def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyfield_path = path
+    for tables in _RECORDS:
+        tables.append(out)
     return out
 
 
+_RECORDS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """All tables that `materialize` writes inside the block, so that a caller can delete what operators had to leave."""
+    tables: list[DataFrame] = []
+    _RECORDS.append(tables)
+    try:
+        yield tables
+    finally:
+        _RECORDS.pop()
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what `materialize` wrote, once nothing reads it any more."""
     path = getattr(df, "_tallyfield_path", None)

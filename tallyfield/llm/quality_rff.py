@@ -211,5 +211,6 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             s = np.round(np.clip(model.score(x), 0, 1), 10) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["doc_id", "text_hash", "score"])
 
-    scored = stats.mapInArrow(run, f"doc_id {kind}, text_hash long, score double")
+    scored = materialize(stats.mapInArrow(run, f"doc_id {kind}, text_hash long, score double"), "scores")
+    discard(stats)
     return scored.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import structure_queries
 from .byte_bpe import bpe_round_trip
-from .common import table
+from .common import discard, table
 from .exact_stream import exact_duplicates
 from .html_layout import render_pages
 from .line_runs import line_dedup
@@ -27,7 +27,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_audio(store_audio(table(spark, sf_dir, "documents"))).drop("pcm")
+    media = store_audio(table(spark, sf_dir, "documents"))
+    out = read_audio(media).drop("pcm")  # all of it has been read and stored by now
+    discard(media)
+    return out
 
 
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op7_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (kind, pattern, group whose length counts, least length); base kinds, in the order of listing.
 BASE = (
@@ -132,4 +132,8 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = found.select("doc_id", "key", "base").join(linked, "key", "left")
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     every = F.concat("base", F.coalesce("linked", F.expr(f"cast(array() as {_SPANS})")))
-    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    out = out.select("doc_id", *[count(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    out = materialize(out, "secrets")
+    discard(found)
+    discard(candidates)
+    return out

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tallyfield.llm import byte_bpe, html_layout, line_runs, quality_rff, secret_links, sketch_dedup, source_mix, telephony, toxic_knn
-from tallyfield.llm.common import mix64, slices
+from tallyfield.llm.common import mix64, shared_dir, slices
 from tallyfield.llm.exact_stream import exact_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -416,18 +417,68 @@ def test_mix_goes_on_past_blocks_that_do_not_fit(spark, monkeypatch):
             own = sorted((r for r in got if r.source == source), key=lambda r: r.u)
             passes = int(own[0].target / own[0].source_size + 1e-12)
             gap = start = round(own[0].target) - passes * own[0].source_size
-            want = set()
-            for r in own:  # every block in turn that still fits
-                if 0 < r.size <= gap:
-                    want.add(r.doc_id)
-                    gap -= r.size
-            rest = [(r.size, k, r.doc_id) for k, r in enumerate(own) if r.size > 0 and r.doc_id not in want]
-            if start and rest and min(rest)[0] < 2 * gap:
-                want.add(min(rest)[2])
+            want, limit = set(), 1 << max(gap.bit_length() - 1, 0)
+            for r in own:  # every block in turn of at most the power of two that the gap held when a block last overshot
+                if 0 < r.size <= limit:
+                    if r.size <= gap:
+                        want.add(r.doc_id)
+                        gap -= r.size
+                    else:
+                        limit = 1 << max(gap.bit_length() - 1, 0)
+            rest = [(abs(r.size - gap), r.size, k, r.doc_id) for k, r in enumerate(own) if r.size > 0 and r.doc_id not in want]
+            assert sum(r.size <= gap for r in own if r.size and r.doc_id not in want) <= 1
+            if start and rest and min(rest)[0] < gap:
+                want.add(min(rest)[3])
             assert {r.doc_id for r in own if r.size and len(r.draws) > passes} == want
             assert all(passes <= len(r.draws) <= passes + 1 for r in own)
 
 
+def test_partial_passes_take_few_runs_whatever_the_order(spark):
+    # each block overshoots by one word what is left after a block of one word: one run a pair, if every fitting block were taken
+    sizes = [n for k in range(300) for n in (1, 1000 - k)]
+    ranked = spark.createDataFrame([("s", k // 64, k, n, 1000) for k, n in enumerate(sizes)], "source string, bucket long, rank long, size long, rest long")
+    (r,) = source_mix.partial_passes(ranked, spark.createDataFrame([("s", 1000)], "source string, rest long")).collect()
+    taken = [n for k, n in enumerate(sizes) if any(x.start <= k < x.stop and n <= x.limit for x in r.runs)]
+    assert len(r.runs) <= 10 and abs(sum(taken) + sizes[r.fill] - 1000) <= 1
+
+
+def test_many_sources_are_split_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "FAN", 4)  # 70 sources: 18 groups, 5 groups of groups, 2 above
+    rows = [(f"s{k}", (k * 37) % 90) for k in range(69)] + [(None, 1000)]
+    quotas = spark.createDataFrame(rows, "source string, quota long")
+    got = source_mix.shard_quotas(quotas, 4).collect()
+    total = sum(q for _, q in rows)
+    for source, quota in rows:
+        own = sorted((r for r in got if r.source == source), key=lambda r: r.shard)
+        assert [r.shard for r in own] == list(range(16)) and sum(r["count"] for r in own) == quota and all(r["count"] >= 0 for r in own)
+        assert [r.first for r in own] == [sum(x["count"] for x in own[:k]) for k in range(16)]
+    shards = [sum(r["count"] for r in got if r.shard == k) for k in range(16)]
+    assert sum(shards) == total and max(shards) - min(shards) <= 1
+    # the counts spread as a full shuffle's would: mean quota / 16, the hypergeometric variance
+    big = [r["count"] for r in got if r.source is None]
+    assert abs(sum(big) / 16 - 62.5) < 1e-9 and 10 < np.var(big) < 130
+    # one source's share of a shard over many seeds, against the exact distribution's mean and variance
+    few = spark.createDataFrame([(f"s{k}", 6) for k in range(10)], "source string, quota long")
+    seen = [sum(r["count"] for r in source_mix.shard_quotas(few, 1, seed).collect() if r.source == "s3" and r.shard == 0) for seed in range(40)]
+    assert 2.4 < np.mean(seen) < 3.6 and 0.5 < np.var(seen) < 3.0 and source_mix.shard_quotas(quotas.where("false"), 3).count() == 0
+
+
+def test_only_results_stay(spark, docs):
+    at = shared_dir(spark).removeprefix("file://")
+    d = docs.select("doc_id", "text", "source")
+    known = spark.createDataFrame([(k, k % 2) for k in range(1, 17)], "doc_id long, quality int")
+    for run in (lambda: source_mix.mix_sources(d), lambda: secret_links.secret_spans(d), lambda: quality_rff.quality_scores(d, known)):
+        before = set(os.listdir(at))
+        assert run().count() == len(TEXTS)
+        assert len(set(os.listdir(at)) - before) == 1
+
+
+def test_other_patterns_are_refused(docs):
+    with pytest.raises(ValueError, match="one pattern"):
+        byte_bpe.bpe_round_trip(docs, RANKS, pattern=r"\S+|\s+")
+    assert byte_bpe.bpe_round_trip(docs, RANKS, pattern=public_tokenizers.PATTERN).count() == len(TEXTS)
+
+
 def test_hypergeometric_counts_are_exact_at_every_size(spark):
     draw = lambda g, n, d, us: [r.k for r in spark.createDataFrame([(g, n, d, u) for u in us], "g long, n long, d long, u double").select(source_mix._hypergeometric(F.col("g"), F.col("n"), F.col("d"), F.col("u")).alias("k")).collect()]
     us = [1e-9, 1e-4, 0.01, 0.2, 0.49, 0.77, 0.985, 1 - 1e-5, 1 - 1e-9]
