@@ -27,6 +27,11 @@ def land(df: DataFrame, part: str, value: str = "value") -> str:
     return at
 
 
+def page(key: str):
+    """Pages of 16,384 keys: their number grows with the table, their size doesn't."""
+    return F.shiftright(F.col(key).cast("long"), 14).alias("page")
+
+
 def json_pages(rows: DataFrame, part: str) -> DataFrame:
     """(part, value): the other columns as one JSON array for each part, a file's worth."""
     fields = [c for c in rows.columns if c != part]
@@ -100,7 +105,7 @@ register("s10_read_index", s10, with_views("bars") + "SELECT company_id AS index
 
 
 def s11(s, d):
-    a = fx.action_text(s, d).select((F.col("p_partkey") % 50).alias("page"), F.col("company_id").alias("symbol"), F.lit("EQ").alias("series"), F.col("p_partkey").cast("string").alias("isin"), F.lit("Co").alias("comp"), F.lit("10").alias("faceVal"), "subject", DAY(F.date_add(F.lit("1996-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int"))).alias("exDate"), F.lit("-").alias("recDate"))
+    a = fx.action_text(s, d).select(page("p_partkey"), F.col("company_id").alias("symbol"), F.lit("EQ").alias("series"), F.col("p_partkey").cast("string").alias("isin"), F.lit("Co").alias("comp"), F.lit("10").alias("faceVal"), "subject", DAY(F.date_add(F.lit("1996-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int"))).alias("exDate"), F.lit("-").alias("recDate"))
     return fl.read_actions(s, land(json_pages(a, "page"), "page"))
 
 
@@ -127,7 +132,7 @@ register("s13_read_latin_csv", s13, "SELECT CAST(p_partkey AS VARCHAR) AS symbol
 
 
 def s14(s, d):
-    m = fx.meetings(s, d).select(F.month("meeting_date").alias("page"), F.col("company_id").alias("bm_symbol"), DAY("meeting_date").alias("bm_date"), F.when(F.col("is_results"), "Quarterly Results").otherwise("Fund raising").alias("bm_purpose"), F.date_format("announced_at", "dd-MMM-yyyy HH:mm:ss").alias("bm_timestamp"))
+    m = fx.meetings(s, d).select(F.shiftright(F.monotonically_increasing_id(), 14).alias("page"), F.col("company_id").alias("bm_symbol"), DAY("meeting_date").alias("bm_date"), F.when(F.col("is_results"), "Quarterly Results").otherwise("Fund raising").alias("bm_purpose"), F.date_format("announced_at", "dd-MMM-yyyy HH:mm:ss").alias("bm_timestamp"))
     return fl.read_board_meetings(s, land(json_pages(m, "page"), "page"))
 
 
@@ -136,7 +141,7 @@ FILED = "SELECT company_id AS symbol, period_to, published_at, CAST(filing_id AS
 
 
 def s15(s, d):
-    f = fx.filings(s, d).select(F.month("period_to").alias("page"), F.col("company_id").alias("symbol"), F.lit("I").alias("isin"), DAY("period_to").alias("toDate"), F.when(F.col("consolidated"), "Consolidated").otherwise("Non-Consolidated").alias("consolidated"), F.date_format("published_at", "dd-MMM-yyyy HH:mm:ss").alias("broadCastDate"), F.col("filing_id").cast("string").alias("xbrl"))
+    f = fx.filings(s, d).select(page("filing_id"), F.col("company_id").alias("symbol"), F.lit("I").alias("isin"), DAY("period_to").alias("toDate"), F.when(F.col("consolidated"), "Consolidated").otherwise("Non-Consolidated").alias("consolidated"), F.date_format("published_at", "dd-MMM-yyyy HH:mm:ss").alias("broadCastDate"), F.col("filing_id").cast("string").alias("xbrl"))
     return fl.read_results_filings(s, land(json_pages(f, "page"), "page"))
 
 
@@ -144,7 +149,7 @@ register("s15_read_results_filings", s15, with_views("filings") + FILED.format(m
 
 
 def s16(s, d):
-    f = fx.filings(s, d).select((F.col("filing_id") % 40).alias("page"), F.struct(F.col("company_id").alias("symbol"), DAY("period_to").alias("qe_Date"), F.date_format("published_at", "dd-MMM-yyyy HH:mm:ss").alias("broadcast_Date"), F.col("filing_id").cast("string").alias("xbrl")).alias("x"))
+    f = fx.filings(s, d).select(page("filing_id"), F.struct(F.col("company_id").alias("symbol"), DAY("period_to").alias("qe_Date"), F.date_format("published_at", "dd-MMM-yyyy HH:mm:ss").alias("broadcast_Date"), F.col("filing_id").cast("string").alias("xbrl")).alias("x"))
     pages = f.groupBy("page").agg(F.to_json(F.struct(F.collect_list("x").alias("data"), F.count("*").alias("totalCount"))).alias("value"))
     return fl.read_integrated_filings(s, land(pages, "page"))
 

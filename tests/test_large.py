@@ -40,3 +40,19 @@ def test_performance_of_blocks_and_of_days(spark):
     assert set(got) == set(range(7)) and all(got[k] == pytest.approx(want[k]) for k in want)
     last = {r.account: r for r in mn.time_weighted(days).orderBy("trade_date").collect()}
     assert all(got[k][2] == pytest.approx(last[k]["index"] - 1) and got[k][0] == last[k].value for k in got)
+
+
+@pytest.mark.parametrize("query", ["s11_read_actions", "s14_read_board_meetings", "s15_read_results_filings", "s16_read_integrated_filings"])
+def test_pages_grow_in_number(spark, tmp_path, monkeypatch, query):
+    import __spark_entry__ as entry
+    from tallyfield import lake
+
+    n = 40_000
+    day = "timestamp'1995-01-31' + make_dt_interval(cast(id % 20 as int))"  # of one month
+    spark.range(0, n, 1, 1).selectExpr("id as o_orderkey", f"cast({day} as timestamp_ntz) as o_orderdate", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0, n, 1, 1).selectExpr("id * 50 as p_partkey", "'Brand#1' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    at = []
+    monkeypatch.setattr(lake, "new_folder", lambda s: at.append(f"file://{tmp_path}/landed") or at[0])
+    assert entry.queries()[query](spark, str(tmp_path)).count() == n
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at[0]).select("length").collect()
+    assert len(files) >= 3 and max(f.length for f in files) < 0.45 * sum(f.length for f in files)
