@@ -56,3 +56,23 @@ def test_pages_grow_in_number(spark, tmp_path, monkeypatch, query):
     assert entry.queries()[query](spark, str(tmp_path)).count() == n
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at[0]).select("length").collect()
     assert len(files) >= 3 and max(f.length for f in files) < 0.45 * sum(f.length for f in files)
+
+
+def test_prices_of_companies_map_one_row_a_symbol_and_day(spark, monkeypatch):
+    from tallyfield.operators import prices as pr
+
+    rng = random.Random(9)
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(n)
+    rows = [(rng.choice("st"), day(rng.randint(0, 5)), rng.choice(["EQ", "BE", "BZ"]), float(i), f"{(i * 37) % 1000:03}") for i in range(900)]
+    spans = [(c, s, day(a), day(a + 3)) for c, s, a in (("x", "s", 0), ("x", "t", 2), ("y", "t", 1), ("z", "s", 9))]
+    want = {}
+    for s, d, series, px, row in rows:
+        for c, on, a, b in spans:
+            if on == s and a <= d <= b and series != "BZ":
+                want[c, d] = min(want.get((c, d), (2,)), (0 if series == "EQ" else 1, s, row, px))
+    met = []
+    mapped = pr.valid_at
+    monkeypatch.setattr(pr, "valid_at", lambda r, *a: met.append(r.count()) or mapped(r, *a))
+    r, m = spark.createDataFrame(rows, "symbol string, trade_date date, series string, px double, row_id string"), spark.createDataFrame(spans, "company_id string, symbol string, valid_from date, valid_to date")
+    out = pr.company_prices(r, m, ("EQ", "BE"), pr.F.when(pr.F.col("series") == "EQ", 0).otherwise(1))
+    assert {(x.company_id, x.trade_date): (x.symbol, x.px) for x in out.collect()} == {k: (v[1], v[3]) for k, v in want.items()} and met == [12]
