@@ -159,22 +159,27 @@ def read_broker_holdings(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return out.where(~bad).drop("raw"), out.where(bad).select(F.to_json("raw").alias("raw"))
 
 
+ELEMENT = pa.struct([("n", pa.int64()), *[(c, pa.string()) for c in ("context", "tag", "text", "start", "end")]])
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, n, context, tag, text, start, end) of the top elements of XML filings: facts with their context, and plain contexts (tag null)."""
+    """(path, period_to, elements) of XML filings: of the top elements the facts with their context, and plain contexts (tag null)."""
     import xml.etree.ElementTree as ET
 
     local = lambda e: e.tag.rpartition("}")[2]
     for b in batches:
-        rows = []
-        for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        ends, rows = [0], []
+        for content in b.column(2).to_pylist():
             for n, e in enumerate(ET.fromstring(content)):
                 if local(e) == "context":
                     inner = {local(x): (x.text or "").strip() for x in e.iter()}
                     if not {"segment", "scenario"} & inner.keys():
-                        rows.append((where, n, e.get("id"), None, None, inner.get("startDate"), inner.get("endDate")))
+                        rows.append((n, e.get("id"), None, None, inner.get("startDate"), inner.get("endDate")))
                 elif e.get("contextRef") and (e.text or "").strip():
-                    rows.append((where, n, e.get("contextRef"), local(e), e.text.strip(), None, None))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(7)], names=["path", "n", "context", "tag", "text", "start", "end"])
+                    rows.append((n, e.get("contextRef"), local(e), e.text.strip(), None, None))
+            ends.append(len(rows))
+        items = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ELEMENT)], fields=list(ELEMENT))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["path", "period_to", "elements"])
 
 
 def filing_facts(files: DataFrame, ranked: dict[str, list[str]], revenue: str = "revenue") -> DataFrame:
@@ -182,26 +187,28 @@ def filing_facts(files: DataFrame, ranked: dict[str, list[str]], revenue: str =
 
     Facts count from a context of one quarter (75 to 100 days) that ends on `period_to` and has no further dimensions; a null
     period_to takes any such quarter. A file that declares none counts by its context OneD, if that says that it ends
-    on period_to, unless its revenue is nearly the year's (FourD) in another quarter than the first. One file
-    makes a few hundred rows; all choices are joins over these.
+    on period_to, unless its revenue is nearly the year's (FourD) in another quarter than the first. A file is one row, read
+    once, and its few hundred elements one array, from which all choices are made without a shuffle.
     """
     c = F.col
-    rows = files.select("path", "content").mapInArrow(_elements, "path string, n long, context string, tag string, text string, start string, end string")
-    rows = rows.join(files.select("path", "period_to"), "path")
-    day = lambda x: F.expr(f"try_to_date(substr({x}, 1, 10), 'yyyy-MM-dd')")
-    quarter = rows.where("tag is null").where(F.datediff(day("end"), day("start")).between(75, 100) & (c("period_to").isNull() | (day("end") == c("period_to")))).select("path", "context").distinct()
-    number = c("text").try_cast("double")
+    rows = files.select("path", F.col("period_to").cast("date").alias("period_to"), "content").where("path is not null")
+    rows = rows.mapInArrow(_elements, "path string, period_to date, elements array<struct<n:long,context:string,tag:string,text:string,start:string,end:string>>")
+    day = lambda x: F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd")
+    fits = lambda x: x["tag"].isNull() & F.datediff(day(x["end"]), day(x["start"])).between(75, 100) & (c("period_to").isNull() | (day(x["end"]) == c("period_to")))
     order = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("tag"), F.lit(i).alias("rank")) for f, tags in ranked.items() for i, t in enumerate(tags)])
-    facts = rows.where("tag is not null").select("path", "period_to", "context", "n", "tag", number.alias("value"), "text")
-    known = facts.where("value is not null").withColumn("o", F.explode(F.filter(order, lambda o: o["tag"] == c("tag")))).select("path", "period_to", "context", "n", "tag", "value", "o.field", "o.rank")
+    fact = lambda x, o: F.struct(o["field"].alias("field"), o["rank"].alias("rank"), x["n"].alias("n"), x["context"].alias("context"), x["text"].try_cast("double").alias("value"), x["tag"].alias("tag"))
+    facts = F.flatten(F.transform("elements", lambda x: F.transform(F.filter(order, lambda o: o["tag"] == x["tag"]), lambda o: fact(x, o))))
+    rows = rows.withColumns({"quarters": F.transform(F.filter("elements", fits), lambda x: x["context"]), "known": F.array_sort(F.filter(facts, lambda x: x["value"].isNotNull()))})
     # files without a quarter of their own
-    says = facts.where((c("context") == "OneD") & c("tag").isin("DateOfEndOfReportingPeriod", "DateOfEndOfFinancialYear") & (day("text") == c("period_to"))).select("path").distinct()
-    first = lambda ctx: F.min_by(F.when((c("context") == ctx) & (c("field") == revenue), c("value")), F.when((c("context") == ctx) & (c("field") == revenue), F.struct("rank", "n")))
-    year = known.groupBy("path").agg(first("OneD").alias("one"), first("FourD").alias("four"), F.first("period_to").alias("period_to"))
-    whole_year = year.where((c("one") >= 0.9 * c("four")) & (c("four") != 0) & (c("one") != 0) & (F.month("period_to") != 6)).select("path")
-    loose = says.join(quarter, "path", "left_anti").join(whole_year, "path", "left_anti").select("path", F.lit("OneD").alias("context"))
-    j = known.join(quarter.unionByName(loose), ["path", "context"])
-    return j.groupBy("path", "field").agg(F.min_by(F.struct("value", "tag"), F.struct("rank", "n")).alias("x")).select("path", "field", "x.value", "x.tag")
+    says = F.exists("elements", lambda x: (x["context"] == "OneD") & x["tag"].isin("DateOfEndOfReportingPeriod", "DateOfEndOfFinancialYear") & (day(x["text"]) == c("period_to")))
+    first = lambda ctx: F.get(F.filter("known", lambda x: (x["context"] == ctx) & (x["field"] == revenue)), F.lit(0))["value"]
+    rows = rows.withColumns({"says": says, "one": first("OneD"), "four": first("FourD")})
+    whole_year = (c("one") >= 0.9 * c("four")) & (c("four") != 0) & (c("one") != 0) & (F.month("period_to") != 6)
+    loose = F.coalesce("says", F.lit(False)) & ~F.coalesce(whole_year, F.lit(False))
+    rows = rows.withColumn("quarters", F.when(F.size("quarters") > 0, c("quarters")).when(loose, F.array(F.lit("OneD"))))
+    rows = rows.withColumn("known", F.filter("known", lambda x: F.array_contains("quarters", x["context"])))
+    best = lambda f: F.get(F.filter("known", lambda x: x["field"] == f), F.lit(0))
+    return rows.select("path", F.explode(F.array(*[best(f) for f in ranked])).alias("x")).where("x is not null").select("path", "x.field", "x.value", "x.tag")
 
 
 def extract_filing_facts(spark: SparkSession, path: str, ranked: dict[str, list[str]], period_to: str | None = None) -> DataFrame:

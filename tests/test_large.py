@@ -76,3 +76,15 @@ def test_prices_of_companies_map_one_row_a_symbol_and_day(spark, monkeypatch):
     r, m = spark.createDataFrame(rows, "symbol string, trade_date date, series string, px double, row_id string"), spark.createDataFrame(spans, "company_id string, symbol string, valid_from date, valid_to date")
     out = pr.company_prices(r, m, ("EQ", "BE"), pr.F.when(pr.F.col("series") == "EQ", 0).otherwise(1))
     assert {(x.company_id, x.trade_date): (x.symbol, x.px) for x in out.collect()} == {k: (v[1], v[3]) for k, v in want.items()} and met == [12]
+
+
+def test_filings_are_read_once(spark):
+    from tallyfield.sources import files as fl
+
+    ctx = "<context id='q'><period><startDate>2024-01-01</startDate><endDate>2024-03-31</endDate></period></context>"
+    pages = [("a", f"<x>{ctx}<C contextRef='q'>3</C><B contextRef='q'>4</B><B contextRef='q'>5</B><P contextRef='q'>6</P></x>"), ("b", "<x/>"), ("c", f"<x>{ctx}<P contextRef='other'>6</P></x>")]
+    df = spark.createDataFrame([(k, v.encode(), D(2024, 3, 31)) for k, v in pages], "path string, content binary, period_to date")
+    out = fl.filing_facts(df, {"revenue": ["A", "B", "C"], "profit": ["P"]})
+    assert {tuple(r) for r in out.collect()} == {("a", "revenue", 4.0, "B"), ("a", "profit", 6.0, "P")}
+    plan = plan_of(out)
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
