@@ -6,8 +6,10 @@ read and written for its own key only, and timers clear what can't be needed any
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,37 +84,80 @@ def look_back(attempts: DataFrame, days: int = 10, delay: str = "1 hour") -> Dat
 
 
 class FirstOfKey(StatefulProcessor):
-    """Repeats of a key; of the other candidates the first `cap` of each week stay candidates, what comes after these is capped for certain."""
+    """Repeats of a key; of the other candidates the first `cap` of each week stay candidates, what comes after these is capped for certain.
 
-    def __init__(self, cap: int, exempt: tuple[str, ...], disabled: tuple[str, ...]):
-        self.cap, self.exempt, self.disabled = cap, exempt, disabled
+    The keys seen lie in pages by their hash, each one value of the state, so a batch makes a call for each page it meets and
+    none for each row. When there are more than `page` keys a page, the pages are dealt anew into four times as many.
+    """
+
+    def __init__(self, cap: int, exempt: tuple[str, ...], disabled: tuple[str, ...], page: int = 256):
+        self.cap, self.exempt, self.disabled, self.page = cap, exempt, disabled, page
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "k string", "n boolean")
+        self.seen = handle.getMapState("seen", "page long", "keys string")
+        self.size = handle.getValueState("size", "pages long, keys long")
         self.used = handle.getMapState("used", "week date", "n long")
 
+    def _read(self, page: int) -> dict[str, int]:
+        """A page's keys with their hashes."""
+        return json.loads(self.seen.getValue((page,))[0]) if self.seen.containsKey((page,)) else {}
+
+    def _write(self, page: int, keys: dict[str, int]) -> None:
+        self.seen.updateValue((page,), (json.dumps(keys),))
+
+    def _grown(self, pages: int, keys: int) -> int:
+        """The number of pages that `keys` keys need; what the present ones hold is dealt anew."""
+        to = pages
+        while keys > to * self.page:
+            to *= 4
+        for page in range(pages) if to > pages else ():
+            parts: dict[int, dict[str, int]] = {page: {}}
+            for k, h in self._read(page).items():  # they go to pages of the same remainder
+                parts.setdefault(h % to, {})[k] = h
+            for at, part in parts.items():
+                self._write(at, part)
+        return to
+
+    def _repeats(self, given: pd.DataFrame) -> np.ndarray:
+        """Whether a row's key came before, in the batch or in one before; the state knows the batch's keys then."""
+        keyed = given["dedupe_key"].notna()
+        repeat = (keyed & given["dedupe_key"].duplicated()).to_numpy()
+        at = np.flatnonzero(keyed.to_numpy() & ~repeat)
+        if not len(at):
+            return repeat
+        pages, n = self.size.get() if self.size.exists() else (1, 0)
+        pages = self._grown(pages, n + len(at))
+        keys, hashes = given["dedupe_key"].to_numpy()[at], given["hash"].to_numpy()[at]
+        page = hashes % pages
+        order = np.argsort(page, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(page[order])) + 1):
+            known = self._read(int(page[mine[0]]))
+            before = len(known)
+            for i in mine:
+                if keys[i] in known:
+                    repeat[at[i]] = True
+                else:
+                    known[keys[i]] = int(hashes[i])
+            if len(known) > before:
+                self._write(int(page[mine[0]]), known)
+                n += len(known) - before
+        self.size.update((pages, n))
+        return repeat
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).sort_values(["ts", "alert_id"])
-        used: dict = {}
-        verdicts = []
-        for week, kind, dedupe in zip(given["week"], given["kind"], given["dedupe_key"]):
-            repeat = dedupe is not None and self.seen.containsKey((dedupe,))
-            if dedupe is not None and not repeat:
-                self.seen.updateValue((dedupe,), (True,))
-            if kind in self.disabled:
-                verdict = "disabled"
-            elif repeat:
-                verdict = "duplicate"
-            elif kind in self.exempt:
-                verdict = "sent"
-            else:
-                if week not in used:
-                    used[week] = self.used.getValue((week,))[0] if self.used.containsKey((week,)) else 0
-                used[week] += 1
-                verdict = "candidate" if used[week] <= self.cap else "capped"
-            verdicts.append(verdict)
-        for week, n in used.items():
-            self.used.updateValue((week,), (n,))
+        given = pd.concat(list(rows)).sort_values(["ts", "alert_id"], ignore_index=True)
+        repeat = self._repeats(given)
+        disabled, exempt = (given["kind"].isin(kinds).to_numpy() for kinds in (self.disabled, self.exempt))
+        verdicts = np.select([disabled, repeat, exempt], ["disabled", "duplicate", "sent"], "candidate").astype(object)
+        codes, weeks = pd.factorize(given["week"], use_na_sentinel=False)
+        for code, week in enumerate(weeks):
+            at = np.flatnonzero((codes == code) & (verdicts == "candidate"))
+            if not len(at):
+                continue
+            week = None if pd.isna(week) else week
+            used = self.used.getValue((week,))[0] if self.used.containsKey((week,)) else 0
+            self.used.updateValue((week,), (used + len(at),))
+            verdicts[at[max(self.cap - used, 0) :]] = "capped"
         out = given[["week", "alert_id", "ts"]].assign(verdict=verdicts)
         yield out.assign(lane=(out["verdict"] != "candidate").astype("int64") * (key[0] + 1))
 
@@ -140,18 +185,19 @@ class WeeklyQuota(StatefulProcessor):
         pass
 
 
-def admitted(alerts: DataFrame, per_week: int, exempt: tuple[str, ...] = (), disabled: tuple[str, ...] = (), salts: int = 64) -> DataFrame:
+def admitted(alerts: DataFrame, per_week: int, exempt: tuple[str, ...] = (), disabled: tuple[str, ...] = (), salts: int = 64, page: int = 256) -> DataFrame:
     """(alert_id, verdict) of a stream of (alert_id, ts, kind, dedupe_key): disabled, duplicate, capped or sent.
 
     Alerts count in order of time, then id, within a batch; batches in the order of their arrival. Weeks begin on Monday.
-    Keys are dealt to `salts` states that remember them, and each lets at most `per_week` candidates of a week through: a week's own
+    Keys are dealt to `salts` states that remember them, in pages of a few hundred, and each lets at most `per_week` candidates of a week through: a week's own
     state, which decides on the quota, meets at most salts x per_week rows, however many alerts there are. Alerts
     without a key repeat none.
     """
-    salt = F.pmod(F.xxhash64(F.coalesce("dedupe_key", F.col("alert_id").cast("string"))), F.lit(salts))
-    given = alerts.select("alert_id", F.col("ts").cast("timestamp").alias("ts"), F.date_trunc("week", "ts").cast("date").alias("week"), "kind", "dedupe_key", salt.alias("salt"))
+    h = F.xxhash64(F.coalesce("dedupe_key", F.col("alert_id").cast("string"))).bitwiseAND(F.lit((1 << 63) - 1))
+    given = alerts.select("alert_id", F.col("ts").cast("timestamp").alias("ts"), F.date_trunc("week", "ts").cast("date").alias("week"), "kind", "dedupe_key", h.alias("hash"))
+    given = given.withColumn("salt", F.col("hash") % salts).withColumn("hash", F.expr(f"hash div {salts}"))
     kind = alerts.schema["alert_id"].dataType.simpleString()
-    first = given.groupBy("salt").transformWithStateInPandas(FirstOfKey(per_week, exempt, disabled), f"week date, alert_id {kind}, ts timestamp, verdict string, lane long", "Append", "None")
+    first = given.groupBy("salt").transformWithStateInPandas(FirstOfKey(per_week, exempt, disabled, page), f"week date, alert_id {kind}, ts timestamp, verdict string, lane long", "Append", "None")
     return first.groupBy("week", "lane").transformWithStateInPandas(WeeklyQuota(per_week), f"alert_id {kind}, verdict string", "Append", "None")
 
 

@@ -1,7 +1,10 @@
 """Stateful streams over several micro-batches: late successes, expiries, quotas, keys that come again."""
 
 import datetime as dt
+import random
+import zlib
 
+import pandas as pd
 import pytest
 
 from tallyfield.streaming import incremental as st
@@ -57,3 +60,66 @@ def test_spaced_warnings(streamed):
     day = lambda n: D(2024, 1, 1) + dt.timedelta(n)
     got = streamed(lambda s: sf.spaced_warnings(s, 28), "company_id long, trade_date date", [(1, day(0)), (1, day(0)), (1, day(10)), (2, None)], [(1, day(28)), (2, day(3))], [(1, day(55)), (1, day(56))])
     assert sorted(tuple(r) for r in got.collect()) == [(1, day(0)), (1, day(28)), (1, day(56)), (2, day(3))]
+
+
+class Maps:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.states, self.calls = {}, 0
+
+    def state(self, name, *_):
+        owner, held = self, self.states.setdefault(name, {})
+
+        class State:
+            def get(self):
+                owner.calls += 1
+                return held[()]
+
+            def exists(self):
+                return self.containsKey(())
+
+            def update(self, value):
+                self.updateValue((), value)
+
+            def getValue(self, k):
+                owner.calls += 1
+                return held[k]
+
+            def containsKey(self, k):
+                owner.calls += 1
+                return k in held
+
+            def updateValue(self, k, value):
+                owner.calls += 1
+                held[k] = value
+
+        return State()
+
+    getMapState = getValueState = state
+
+
+def test_admission_makes_no_call_for_each_row():
+    rng = random.Random(5)
+    for page, most in ((256, 400), (4, 10**9)):
+        handle, seen, used, got, want = Maps(), set(), {}, {}, {}
+        for batch in range(4):
+            p = sf.FirstOfKey(7, ("exit",), ("off",))
+            p.page = page
+            p.init(handle)
+            keys = [rng.choice([None, *(f'k"é{rng.randrange(9000)}' for _ in range(40))]) for _ in range(3000)]
+            rows = [(D(2024, 1, 1) + dt.timedelta(7 * rng.randrange(2)), n, T(2024, 1, 1) + dt.timedelta(hours=rng.randrange(50)), rng.choice(["a", "exit", "off", None]), k, zlib.crc32((k or "").encode())) for n, k in enumerate(keys, 3000 * batch)]
+            frame = pd.DataFrame(rows, columns=["week", "alert_id", "ts", "kind", "dedupe_key", "hash"])
+            handle.calls = 0
+            for out in p.handleInputRows((0,), iter([frame[:1000], frame[1000:]]), None):
+                got.update(zip(out["alert_id"], out["verdict"]))
+                assert all((v == "candidate") == (lane == 0) for v, lane in zip(out["verdict"], out["lane"]))
+            assert handle.calls < most
+            for week, n, _, kind, k, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+                repeat = k in seen
+                seen |= {k} - {None}
+                want[n] = "disabled" if kind == "off" else "duplicate" if repeat else "sent" if kind == "exit" else "candidate"
+                if want[n] == "candidate":
+                    used[week] = used.get(week, 0) + 1
+                    want[n] = "candidate" if used[week] <= 7 else "capped"
+        assert got == want
