@@ -109,3 +109,13 @@ def test_greedy_buys_without_lists(spark):
                 cash, bought = cash - q * close, bought + 1
     got = {tuple(r) for r in dc.plan_opportunities(o, b, 4000.0, 3000.0).select("account", "company_id", "quantity", "price").collect()}
     assert got == want and len(want) > 12
+
+
+def test_ledger_reads_transactions_once(spark):
+    rows = [(1, 1, "A", D(2020, 1, 1), "BUY", 10, 10.0), (2, None, "A", D(2020, 1, 2), "BUY", 3, 20.0), (3, 1, "B", D(2020, 2, 1), "BUY", 4, 8.0), (4, 1, None, D(2020, 3, 1), "BUY", 9, 8.0), (5, 2, "A", D(2020, 9, 1), "BUY", 0, 8.0)]
+    t = spark.createDataFrame(rows, "txn_id long, account long, company_id string, trade_date date, side string, quantity long, price double")
+    events = spark.createDataFrame([("A", D(2020, 5, 1), 2.0), ("A", D(2020, 6, 1), 1.5), ("C", D(2020, 5, 1), 2.0), (None, D(2020, 5, 1), 2.0)], "company_id string, ex_date date, ratio double")
+    out = mn.fifo_ledger(t, events)
+    assert {(r.account, r.company_id, r.txn_id, r.quantity) for r in out.collect()} == {(1, "A", 1, 30), (None, "A", 2, 9), (1, "B", 3, 4), (1, None, 4, 9)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan and "size(aggregate" not in plan  # the fold isn't computed again to filter
