@@ -88,3 +88,71 @@ def test_filings_are_read_once(spark):
     assert {tuple(r) for r in out.collect()} == {("a", "revenue", 4.0, "B"), ("a", "profit", 6.0, "P")}
     plan = plan_of(out)
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def odd_accounts(spark):
+    rng = random.Random(11)
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(n)
+    close = lambda c, n: None if n % 13 == 5 else round(rng.uniform(5, 30), 4)
+    bars = [(c, day(n), close(c, n)) for c in ("a", "b", "c", "never bought") for n in range(90) if rng.random() < 0.8] + [("void", day(3), None), ("a", None, 3.0), (None, day(95), 4.0)]
+    names = ["a", "b", "c", "a", "b", "no closes", "void", None]
+    txns = [(i, rng.choice([1, 2, 3, 4, None]), rng.choice(names), rng.choice([day(rng.randint(0, 99)), None]) if i % 9 == 0 else day(rng.randint(0, 80)), "SELL" if rng.random() < 0.3 else "BUY", rng.randint(1, 9), round(rng.uniform(5, 30), 4)) for i in range(300)]
+    txns += [(1000 + i, 7, "abc"[i % 3], day(i % 60), "BUY" if i % 2 else "SELL", i % 8, 20.5) for i in range(700)] + [(2000, 8, "void", day(1), "BUY", 1, 2.0), (2001, 9, "a", day(98), "BUY", 1, 2.0)]
+    t = spark.createDataFrame(txns, "txn_id long, account long, company_id string, trade_date date, side string, quantity long, price double")
+    return t, spark.createDataFrame(bars, "company_id string, trade_date date, close double"), spark.createDataFrame([(day(n), None if n == 40 else 100.0 + n) for n in range(120) if n % 7], "trade_date date, nifty500 double")
+
+
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "5")  # an account of 700 moves then is more than a hundred batches, which are made compact
+    yield
+    spark.conf.set(name, before)
+
+
+def near(rows, wanted):
+    key = lambda r: tuple((x is None, x or 0) for x in r if not isinstance(x, float))
+    rows, wanted = sorted(map(tuple, rows), key=key), sorted(map(tuple, wanted), key=key)
+    assert len(rows) == len(wanted) > 0
+    for r, w in zip(rows, wanted, strict=True):
+        assert list(r) == [pytest.approx(x, nan_ok=True) if isinstance(x, float) else x for x in w]
+
+
+def test_days_of_transactions_equal_those_of_blocks(spark, small_batches):
+    t, b, _ = odd_accounts(spark)
+    near(mn.value_history(t, b).collect(), mn.value_history(t, b, cells=0).collect())
+    near(mn.value_history(t, b, places=7).collect(), mn.value_history(t, b).select("account", "trade_date", mn.F.round("value", 7), mn.F.round("flow", 7)).collect())
+    assert isinstance(mn.holdings(t, b), mn.Holdings) and not isinstance(mn.holdings(t, b, cells=4 * 90), mn.Holdings)
+
+
+def test_returns_keep_no_days_in_a_shuffle_or_sort(spark):
+    t, b = account_rows(spark)
+    clean = mn.without_violations(t)
+    for df in (mn.value_history(clean, b), mn.value_history(clean, b, places=4)):
+        plan = plan_of(df)
+        # the transactions once; no pieces, blocks or days that a sort or an aggregation could spill
+        assert plan.count("Exchange") == plan.count("Sort [") == 1 and "Generate" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("query", ["c39_value_history"])
+def test_histories_deal_transactions_once(spark, query):
+    import __spark_entry__ as entry
+
+    found, rest = [], [entry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().inputPlan()]
+    while rest:
+        at = rest.pop()
+        if at.nodeName() == "Exchange" and "hashpartitioning(account" in at.simpleString(99) and "REPARTITION" in at.simpleString(99):
+            found.append(at)
+        assert at.nodeName() != "Window" or "bucket" not in at.simpleString(99)  # nothing is numbered
+        rest += [at.children().apply(i) for i in range(at.children().size())]
+    assert found and all(x.sameResult(found[0]) for x in found)
+
+
+def test_rounding_of_values():
+    import numpy as np
+
+    x = np.array([0.00000005, -0.00000005, 1.23456785, 123456.78905, 0.0, -2.5e-8, 987654321.1234567, 1e300, np.nan])
+    got = mn.rounded_half_up(x, 7)
+    assert list(got[:6]) == [1e-7, -1e-7, 1.2345679, 123456.78905, 0.0, 0.0] and got[6] == x[6] and got[7] == 1e300 and np.isnan(got[8])
+    assert list(mn.rounded_half_up(x[:4], 2)) == [0.0, 0.0, 1.23, 123456.79]
