@@ -126,16 +126,26 @@ def test_days_of_transactions_equal_those_of_blocks(spark, small_batches):
     assert isinstance(mn.holdings(t, b), mn.Holdings) and not isinstance(mn.holdings(t, b, cells=4 * 90), mn.Holdings)
 
 
+def test_returns_of_transactions_equal_those_of_blocks(spark, small_batches):
+    t, b, m = odd_accounts(spark)
+    near(mn.performance(mn.holdings(t, b)).collect(), mn.performance(mn.value_blocks(t, b)).collect())
+    matches, orders = mn.fifo_matches(mn.without_violations(t)), mn.order_charges(t)
+    audits = [mn.audit_money(x, m, matches, orders, "2020-02-01", "2020-03-10") for x in (mn.holdings(t, b, m), mn.value_blocks(t, b, index=m))]
+    near(*[x.collect() for x in audits])
+    whole = {r.account: r for r in audits[0].collect()}
+    assert whole[None].charges == 0 and whole[1].charges > 0  # as a join on the account has it
+
+
 def test_returns_keep_no_days_in_a_shuffle_or_sort(spark):
     t, b = account_rows(spark)
     clean = mn.without_violations(t)
-    for df in (mn.value_history(clean, b), mn.value_history(clean, b, places=4)):
+    for df in (mn.value_history(clean, b), mn.value_history(clean, b, places=4), mn.performance(mn.holdings(clean, b))):
         plan = plan_of(df)
         # the transactions once; no pieces, blocks or days that a sort or an aggregation could spill
         assert plan.count("Exchange") == plan.count("Sort [") == 1 and "Generate" not in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("query", ["c39_value_history"])
+@pytest.mark.parametrize("query", ["c39_value_history", "c42_performance"])
 def test_histories_deal_transactions_once(spark, query):
     import __spark_entry__ as entry
 
