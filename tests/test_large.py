@@ -145,7 +145,7 @@ def test_returns_keep_no_days_in_a_shuffle_or_sort(spark):
         assert plan.count("Exchange") == plan.count("Sort [") == 1 and "Generate" not in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("query", ["c39_value_history", "c42_performance"])
+@pytest.mark.parametrize("query", ["c39_value_history", "c42_performance", "c58_audit_money"])
 def test_histories_deal_transactions_once(spark, query):
     import __spark_entry__ as entry
 
